@@ -44,3 +44,168 @@ def e8_decision_summary(spark, sf_dir):
 def e4_weighted_voting(spark, sf_dir):
     return decisions(spark, sf_dir).select(
         "flow_id", "attack_type", "prediction", "confidence", "severity", "method", "conflicts_detected")
+
+
+# --- helpers ----------------------------------------------------------------
+
+def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Round every double column (and turn -0.0 into 0.0) for engine-neutral output."""
+    out = []
+    for f in df.schema.fields:
+        if f.dataType.typeName() in ("double", "float"):
+            out.append((F.round(F.col(f.name), digits) + F.lit(0.0)).alias(f.name))
+        else:
+            out.append(F.col(f.name))
+    return df.select(*out)
+
+
+def _flows(spark, sf_dir):
+    return derived.load_flows(spark, sf_dir)
+
+
+# Small blocks in the registered queries so every run crosses many halo
+# boundaries; production callers keep the 1M-row default.
+TEST_BLOCK_ROWS = 997
+
+
+def _rolling(spark, sf_dir, feats, **kw):
+    from ..operators.features import rolling_features
+    kw.setdefault("block_rows", TEST_BLOCK_ROWS)
+    return round_doubles(rolling_features(_flows(spark, sf_dir), features=feats, **kw))
+
+
+# --- W: rolling features ----------------------------------------------------
+
+@query("w1_packet_size_stats")
+def w1_packet_size_stats(spark, sf_dir):
+    return _rolling(spark, sf_dir, ("packet_size_mean", "packet_size_std", "packet_size_min", "packet_size_max"))
+
+
+@query("w1_keyed_packet_size_stats")
+def w1_keyed_packet_size_stats(spark, sf_dir):
+    return _rolling(spark, sf_dir, ("packet_size_mean", "packet_size_std", "packet_size_min", "packet_size_max"),
+                    key_cols=("src_ip",), mode="keyed").drop("src_ip")
+
+
+@query("w0_keyed_halo_stats")
+def w0_keyed_halo_stats(spark, sf_dir):
+    return _rolling(spark, sf_dir, ("packet_size_mean", "packet_size_std", "unique_dst_ips"),
+                    key_cols=("src_ip",), mode="halo", block_rows=101).drop("src_ip")
+
+
+@query("w2_packet_size_median")
+def w2_packet_size_median(spark, sf_dir):
+    return _rolling(spark, sf_dir, ("packet_size_median",))
+
+
+@query("w3_flow_duration_stats")
+def w3_flow_duration_stats(spark, sf_dir):
+    return _rolling(spark, sf_dir, ("flow_duration_mean", "flow_duration_std"))
+
+
+@query("w4_distinct_counts")
+def w4_distinct_counts(spark, sf_dir):
+    return _rolling(spark, sf_dir, ("unique_src_ips", "unique_dst_ips", "unique_src_ports", "unique_dst_ports"))
+
+
+@query("w5_high_port_ratio")
+def w5_high_port_ratio(spark, sf_dir):
+    return _rolling(spark, sf_dir, ("high_port_ratio",))
+
+
+@query("w6_inter_arrival")
+def w6_inter_arrival(spark, sf_dir):
+    from ..functions.rolling import seconds_since_previous
+    from ..operators import halo
+    fr = halo.frame(_flows(spark, sf_dir), ["timestamp", "flow_id"], 2, (), mode="halo",
+                    block_rows=TEST_BLOCK_ROWS)
+    out = fr.df.select("flow_id", "_halo", "_blk",
+                       seconds_since_previous("timestamp", fr.window).alias("inter_arrival"))
+    return round_doubles(fr.finish(out))
+
+
+@query("w7_packet_rate")
+def w7_packet_rate(spark, sf_dir):
+    return _rolling(spark, sf_dir, ("packet_rate", "packet_rate_std"))
+
+
+@query("w10_ip_entropy")
+def w10_ip_entropy(spark, sf_dir):
+    return _rolling(spark, sf_dir, ("src_ip_entropy", "dst_ip_entropy"))
+
+
+@query("w11_time_entropy")
+def w11_time_entropy(spark, sf_dir):
+    return _rolling(spark, sf_dir, ("hour_entropy", "day_entropy"))
+
+
+@query("w12_w13_burstiness_regularity")
+def w12_w13_burstiness_regularity(spark, sf_dir):
+    return _rolling(spark, sf_dir, ("traffic_burstiness", "traffic_regularity"))
+
+
+@query("w14_rolling_correlation")
+def w14_rolling_correlation(spark, sf_dir):
+    from ..operators.features import corr_names
+    return _rolling(spark, sf_dir, tuple(corr_names()))
+
+
+def _seq_string(col="sequence"):
+    return F.array_join(F.transform(col, lambda x: x.cast("string")), ",")
+
+
+@query("w8_sequences")
+def w8_sequences(spark, sf_dir):
+    from ..operators.features import sequences
+    s = sequences(_flows(spark, sf_dir), "packet_size", 10, 1, label_col="label", block_rows=TEST_BLOCK_ROWS)
+    return s.select("flow_id", "label", _seq_string().alias("sequence"))
+
+
+@query("w8_strided_sequences")
+def w8_strided_sequences(spark, sf_dir):
+    from ..config import WINDOW_OVERLAP, WINDOW_SIZE
+    from ..operators.features import sequences
+    stride = max(1, int(WINDOW_SIZE * (1 - WINDOW_OVERLAP)))
+    s = sequences(_flows(spark, sf_dir), "packet_size", WINDOW_SIZE, stride, label_col="label",
+                  block_rows=TEST_BLOCK_ROWS)
+    return s.select("flow_id", "label", _seq_string().alias("sequence"))
+
+
+@query("w9_padded_sequences")
+def w9_padded_sequences(spark, sf_dir):
+    from ..operators.features import sequences
+    s = sequences(_flows(spark, sf_dir), "packet_size", 10, 1, key_cols=("src_ip",), pad=True,
+                  block_rows=TEST_BLOCK_ROWS)
+    return s.select("flow_id", _seq_string().alias("sequence"))
+
+
+# --- A1 / J2 / W15: fan-out and fan-in ---------------------------------------
+
+@query("a1_fan_out")
+def a1_fan_out(spark, sf_dir):
+    from ..operators.features import fan_out
+    return fan_out(_flows(spark, sf_dir))
+
+
+@query("a1_fan_in")
+def a1_fan_in(spark, sf_dir):
+    from ..operators.features import fan_in
+    return fan_in(_flows(spark, sf_dir))
+
+
+@query("j2_flow_fan")
+def j2_flow_fan(spark, sf_dir):
+    from ..operators.features import attach_fan
+    return attach_fan(_flows(spark, sf_dir)).select("flow_id", "src_ip", "dst_ip", "fan_out", "fan_in")
+
+
+@query("w15_rolling_fan_out")
+def w15_rolling_fan_out(spark, sf_dir):
+    from ..operators.features import fan_out, rolling_fan_mean
+    return round_doubles(rolling_fan_mean(fan_out(_flows(spark, sf_dir)), "src_ip", "fan_out", block_rows=37))
+
+
+@query("w15_rolling_fan_in")
+def w15_rolling_fan_in(spark, sf_dir):
+    from ..operators.features import fan_in, rolling_fan_mean
+    return round_doubles(rolling_fan_mean(fan_in(_flows(spark, sf_dir)), "dst_ip", "fan_in", block_rows=37))

@@ -100,3 +100,87 @@ FROM decisions GROUP BY attack_type, severity""")
 
 register("e4_weighted_voting", WEIGHTED_DECISIONS +
          "SELECT flow_id, attack_type, prediction, confidence, severity, method, conflicts_detected FROM decisions")
+
+
+# --- W: rolling features (DuckDB windows over the same order) ---------------
+
+GW = 'WINDOW w AS (ORDER BY "timestamp", flow_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)'
+KW = 'WINDOW w AS (PARTITION BY src_ip ORDER BY "timestamp", flow_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)'
+
+
+def g(expr: str, x: str, digits: int | None = 6) -> str:
+    inner = f"CASE WHEN count({x}) OVER w = 10 THEN {expr} END"
+    return f"round({inner}, {digits}) + 0.0" if digits is not None else inner
+
+
+PS_STATS = (f"{g('avg(packet_size) OVER w', 'packet_size')} AS packet_size_mean, "
+            f"{g('stddev_samp(packet_size) OVER w', 'packet_size')} AS packet_size_std, "
+            f"{g('min(packet_size) OVER w', 'packet_size', None)} AS packet_size_min, "
+            f"{g('max(packet_size) OVER w', 'packet_size', None)} AS packet_size_max")
+
+register("w1_packet_size_stats", with_(FLOWS) + f"SELECT flow_id, {PS_STATS} FROM flows {GW}")
+register("w1_keyed_packet_size_stats", with_(FLOWS) + f"SELECT flow_id, {PS_STATS} FROM flows {KW}")
+register("w0_keyed_halo_stats", with_(FLOWS) + f"""SELECT flow_id,
+ {g('avg(packet_size) OVER w', 'packet_size')} AS packet_size_mean,
+ {g('stddev_samp(packet_size) OVER w', 'packet_size')} AS packet_size_std,
+ {g('count(DISTINCT dst_ip) OVER w', 'dst_ip', None)} AS unique_dst_ips FROM flows {KW}""")
+register("w2_packet_size_median", with_(FLOWS) +
+         f"SELECT flow_id, {g('median(packet_size) OVER w', 'packet_size')} AS packet_size_median FROM flows {GW}")
+register("w3_flow_duration_stats", with_(FLOWS) + f"""SELECT flow_id,
+ {g('avg(flow_duration) OVER w', 'flow_duration')} AS flow_duration_mean,
+ {g('stddev_samp(flow_duration) OVER w', 'flow_duration')} AS flow_duration_std FROM flows {GW}""")
+register("w4_distinct_counts", with_(FLOWS) + "SELECT flow_id, " + ", ".join(
+    f"{g(f'count(DISTINCT {x}) OVER w', x, None)} AS {name}" for x, name in
+    (("src_ip", "unique_src_ips"), ("dst_ip", "unique_dst_ips"), ("src_port", "unique_src_ports"),
+     ("dst_port", "unique_dst_ports"))) + f" FROM flows {GW}")
+register("w5_high_port_ratio", with_(FLOWS) + f"""SELECT flow_id,
+ {g('avg(CASE WHEN dst_port > 1024 THEN 1.0 ELSE 0.0 END) OVER w', 'dst_port')} AS high_port_ratio FROM flows {GW}""")
+DT = """dt AS (SELECT *, (epoch_us("timestamp") - lag(epoch_us("timestamp")) OVER (ORDER BY "timestamp", flow_id)) / 1e6 AS dt FROM flows)"""
+register("w6_inter_arrival", with_(FLOWS, DT) + "SELECT flow_id, round(dt, 6) + 0.0 AS inter_arrival FROM dt")
+register("w7_packet_rate", with_(FLOWS, DT) + f"""SELECT flow_id,
+ {g('1 / nullif(avg(dt) OVER w, 0)', 'dt')} AS packet_rate,
+ {g('1 / nullif(stddev_samp(dt) OVER w, 0)', 'dt')} AS packet_rate_std FROM dt {GW}""")
+register("w10_ip_entropy", with_(FLOWS) + f"""SELECT flow_id,
+ {g('entropy(src_ip) OVER w * ln(2)', 'src_ip')} AS src_ip_entropy,
+ {g('entropy(dst_ip) OVER w * ln(2)', 'dst_ip')} AS dst_ip_entropy FROM flows {GW}""")
+TIMEF = """tf AS (SELECT *, hour("timestamp") AS hour, isodow("timestamp") - 1 AS day_of_week FROM flows)"""
+register("w11_time_entropy", with_(FLOWS, TIMEF) + f"""SELECT flow_id,
+ {g('entropy(hour) OVER w * ln(2)', 'hour')} AS hour_entropy,
+ {g('entropy(day_of_week) OVER w * ln(2)', 'day_of_week')} AS day_entropy FROM tf {GW}""")
+register("w12_w13_burstiness_regularity", with_(FLOWS) + f"""SELECT flow_id,
+ {g('stddev_samp(packet_size) OVER w / nullif(avg(packet_size) OVER w, 0)', 'packet_size')} AS traffic_burstiness,
+ {g('1.0 / (1.0 + stddev_samp(packet_size) OVER w)', 'packet_size')} AS traffic_regularity FROM flows {GW}""")
+
+
+def _corr_sql(a: str, b: str) -> str:
+    both = f"CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN 1 END"
+    r = (f"CASE WHEN stddev_pop({a}) OVER w * stddev_pop({b}) OVER w = 0 THEN NULL "
+         f"ELSE covar_pop({a}, {b}) OVER w / (stddev_pop({a}) OVER w * stddev_pop({b}) OVER w) END")
+    return f"round(CASE WHEN count({both}) OVER w = 10 THEN {r} END, 6) + 0.0 AS corr_{a}_{b}"
+
+
+_CORR_COLS = ("src_port", "dst_port", "packet_size", "flow_duration", "hour", "day_of_week")
+register("w14_rolling_correlation", with_(FLOWS, TIMEF) + "SELECT flow_id, " + ",\n ".join(
+    _corr_sql(a, b) for i, a in enumerate(_CORR_COLS) for b in _CORR_COLS[i + 1:]) + f" FROM tf {GW}")
+
+SEQ = """sq AS (SELECT flow_id, label, row_number() OVER (ORDER BY "timestamp", flow_id) - 1 AS pos,
+ array_to_string(list(CAST(packet_size AS VARCHAR)) OVER w, ',') AS sequence FROM flows {w})"""
+register("w8_sequences", with_(FLOWS, SEQ.format(w=GW)) + "SELECT flow_id, label, sequence FROM sq WHERE pos >= 9")
+register("w8_strided_sequences", with_(FLOWS, SEQ.format(w=GW)) +
+         "SELECT flow_id, label, sequence FROM sq WHERE pos >= 9 AND (pos - 9) % 5 = 0")
+register("w9_padded_sequences", with_(FLOWS) + f"""SELECT flow_id,
+ array_to_string(list_concat(list_resize(CAST([] AS VARCHAR[]), 10 - least(count(*) OVER w, 10), '0'),
+   list(CAST(packet_size AS VARCHAR)) OVER w), ',') AS sequence FROM flows {KW}""")
+
+FAN = """fo AS (SELECT src_ip, count(DISTINCT dst_ip) AS fan_out FROM flows GROUP BY src_ip),
+fi AS (SELECT dst_ip, count(DISTINCT src_ip) AS fan_in FROM flows GROUP BY dst_ip)"""
+register("a1_fan_out", with_(FLOWS, FAN) + "SELECT src_ip, fan_out FROM fo")
+register("a1_fan_in", with_(FLOWS, FAN) + "SELECT dst_ip, fan_in FROM fi")
+register("j2_flow_fan", with_(FLOWS, FAN) + """SELECT f.flow_id, f.src_ip, f.dst_ip, fo.fan_out, fi.fan_in
+ FROM flows f LEFT JOIN fo ON fo.src_ip = f.src_ip LEFT JOIN fi ON fi.dst_ip = f.dst_ip""")
+register("w15_rolling_fan_out", with_(FLOWS, FAN) + """SELECT src_ip, fan_out,
+ round(CASE WHEN count(fan_out) OVER w = 10 THEN avg(fan_out) OVER w END, 6) + 0.0 AS avg_fan_out
+ FROM fo WINDOW w AS (ORDER BY src_ip ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""")
+register("w15_rolling_fan_in", with_(FLOWS, FAN) + """SELECT dst_ip, fan_in,
+ round(CASE WHEN count(fan_in) OVER w = 10 THEN avg(fan_in) OVER w END, 6) + 0.0 AS avg_fan_in
+ FROM fi WINDOW w AS (ORDER BY dst_ip ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""")

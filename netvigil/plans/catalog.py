@@ -209,3 +209,245 @@ def w15_rolling_fan_out(spark, sf_dir):
 def w15_rolling_fan_in(spark, sf_dir):
     from ..operators.features import fan_in, rolling_fan_mean
     return round_doubles(rolling_fan_mean(fan_in(_flows(spark, sf_dir)), "dst_ip", "fan_in", block_rows=37))
+
+
+# --- E: ensemble variants -----------------------------------------------------
+
+def _fv(spark, sf_dir):
+    return derived.flows_with_votes(_flows(spark, sf_dir))
+
+
+def _decide(spark, sf_dir, **kw):
+    d = ensemble.decide(_fv(spark, sf_dir), **kw)
+    return d.withColumn("confidence", F.round("confidence", 6)).withColumnRenamed("timestamp", "ts")
+
+
+DECISION_COLS = ("flow_id", "attack_type", "prediction", "confidence", "severity", "method", "conflicts_detected")
+
+
+def _summary(d):
+    return d.groupBy("attack_type", "severity").agg(
+        F.count(F.lit(1)).alias("n_flows"),
+        F.sum((F.col("conflicts_detected") > 0).cast("long")).alias("n_conflict_flows"),
+        F.sum((F.col("method") == "default").cast("long")).alias("n_default"))
+
+
+@query("e1_class_conflicts")
+def e1_class_conflicts(spark, sf_dir):
+    c = ensemble.with_conflicts(_fv(spark, sf_dir)).select("flow_id", F.explode("conflicts").alias("c"))
+    return c.filter(F.col("c.type") == "class_conflict").select(
+        "flow_id", F.col("c.attack_type").alias("attack_type"), F.size("c.classes").alias("n_classes"))
+
+
+@query("e2_attack_type_conflicts")
+def e2_attack_type_conflicts(spark, sf_dir):
+    c = ensemble.with_conflicts(_fv(spark, sf_dir)).select("flow_id", F.explode("conflicts").alias("c"))
+    return c.filter(F.col("c.type") == "attack_type_conflict").select(
+        "flow_id", F.size("c.classes").alias("n_high_types"))
+
+
+@query("e3_conflict_counts")
+def e3_conflict_counts(spark, sf_dir):
+    c = ensemble.with_conflicts(_fv(spark, sf_dir))
+    n_class = F.size(F.filter("conflicts", lambda x: x["type"] == "class_conflict"))
+    return c.select("flow_id", n_class.alias("n_class_conflicts"),
+                    (F.col("conflicts_detected") - n_class).alias("n_attack_type_conflicts"),
+                    "conflicts_detected")
+
+
+@query("e5_majority_voting")
+def e5_majority_voting(spark, sf_dir):
+    return _decide(spark, sf_dir, strategy="majority_voting").select(*DECISION_COLS)
+
+
+@query("e6_highest_confidence")
+def e6_highest_confidence(spark, sf_dir):
+    return _decide(spark, sf_dir, strategy="highest_confidence").select(*DECISION_COLS, "best_cluster")
+
+
+@query("e7_unknown_strategy_fallback")
+def e7_unknown_strategy_fallback(spark, sf_dir):
+    d = _decide(spark, sf_dir, strategy="no_such_strategy")
+    return d.groupBy("method", "severity").agg(F.count(F.lit(1)).alias("n_flows"))
+
+
+@query("j4_weight_lookup_default")
+def j4_weight_lookup_default(spark, sf_dir):
+    from ..config import EnsembleConfig
+    return _summary(_decide(spark, sf_dir, cfg=EnsembleConfig(weights={"lstm": 1.0})))
+
+
+@query("p19_weight_normalization")
+def p19_weight_normalization(spark, sf_dir):
+    from ..config import EnsembleConfig
+    return _summary(_decide(spark, sf_dir, cfg=EnsembleConfig(weights={"lstm": 3.0, "svm": 2.0})))
+
+
+@query("p16_vote_validity")
+def p16_vote_validity(spark, sf_dir):
+    from ..functions.scalar import is_valid_vote
+    v = derived.votes_long(_fv(spark, sf_dir))
+    return v.groupBy("cluster_id").agg(
+        F.count(F.lit(1)).alias("n_votes"),
+        F.sum(is_valid_vote(F.struct("is_trained", "confidence", "error")).cast("long")).alias("n_valid"))
+
+
+@query("p17_detector_defaults")
+def p17_detector_defaults(spark, sf_dir):
+    v = derived.votes_long(_fv(spark, sf_dir))
+    return v.groupBy("cluster_id").agg(
+        F.sum((F.col("prediction") == "Unknown").cast("long")).alias("n_untrained_default"),
+        F.sum((F.col("prediction") == "Error").cast("long")).alias("n_error_rows"))
+
+
+@query("p18_default_decisions")
+def p18_default_decisions(spark, sf_dir):
+    return _decide(spark, sf_dir).filter(F.col("method") == "default").select("flow_id", "attack_type", "severity")
+
+
+@query("j3_flow_detector_pairs")
+def j3_flow_detector_pairs(spark, sf_dir):
+    v = derived.votes_long(_fv(spark, sf_dir))
+    return v.groupBy("cluster_id").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum(F.col("is_trained").cast("long")).alias("n_trained"),
+        F.round(F.avg("confidence"), 6).alias("avg_confidence"))
+
+
+# --- A7-A16, L1-L3: monitoring -------------------------------------------------
+
+def _votes(spark, sf_dir):
+    return derived.votes_long(_fv(spark, sf_dir))
+
+
+@query("a7_detector_status")
+def a7_detector_status(spark, sf_dir):
+    from ..operators.monitor import detector_status
+    return round_doubles(detector_status(_votes(spark, sf_dir)))
+
+
+@query("a8_attack_distribution")
+def a8_attack_distribution(spark, sf_dir):
+    from ..operators.monitor import attack_distribution
+    return attack_distribution(_decide(spark, sf_dir))
+
+
+@query("a9_severity_distribution")
+def a9_severity_distribution(spark, sf_dir):
+    from ..operators.monitor import severity_distribution
+    return severity_distribution(_decide(spark, sf_dir))
+
+
+@query("a10_prediction_counter")
+def a10_prediction_counter(spark, sf_dir):
+    from ..operators.monitor import prediction_counter
+    return prediction_counter(_votes(spark, sf_dir))
+
+
+@query("a10_conflict_counter")
+def a10_conflict_counter(spark, sf_dir):
+    from ..operators.monitor import conflict_counter
+    return conflict_counter(ensemble.with_conflicts(_fv(spark, sf_dir)))
+
+
+@query("a11_duration_histogram")
+def a11_duration_histogram(spark, sf_dir):
+    from ..operators.monitor import duration_histogram
+    return duration_histogram(_votes(spark, sf_dir))
+
+
+@query("a12_ensemble_status")
+def a12_ensemble_status(spark, sf_dir):
+    from ..operators.monitor import ensemble_status
+    fv = _fv(spark, sf_dir)
+    return round_doubles(ensemble_status(ensemble.decide(fv), derived.votes_long(fv)))
+
+
+@query("a13_health_check")
+def a13_health_check(spark, sf_dir):
+    from ..operators.monitor import health_check
+    return health_check(derived.load_host_metrics(spark, sf_dir))
+
+
+@query("a14_threshold_alerts")
+def a14_threshold_alerts(spark, sf_dir):
+    from ..operators.monitor import threshold_alerts
+    return threshold_alerts(derived.load_host_metrics(spark, sf_dir)).drop("ts")
+
+
+@query("a15_system_status")
+def a15_system_status(spark, sf_dir):
+    from ..operators.monitor import system_status
+    return round_doubles(system_status(derived.clusters_df(spark), _votes(spark, sf_dir)))
+
+
+@query("l1_recent_decisions")
+def l1_recent_decisions(spark, sf_dir):
+    from ..operators.monitor import latest
+    return latest(_decide(spark, sf_dir), 100).select(*DECISION_COLS)
+
+
+@query("l1_recent_conflicts")
+def l1_recent_conflicts(spark, sf_dir):
+    from ..operators.monitor import latest
+    d = _decide(spark, sf_dir).filter(F.col("conflicts_detected") > 0)
+    return latest(d, 50).select("flow_id", "conflicts_detected")
+
+
+@query("l2_threat_list")
+def l2_threat_list(spark, sf_dir):
+    from ..operators.monitor import threats
+    return threats(_decide(spark, sf_dir)).select(*DECISION_COLS)
+
+
+@query("l3_history_retention")
+def l3_history_retention(spark, sf_dir):
+    from ..operators.monitor import retain
+    return retain(_decide(spark, sf_dir)).select("flow_id", "severity")
+
+
+# --- A2-A6, L4: evaluation -------------------------------------------------------
+
+def _report(spark, sf_dir):
+    from ..operators.evaluate import classification_report, confusion
+    ev = derived.eval_predictions(_fv(spark, sf_dir))
+    return classification_report(confusion(ev, ("ordinal", "cluster_id", "attack_type", "model_type")))
+
+
+@query("a2_confusion_matrix")
+def a2_confusion_matrix(spark, sf_dir):
+    from ..operators.evaluate import confusion
+    return confusion(derived.eval_predictions(_fv(spark, sf_dir)))
+
+
+@query("a3_classification_report")
+def a3_classification_report(spark, sf_dir):
+    r = _report(spark, sf_dir)
+    return round_doubles(r.select(
+        "cluster_id", "accuracy", "precision_0", "recall_0", "f1_0", "support_0",
+        "precision_1", "recall_1", "f1_1", "support_1", "precision", "recall", "f1_score",
+        "weighted_precision", "weighted_recall", "weighted_f1", "test_samples"))
+
+
+@query("a4_roc_auc")
+def a4_roc_auc(spark, sf_dir):
+    return round_doubles(_report(spark, sf_dir).select("cluster_id", "roc_auc"))
+
+
+@query("a6_grouped_means")
+def a6_grouped_means(spark, sf_dir):
+    from ..operators.evaluate import grouped_means
+    return round_doubles(grouped_means(_report(spark, sf_dir)))
+
+
+@query("a5_summary_means")
+def a5_summary_means(spark, sf_dir):
+    from ..operators.evaluate import METRICS
+    r = _report(spark, sf_dir)
+    return round_doubles(r.agg(*[F.avg(m).alias(f"overall_{m}") for m in METRICS]))
+
+
+@query("l4_best_detectors")
+def l4_best_detectors(spark, sf_dir):
+    from ..operators.evaluate import best_by_metric
+    return round_doubles(best_by_metric(_report(spark, sf_dir)))

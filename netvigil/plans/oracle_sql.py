@@ -67,23 +67,38 @@ def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
-# Weighted-voting decision per flow (E4 + E1-E3 + P3 + P14 + P18).
-WEIGHTED_DECISIONS = with_(FLOWS, CLUSTERS, PREDS, VALID, WEIGHTS, CONFLICTS, """vw AS (SELECT v.*, coalesce(w.weight, 0.5) AS weight,
+def weights_cte(weights: dict) -> str:
+    rows = ", ".join(f"('{k}', CAST({float(v)!r} AS DOUBLE))" for k, v in weights.items())
+    return f"wts AS (SELECT * FROM (VALUES {rows}) AS t(model_type, weight))"
+
+
+def weighted_decisions_sql(weights: dict | None = None) -> str:
+    """Weighted-voting decision per flow (E4 + E1-E3 + P3 + P14 + P18)."""
+    weights = weights or {"lstm": 0.6, "svm": 0.4}
+    return with_(FLOWS, CLUSTERS, PREDS, VALID, weights_cte(weights), CONFLICTS, """vw AS (SELECT v.*, coalesce(w.weight, 0.5) AS weight,
    min(v.ordinal) OVER (PARTITION BY v.flow_id, v.model_type) AS grp
    FROM v LEFT JOIN wts w ON w.model_type = v.model_type)""",
-    """tot AS (SELECT flow_id, sum(weight) AS tw FROM vw GROUP BY flow_id)""",
-    """cs AS (SELECT flow_id, prediction, sum(weight * confidence) AS s, min(grp * 100000 + ordinal) AS pos FROM vw GROUP BY flow_id, prediction)""",
-    """best AS (SELECT flow_id, prediction, score FROM (SELECT cs.flow_id, cs.prediction, round(cs.s / tot.tw, 9) AS score,
+        """tot AS (SELECT flow_id, sum(weight) AS tw FROM vw GROUP BY flow_id)""",
+        """cs AS (SELECT flow_id, prediction, sum(weight * confidence) AS s, min(grp * 100000 + ordinal) AS pos FROM vw GROUP BY flow_id, prediction)""",
+        """best AS (SELECT flow_id, prediction, score FROM (SELECT cs.flow_id, cs.prediction, round(cs.s / tot.tw, 9) AS score,
    row_number() OVER (PARTITION BY cs.flow_id ORDER BY round(cs.s / tot.tw, 9) DESC, cs.pos) AS rn
    FROM cs JOIN tot ON cs.flow_id = tot.flow_id) x WHERE rn = 1)""",
-    f"""dec AS (SELECT f.flow_id, f."timestamp" AS ts, f.src_ip, f.dst_ip, f.protocol, f.label,
+        decision_ctes("weighted_voting"))
+
+
+def decision_ctes(method: str, extra: str = "") -> str:
+    """dec/decisions CTEs on top of a ``best(flow_id, prediction, score)`` CTE."""
+    return f"""dec AS (SELECT f.flow_id, f."timestamp" AS ts, f.src_ip, f.dst_ip, f.protocol, f.label,
    CASE WHEN b.prediction IS NULL THEN 'Unknown' WHEN b.prediction IN ({KNOWN}) THEN b.prediction ELSE 'Unknown' END AS attack_type,
    coalesce(b.prediction, 'Unknown') AS prediction, coalesce(b.score, 0.0) AS confidence,
-   CASE WHEN b.prediction IS NULL THEN 'default' ELSE 'weighted_voting' END AS method,
-   CASE WHEN b.prediction IS NULL THEN 0 ELSE coalesce(cf.n_class + cf.n_type, 0) END AS conflicts_detected
-   FROM flows f LEFT JOIN best b ON b.flow_id = f.flow_id LEFT JOIN cf ON cf.flow_id = f.flow_id)""",
-    f"""decisions AS (SELECT flow_id, ts, src_ip, dst_ip, protocol, label, attack_type, prediction, round(confidence, 6) AS confidence,
-   {severity_sql('attack_type', 'confidence', 'conflicts_detected')} AS severity, method, conflicts_detected FROM dec)""")
+   CASE WHEN b.prediction IS NULL THEN 'default' ELSE '{method}' END AS method,
+   CASE WHEN b.prediction IS NULL THEN 0 ELSE coalesce(cf.n_class + cf.n_type, 0) END AS conflicts_detected{extra}
+   FROM flows f LEFT JOIN best b ON b.flow_id = f.flow_id LEFT JOIN cf ON cf.flow_id = f.flow_id),
+decisions AS (SELECT *, {severity_sql('attack_type', 'confidence', 'conflicts_detected')} AS severity FROM
+   (SELECT * REPLACE (round(confidence, 6) AS confidence) FROM dec) d)"""
+
+
+WEIGHTED_DECISIONS = weighted_decisions_sql()
 
 
 ORACLE: dict[str, str] = {}
@@ -184,3 +199,148 @@ register("w15_rolling_fan_out", with_(FLOWS, FAN) + """SELECT src_ip, fan_out,
 register("w15_rolling_fan_in", with_(FLOWS, FAN) + """SELECT dst_ip, fan_in,
  round(CASE WHEN count(fan_in) OVER w = 10 THEN avg(fan_in) OVER w END, 6) + 0.0 AS avg_fan_in
  FROM fi WINDOW w AS (ORDER BY dst_ip ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""")
+
+
+# --- E: ensemble variants ---------------------------------------------------------
+
+ENS = with_(FLOWS, CLUSTERS, PREDS, VALID, CONFLICTS)
+SUMMARY = """SELECT attack_type, severity, count(*) AS n_flows,
+ sum(CASE WHEN conflicts_detected > 0 THEN 1 ELSE 0 END) AS n_conflict_flows,
+ sum(CASE WHEN method = 'default' THEN 1 ELSE 0 END) AS n_default FROM decisions GROUP BY attack_type, severity"""
+DEC_COLS = "flow_id, attack_type, prediction, confidence, severity, method, conflicts_detected"
+
+register("e1_class_conflicts", ENS + "SELECT flow_id, attack_type, nd AS n_classes FROM e1 WHERE nd > 1")
+register("e2_attack_type_conflicts", ENS + """SELECT flow_id, n_high AS n_high_types FROM (SELECT flow_id, count(*) AS nt,
+ sum(CASE WHEN mx > 0.7 THEN 1 ELSE 0 END) AS n_high FROM e1 GROUP BY flow_id) x WHERE nt > 1 AND n_high > 1""")
+register("e3_conflict_counts", ENS + """SELECT f.flow_id, coalesce(cf.n_class, 0) AS n_class_conflicts,
+ coalesce(cf.n_type, 0) AS n_attack_type_conflicts, coalesce(cf.n_class + cf.n_type, 0) AS conflicts_detected
+ FROM flows f LEFT JOIN cf ON cf.flow_id = f.flow_id""")
+MAJORITY = with_(FLOWS, CLUSTERS, PREDS, VALID, CONFLICTS,
+    "mv AS (SELECT flow_id, prediction, count(*) AS n, min(ordinal) AS pos FROM v GROUP BY flow_id, prediction)",
+    "nv AS (SELECT flow_id, count(*) AS total FROM v GROUP BY flow_id)",
+    """best AS (SELECT flow_id, prediction, score FROM (SELECT mv.flow_id, mv.prediction, CAST(mv.n AS DOUBLE) / nv.total AS score,
+   row_number() OVER (PARTITION BY mv.flow_id ORDER BY mv.n DESC, mv.pos) AS rn FROM mv JOIN nv ON mv.flow_id = nv.flow_id) x WHERE rn = 1)""",
+    decision_ctes("majority_voting"))
+register("e5_majority_voting", MAJORITY + f"SELECT {DEC_COLS} FROM decisions")
+HIGHEST = with_(FLOWS, CLUSTERS, PREDS, VALID, CONFLICTS,
+    """best AS (SELECT flow_id, prediction, score, cluster_id FROM (SELECT flow_id, prediction, confidence AS score, cluster_id,
+   row_number() OVER (PARTITION BY flow_id ORDER BY confidence DESC, ordinal) AS rn FROM v) x WHERE rn = 1)""",
+    decision_ctes("highest_confidence", ", b.cluster_id AS best_cluster"))
+register("e6_highest_confidence", HIGHEST + f"SELECT {DEC_COLS}, best_cluster FROM decisions")
+register("e7_unknown_strategy_fallback", WEIGHTED_DECISIONS +
+         "SELECT method, severity, count(*) AS n_flows FROM decisions GROUP BY method, severity")
+register("j4_weight_lookup_default", weighted_decisions_sql({"lstm": 1.0}) + SUMMARY)
+register("p19_weight_normalization", weighted_decisions_sql({"lstm": 0.6, "svm": 0.4}) + SUMMARY)
+register("p16_vote_validity", with_(FLOWS, CLUSTERS, PREDS) + """SELECT cluster_id, count(*) AS n_votes,
+ sum(CASE WHEN coalesce(is_trained, false) AND coalesce(confidence, 0) > 0 AND error IS NULL THEN 1 ELSE 0 END) AS n_valid
+ FROM preds GROUP BY cluster_id""")
+register("p17_detector_defaults", with_(FLOWS, CLUSTERS, PREDS) + """SELECT cluster_id,
+ sum(CASE WHEN prediction = 'Unknown' THEN 1 ELSE 0 END) AS n_untrained_default,
+ sum(CASE WHEN prediction = 'Error' THEN 1 ELSE 0 END) AS n_error_rows FROM preds GROUP BY cluster_id""")
+register("p18_default_decisions", WEIGHTED_DECISIONS +
+         "SELECT flow_id, attack_type, severity FROM decisions WHERE method = 'default'")
+register("j3_flow_detector_pairs", with_(FLOWS, CLUSTERS, PREDS) + """SELECT cluster_id, count(*) AS n_rows,
+ sum(CASE WHEN is_trained THEN 1 ELSE 0 END) AS n_trained, round(avg(confidence), 6) AS avg_confidence
+ FROM preds GROUP BY cluster_id""")
+
+# --- monitoring ---------------------------------------------------------------------
+
+OKP = "ok AS (SELECT * FROM preds WHERE coalesce(is_trained, false) AND error IS NULL)"
+MON = with_(FLOWS, CLUSTERS, PREDS, OKP)
+A7 = """a7 AS (SELECT cluster_id, count(*) AS prediction_count, avg(prediction_time) AS avg_prediction_time,
+ max(CASE WHEN rn = 1 THEN prediction_time END) AS last_prediction_time
+ FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY ts DESC, flow_id DESC) AS rn FROM ok) x GROUP BY cluster_id)"""
+register("a7_detector_status", with_(FLOWS, CLUSTERS, PREDS, OKP, A7) + """SELECT cluster_id, prediction_count,
+ round(avg_prediction_time, 6) + 0.0 AS avg_prediction_time, round(last_prediction_time, 6) + 0.0 AS last_prediction_time FROM a7""")
+register("a8_attack_distribution", WEIGHTED_DECISIONS + """SELECT CASE WHEN attack_type IN ('Benign', 'DoS', 'DDoS', 'Botnet', 'Brute_Force')
+ THEN attack_type ELSE 'Other' END AS attack_type, count(*) AS n FROM decisions GROUP BY 1""")
+register("a9_severity_distribution", WEIGHTED_DECISIONS + """, sev AS (SELECT * FROM (VALUES ('Low'), ('Medium'), ('High'), ('Critical')) t(severity))
+SELECT sev.severity, count(d.flow_id) AS n FROM sev LEFT JOIN decisions d ON d.severity = sev.severity GROUP BY sev.severity""")
+register("a10_prediction_counter", MON + f"""SELECT CASE WHEN prediction IN ({KNOWN}) THEN prediction ELSE 'Unknown' END AS attack_type,
+ cluster_id, count(*) AS n FROM ok GROUP BY 1, 2""")
+register("a10_conflict_counter", ENS + """SELECT 'class_conflict' AS conflict_type, count(*) AS n FROM e1 WHERE nd > 1
+ UNION ALL SELECT 'attack_type_conflict', sum(n_type) FROM cf HAVING sum(n_type) > 0""")
+_BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0)
+register("a11_duration_histogram", MON + ", b AS (SELECT * FROM (VALUES " + ", ".join(
+    f"('{b}', {b})" for b in _BOUNDS) + """, ('+Inf', 'Infinity'::DOUBLE)) t(le, bound))
+SELECT ok.cluster_id, b.le, CAST(sum(CASE WHEN ok.prediction_time <= b.bound THEN 1 ELSE 0 END) AS BIGINT) AS cumulative_count
+FROM ok JOIN b ON true GROUP BY ok.cluster_id, b.le""")
+register("a12_ensemble_status", WEIGHTED_DECISIONS + f""", {OKP},
+ pf AS (SELECT flow_id, sum(prediction_time) AS t FROM ok GROUP BY flow_id)
+SELECT (SELECT count(*) FROM decisions) AS decision_count,
+ (SELECT sum(CASE WHEN conflicts_detected > 0 THEN 1 ELSE 0 END) FROM decisions) AS conflict_count,
+ (SELECT round(avg(t), 6) + 0.0 FROM pf) AS avg_scoring_time,
+ (SELECT count(DISTINCT cluster_id) FROM preds) AS active_clusters,
+ least(10, (SELECT sum(CASE WHEN conflicts_detected > 0 THEN 1 ELSE 0 END) FROM decisions)) AS recent_conflicts""")
+HM = with_(HOST_METRICS)
+register("a13_health_check", HM + """, lt AS (SELECT host, metric, value FROM (SELECT *, row_number() OVER
+ (PARTITION BY host, metric ORDER BY ts DESC, sample_id DESC) AS rn FROM host_metrics) x WHERE rn = 1),
+ p AS (SELECT host, max(CASE WHEN metric = 'cpu_usage' THEN value END) AS cpu_usage,
+   max(CASE WHEN metric = 'memory_usage' THEN value END) AS memory_usage,
+   max(CASE WHEN metric = 'disk_usage' THEN value END) AS disk_usage FROM lt GROUP BY host),
+ q AS (SELECT *, concat_ws(',', CASE WHEN cpu_usage > 80 THEN 'cpu_usage' END, CASE WHEN memory_usage > 85 THEN 'memory_usage' END,
+   CASE WHEN disk_usage > 90 THEN 'disk_usage' END) AS issues FROM p)
+SELECT host, cpu_usage, memory_usage, disk_usage, CASE WHEN issues = '' THEN 'healthy' ELSE 'unhealthy' END AS status, issues FROM q""")
+register("a14_threshold_alerts", HM + """SELECT sample_id, host, metric AS type, value,
+ CASE metric WHEN 'cpu_usage' THEN 80.0 ELSE 85.0 END::DOUBLE AS threshold FROM host_metrics
+ WHERE (metric = 'cpu_usage' AND value > 80) OR (metric = 'memory_usage' AND value > 85)""")
+register("a15_system_status", with_(FLOWS, CLUSTERS, PREDS, OKP, A7) + """SELECT c.cluster_id, c.attack_type, c.model_type,
+ coalesce((SELECT bool_or(coalesce(p.is_trained, false)) FROM preds p WHERE p.cluster_id = c.cluster_id), false) AS is_trained,
+ coalesce(a7.prediction_count, 0) AS prediction_count, round(coalesce(a7.avg_prediction_time, 0.0), 6) + 0.0 AS avg_prediction_time
+ FROM clusters c LEFT JOIN a7 ON a7.cluster_id = c.cluster_id""")
+register("l1_recent_decisions", WEIGHTED_DECISIONS + f"SELECT {DEC_COLS} FROM decisions ORDER BY ts DESC, flow_id DESC LIMIT 100")
+register("l1_recent_conflicts", WEIGHTED_DECISIONS + """SELECT flow_id, conflicts_detected FROM decisions
+ WHERE conflicts_detected > 0 ORDER BY ts DESC, flow_id DESC LIMIT 50""")
+register("l2_threat_list", WEIGHTED_DECISIONS + f"""SELECT {DEC_COLS} FROM (SELECT * FROM decisions ORDER BY ts DESC, flow_id DESC LIMIT 100) r
+ WHERE attack_type <> 'Benign' ORDER BY ts, flow_id LIMIT 20""")
+register("l3_history_retention", WEIGHTED_DECISIONS + """SELECT flow_id, severity FROM decisions
+ WHERE (SELECT count(*) FROM decisions) <= 1000 OR flow_id IN (SELECT flow_id FROM decisions ORDER BY ts DESC, flow_id DESC LIMIT 500)""")
+
+# --- evaluation -------------------------------------------------------------------------
+
+EVALP = """ev AS (SELECT p.flow_id, p.ordinal, p.cluster_id, p.attack_type, p.model_type,
+ CASE WHEN f.label = p.attack_type THEN 1 ELSE 0 END AS y_true, CASE WHEN p.prediction = p.attack_type THEN 1 ELSE 0 END AS y_pred
+ FROM preds p JOIN flows f ON f.flow_id = p.flow_id WHERE p.is_trained AND p.error IS NULL)"""
+CM = """cm AS (SELECT ordinal, cluster_id, attack_type, model_type,
+ sum(CASE WHEN y_true = 0 AND y_pred = 0 THEN 1 ELSE 0 END) AS tn, sum(CASE WHEN y_true = 0 AND y_pred = 1 THEN 1 ELSE 0 END) AS fp,
+ sum(CASE WHEN y_true = 1 AND y_pred = 0 THEN 1 ELSE 0 END) AS fn, sum(CASE WHEN y_true = 1 AND y_pred = 1 THEN 1 ELSE 0 END) AS tp
+ FROM ev GROUP BY ordinal, cluster_id, attack_type, model_type)"""
+
+
+def _r(a: str, b: str) -> str:
+    return f"coalesce(CAST({a} AS DOUBLE) / nullif(CAST({b} AS DOUBLE), 0), 0.0)"
+
+
+REP = f"""r0 AS (SELECT *, tn + fp AS support_0, fn + tp AS support_1, tn + fp + fn + tp AS test_samples,
+ {_r('tp + tn', 'tn + fp + fn + tp')} AS accuracy, {_r('tn', 'tn + fn')} AS precision_0, {_r('tn', 'tn + fp')} AS recall_0,
+ {_r('tp', 'tp + fp')} AS precision_1, {_r('tp', 'tp + fn')} AS recall_1 FROM cm),
+r1 AS (SELECT *, {_r('2 * precision_0 * recall_0', 'precision_0 + recall_0')} AS f1_0,
+ {_r('2 * precision_1 * recall_1', 'precision_1 + recall_1')} AS f1_1 FROM r0),
+report AS (SELECT *, (precision_0 + precision_1) / 2 AS precision, (recall_0 + recall_1) / 2 AS recall, (f1_0 + f1_1) / 2 AS f1_score,
+ {_r('precision_0 * support_0 + precision_1 * support_1', 'test_samples')} AS weighted_precision,
+ {_r('recall_0 * support_0 + recall_1 * support_1', 'test_samples')} AS weighted_recall,
+ {_r('f1_0 * support_0 + f1_1 * support_1', 'test_samples')} AS weighted_f1,
+ CASE WHEN support_0 > 0 AND support_1 > 0 THEN (recall_0 + recall_1) / 2 END AS roc_auc FROM r1)"""
+EVAL = with_(FLOWS, CLUSTERS, PREDS, EVALP, CM, REP)
+
+
+def rd(c: str) -> str:
+    return f"round({c}, 6) + 0.0 AS {c}"
+
+
+register("a2_confusion_matrix", with_(FLOWS, CLUSTERS, PREDS, EVALP, CM) + "SELECT cluster_id, tn, fp, fn, tp FROM cm")
+register("a3_classification_report", EVAL + "SELECT cluster_id, " + ", ".join(rd(c) for c in (
+    "accuracy", "precision_0", "recall_0", "f1_0")) + ", support_0, " + ", ".join(rd(c) for c in (
+    "precision_1", "recall_1", "f1_1")) + ", support_1, " + ", ".join(rd(c) for c in (
+    "precision", "recall", "f1_score", "weighted_precision", "weighted_recall", "weighted_f1")) + ", test_samples FROM report")
+register("a4_roc_auc", EVAL + "SELECT cluster_id, round(roc_auc, 6) + 0.0 AS roc_auc FROM report")
+_MEANS = ", ".join(f"round(avg({m}), 6) + 0.0 AS {m}" for m in ("accuracy", "precision", "recall", "f1_score"))
+register("a6_grouped_means", EVAL + f"""SELECT CASE WHEN grouping(model_type) = 0 THEN 'model_type'
+ WHEN grouping(attack_type) = 0 THEN 'attack_type' ELSE 'overall' END AS "grouping",
+ coalesce(model_type, attack_type, 'all') AS group_value, {_MEANS}, count(*) AS n_detectors
+ FROM report GROUP BY GROUPING SETS ((model_type), (attack_type), ())""")
+register("a5_summary_means", EVAL + "SELECT " + ", ".join(
+    f"round(avg({m}), 6) + 0.0 AS overall_{m}" for m in ("accuracy", "precision", "recall", "f1_score")) + " FROM report")
+register("l4_best_detectors", EVAL + " UNION ALL ".join(
+    f"""SELECT * FROM (SELECT '{m}' AS metric, cluster_id, round({m}, 6) + 0.0 AS value FROM report
+      ORDER BY {m} DESC, ordinal LIMIT 1)""" for m in ("accuracy", "precision", "recall", "f1_score")))

@@ -451,3 +451,168 @@ def a5_summary_means(spark, sf_dir):
 def l4_best_detectors(spark, sf_dir):
     from ..operators.evaluate import best_by_metric
     return round_doubles(best_by_metric(_report(spark, sf_dir)))
+
+
+# --- P / U / X / J5 / J6: preparation ---------------------------------------------
+
+NUMERIC_FLOW_COLS = ("src_port", "dst_port", "packet_size", "flow_duration", "bytes_sent",
+                     "bytes_received", "packets_sent", "packets_received")
+SCALED_COLS = ("packet_size", "flow_duration", "bytes_sent", "src_port")
+
+
+@query("p1_numeric_columns")
+def p1_numeric_columns(spark, sf_dir):
+    from ..operators.prep import split_columns
+    num, _ = split_columns(_flows(spark, sf_dir))
+    return round_doubles(_flows(spark, sf_dir).select(*num))
+
+
+@query("u1_p2_union_datasets")
+def u1_p2_union_datasets(spark, sf_dir):
+    from ..operators.prep import union_datasets
+    f = _flows(spark, sf_dir)
+    a = f.filter(F.col("protocol") != "ICMP").withColumnRenamed("label", "Label")
+    b = (f.filter(F.col("protocol") == "ICMP").drop("bytes_sent", "bytes_received")
+          .withColumnRenamed("label", "category"))
+    u = union_datasets({"cic_ids_2018": a, "bot_iot_2019": b})
+    return u.groupBy("dataset", "label").agg(F.count(F.lit(1)).alias("n"),
+                                             F.count("bytes_sent").alias("n_with_bytes"))
+
+
+@query("p5_impute_zero")
+def p5_impute_zero(spark, sf_dir):
+    from ..operators.prep import impute_zero
+    return round_doubles(impute_zero(_flows(spark, sf_dir)).select("flow_id", "flow_duration"))
+
+
+@query("p6_timestamp_parse")
+def p6_timestamp_parse(spark, sf_dir):
+    from ..functions.scalar import parse_timestamp
+    text = F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")
+    return _flows(spark, sf_dir).select(
+        "flow_id", F.unix_seconds(parse_timestamp(text, "yyyy-MM-dd HH:mm:ss")).alias("parsed_epoch"))
+
+
+@query("p7_hour_day_of_week")
+def p7_hour_day_of_week(spark, sf_dir):
+    from ..functions.scalar import day_of_week, hour_of_day
+    return _flows(spark, sf_dir).select("flow_id", hour_of_day("timestamp").alias("hour"),
+                                        day_of_week("timestamp").alias("day_of_week"))
+
+
+@query("p8_protocol_onehot")
+def p8_protocol_onehot(spark, sf_dir):
+    from ..operators.prep import one_hot, vocabulary
+    f = _flows(spark, sf_dir)
+    vocab = vocabulary(f, "protocol")
+    return one_hot(f.select("flow_id", "protocol"), "protocol", vocab).drop("protocol")
+
+
+@query("p9_high_port_indicator")
+def p9_high_port_indicator(spark, sf_dir):
+    from ..functions.scalar import high_port
+    return _flows(spark, sf_dir).select("flow_id", high_port("dst_port").cast("int").alias("high_port"))
+
+
+@query("p10_ordinal_encoding")
+def p10_ordinal_encoding(spark, sf_dir):
+    from ..operators.prep import ordinal_codes
+    f = _flows(spark, sf_dir).select("flow_id", "src_ip", "dst_ip", "protocol")
+    for c in ("src_ip", "dst_ip", "protocol"):
+        f = ordinal_codes(f, c)
+    return f.select("flow_id", "src_ip_code", "dst_ip_code", "protocol_code")
+
+
+@query("p11_label_encoding")
+def p11_label_encoding(spark, sf_dir):
+    from ..operators.prep import ordinal_codes
+    return ordinal_codes(_flows(spark, sf_dir).select("flow_id", "label"), "label").select("flow_id", "label_code")
+
+
+@query("p12_minmax_scaling")
+def p12_minmax_scaling(spark, sf_dir):
+    from ..operators.prep import fit_minmax
+    f = _flows(spark, sf_dir).select("flow_id", *SCALED_COLS)
+    return round_doubles(fit_minmax(f, SCALED_COLS).transform(f))
+
+
+@query("p13_standard_scaling")
+def p13_standard_scaling(spark, sf_dir):
+    from ..operators.prep import fit_standard
+    f = _flows(spark, sf_dir).select("flow_id", *SCALED_COLS)
+    return round_doubles(fit_standard(f, SCALED_COLS).transform(f))
+
+
+@query("x1_exact_sample")
+def x1_exact_sample(spark, sf_dir):
+    from ..operators.prep import exact_sample
+    return exact_sample(_flows(spark, sf_dir), 1000).select("flow_id", "label")
+
+
+def _training_sets(spark, sf_dir):
+    from ..config import TRAIN_BENIGN_CAP
+    from ..operators.prep import training_sets
+    return training_sets(_flows(spark, sf_dir), derived.clusters_df(spark), TRAIN_BENIGN_CAP)
+
+
+@query("x2_undersample_counts")
+def x2_undersample_counts(spark, sf_dir):
+    t = _training_sets(spark, sf_dir)
+    return t.groupBy("attack_type").agg(F.sum("y").cast("long").alias("n_attack"),
+                                        F.sum(1 - F.col("y")).cast("long").alias("n_benign"))
+
+
+@query("x3_training_sets")
+def x3_training_sets(spark, sf_dir):
+    return _training_sets(spark, sf_dir)
+
+
+@query("x4_stratified_split")
+def x4_stratified_split(spark, sf_dir):
+    from ..operators.prep import stratified_split
+    return stratified_split(_flows(spark, sf_dir).select("flow_id", "label")).select("flow_id", "label", "split")
+
+
+@query("x4_split_sizes")
+def x4_split_sizes(spark, sf_dir):
+    s = x4_stratified_split(spark, sf_dir)
+    return s.groupBy("label", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("x5_feature_correlations")
+def x5_feature_correlations(spark, sf_dir):
+    from ..operators.prep import correlation_pairs, impute_zero
+    return round_doubles(correlation_pairs(impute_zero(_flows(spark, sf_dir)), NUMERIC_FLOW_COLS))
+
+
+@query("x5_selected_features")
+def x5_selected_features(spark, sf_dir):
+    """Greedy correlated-column removal; the p^2 decision runs on the driver,
+    so this is checked against a brute-force implementation in tests."""
+    from ..operators.prep import correlation_pairs, correlated_to_drop, impute_zero
+    pairs = correlation_pairs(impute_zero(_flows(spark, sf_dir)), NUMERIC_FLOW_COLS)
+    corr = {(r["feature_a"], r["feature_b"]): r["r"] for r in pairs.collect()}
+    dropped = set(correlated_to_drop(corr, list(NUMERIC_FLOW_COLS)))
+    return pairs.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(c not in dropped).alias("kept"))
+                                           for c in NUMERIC_FLOW_COLS])).alias("s")).select("s.*").distinct()
+
+
+@query("x6_anova_f")
+def x6_anova_f(spark, sf_dir):
+    from ..operators.prep import anova_f, impute_zero, select_k_best
+    f = anova_f(impute_zero(_flows(spark, sf_dir)), NUMERIC_FLOW_COLS)
+    return select_k_best(f.withColumn("f_score", F.round("f_score", 4)))
+
+
+@query("j5_detectors_with_data")
+def j5_detectors_with_data(spark, sf_dir):
+    from ..operators.prep import detectors_with_data
+    return detectors_with_data(derived.clusters_df(spark), _flows(spark, sf_dir))
+
+
+@query("j6_register_detectors")
+def j6_register_detectors(spark, sf_dir):
+    from ..operators.prep import register_detectors
+    labels = _flows(spark, sf_dir).select(F.col("label").alias("attack_type")).distinct()
+    cands = labels.select("attack_type", F.explode(F.array(F.lit("lstm"), F.lit("gbt"))).alias("model_type"))
+    return register_detectors(derived.clusters_df(spark), cands)

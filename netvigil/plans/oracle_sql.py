@@ -344,3 +344,74 @@ register("a5_summary_means", EVAL + "SELECT " + ", ".join(
 register("l4_best_detectors", EVAL + " UNION ALL ".join(
     f"""SELECT * FROM (SELECT '{m}' AS metric, cluster_id, round({m}, 6) + 0.0 AS value FROM report
       ORDER BY {m} DESC, ordinal LIMIT 1)""" for m in ("accuracy", "precision", "recall", "f1_score")))
+
+
+# --- preparation ----------------------------------------------------------------------
+
+FL = with_(FLOWS)
+NUMC = ("src_port", "dst_port", "packet_size", "flow_duration", "bytes_sent", "bytes_received",
+        "packets_sent", "packets_received")
+SCC = ("packet_size", "flow_duration", "bytes_sent", "src_port")
+HK = "md5(concat(CAST(flow_id AS VARCHAR), '|42'))"
+FILLED = "filled AS (SELECT * REPLACE (coalesce(flow_duration, 0) AS flow_duration) FROM flows)"
+
+register("p1_numeric_columns", FL + "SELECT " + ", ".join(
+    "round(flow_duration, 6) + 0.0 AS flow_duration" if c == "flow_duration" else c for c in ("flow_id",) + NUMC) + " FROM flows")
+register("u1_p2_union_datasets", FL + """SELECT CASE WHEN protocol <> 'ICMP' THEN 'cic_ids_2018' ELSE 'bot_iot_2019' END AS dataset,
+ label, count(*) AS n, count(CASE WHEN protocol <> 'ICMP' THEN bytes_sent END) AS n_with_bytes FROM flows GROUP BY 1, 2""")
+register("p5_impute_zero", FL + "SELECT flow_id, round(coalesce(flow_duration, 0), 6) + 0.0 AS flow_duration FROM flows")
+register("p6_timestamp_parse", FL + """SELECT flow_id, CAST(epoch(strptime(strftime("timestamp", '%Y-%m-%d %H:%M:%S'),
+ '%Y-%m-%d %H:%M:%S')) AS BIGINT) AS parsed_epoch FROM flows""")
+register("p7_hour_day_of_week", FL + 'SELECT flow_id, hour("timestamp") AS hour, isodow("timestamp") - 1 AS day_of_week FROM flows')
+register("p8_protocol_onehot", FL + """SELECT flow_id, CAST(protocol = 'ICMP' AS INT) AS protocol_ICMP,
+ CAST(protocol = 'TCP' AS INT) AS protocol_TCP, CAST(protocol = 'UDP' AS INT) AS protocol_UDP FROM flows""")
+register("p9_high_port_indicator", FL + "SELECT flow_id, CAST(dst_port > 1024 AS INT) AS high_port FROM flows")
+register("p10_ordinal_encoding", FL + """SELECT flow_id, dense_rank() OVER (ORDER BY src_ip) - 1 AS src_ip_code,
+ dense_rank() OVER (ORDER BY dst_ip) - 1 AS dst_ip_code, dense_rank() OVER (ORDER BY protocol) - 1 AS protocol_code FROM flows""")
+register("p11_label_encoding", FL + "SELECT flow_id, dense_rank() OVER (ORDER BY label) - 1 AS label_code FROM flows")
+register("p12_minmax_scaling", FL + "SELECT flow_id, " + ", ".join(
+    f"""round(CASE WHEN max({c}) OVER () = min({c}) OVER () THEN CASE WHEN {c} IS NOT NULL THEN 0.0 END
+     ELSE (CAST({c} AS DOUBLE) - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) END, 6) + 0.0 AS {c}""" for c in SCC) + " FROM flows")
+register("p13_standard_scaling", FL + "SELECT flow_id, " + ", ".join(
+    f"""round(CASE WHEN stddev_pop({c}) OVER () = 0 THEN CASE WHEN {c} IS NOT NULL THEN 0.0 END
+     ELSE (CAST({c} AS DOUBLE) - avg({c}) OVER ()) / stddev_pop({c}) OVER () END, 6) + 0.0 AS {c}""" for c in SCC) + " FROM flows")
+register("x1_exact_sample", FL + f"SELECT flow_id, label FROM flows ORDER BY {HK}, flow_id LIMIT 1000")
+TRAIN = with_(FLOWS, CLUSTERS,
+    "det AS (SELECT DISTINCT attack_type FROM clusters WHERE attack_type IN (SELECT label FROM flows))",
+    "cnt AS (SELECT label AS attack_type, count(*) AS n FROM flows GROUP BY label)",
+    f"bh AS (SELECT flow_id, row_number() OVER (ORDER BY {HK}, flow_id) AS rk FROM flows WHERE label = 'Benign')",
+    f"ah AS (SELECT flow_id, row_number() OVER (ORDER BY {HK}, flow_id) AS rk FROM flows WHERE label <> 'Benign')",
+    """tset AS (SELECT d.attack_type, f.flow_id, 1 AS y FROM det d JOIN flows f ON f.label = d.attack_type
+  UNION ALL SELECT d.attack_type, bh.flow_id, 0 FROM det d JOIN cnt c ON c.attack_type = d.attack_type
+    JOIN bh ON bh.rk <= least(c.n, 10000) WHERE d.attack_type <> 'Benign'
+  UNION ALL SELECT d.attack_type, ah.flow_id, 0 FROM det d JOIN cnt c ON c.attack_type = d.attack_type
+    JOIN ah ON ah.rk <= least(c.n, 10000) WHERE d.attack_type = 'Benign')""")
+register("x2_undersample_counts", TRAIN + """SELECT attack_type, CAST(sum(y) AS BIGINT) AS n_attack,
+ CAST(sum(1 - y) AS BIGINT) AS n_benign FROM tset GROUP BY attack_type""")
+register("x3_training_sets", TRAIN + "SELECT attack_type, flow_id, y FROM tset")
+SPLIT = with_(FLOWS, f"""sp AS (SELECT flow_id, label, CASE WHEN rk <= round(n * 0.2) THEN 'test'
+ WHEN rk <= round(n * 0.2) + round(n * 0.1) THEN 'val' ELSE 'train' END AS split FROM (SELECT flow_id, label,
+ row_number() OVER (PARTITION BY label ORDER BY {HK}, flow_id) AS rk, count(*) OVER (PARTITION BY label) AS n FROM flows) r)""")
+register("x4_stratified_split", SPLIT + "SELECT flow_id, label, split FROM sp")
+register("x4_split_sizes", SPLIT + "SELECT label, split, count(*) AS n FROM sp GROUP BY label, split")
+register("x5_feature_correlations", with_(FLOWS, FILLED) + " UNION ALL ".join(
+    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, round(covar_pop({a}, {b}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0), 6) + 0.0 AS r FROM filled"
+    for i, a in enumerate(NUMC) for b in NUMC[i + 1:]))
+register("x6_anova_f", with_(FLOWS, FILLED, "st AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, label, count(*) AS n, avg(CAST({c} AS DOUBLE)) AS m, var_pop(CAST({c} AS DOUBLE)) AS v FROM filled GROUP BY label"
+    for c in NUMC) + ")",
+    "tot AS (SELECT feature, sum(n) AS nn, count(*) AS k, sum(n * m) / sum(n) AS gm FROM st GROUP BY feature)",
+    """fs AS (SELECT st.feature, round((sum(st.n * (st.m - tot.gm) ^ 2) / (tot.k - 1)) / nullif(sum(st.n * st.v) / (tot.nn - tot.k), 0), 4) AS f_score
+   FROM st JOIN tot ON st.feature = tot.feature GROUP BY st.feature, tot.k, tot.nn)""") +
+    """SELECT feature, f_score, row_number() OVER (ORDER BY f_score DESC NULLS LAST, feature) AS rank,
+ row_number() OVER (ORDER BY f_score DESC NULLS LAST, feature) <= 50 AS selected FROM fs""")
+register("j5_detectors_with_data", with_(FLOWS, CLUSTERS) +
+         "SELECT DISTINCT attack_type FROM clusters WHERE attack_type IN (SELECT label FROM flows)")
+register("j6_register_detectors", with_(FLOWS, CLUSTERS,
+    """cand AS (SELECT DISTINCT label AS attack_type, m.model_type FROM flows, (VALUES ('lstm'), ('gbt')) m(model_type))""",
+    """nw AS (SELECT c.attack_type, c.model_type FROM cand c WHERE NOT EXISTS (SELECT 1 FROM clusters k
+   WHERE k.attack_type = c.attack_type AND k.model_type = c.model_type))""") +
+    """SELECT ordinal, attack_idx, cluster_id, attack_type, model_type FROM clusters UNION ALL
+SELECT CAST(17 + row_number() OVER (ORDER BY nw.attack_type, nw.model_type) AS INT) AS ordinal,
+ CAST((SELECT max(attack_idx) FROM clusters k WHERE k.attack_type = nw.attack_type) AS INT) AS attack_idx,
+ nw.attack_type || '_' || nw.model_type AS cluster_id, nw.attack_type, nw.model_type FROM nw""")

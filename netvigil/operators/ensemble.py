@@ -1,17 +1,26 @@
 """Ensemble decision over detector votes.
 
 Input shape: one row per flow with ``votes``: array<struct<ordinal, cluster_id,
-attack_type, model_type, is_trained, error, prediction, confidence, ...>>.
-Each flow's decision depends only on its own votes, so every step here is a
-per-row array expression (higher-order functions evaluated in the JVM): the
-decision adds no shuffle, and a hot source or destination cannot create a
-hot task.  Inputs in long form (one row per vote) are nested first with
-``nest_votes`` -- one shuffle on ``flow_id`` whose groups are bounded by the
-number of detectors.
+attack_type, model_type, is_trained, error, prediction, confidence, ...>>,
+the first field being ``ordinal``.  Each flow's decision depends only on its
+own votes, so the decision is a per-row array expression evaluated in the JVM:
+it adds no shuffle, and a hot source or destination cannot create a hot task.
+Inputs in long form (one row per vote) are nested first with ``nest_votes`` --
+one shuffle on ``flow_id`` whose groups are bounded by the number of
+detectors.
+
+The whole decision is ONE struct expression.  Intermediate arrays (valid
+votes, class list, scores) are bound once with ``let`` -- a one-element
+``aggregate`` whose finish lambda receives the value as a variable -- instead
+of separate columns.  Catalyst inlines column aliases into pushed-down
+filters; with separate columns a filter such as ``severity = 'Critical'``
+would copy every intermediate many times into the predicate.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,13 +29,22 @@ from ..functions.scalar import is_valid_vote, map_attack_type, severity
 
 VOTE_FIELDS = ("ordinal", "cluster_id", "attack_type", "model_type", "is_trained",
                "error", "prediction", "confidence")
+STRATEGIES = ("weighted_voting", "majority_voting", "highest_confidence")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` as a lambda variable."""
+    return F.aggregate(F.array(F.lit(0)), value, lambda acc, _: acc, body)
 
 
 def nest_votes(long_votes: DataFrame, key: str = "flow_id", extra=()) -> DataFrame:
-    """Long (flow, detector) rows -> one row per flow with a ``votes`` array."""
+    """Long (flow, detector) rows -> one row per flow with a ``votes`` array.
+
+    ``collect_list`` is combined map side, and a group holds one flow's votes
+    (bounded by the number of detectors)."""
     fields = [c for c in VOTE_FIELDS if c in long_votes.columns]
     return (long_votes.groupBy(key, *extra)
-            .agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("votes")))
+            .agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("votes")))
 
 
 def _weight_of(cfg: EnsembleConfig):
@@ -35,130 +53,184 @@ def _weight_of(cfg: EnsembleConfig):
     return lambda v: F.coalesce(F.try_element_at(wmap, v["model_type"]), F.lit(float(cfg.default_weight)))
 
 
-def _same_type(valid: Column, t: Column) -> Column:
-    return F.filter(valid, lambda v: v["attack_type"] == t)
+def _valid(votes: Column) -> Column:
+    """P16, in ordinal order (native sort on the leading ``ordinal`` field)."""
+    return F.sort_array(F.filter(votes, is_valid_vote))
 
 
-def with_conflicts(df: DataFrame, cfg: EnsembleConfig = EnsembleConfig()) -> DataFrame:
-    """Adds ``_valid`` (P16) and the conflict columns."""
-    thr = float(cfg.confidence_threshold)
-    df = df.withColumn("_valid", F.array_sort(F.filter("votes", is_valid_vote)))
-    valid = F.col("_valid")
-    types = F.array_distinct(F.transform(valid, lambda v: v["attack_type"]))
-    df = df.withColumn("_types", types)
-    t_arr = F.col("_types")
-    # Inside one specialism, two or more distinct predicted classes.
-    class_conf = F.filter(
-        F.transform(t_arr, lambda t: F.struct(
-            t.alias("attack_type"),
-            F.array_distinct(F.transform(_same_type(valid, t), lambda v: v["prediction"])).alias("classes"))),
-        lambda c: F.size(c["classes"]) > 1)
-    # Two or more specialisms whose best confidence is above the threshold.
-    high = F.filter(t_arr, lambda t: F.array_max(
-        F.transform(_same_type(valid, t), lambda v: v["confidence"])) > thr)
-    df = df.withColumn("_class_conf", class_conf).withColumn("_high", high)
-    atc = (F.size("_types") > 1) & (F.size("_high") > 1)
-    conflicts = F.concat(
-        F.transform("_class_conf", lambda c: F.struct(
-            F.lit("class_conflict").alias("type"), c["attack_type"].alias("attack_type"),
-            c["classes"].alias("classes"))),
-        F.when(atc, F.array(F.struct(
-            F.lit("attack_type_conflict").alias("type"), F.lit(None).cast("string").alias("attack_type"),
-            F.col("_high").alias("classes")))).otherwise(F.array()))
-    return (df.withColumn("conflicts", conflicts)
-              .withColumn("conflicts_detected", F.size("conflicts"))
-              .drop("_types", "_class_conf", "_high"))
-
-
-def _weighted(df: DataFrame, cfg: EnsembleConfig, score_digits: int) -> DataFrame:
+def _conflicts(valid: Column, thr: float) -> Column:
+    """E1-E3 for one flow -> array<struct<type, attack_type, classes>>.
+
+    Linear in the votes: distinct (specialism, class) pairs are sorted natively
+    and a specialism owning two adjacent pairs has a class conflict; "best
+    confidence above the threshold" is "some vote above it".
+    """
+    pairs = F.sort_array(F.array_distinct(F.transform(valid, lambda v: F.struct(
+        v["attack_type"].alias("attack_type"), v["prediction"].alias("prediction")))))
+
+    def with_pairs(p: Column) -> Column:
+        pt = F.transform(p, lambda x: x["attack_type"])
+
+        def with_types(t: Column) -> Column:
+            n = F.size(t)
+            dup = F.array_distinct(F.transform(
+                F.filter(F.sequence(F.lit(2), F.greatest(n, F.lit(2))),
+                         lambda i: (i <= n) & (F.element_at(t, i) == F.element_at(t, i - 1))),
+                lambda i: F.element_at(t, i)))
+            class_types = F.when(n >= 2, dup).otherwise(F.array().cast("array<string>"))
+            high = F.sort_array(F.array_distinct(F.transform(
+                F.filter(valid, lambda v: v["confidence"] > thr), lambda v: v["attack_type"])))
+            atc = (F.size(F.array_distinct(t)) > 1) & (F.size(high) > 1)
+            return F.concat(
+                F.transform(class_types, lambda c: F.struct(
+                    F.lit("class_conflict").alias("type"), c.alias("attack_type"),
+                    F.transform(F.filter(p, lambda x: x["attack_type"] == c),
+                                lambda x: x["prediction"]).alias("classes"))),
+                F.when(atc, F.array(F.struct(
+                    F.lit("attack_type_conflict").alias("type"),
+                    F.lit(None).cast("string").alias("attack_type"),
+                    high.alias("classes")))).otherwise(F.array()))
+
+        return let(pt, with_types)
+
+    return let(pairs, with_pairs)
+
+
+def _vote_weighted(valid: Column, cfg: EnsembleConfig, digits: int) -> Column:
     """score(class) = sum(w * conf) / sum(w); ties -> first class in the walk
-    order (model-type groups in first-seen order, detectors by ordinal)."""
+    order (model-type groups in first-seen order, detectors by ordinal).
+    -> struct<prediction, confidence, detail map<class, score>>"""
     weight = _weight_of(cfg)
-    walk = F.array_sort(F.transform("_valid", lambda v: F.struct(
-        F.array_min(F.transform(F.filter("_valid", lambda u: u["model_type"] == v["model_type"]),
-                                lambda u: u["ordinal"])).alias("grp"),
-        v["ordinal"].alias("ordinal"), v["prediction"].alias("prediction"),
-        (weight(v) * v["confidence"]).alias("wc"), weight(v).alias("w"))))
-    df = df.withColumn("_walk", walk)
-    classes = F.array_distinct(F.transform("_walk", lambda v: v["prediction"]))
-    total_w = F.aggregate("_walk", F.lit(0.0), lambda acc, v: acc + v["w"])
-    df = df.withColumn("_classes", classes).withColumn("_total_w", total_w)
-    scored = F.transform("_classes", lambda c, i: F.struct(
-        F.round(F.try_divide(F.aggregate(F.filter("_walk", lambda v: v["prediction"] == c),
-                                         F.lit(0.0), lambda acc, v: acc + v["wc"]),
-                             F.col("_total_w")), score_digits).alias("score"),
-        (-i).alias("neg_pos"), c.alias("cls")))
-    df = df.withColumn("_scored", scored)
-    best = F.array_max("_scored")
-    return (df.withColumn("_best", best)
-              .withColumn("prediction", F.col("_best.cls"))
-              .withColumn("confidence", F.col("_best.score"))
-              .withColumn("class_scores", F.map_from_arrays(
-                  "_classes", F.transform("_scored", lambda x: x["score"])))
-              .drop("_walk", "_classes", "_total_w", "_scored", "_best"))
-
-
-def _majority(df: DataFrame) -> DataFrame:
+    mt = F.array_distinct(F.transform(valid, lambda v: v["model_type"]))
+    walk = F.flatten(F.transform(mt, lambda m: F.filter(valid, lambda v: v["model_type"] == m)))
+
+    def on_walk(w: Column) -> Column:
+        classes = F.array_distinct(F.transform(w, lambda v: v["prediction"]))
+        total = F.aggregate(w, F.lit(0.0), lambda acc, v: acc + weight(v))
+
+        def on_classes(cl: Column) -> Column:
+            scores = F.transform(cl, lambda c: F.round(F.try_divide(F.aggregate(
+                w, F.lit(0.0), lambda acc, v: acc + F.when(v["prediction"] == c, weight(v) * v["confidence"])
+                .otherwise(F.lit(0.0))), total), digits))
+
+            def on_scores(sc: Column) -> Column:
+                best = F.array_max(sc)
+                return F.struct(F.try_element_at(cl, F.array_position(sc, best).cast("int")).alias("prediction"),
+                                best.alias("confidence"),
+                                F.map_from_arrays(cl, sc).alias("detail"))
+            return let(scores, on_scores)
+        return let(classes, on_classes)
+    return let(walk, on_walk)
+
+
+def _vote_majority(valid: Column) -> Column:
     """E5: most votes, ties -> first class seen in detector order; conf = votes / n."""
-    classes = F.array_distinct(F.transform("_valid", lambda v: v["prediction"]))
-    df = df.withColumn("_classes", classes)
-    counted = F.transform("_classes", lambda c, i: F.struct(
-        F.size(F.filter("_valid", lambda v: v["prediction"] == c)).alias("n"),
-        (-i).alias("neg_pos"), c.alias("cls")))
-    df = df.withColumn("_counted", counted).withColumn("_best", F.array_max("_counted"))
-    return (df.withColumn("prediction", F.col("_best.cls"))
-              .withColumn("confidence", F.try_divide(F.col("_best.n").cast("double"),
-                                                     F.size("_valid").cast("double")))
-              .withColumn("class_votes", F.map_from_arrays(
-                  "_classes", F.transform("_counted", lambda x: x["n"])))
-              .drop("_classes", "_counted", "_best"))
-
-
-def _highest(df: DataFrame) -> DataFrame:
-    """Strictly highest confidence, first detector on ties."""
-    best = F.array_max(F.transform("_valid", lambda v: F.struct(
+    classes = F.array_distinct(F.transform(valid, lambda v: v["prediction"]))
+
+    def on_classes(cl: Column) -> Column:
+        counts = F.transform(cl, lambda c: F.size(F.filter(valid, lambda v: v["prediction"] == c)))
+
+        def on_counts(cn: Column) -> Column:
+            best = F.array_max(cn)
+            return F.struct(F.try_element_at(cl, F.array_position(cn, best).cast("int")).alias("prediction"),
+                            F.try_divide(best.cast("double"), F.size(valid).cast("double")).alias("confidence"),
+                            F.map_from_arrays(cl, F.transform(cn, lambda x: x.cast("double"))).alias("detail"))
+        return let(counts, on_counts)
+    return let(classes, on_classes)
+
+
+def _vote_highest(valid: Column) -> Column:
+    """Strictly highest confidence, first detector on ties; detail = best detector."""
+    best = F.array_max(F.transform(valid, lambda v: F.struct(
         v["confidence"].alias("confidence"), (-v["ordinal"]).alias("neg_ord"),
         v["prediction"].alias("prediction"), v["cluster_id"].alias("cluster_id"))))
-    return (df.withColumn("_best", best)
-              .withColumn("prediction", F.col("_best.prediction"))
-              .withColumn("confidence", F.col("_best.confidence"))
-              .withColumn("best_cluster", F.col("_best.cluster_id"))
-              .drop("_best"))
+    return let(best, lambda b: F.struct(
+        b["prediction"].alias("prediction"), b["confidence"].alias("confidence"),
+        F.when(b["cluster_id"].isNotNull(), F.create_map(b["cluster_id"], b["confidence"])).alias("detail")))
 
 
-STRATEGIES = ("weighted_voting", "majority_voting", "highest_confidence")
+def decision_expr(votes: Column, cfg: EnsembleConfig = EnsembleConfig(), strategy: str | None = None,
+                  score_digits: int = 9) -> Column:
+    """E8 for one flow as a single struct column:
+    P16 -> E1-E3 -> E4/E5/E6 (E7 picks) -> P3, P14 -> P18 default."""
+    strategy = strategy or cfg.strategy
+    if strategy not in STRATEGIES:
+        strategy = "weighted_voting"  # E7: unknown strategy -> weighted voting
+    thr = float(cfg.confidence_threshold)
+
+    def on_valid(valid: Column) -> Column:
+        if strategy == "weighted_voting":
+            vote = _vote_weighted(valid, cfg, score_digits)
+        elif strategy == "majority_voting":
+            vote = _vote_majority(valid)
+        else:
+            vote = _vote_highest(valid)
+        has_valid = F.size(valid) > 0
+
+        def on_parts(parts: Column) -> Column:
+            conflicts, v = parts["conflicts"], parts["vote"]
+            n_conf = F.when(has_valid, F.size(conflicts)).otherwise(F.lit(0))
+            pred = F.when(has_valid, v["prediction"]).otherwise(F.lit("Unknown"))
+            conf = F.when(has_valid, v["confidence"]).otherwise(F.lit(0.0))
+            attack = F.when(has_valid, map_attack_type(v["prediction"], cfg.known_classes)).otherwise(F.lit("Unknown"))
+            return F.struct(
+                attack.alias("attack_type"), pred.alias("prediction"), conf.alias("confidence"),
+                severity(attack, conf, n_conf).alias("severity"),
+                F.when(has_valid, F.lit(strategy)).otherwise(F.lit("default")).alias("method"),
+                n_conf.alias("conflicts_detected"), conflicts.alias("conflicts"),
+                v["detail"].alias("detail"), F.size(valid).alias("n_valid"))
+
+        return let(F.struct(_conflicts(valid, thr).alias("conflicts"), vote.alias("vote")), on_parts)
+
+    return let(_valid(votes), on_valid)
+
+
+DETAIL_NAME = {"weighted_voting": "class_scores", "majority_voting": "class_votes",
+               "highest_confidence": "best_cluster"}
 
 
 def decide(df: DataFrame, cfg: EnsembleConfig = EnsembleConfig(), strategy: str | None = None,
            score_digits: int = 9) -> DataFrame:
-    """Validity -> conflicts -> vote -> attack type + severity -> default.
-
-    Adds: attack_type, prediction, confidence, severity, method,
+    """Adds attack_type, prediction, confidence, severity, method,
     conflicts_detected, conflicts and the strategy's detail column
-    (class_scores / class_votes / best_cluster).  Unknown strategy names fall
-    back to weighted voting (E7).
-    """
+    (class_scores map / class_votes map / best_cluster id)."""
     strategy = strategy or cfg.strategy
     if strategy not in STRATEGIES:
         strategy = "weighted_voting"
-    out = with_conflicts(df, cfg)
-    if strategy == "weighted_voting":
-        out = _weighted(out, cfg, score_digits)
-    elif strategy == "majority_voting":
-        out = _majority(out)
-    else:
-        out = _highest(out)
-    has_valid = F.size("_valid") > 0
-    out = out.withColumn("attack_type", map_attack_type("prediction"))
-    # No valid vote -> default decision.
-    out = (out
-           .withColumn("method", F.when(has_valid, F.lit(strategy)).otherwise(F.lit("default")))
-           .withColumn("prediction", F.when(has_valid, F.col("prediction")).otherwise(F.lit("Unknown")))
-           .withColumn("attack_type", F.when(has_valid, F.col("attack_type")).otherwise(F.lit("Unknown")))
-           .withColumn("confidence", F.when(has_valid, F.col("confidence")).otherwise(F.lit(0.0)))
-           .withColumn("conflicts_detected", F.when(has_valid, F.col("conflicts_detected")).otherwise(F.lit(0)))
-           .withColumn("severity", severity("attack_type", "confidence", "conflicts_detected")))
-    return out.drop("_valid")
+    d = df.withColumn("_d", decision_expr(F.col("votes"), cfg, strategy, score_digits))
+    detail = F.col("_d.detail")
+    if strategy == "highest_confidence":
+        detail = F.try_element_at(F.map_keys(detail), F.lit(1))
+    return d.select(*[c for c in df.columns], *[F.col(f"_d.{c}").alias(c) for c in (
+        "attack_type", "prediction", "confidence", "severity", "method", "conflicts_detected", "conflicts")],
+        detail.alias(DETAIL_NAME[strategy]))
+
+
+def with_conflicts(df: DataFrame, cfg: EnsembleConfig = EnsembleConfig()) -> DataFrame:
+    """E1-E3 only: adds ``conflicts`` and ``conflicts_detected``."""
+    c = df.withColumn("_c", _conflicts(_valid(F.col("votes")), float(cfg.confidence_threshold)))
+    return c.select(*df.columns, F.col("_c").alias("conflicts"), F.size("_c").alias("conflicts_detected"))
+
+
+def class_conflict_rows(df: DataFrame) -> DataFrame:
+    """E1 as rows: (flow_id, attack_type, n_classes) for every specialism whose
+    valid votes disagree.  Explodes the votes (map side) and aggregates per
+    (flow, specialism); groups are bounded by the detector count."""
+    v = df.select("flow_id", F.explode_outer(F.filter("votes", is_valid_vote)).alias("v"))
+    return (v.groupBy("flow_id", F.col("v.attack_type").alias("attack_type"))
+             .agg(F.count_distinct("v.prediction").alias("n_classes"))
+             .filter(F.col("n_classes") > 1))
+
+
+def attack_type_conflict_rows(df: DataFrame, cfg: EnsembleConfig = EnsembleConfig()) -> DataFrame:
+    """E2 as rows: (flow_id, n_high_types) for flows with an attack-type conflict."""
+    thr = float(cfg.confidence_threshold)
+    v = df.select("flow_id", F.explode_outer(F.filter("votes", is_valid_vote)).alias("v"))
+    per = v.groupBy("flow_id", F.col("v.attack_type").alias("attack_type")).agg(
+        F.max("v.confidence").alias("mx"))
+    f = per.groupBy("flow_id").agg(F.count(F.lit(1)).alias("n_types"),
+                                   F.sum((F.col("mx") > thr).cast("int")).alias("n_high_types"))
+    return f.filter((F.col("n_types") > 1) & (F.col("n_high_types") > 1)).select("flow_id", "n_high_types")
 
 
 def error_decision(df: DataFrame, message_col: str = "error") -> DataFrame:

@@ -64,11 +64,15 @@ def with_global_index(df: DataFrame, order_cols, num_partitions: int | None = No
         offsets.append(acc)
         acc += by_pid.get(pid, 0)
     if not offsets:
-        return ranged.withColumn(idx_col, F.lit(0).cast("long")).drop("_mid")
+        out = ranged.withColumn(idx_col, F.lit(0).cast("long")).drop("_mid")
+        out._nv_total_rows = 0  # type: ignore[attr-defined]
+        return out
     off_arr = F.array(*[F.lit(o).cast("long") for o in offsets])
     pid = F.shiftright("_mid", 33).cast("int")
-    return (ranged.withColumn(idx_col, F.element_at(off_arr, pid + 1) + F.col("_mid").bitwiseAND(F.lit(_POS_MASK)))
-                  .drop("_mid"))
+    out = (ranged.withColumn(idx_col, F.element_at(off_arr, pid + 1) + F.col("_mid").bitwiseAND(F.lit(_POS_MASK)))
+                 .drop("_mid"))
+    out._nv_total_rows = acc  # type: ignore[attr-defined]
+    return out
 
 
 @dataclass
@@ -95,9 +99,16 @@ def halo_frame(df: DataFrame, order_cols, n: int, key_cols=(), block_rows: int |
     """
     key_cols = list(key_cols)
     halo = halo if halo is not None else n + 1
-    block = max(block_rows or DEFAULT_BLOCK_ROWS, halo)
     full_order = key_cols + list(order_cols)
-    idx = with_global_index(df, full_order, num_partitions)
+    parts = num_partitions or _partitions(df)
+    idx = with_global_index(df, full_order, parts)
+    if block_rows:
+        block = max(block_rows, halo)
+    else:
+        # About two blocks per shuffle partition, never more than the default
+        # (bounded task size) and never so small that halos dominate.
+        total = getattr(idx, "_nv_total_rows", 0)
+        block = min(DEFAULT_BLOCK_ROWS, max(64 * halo, -(-total // (2 * parts))))
     blk = F.floor(F.col("_idx") / F.lit(block)).cast("long")
     base = idx.withColumn("_blk", blk).withColumn("_halo", F.lit(False))
     # Copy the last `halo` rows of each block into the next block.

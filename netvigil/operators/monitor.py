@@ -36,9 +36,13 @@ def prediction_counter(votes_long: DataFrame) -> DataFrame:
 
 
 def conflict_counter(decisions: DataFrame) -> DataFrame:
-    """A10: conflicts by type."""
-    return decisions.select(F.explode("conflicts").alias("c")) \
-                    .groupBy(F.col("c.type").alias("conflict_type")).agg(F.count(F.lit(1)).alias("n"))
+    """A10: conflicts by type (sums of per-flow counts; nothing exploded)."""
+    n_class = F.size(F.filter("conflicts", lambda c: c["type"] == "class_conflict"))
+    per = decisions.select(n_class.alias("c"), (F.col("conflicts_detected") - n_class).alias("a"))
+    tot = per.agg(F.sum("c").alias("class_conflict"), F.sum("a").alias("attack_type_conflict"))
+    return (tot.selectExpr("stack(2, 'class_conflict', class_conflict, 'attack_type_conflict', "
+                           "attack_type_conflict) AS (conflict_type, n)")
+               .filter(F.col("n") > 0))
 
 
 def duration_histogram(votes_long: DataFrame, bounds=HISTOGRAM_BUCKETS) -> DataFrame:

@@ -234,16 +234,12 @@ def _summary(d):
 
 @query("e1_class_conflicts")
 def e1_class_conflicts(spark, sf_dir):
-    c = ensemble.with_conflicts(_fv(spark, sf_dir)).select("flow_id", F.explode("conflicts").alias("c"))
-    return c.filter(F.col("c.type") == "class_conflict").select(
-        "flow_id", F.col("c.attack_type").alias("attack_type"), F.size("c.classes").alias("n_classes"))
+    return ensemble.class_conflict_rows(_fv(spark, sf_dir))
 
 
 @query("e2_attack_type_conflicts")
 def e2_attack_type_conflicts(spark, sf_dir):
-    c = ensemble.with_conflicts(_fv(spark, sf_dir)).select("flow_id", F.explode("conflicts").alias("c"))
-    return c.filter(F.col("c.type") == "attack_type_conflict").select(
-        "flow_id", F.size("c.classes").alias("n_high_types"))
+    return ensemble.attack_type_conflict_rows(_fv(spark, sf_dir))
 
 
 @query("e3_conflict_counts")
@@ -311,7 +307,7 @@ def j3_flow_detector_pairs(spark, sf_dir):
     return v.groupBy("cluster_id").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.sum(F.col("is_trained").cast("long")).alias("n_trained"),
-        F.round(F.avg("confidence"), 6).alias("avg_confidence"))
+        F.round(F.sum("confidence"), 3).alias("sum_confidence"))
 
 
 # --- A7-A16, L1-L3: monitoring -------------------------------------------------

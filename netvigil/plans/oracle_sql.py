@@ -240,7 +240,7 @@ register("p17_detector_defaults", with_(FLOWS, CLUSTERS, PREDS) + """SELECT clus
 register("p18_default_decisions", WEIGHTED_DECISIONS +
          "SELECT flow_id, attack_type, severity FROM decisions WHERE method = 'default'")
 register("j3_flow_detector_pairs", with_(FLOWS, CLUSTERS, PREDS) + """SELECT cluster_id, count(*) AS n_rows,
- sum(CASE WHEN is_trained THEN 1 ELSE 0 END) AS n_trained, round(avg(confidence), 6) AS avg_confidence
+ sum(CASE WHEN is_trained THEN 1 ELSE 0 END) AS n_trained, round(sum(confidence), 3) AS sum_confidence
  FROM preds GROUP BY cluster_id""")
 
 # --- monitoring ---------------------------------------------------------------------

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ATTACK_TYPES, detector_registry
+from ..operators.ensemble import let
 from .tables import read_table
 
 MAX_REGISTRY = 10_000  # bound on detectors inlined into a plan as literals
@@ -44,8 +45,16 @@ def flows_from_events(events: DataFrame) -> DataFrame:
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin the rows over all cores when the scan yields fewer splits
+    than cores (a small file with one row group is one split).  Large inputs
+    already have many splits and are returned untouched (no shuffle)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def load_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flows_from_events(read_table(spark, sf_dir, "events"))
+    return flows_from_events(spread(read_table(spark, sf_dir, "events")))
 
 
 def clusters_df(spark: SparkSession, registry=None) -> DataFrame:
@@ -77,24 +86,28 @@ def votes_column(flow_id: Column, registry=None) -> Column:
     s = flow_id % 8
 
     def one(k: Column) -> Column:
-        r = (flow_id * 7919 + k["ordinal"] * 104729) % 1000
-        m = (flow_id * 7919 + k["ordinal"] * 104729) % 100
+        # bind the per-vote hash once (python composition would copy the subtree)
+        h = (flow_id * 7919 + k["ordinal"] * 104729)
+        return let(F.struct((h % 1000).alias("r"), (h % 100).alias("m")), lambda rm: vote(k, rm["r"], rm["m"]))
+
+    def vote(k: Column, r: Column, m: Column) -> Column:
         trained = (F.when(s < 4, k["attack_idx"] == flow_id % 9)
                    .when(s == 7, flow_id % 16 != 7)
                    .otherwise((flow_id + k["ordinal"]) % 11 != 0))
-        error = F.when((s >= 4) & ((flow_id + k["ordinal"]) % 13 == 0), F.lit("boom"))
+        failed = (s >= 4) & ((flow_id + k["ordinal"]) % 13 == 0)
         milli = (F.when(s == 0, 900 + m).when(s == 1, 800 + m).when(s == 2, 600 + 2 * m)
                  .when(s == 3, 50 + 5 * m).when(s == 4, 900 + m).when(s == 5, 100 + 5 * m)
                  .when(s == 6, r).otherwise(600 + m))
-        prediction = (F.when(error.isNotNull(), "Error").when(~trained, "Unknown")
-                      .when(s == 5, F.when(r % 3 == 0, k["attack_type"]).otherwise("Benign"))
-                      .when(s == 6, F.when(r % 2 == 0, k["attack_type"]).otherwise("Benign"))
-                      .otherwise(target))
-        confidence = F.when(error.isNotNull() | ~trained, F.lit(0.0)).otherwise(milli.cast("double") / 1000)
+        raw = (F.when(s == 5, F.when(r % 3 == 0, k["attack_type"]).otherwise("Benign"))
+               .when(s == 6, F.when(r % 2 == 0, k["attack_type"]).otherwise("Benign"))
+               .otherwise(target))
+        # Failed detector -> ('Error', 0.0); untrained -> ('Unknown', 0.0)
+        prediction = F.when(failed, "Error").when(~trained, "Unknown").otherwise(raw)
+        confidence = F.when(failed | ~trained, F.lit(0.0)).otherwise(milli.cast("double") / 1000)
         return F.struct(
             k["ordinal"].alias("ordinal"), k["cluster_id"].alias("cluster_id"),
             k["attack_type"].alias("attack_type"), k["model_type"].alias("model_type"),
-            trained.alias("is_trained"), error.alias("error"),
+            trained.alias("is_trained"), F.when(failed, F.lit("boom")).alias("error"),
             prediction.alias("prediction"), confidence.alias("confidence"),
             ((r % 500).cast("double") / 1000).alias("prediction_time"))
 
@@ -109,7 +122,9 @@ def flows_with_votes(flows: DataFrame, registry=None) -> DataFrame:
 def votes_long(flows_votes: DataFrame, keep=("flow_id", "timestamp")) -> DataFrame:
     """One row per (flow, detector): the long ``cluster_predictions`` table."""
     cols = [F.col(c).alias("ts") if c == "timestamp" else F.col(c) for c in keep]
-    return flows_votes.select(*cols, F.inline("votes"))
+    # inline_outer: the plain generator makes Catalyst infer a size(votes) > 0
+    # filter that would evaluate the votes expression a second time
+    return flows_votes.select(*cols, F.inline_outer("votes"))
 
 
 def load_cluster_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +142,7 @@ def host_metrics_from_events(events: DataFrame) -> DataFrame:
 
 
 def load_host_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return host_metrics_from_events(read_table(spark, sf_dir, "events"))
+    return host_metrics_from_events(spread(read_table(spark, sf_dir, "events")))
 
 
 def eval_predictions(flows_votes: DataFrame) -> DataFrame:
@@ -136,7 +151,7 @@ def eval_predictions(flows_votes: DataFrame) -> DataFrame:
     Works on the nested shape, so no join back to flows is needed: the label
     travels with the votes.
     """
-    v = flows_votes.select("flow_id", "label", F.inline("votes"))
+    v = flows_votes.select("flow_id", "label", F.inline_outer("votes"))
     v = v.filter(F.col("is_trained") & F.col("error").isNull())
     return v.select(
         "flow_id", "ordinal", "cluster_id", "attack_type", "model_type",

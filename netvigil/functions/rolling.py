@@ -48,13 +48,23 @@ def r_nunique(x, w, n):
     return gated(F.size(F.collect_set(c(x)).over(w)), x, w, n)
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body`` as a lambda variable."""
+    return F.aggregate(F.array(F.lit(0)), value, lambda acc, _: acc, body)
+
+
 def entropy_of(values: Column) -> Column:
-    """Shannon entropy (natural log) of the value distribution of an array."""
-    total = F.size(values).cast("double")
-    return -F.aggregate(
-        F.array_distinct(values), F.lit(0.0),
-        lambda acc, v: acc + (F.size(F.filter(values, lambda y: y == v)) / total)
-        * F.ln(F.size(F.filter(values, lambda y: y == v)) / total))
+    """Shannon entropy (natural log) of the value distribution of an array.
+
+    The frame's list is bound once; each distinct value's share is computed once.
+    """
+    def on_list(a: Column) -> Column:
+        total = F.size(a).cast("double")
+        return -F.aggregate(
+            F.array_distinct(a), F.lit(0.0),
+            lambda acc, v: acc + _let(F.size(F.filter(a, lambda y: y == v)) / total,
+                                      lambda p: p * F.ln(p)))
+    return _let(values, on_list)
 
 
 def r_entropy(x, w, n):

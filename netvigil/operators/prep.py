@@ -102,6 +102,22 @@ class ScalerModel:
         return df.select(*keep, *exprs)
 
 
+def save_scaler(spark, model: ScalerModel, path: str) -> None:
+    """Fitted parameters as a small parquet table (no pickles)."""
+    rows = [(c, model.kind, a, b, model.lo, model.hi) for c, (a, b) in model.params.items()]
+    spark.createDataFrame(rows, "column string, kind string, a double, b double, lo double, hi double") \
+         .coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_scaler(spark, path: str) -> ScalerModel:
+    """Read back a saved scaler (a handful of rows)."""
+    rows = spark.read.parquet(path).collect()
+    if not rows:
+        raise ValueError(f"empty scaler table at {path}")
+    return ScalerModel(rows[0]["kind"], {r["column"]: (r["a"], r["b"]) for r in rows},
+                       rows[0]["lo"], rows[0]["hi"])
+
+
 def fit_minmax(df: DataFrame, cols, feature_range=MINMAX_RANGE) -> ScalerModel:
     r = df.agg(*[F.min(F.col(c).cast("double")).alias(f"mn_{i}") for i, c in enumerate(cols)],
                *[F.max(F.col(c).cast("double")).alias(f"mx_{i}") for i, c in enumerate(cols)]).collect()[0]

@@ -612,3 +612,88 @@ def j6_register_detectors(spark, sf_dir):
     labels = _flows(spark, sf_dir).select(F.col("label").alias("attack_type")).distinct()
     cands = labels.select("attack_type", F.explode(F.array(F.lit("lstm"), F.lit("gbt"))).alias("model_type"))
     return register_detectors(derived.clusters_df(spark), cands)
+
+
+# --- S: sources and sinks -----------------------------------------------------------
+
+def _flows_csv(spark, sf_dir, extra_corrupt=False):
+    from ..sources.files import read_flow_csv, scratch_dir, write_flow_csv
+    out = scratch_dir(spark, "flows-csv")
+    write_flow_csv(_flows(spark, sf_dir), f"{out}/good")
+    if extra_corrupt:
+        # an unreadable member of the dataset: gzip extension, not gzip content
+        with open(f"{out}/good/zz-broken.csv.gz", "wb") as fh:
+            fh.write(b"this is not gzip data")
+    return read_flow_csv(spark, f"{out}/good/*.csv*")
+
+
+@query("s1_csv_scan")
+def s1_csv_scan(spark, sf_dir):
+    df = _flows_csv(spark, sf_dir)
+    return round_doubles(df.withColumn("timestamp", F.unix_micros(F.col("timestamp"))))
+
+
+@query("s2_skip_unreadable_files")
+def s2_skip_unreadable_files(spark, sf_dir):
+    df = _flows_csv(spark, sf_dir, extra_corrupt=True)
+    return df.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _request_json(spark, sf_dir):
+    """Flows rendered as request JSON: ICMP has no ports (fails the contract),
+    UDP sensors send no timestamp (gets the ingest default)."""
+    f = _flows(spark, sf_dir)
+    port = lambda c: F.when(F.col("protocol") != "ICMP", F.col(c))
+    body = F.struct(F.when(F.col("protocol") != "UDP", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+                    .alias("timestamp"), "src_ip", "dst_ip", port("src_port").alias("src_port"),
+                    port("dst_port").alias("dst_port"), "protocol", "packet_size", "flow_duration")
+    return f.select("flow_id", F.to_json(body).alias("value"))
+
+
+@query("s4_contract_check")
+def s4_contract_check(spark, sf_dir):
+    from ..sources.files import validate_records
+    good, bad = validate_records(_request_json(spark, sf_dir))
+    return (good.select("flow_id", F.lit("valid").alias("status"))
+                .unionByName(bad.select("flow_id", F.lit("quarantine").alias("status"))))
+
+
+@query("s5_ingest_defaults")
+def s5_ingest_defaults(spark, sf_dir):
+    from ..sources.files import validate_records, with_ingest_defaults
+    good, _ = validate_records(_request_json(spark, sf_dir))
+    d = with_ingest_defaults(good.withColumn("defaulted", F.col("timestamp").isNull()))
+    return d.select("flow_id", "defaulted", F.col("timestamp").isNotNull().alias("has_timestamp"),
+                    (F.length("request_id") == 36).alias("has_request_id"))
+
+
+@query("s6_batch_scoring_isolation")
+def s6_batch_scoring_isolation(spark, sf_dir):
+    from ..sources.files import validate_records
+    good, bad = validate_records(_request_json(spark, sf_dir))
+    scored = ensemble.decide(derived.flows_with_votes(good.select("flow_id")))
+    errors = ensemble.error_decision(bad.select("flow_id", "error"))
+    allrows = scored.select("flow_id", "method", "severity").unionByName(errors.select("flow_id", "method", "severity"))
+    return allrows.groupBy("method", "severity").agg(F.count(F.lit(1)).alias("n_flows"))
+
+
+@query("s8_scaler_roundtrip")
+def s8_scaler_roundtrip(spark, sf_dir):
+    from ..operators.prep import fit_minmax, load_scaler, save_scaler
+    from ..sources.files import scratch_dir
+    f = _flows(spark, sf_dir).select("flow_id", *SCALED_COLS)
+    path = scratch_dir(spark, "scaler")
+    save_scaler(spark, fit_minmax(f, SCALED_COLS), path)
+    return round_doubles(load_scaler(spark, path).transform(f))
+
+
+@query("s10_history_append")
+def s10_history_append(spark, sf_dir):
+    from ..sources.files import append_history, scratch_dir
+    d = _decide(spark, sf_dir).select("flow_id", "ts", "attack_type", "severity")
+    path = scratch_dir(spark, "history")
+    hot = F.col("severity").isin("Critical", "High")
+    append_history(d.filter(hot), path)
+    append_history(d.filter(~hot), path)
+    h = spark.read.parquet(path)
+    return h.groupBy(F.col("date").cast("string").alias("date"), "severity").agg(F.count(F.lit(1)).alias("n"))

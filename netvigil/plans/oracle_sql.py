@@ -415,3 +415,19 @@ register("j6_register_detectors", with_(FLOWS, CLUSTERS,
 SELECT CAST(17 + row_number() OVER (ORDER BY nw.attack_type, nw.model_type) AS INT) AS ordinal,
  CAST((SELECT max(attack_idx) FROM clusters k WHERE k.attack_type = nw.attack_type) AS INT) AS attack_idx,
  nw.attack_type || '_' || nw.model_type AS cluster_id, nw.attack_type, nw.model_type FROM nw""")
+
+
+# --- sources and sinks --------------------------------------------------------------
+
+register("s1_csv_scan", FL + """SELECT flow_id, epoch_us("timestamp") AS "timestamp", src_ip, dst_ip, src_port, dst_port, protocol,
+ packet_size, round(flow_duration, 6) + 0.0 AS flow_duration, bytes_sent, bytes_received, packets_sent, packets_received, label FROM flows""")
+register("s2_skip_unreadable_files", FL + "SELECT label, count(*) AS n FROM flows GROUP BY label")
+register("s4_contract_check", FL + """SELECT flow_id, CASE WHEN protocol = 'ICMP' THEN 'quarantine' ELSE 'valid' END AS status FROM flows""")
+register("s5_ingest_defaults", FL + """SELECT flow_id, protocol = 'UDP' AS defaulted, true AS has_timestamp, true AS has_request_id
+ FROM flows WHERE protocol <> 'ICMP'""")
+register("s6_batch_scoring_isolation", WEIGHTED_DECISIONS + """SELECT method, severity, count(*) AS n_flows FROM (
+ SELECT CASE WHEN protocol = 'ICMP' THEN 'error' ELSE method END AS method,
+        CASE WHEN protocol = 'ICMP' THEN 'High' ELSE severity END AS severity FROM decisions) x GROUP BY method, severity""")
+register("s8_scaler_roundtrip", ORACLE["p12_minmax_scaling"])
+register("s10_history_append", WEIGHTED_DECISIONS + """SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, severity, count(*) AS n
+ FROM decisions GROUP BY 1, 2""")

@@ -697,3 +697,43 @@ def s10_history_append(spark, sf_dir):
     append_history(d.filter(~hot), path)
     h = spark.read.parquet(path)
     return h.groupBy(F.col("date").cast("string").alias("date"), "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- M: detectors (rows-only: model weights are not SQL-expressible) -----------------
+
+_TRAINED = {}
+
+
+def _trained(spark, sf_dir):
+    """Train once per (session, data set) and reuse across the M queries."""
+    from ..operators.detectors import train_all
+    key = (id(spark), sf_dir)
+    if key not in _TRAINED:
+        _TRAINED[key] = train_all(spark, _flows(spark, sf_dir))
+    return _TRAINED[key]
+
+
+@query("m3_train_all_detectors")
+def m3_train_all_detectors(spark, sf_dir):
+    _fs, _frame, res = _trained(spark, sf_dir)
+    return spark.createDataFrame(res.rows, "ordinal int, cluster_id string, attack_type string, model_type string, "
+                                           "status string, n_train long, n_test long, error string")
+
+
+@query("m4_score_flows")
+def m4_score_flows(spark, sf_dir):
+    from ..operators.detectors import score_votes
+    fs, _frame, res = _trained(spark, sf_dir)
+    d = ensemble.decide(score_votes(fs, res, _flows(spark, sf_dir)))
+    return d.groupBy("label", "attack_type", "severity").agg(F.count(F.lit(1)).alias("n_flows"))
+
+
+@query("m6_evaluate_detectors")
+def m6_evaluate_detectors(spark, sf_dir):
+    from ..operators.detectors import evaluate_all
+    from ..operators.evaluate import classification_report, confusion
+    _fs, frame, res = _trained(spark, sf_dir)
+    ev = evaluate_all(res, frame)
+    rep = classification_report(confusion(ev, ("ordinal", "cluster_id", "attack_type", "model_type")))
+    return round_doubles(rep.select("cluster_id", "accuracy", "precision", "recall", "f1_score", "roc_auc",
+                                    "test_samples"))

@@ -737,3 +737,68 @@ def m6_evaluate_detectors(spark, sf_dir):
     rep = classification_report(confusion(ev, ("ordinal", "cluster_id", "attack_type", "model_type")))
     return round_doubles(rep.select("cluster_id", "accuracy", "precision", "recall", "f1_score", "roc_auc",
                                     "test_samples"))
+
+
+# --- T: streaming (T1/T2 run real availableNow streams; T3-T7 batch twins) ------------
+
+def _stream_flows(spark, sf_dir):
+    from ..streaming.stream import event_stream, flow_stream
+    # a glob, not a file path: the file source watches a directory pattern
+    return flow_stream(event_stream(spark, f"{sf_dir.rstrip('/')}/events*.parquet"))
+
+
+@query("t1_stream_scoring")
+def t1_stream_scoring(spark, sf_dir):
+    from ..sources.files import scratch_dir
+    from ..streaming.stream import run_available, score_stream
+    base = scratch_dir(spark, "t1")
+    run_available(score_stream(_stream_flows(spark, sf_dir)), f"{base}/out", f"{base}/ckpt")
+    return _summary(spark.read.parquet(f"{base}/out"))
+
+
+@query("t2_stream_rolling_state")
+def t2_stream_rolling_state(spark, sf_dir):
+    from ..sources.files import scratch_dir
+    from ..streaming.stream import rolling_state, run_available
+    base = scratch_dir(spark, "t2")
+    run_available(rolling_state(_stream_flows(spark, sf_dir)), f"{base}/out", f"{base}/ckpt")
+    return round_doubles(spark.read.parquet(f"{base}/out").select("flow_id", "packet_size_mean", "packet_size_std"))
+
+
+def _batch_flows_ts(spark, sf_dir):
+    return _flows(spark, sf_dir).withColumn("ts", F.col("timestamp").cast("timestamp"))
+
+
+@query("t3_tumbling_counts")
+def t3_tumbling_counts(spark, sf_dir):
+    from ..streaming.stream import tumbling_counts, window_seconds
+    d = ensemble.decide(derived.flows_with_votes(_batch_flows_ts(spark, sf_dir)))
+    return tumbling_counts(d).select(*window_seconds(), "attack_type", "severity", "n")
+
+
+@query("t4_sliding_windows")
+def t4_sliding_windows(spark, sf_dir):
+    from ..streaming.stream import sliding_counts, window_seconds
+    return sliding_counts(_batch_flows_ts(spark, sf_dir)).select(*window_seconds(), "protocol", "n")
+
+
+@query("t5_health_windows")
+def t5_health_windows(spark, sf_dir):
+    from ..streaming.stream import health_windows, window_seconds
+    s = derived.load_host_metrics(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    return health_windows(s).select(*window_seconds(), "host", "cpu_usage", "memory_usage", "disk_usage",
+                                    "status", "issues")
+
+
+@query("t6_running_stats")
+def t6_running_stats(spark, sf_dir):
+    from ..streaming.stream import running_stats
+    return round_doubles(running_stats(_votes(spark, sf_dir)))
+
+
+@query("t7_dedup_within_watermark")
+def t7_dedup_within_watermark(spark, sf_dir):
+    from ..streaming.stream import dedup
+    f = _batch_flows_ts(spark, sf_dir)
+    resent = f.filter(F.col("protocol") == "UDP")  # UDP senders retransmit
+    return dedup(f.unionByName(resent)).select("flow_id", "protocol")

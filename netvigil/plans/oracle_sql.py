@@ -431,3 +431,30 @@ register("s6_batch_scoring_isolation", WEIGHTED_DECISIONS + """SELECT method, se
 register("s8_scaler_roundtrip", ORACLE["p12_minmax_scaling"])
 register("s10_history_append", WEIGHTED_DECISIONS + """SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, severity, count(*) AS n
  FROM decisions GROUP BY 1, 2""")
+
+
+# --- streaming (batch twins) -------------------------------------------------------------
+
+register("t1_stream_scoring", ORACLE["e8_decision_summary"])
+register("t2_stream_rolling_state", with_(FLOWS) + f"""SELECT flow_id,
+ {g('avg(packet_size) OVER w', 'packet_size')} AS packet_size_mean,
+ {g('stddev_samp(packet_size) OVER w', 'packet_size')} AS packet_size_std FROM flows {KW}""")
+register("t3_tumbling_counts", WEIGHTED_DECISIONS + """SELECT CAST(floor(epoch(ts) / 10) * 10 AS BIGINT) AS window_start,
+ CAST(floor(epoch(ts) / 10) * 10 + 10 AS BIGINT) AS window_end, attack_type, severity, count(*) AS n
+ FROM decisions GROUP BY 1, 2, 3, 4""")
+register("t4_sliding_windows", FL + """, s AS (SELECT CAST(floor(epoch("timestamp") / 5) * 5 AS BIGINT) AS b, protocol FROM flows)
+SELECT window_start, window_start + 10 AS window_end, protocol, count(*) AS n FROM (
+ SELECT b AS window_start, protocol FROM s UNION ALL SELECT b - 5 AS window_start, protocol FROM s) x
+GROUP BY window_start, protocol""")
+register("t5_health_windows", HM + """, l AS (SELECT host, metric, value, CAST(floor(epoch(ts) / 30) * 30 AS BIGINT) AS ws,
+ row_number() OVER (PARTITION BY CAST(floor(epoch(ts) / 30) * 30 AS BIGINT), host, metric ORDER BY ts DESC, sample_id DESC) AS rn FROM host_metrics),
+ p AS (SELECT ws, host, max(CASE WHEN metric = 'cpu_usage' AND rn = 1 THEN value END) AS cpu_usage,
+   max(CASE WHEN metric = 'memory_usage' AND rn = 1 THEN value END) AS memory_usage,
+   max(CASE WHEN metric = 'disk_usage' AND rn = 1 THEN value END) AS disk_usage FROM l GROUP BY ws, host),
+ q AS (SELECT *, concat_ws(',', CASE WHEN cpu_usage > 80 THEN 'cpu_usage' END, CASE WHEN memory_usage > 85 THEN 'memory_usage' END,
+   CASE WHEN disk_usage > 90 THEN 'disk_usage' END) AS issues FROM p)
+SELECT ws AS window_start, ws + 30 AS window_end, host, cpu_usage, memory_usage, disk_usage,
+ CASE WHEN issues = '' THEN 'healthy' ELSE 'unhealthy' END AS status, issues FROM q""")
+register("t6_running_stats", MON + """SELECT cluster_id, count(*) AS prediction_count,
+ round(avg(prediction_time), 6) + 0.0 AS avg_prediction_time FROM ok GROUP BY cluster_id""")
+register("t7_dedup_within_watermark", FL + "SELECT flow_id, protocol FROM flows")

@@ -802,3 +802,50 @@ def t7_dedup_within_watermark(spark, sf_dir):
     f = _batch_flows_ts(spark, sf_dir)
     resent = f.filter(F.col("protocol") == "UDP")  # UDP senders retransmit
     return dedup(f.unionByName(resent)).select("flow_id", "protocol")
+
+
+# --- remaining inventory items -------------------------------------------------------
+
+@query("p3_attack_type_map")
+def p3_attack_type_map(spark, sf_dir):
+    from ..functions.scalar import map_attack_type
+    v = _votes(spark, sf_dir)
+    return v.groupBy("prediction", map_attack_type("prediction").alias("attack_type")).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@query("p20_decision_metadata")
+def p20_decision_metadata(spark, sf_dir):
+    from ..functions.scalar import flow_metadata
+    d = ensemble.decide(_fv(spark, sf_dir)).withColumn("metadata", flow_metadata())
+    return d.select("flow_id", "severity", F.unix_micros(F.col("metadata.timestamp").cast("timestamp")).alias("meta_ts"),
+                    F.col("metadata.src_ip").alias("meta_src_ip"), F.col("metadata.dst_ip").alias("meta_dst_ip"),
+                    F.col("metadata.protocol").alias("meta_protocol"))
+
+
+@query("a16_dataset_statistics")
+def a16_dataset_statistics(spark, sf_dir):
+    s = x4_stratified_split(spark, sf_dir)
+    total = _flows(spark, sf_dir).count()
+    return s.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n_samples"),
+        F.round(F.count(F.lit(1)) / F.lit(float(total)), 6).alias("share"),
+        *[F.sum((F.col("split") == x).cast("long")).alias(f"n_{x}") for x in ("train", "val", "test")])
+
+
+@query("s7_json_results")
+def s7_json_results(spark, sf_dir):
+    from ..sources.files import scratch_dir, write_json
+    r = _report(spark, sf_dir).withColumn("confusion_matrix", F.array(F.array("tn", "fp"), F.array("fn", "tp")))
+    path = scratch_dir(spark, "eval-json")
+    write_json(r.select("cluster_id", "accuracy", "f1_score", "test_samples", "confusion_matrix"), path)
+    back = spark.read.schema("cluster_id string, accuracy double, f1_score double, test_samples long, "
+                             "confusion_matrix array<array<long>>").json(path)
+    return round_doubles(back.select("cluster_id", "accuracy", "f1_score", "test_samples",
+                                     F.col("confusion_matrix")[1][1].alias("tp")))
+
+
+@query("j1_feature_row")
+def j1_feature_row(spark, sf_dir):
+    from ..operators.features import ADVANCED, BASIC, corr_names
+    return _rolling(spark, sf_dir, BASIC + ADVANCED + tuple(corr_names()))

@@ -458,3 +458,41 @@ SELECT ws AS window_start, ws + 30 AS window_end, host, cpu_usage, memory_usage,
 register("t6_running_stats", MON + """SELECT cluster_id, count(*) AS prediction_count,
  round(avg(prediction_time), 6) + 0.0 AS avg_prediction_time FROM ok GROUP BY cluster_id""")
 register("t7_dedup_within_watermark", FL + "SELECT flow_id, protocol FROM flows")
+
+
+# --- remaining inventory items ------------------------------------------------------
+
+register("p3_attack_type_map", with_(FLOWS, CLUSTERS, PREDS) + f"""SELECT prediction,
+ CASE WHEN prediction IN ({KNOWN}) THEN prediction ELSE 'Unknown' END AS attack_type, count(*) AS n FROM preds GROUP BY 1, 2""")
+register("p20_decision_metadata", WEIGHTED_DECISIONS + """SELECT flow_id, severity, epoch_us(ts) AS meta_ts,
+ src_ip AS meta_src_ip, dst_ip AS meta_dst_ip, protocol AS meta_protocol FROM decisions""")
+register("a16_dataset_statistics", SPLIT + """SELECT label, count(*) AS n_samples,
+ round(count(*) / (SELECT count(*) FROM flows), 6) AS share,
+ sum(CASE WHEN split = 'train' THEN 1 ELSE 0 END) AS n_train, sum(CASE WHEN split = 'val' THEN 1 ELSE 0 END) AS n_val,
+ sum(CASE WHEN split = 'test' THEN 1 ELSE 0 END) AS n_test FROM sp GROUP BY label""")
+register("s7_json_results", EVAL + """SELECT cluster_id, round(accuracy, 6) + 0.0 AS accuracy, round(f1_score, 6) + 0.0 AS f1_score,
+ test_samples, tp FROM report""")
+_J1_SRC = """allf AS (SELECT tf.*, (epoch_us("timestamp") - lag(epoch_us("timestamp")) OVER (ORDER BY "timestamp", flow_id)) / 1e6 AS dt FROM tf)"""
+_J1_COLS = [
+    f"{g('avg(packet_size) OVER w', 'packet_size')} AS packet_size_mean",
+    f"{g('stddev_samp(packet_size) OVER w', 'packet_size')} AS packet_size_std",
+    f"{g('min(packet_size) OVER w', 'packet_size', None)} AS packet_size_min",
+    f"{g('max(packet_size) OVER w', 'packet_size', None)} AS packet_size_max",
+    f"{g('median(packet_size) OVER w', 'packet_size')} AS packet_size_median",
+    f"{g('avg(flow_duration) OVER w', 'flow_duration')} AS flow_duration_mean",
+    f"{g('stddev_samp(flow_duration) OVER w', 'flow_duration')} AS flow_duration_std",
+    f"{g('count(DISTINCT src_ip) OVER w', 'src_ip', None)} AS unique_src_ips",
+    f"{g('count(DISTINCT dst_ip) OVER w', 'dst_ip', None)} AS unique_dst_ips",
+    f"{g('count(DISTINCT src_port) OVER w', 'src_port', None)} AS unique_src_ports",
+    f"{g('count(DISTINCT dst_port) OVER w', 'dst_port', None)} AS unique_dst_ports",
+    f"{g('avg(CASE WHEN dst_port > 1024 THEN 1.0 ELSE 0.0 END) OVER w', 'dst_port')} AS high_port_ratio",
+    f"{g('1 / nullif(avg(dt) OVER w, 0)', 'dt')} AS packet_rate",
+    f"{g('1 / nullif(stddev_samp(dt) OVER w, 0)', 'dt')} AS packet_rate_std",
+    f"{g('entropy(src_ip) OVER w * ln(2)', 'src_ip')} AS src_ip_entropy",
+    f"{g('entropy(dst_ip) OVER w * ln(2)', 'dst_ip')} AS dst_ip_entropy",
+    f"{g('stddev_samp(packet_size) OVER w / nullif(avg(packet_size) OVER w, 0)', 'packet_size')} AS traffic_burstiness",
+    f"{g('1.0 / (1.0 + stddev_samp(packet_size) OVER w)', 'packet_size')} AS traffic_regularity",
+    f"{g('entropy(hour) OVER w * ln(2)', 'hour')} AS hour_entropy",
+    f"{g('entropy(day_of_week) OVER w * ln(2)', 'day_of_week')} AS day_entropy",
+] + [_corr_sql(a, b) for i, a in enumerate(_CORR_COLS) for b in _CORR_COLS[i + 1:]]
+register("j1_feature_row", with_(FLOWS, TIMEF, _J1_SRC) + "SELECT flow_id, " + ",\n ".join(_J1_COLS) + f" FROM allf {GW}")

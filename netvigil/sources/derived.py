@@ -54,7 +54,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def load_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flows_from_events(spread(read_table(spark, sf_dir, "events")))
+    return flows_from_events(read_table(spark, sf_dir, "events"))
 
 
 def clusters_df(spark: SparkSession, registry=None) -> DataFrame:
@@ -115,7 +115,11 @@ def votes_column(flow_id: Column, registry=None) -> Column:
 
 
 def flows_with_votes(flows: DataFrame, registry=None) -> DataFrame:
-    """flows + ``votes`` array (J3: every flow x every detector, map-side only)."""
+    """flows + ``votes`` array (J3: every flow x every detector, map-side only).
+
+    Vote generation and the decision on top of it are the CPU-heavy per-row
+    steps, so a scan with fewer splits than cores is spread first."""
+    flows = spread(flows)
     return flows.withColumn("votes", votes_column(F.col("flow_id"), registry))
 
 
@@ -142,7 +146,7 @@ def host_metrics_from_events(events: DataFrame) -> DataFrame:
 
 
 def load_host_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return host_metrics_from_events(spread(read_table(spark, sf_dir, "events")))
+    return host_metrics_from_events(read_table(spark, sf_dir, "events"))
 
 
 def eval_predictions(flows_votes: DataFrame) -> DataFrame:

@@ -66,6 +66,34 @@ def _exprs(w, n: int, wanted: set, corr_cols=CORR_COLUMNS):
     return {k: v for k, v in e.items() if k in wanted}
 
 
+_INPUTS = {
+    "packet_size": ("packet_size_mean", "packet_size_std", "packet_size_min", "packet_size_max",
+                    "packet_size_median", "traffic_burstiness", "traffic_regularity"),
+    "flow_duration": ("flow_duration_mean", "flow_duration_std"),
+    "src_ip": ("unique_src_ips", "src_ip_entropy"),
+    "dst_ip": ("unique_dst_ips", "dst_ip_entropy"),
+    "src_port": ("unique_src_ports",),
+    "dst_port": ("unique_dst_ports",),
+    "_high_port": ("high_port_ratio",),
+    "hour": ("hour_entropy",),
+    "day_of_week": ("day_entropy",),
+}
+
+
+def input_columns(features) -> list:
+    """Columns each requested feature reads (the halo numbering persists its
+    input, so it must be pruned before, not after)."""
+    need = set()
+    for f in features:
+        for a, b in combinations(CORR_COLUMNS, 2):
+            if f == f"corr_{a}_{b}":
+                need.update((a, b))
+        for col, users in _INPUTS.items():
+            if f in users:
+                need.add(col)
+    return sorted(need)
+
+
 def rolling_features(flows: DataFrame, features=BASIC + ADVANCED, n: int = WINDOW_SIZE,
                      key_cols=(), mode: str = "auto", block_rows: int | None = None,
                      keep=("flow_id",), num_partitions: int | None = None) -> DataFrame:
@@ -78,6 +106,7 @@ def rolling_features(flows: DataFrame, features=BASIC + ADVANCED, n: int = WINDO
     if needs_time:
         src = src.withColumn("hour", hour_of_day("timestamp")).withColumn("day_of_week", day_of_week("timestamp"))
     src = src.withColumn("_high_port", high_port("dst_port"))
+    src = src.select(*dict.fromkeys(list(cols) + list(ORDER) + input_columns(features)))
     fr = halo.frame(src, ORDER, n, key_cols, mode=mode, block_rows=block_rows,
                     num_partitions=num_partitions)
     w = fr.rows(n)

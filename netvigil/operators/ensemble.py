@@ -43,8 +43,12 @@ def nest_votes(long_votes: DataFrame, key: str = "flow_id", extra=()) -> DataFra
     ``collect_list`` is combined map side, and a group holds one flow's votes
     (bounded by the number of detectors)."""
     fields = [c for c in VOTE_FIELDS if c in long_votes.columns]
-    return (long_votes.groupBy(key, *extra)
-            .agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("votes")))
+    # One vote per (flow, detector) first: re-sent copies of a flow are merged
+    # map side, so the collected group stays bounded by the detector count
+    # even when one flow id is repeated a huge number of times.
+    one = (long_votes.groupBy(key, *extra, "ordinal")
+           .agg(F.max_by(F.struct(*fields), F.struct(*fields)).alias("v")))
+    return one.groupBy(key, *extra).agg(F.sort_array(F.collect_list("v")).alias("votes"))
 
 
 def _weight_of(cfg: EnsembleConfig):

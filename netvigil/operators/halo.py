@@ -43,18 +43,26 @@ def _partitions(df: DataFrame) -> int:
 
 
 def with_global_index(df: DataFrame, order_cols, num_partitions: int | None = None,
-                      idx_col: str = "_idx", persist: bool = True) -> DataFrame:
+                      idx_col: str = "_idx", persist: bool = True, reliable: bool = False) -> DataFrame:
     """Adds a dense 0-based row number in ``order_cols`` order (must be a total order).
 
     Distributed: no single-partition window, nothing but one count per
-    partition reaches the driver.
+    partition reaches the driver.  The numbered rows are persisted between
+    the count job and their use (lost blocks are recomputed: the range bounds
+    are fixed once sampled and the order is total, so the numbering is
+    reproducible); ``reliable=True`` checkpoints them to the shared
+    ``spark.checkpoint.dir`` instead, cutting the lineage for long pipelines.
     """
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     n = num_partitions or _partitions(df)
     ranged = (df.repartitionByRange(n, *order_cols)
                 .sortWithinPartitions(*order_cols)
                 .withColumn("_mid", F.monotonically_increasing_id()))
-    if persist:
+    if reliable:
+        from ..session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(df.sparkSession)
+        ranged = ranged.checkpoint(eager=True)
+    elif persist:
         ranged = ranged.persist(StorageLevel.MEMORY_AND_DISK)
     counts = (ranged.groupBy(F.shiftright("_mid", 33).alias("pid"))
                     .agg(F.count(F.lit(1)).alias("n")).collect())

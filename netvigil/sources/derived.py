@@ -49,6 +49,8 @@ def spread(df: DataFrame) -> DataFrame:
     """Round-robin the rows over all cores when the scan yields fewer splits
     than cores (a small file with one row group is one split).  Large inputs
     already have many splits and are returned untouched (no shuffle)."""
+    if df.isStreaming:  # micro-batches are planned per trigger
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

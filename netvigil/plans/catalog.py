@@ -18,9 +18,20 @@ from ..sources import derived
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
+def pin_utc(spark: SparkSession) -> None:
+    """Flow timestamps are UTC wall-clock (TIMESTAMP_NTZ in the tables); casts
+    to TIMESTAMP for event-time windows and epochs must use UTC."""
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def query(key: str):
     def deco(fn):
-        QUERIES[key] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            pin_utc(spark)
+            return fn(spark, sf_dir)
+        run.__name__, run.__doc__ = fn.__name__, fn.__doc__
+        QUERIES[key] = run
         return fn
     return deco
 

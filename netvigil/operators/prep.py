@@ -224,6 +224,9 @@ def correlation_pairs(df: DataFrame, cols) -> DataFrame:
     return row.selectExpr(f"stack({n}, {pairs}) AS (feature_a, feature_b, r)")
 
 
+ONE_TOL = 1e-12
+
+
 def correlated_to_drop(corr: dict, cols, threshold: float = CORRELATION_THRESHOLD) -> list:
     """X5 greedy rule on the p x p matrix: walk pairs row-major; when |r| > t,
     r != 1.0 and neither column is already dropped, drop the later one."""
@@ -233,7 +236,9 @@ def correlated_to_drop(corr: dict, cols, threshold: float = CORRELATION_THRESHOL
             if i == j:
                 continue
             r = corr.get((a, b), corr.get((b, a)))
-            if r is None or abs(r) <= threshold or r == 1.0:
+            # r == 1.0 (an exact duplicate column) is not a reason to drop;
+            # "1.0" allows for floating noise in the correlation itself
+            if r is None or abs(r) <= threshold or abs(r - 1.0) <= ONE_TOL:
                 continue
             if i not in drop and j not in drop:
                 drop.add(j)

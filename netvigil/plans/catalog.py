@@ -594,14 +594,17 @@ def x5_feature_correlations(spark, sf_dir):
 
 @query("x5_selected_features")
 def x5_selected_features(spark, sf_dir):
-    """Greedy correlated-column removal; the p^2 decision runs on the driver,
-    so this is checked against a brute-force implementation in tests."""
-    from ..operators.prep import correlation_pairs, correlated_to_drop, impute_zero
-    pairs = correlation_pairs(impute_zero(_flows(spark, sf_dir)), NUMERIC_FLOW_COLS)
+    """Greedy correlated-feature removal over the extracted rolling features
+    (missing values filled with 0 first, as the training path does).  The
+    p x p matrix is one aggregation; only its p^2 numbers reach the driver."""
+    from ..operators.features import ADVANCED, BASIC
+    from ..operators.prep import correlation_pairs, correlated_to_drop
+    feats = list(BASIC + ADVANCED)
+    x = _rolling(spark, sf_dir, tuple(feats)).na.fill(0)
+    pairs = correlation_pairs(x, feats)
     corr = {(r["feature_a"], r["feature_b"]): r["r"] for r in pairs.collect()}
-    dropped = set(correlated_to_drop(corr, list(NUMERIC_FLOW_COLS)))
-    return pairs.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(c not in dropped).alias("kept"))
-                                           for c in NUMERIC_FLOW_COLS])).alias("s")).select("s.*").distinct()
+    dropped = set(correlated_to_drop(corr, feats))
+    return spark.createDataFrame([(f, f not in dropped) for f in feats], "feature string, kept boolean")
 
 
 @query("x6_anova_f")

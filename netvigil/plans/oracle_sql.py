@@ -496,3 +496,30 @@ _J1_COLS = [
     f"{g('entropy(day_of_week) OVER w * ln(2)', 'day_of_week')} AS day_entropy",
 ] + [_corr_sql(a, b) for i, a in enumerate(_CORR_COLS) for b in _CORR_COLS[i + 1:]]
 register("j1_feature_row", with_(FLOWS, TIMEF, _J1_SRC) + "SELECT flow_id, " + ",\n ".join(_J1_COLS) + f" FROM allf {GW}")
+
+
+# X5 greedy rule replayed in SQL: a recursive walk over the features in order;
+# a feature still kept drops every later-checked feature it correlates with
+# (|r| > 0.95, r <> 1.0) that is not dropped yet.
+_X5_FEATS = ["packet_size_mean", "packet_size_std", "packet_size_min", "packet_size_max", "packet_size_median",
+             "flow_duration_mean", "flow_duration_std", "unique_src_ips", "unique_dst_ips", "unique_src_ports",
+             "unique_dst_ports", "high_port_ratio", "packet_rate", "packet_rate_std", "src_ip_entropy",
+             "dst_ip_entropy", "traffic_burstiness", "traffic_regularity", "hour_entropy", "day_entropy"]
+_X5_ROW = "fr AS (SELECT flow_id, " + ",\n ".join(_J1_COLS[:20]) + f" FROM allf {GW})"
+_X5_LONG = "lg AS (" + " UNION ALL ".join(
+    f"SELECT flow_id, {i} AS i, CAST(coalesce({f}, 0) AS DOUBLE) AS x FROM fr" for i, f in enumerate(_X5_FEATS, 1)) + ")"
+_X5_PAIRS = """pairs AS (SELECT a.i, b.i AS j, covar_pop(a.x, b.x) / nullif(stddev_pop(a.x) * stddev_pop(b.x), 0) AS r
+ FROM lg a JOIN lg b ON a.flow_id = b.flow_id AND a.i <> b.i GROUP BY a.i, b.i)"""
+_X5_FEATS_CTE = "feats AS (SELECT * FROM (VALUES " + ", ".join(
+    f"('{f}', {i})" for i, f in enumerate(_X5_FEATS, 1)) + ") t(feature, i))"
+register("x5_selected_features", "WITH RECURSIVE " + ",\n".join([FLOWS, TIMEF, _J1_SRC, _X5_ROW, _X5_LONG, _X5_PAIRS,
+    _X5_FEATS_CTE, """walk(step, dropped) AS (
+  SELECT 0, CAST([] AS INTEGER[])
+  UNION ALL
+  SELECT w.step + 1,
+    CASE WHEN list_contains(w.dropped, w.step + 1) THEN w.dropped
+    ELSE list_concat(w.dropped, coalesce((SELECT list(p.j ORDER BY p.j) FROM pairs p
+       WHERE p.i = w.step + 1 AND abs(p.r) > 0.95 AND abs(p.r - 1.0) > 1e-12 AND NOT list_contains(w.dropped, p.j)),
+       CAST([] AS INTEGER[]))) END
+  FROM walk w WHERE w.step < (SELECT count(*) FROM feats))"""]) + """
+SELECT f.feature, NOT list_contains((SELECT dropped FROM walk ORDER BY step DESC LIMIT 1), f.i) AS kept FROM feats f""")

@@ -523,3 +523,18 @@ register("x5_selected_features", "WITH RECURSIVE " + ",\n".join([FLOWS, TIMEF, _
        CAST([] AS INTEGER[]))) END
   FROM walk w WHERE w.step < (SELECT count(*) FROM feats))"""]) + """
 SELECT f.feature, NOT list_contains((SELECT dropped FROM walk ORDER BY step DESC LIMIT 1), f.i) AS kept FROM feats f""")
+
+
+# M3: which detectors train and on how many rows follows from X3 + X4 alone
+# (statuses and sizes; the fitted weights themselves have no SQL twin).
+register("m3_train_all_detectors", TRAIN + f""", sp AS (SELECT attack_type, y, flow_id,
+   row_number() OVER (PARTITION BY attack_type, y ORDER BY {HK}, flow_id) AS rk,
+   count(*) OVER (PARTITION BY attack_type, y) AS n FROM tset),
+ lab AS (SELECT attack_type, CASE WHEN rk <= round(n * 0.2) THEN 'test'
+   WHEN rk <= round(n * 0.2) + round(n * 0.1) THEN 'val' ELSE 'train' END AS split FROM sp),
+ sz AS (SELECT attack_type, CAST(sum(CASE WHEN split = 'train' THEN 1 ELSE 0 END) AS BIGINT) AS n_train,
+   CAST(sum(CASE WHEN split = 'test' THEN 1 ELSE 0 END) AS BIGINT) AS n_test FROM lab GROUP BY attack_type)
+SELECT c.ordinal, c.cluster_id, c.attack_type, c.model_type,
+ CASE WHEN coalesce(sz.n_train, 0) > 0 THEN 'trained' ELSE 'no_data' END AS status,
+ coalesce(sz.n_train, 0) AS n_train, coalesce(sz.n_test, 0) AS n_test, CAST(NULL AS VARCHAR) AS error
+FROM clusters c LEFT JOIN sz ON sz.attack_type = c.attack_type""")

@@ -89,14 +89,18 @@ def best_by_metric(report: DataFrame, order_col: str = "ordinal") -> DataFrame:
     return out
 
 
-def roc_auc_scores(scored: DataFrame, keys=("cluster_id",), score_col: str = "score") -> DataFrame:
+def roc_auc_scores(scored: DataFrame, keys=("cluster_id",), score_col: str = "score",
+                   digits: int = 6) -> DataFrame:
     """A4 with scores: rank-sum AUC per detector, ties counted half.
 
-    Groups by (key, score) first (partial aggregation) so a detector's rows are
-    never collected into one task; the cumulative negative count uses a window
-    over the distinct scores of one detector.
+    Scores are rounded to ``digits`` decimals and grouped by (key, score)
+    first (partial aggregation), so a detector's rows are never collected into
+    one task; the cumulative negative count then runs over at most
+    10**digits + 1 distinct scores per detector (bounded by the parameter,
+    not by the data).
     """
     from pyspark.sql import Window
+    scored = scored.withColumn(score_col, F.round(F.col(score_col).cast("double"), digits))
     g = scored.groupBy(*keys, score_col).agg(
         F.sum(F.col("y_true")).alias("pos"), F.sum(1 - F.col("y_true")).alias("neg"))
     w = Window.partitionBy(*keys).orderBy(score_col).rowsBetween(Window.unboundedPreceding, -1)

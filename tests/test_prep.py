@@ -71,3 +71,12 @@ def test_unknown_dataset_is_error():
     import pytest
     with pytest.raises(ValueError):
         prep.canonical_label(None, "no_such_dataset")
+
+
+def test_roc_auc_scores_rank_sum(spark):
+    from netvigil.operators.evaluate import roc_auc_scores
+    rows = [("d", 0.9, 1), ("d", 0.8, 1), ("d", 0.7, 0), ("d", 0.8, 0), ("e", 0.5, 1)]
+    df = spark.createDataFrame(rows, "cluster_id string, score double, y_true int")
+    got = {r["cluster_id"]: r["roc_auc"] for r in roc_auc_scores(df).collect()}
+    # d: pairs (pos, neg): (0.9,0.7)=1 (0.9,0.8)=1 (0.8,0.7)=1 (0.8,0.8)=0.5 -> 3.5/4
+    assert abs(got["d"] - 0.875) < 1e-12 and got["e"] is None

@@ -95,9 +95,9 @@ def roc_auc_scores(scored: DataFrame, keys=("cluster_id",), score_col: str = "sc
 
     Scores are rounded to ``digits`` decimals and grouped by (key, score)
     first (partial aggregation), so a detector's rows are never collected into
-    one task; the cumulative negative count then runs over at most
-    10**digits + 1 distinct scores per detector (bounded by the parameter,
-    not by the data).
+    one task; for scores in [0, 1] (probabilities) the cumulative negative
+    count then runs over at most 10**digits + 1 distinct scores per detector
+    (bounded by the parameter, not by the data).
     """
     from pyspark.sql import Window
     scored = scored.withColumn(score_col, F.round(F.col(score_col).cast("double"), digits))

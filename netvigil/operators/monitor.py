@@ -119,7 +119,7 @@ def system_status(registry: DataFrame, votes_long: DataFrame) -> DataFrame:
     st = detector_status(votes_long)
     trained = votes_long.groupBy("cluster_id").agg(
         F.max(F.coalesce(F.col("is_trained"), F.lit(False)).cast("int")).alias("_t"))
-    return (F.broadcast(registry).join(st, "cluster_id", "left").join(trained, "cluster_id", "left")
+    return (registry.join(st, "cluster_id", "left").join(trained, "cluster_id", "left")
             .select("cluster_id", "attack_type", "model_type",
                     (F.coalesce(F.col("_t"), F.lit(0)) == 1).alias("is_trained"),
                     F.coalesce(F.col("prediction_count"), F.lit(0).cast("long")).alias("prediction_count"),

@@ -202,7 +202,7 @@ def stratified_split(df: DataFrame, label: str = "label", id_col: str = "flow_id
     h = hash_key(id_col, seed)
     idx = halo.with_global_index(df.withColumn("_h", h), [label, "_h", id_col])
     per = idx.groupBy(label).agg(F.min("_idx").alias("_start"), F.count(F.lit(1)).alias("_n"))
-    j = idx.join(F.broadcast(per), label)  # one row per class
+    j = idx.join(per, label)  # one row per class: AQE broadcasts it at run time
     rk = F.col("_idx") - F.col("_start") + 1
     n_test = F.round(F.col("_n") * test_size)
     n_val = F.round(F.col("_n") * val_size)

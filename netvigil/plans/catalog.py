@@ -25,11 +25,21 @@ def pin_utc(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def widen_integers(df: DataFrame) -> DataFrame:
+    """Every integral result column as 64-bit (the oracle side does the same),
+    so result schemas compare equal across engines."""
+    narrow = {"tinyint", "smallint", "int"}
+    if not any(f.dataType.simpleString() in narrow for f in df.schema.fields):
+        return df
+    return df.select(*[F.col(f.name).cast("long").alias(f.name) if f.dataType.simpleString() in narrow
+                       else F.col(f.name) for f in df.schema.fields])
+
+
 def query(key: str):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             pin_utc(spark)
-            return fn(spark, sf_dir)
+            return widen_integers(fn(spark, sf_dir))
         run.__name__, run.__doc__ = fn.__name__, fn.__doc__
         QUERIES[key] = run
         return fn

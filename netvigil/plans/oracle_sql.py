@@ -103,11 +103,40 @@ WEIGHTED_DECISIONS = weighted_decisions_sql()
 
 ORACLE: dict[str, str] = {}
 
+# Schema of the one base table the statements read (for type normalisation).
+EVENTS_DDL = ("CREATE TABLE events (event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, "
+              "value DOUBLE, props VARCHAR)")
+_INTEGERS = {"TINYINT", "SMALLINT", "INTEGER", "BIGINT", "HUGEINT", "UTINYINT", "USMALLINT", "UINTEGER", "UBIGINT"}
+
 
 def register(key: str, sql: str) -> None:
     ORACLE[key] = sql
 
 
+def normalized(sqls: dict) -> dict:
+    """Wrap each statement so every integer column comes out as BIGINT (DuckDB
+    sums give HUGEINT, Spark gives bigint).  Result types are found once by
+    describing the statement against an empty ``events`` table."""
+    import duckdb
+    con = duckdb.connect()
+    con.execute(EVENTS_DDL)
+    out = {}
+    for k, sql in sqls.items():
+        try:
+            rel = con.sql(sql)
+            cols = [(c, str(t)) for c, t in zip(rel.columns, rel.types)]
+        except Exception:  # noqa: BLE001 -- leave the statement as written
+            out[k] = sql
+            continue
+        if not any(t in _INTEGERS and t != "BIGINT" for _, t in cols):
+            out[k] = sql
+            continue
+        proj = ", ".join(f'CAST("{c}" AS BIGINT) AS "{c}"' if t in _INTEGERS else f'"{c}"' for c, t in cols)
+        out[k] = f"SELECT {proj} FROM (\n{sql}\n) AS oracle_result"
+    con.close()
+    return out
+
+
 register("e8_decision_summary", WEIGHTED_DECISIONS + """SELECT attack_type, severity, count(*) AS n_flows,
  sum(CASE WHEN conflicts_detected > 0 THEN 1 ELSE 0 END) AS n_conflict_flows,
  sum(CASE WHEN method = 'default' THEN 1 ELSE 0 END) AS n_default

@@ -85,7 +85,8 @@ def _rolling_update(n: int):
         else:
             prev = pd.DataFrame({"ts": [], "flow_id": [], "packet_size": []})
         new = new.sort_values(["ts", "flow_id"], kind="mergesort")
-        allrows = pd.concat([prev, new[["ts", "flow_id", "packet_size"]]], ignore_index=True)
+        cur = new[["ts", "flow_id", "packet_size"]]
+        allrows = pd.concat([prev, cur], ignore_index=True) if len(prev) else cur.reset_index(drop=True)
         vals = allrows["packet_size"].astype("float64")
         # pandas min_periods = n (NULL unless n values in the frame)
         mean = vals.rolling(n, min_periods=n).mean()

@@ -94,6 +94,49 @@ def input_columns(features) -> list:
     return sorted(need)
 
 
+def _raw_exprs(w, wanted: set, corr_cols=CORR_COLUMNS):
+    """Ungated window aggregates plus the input columns each one is gated on.
+
+    Gates are applied in a projection above the Window node from one count
+    per input column, instead of one identical count per feature."""
+    ps, fd = "packet_size", "flow_duration"
+    sd_ps = F.stddev_samp(ps).over(w)
+    e = {
+        "packet_size_mean": (F.avg(ps).over(w), [ps]),
+        "packet_size_std": (sd_ps, [ps]),
+        "packet_size_min": (F.min(ps).over(w), [ps]),
+        "packet_size_max": (F.max(ps).over(w), [ps]),
+        "packet_size_median": (F.percentile(F.col(ps), F.lit(0.5)).over(w), [ps]),
+        "flow_duration_mean": (F.avg(fd).over(w), [fd]),
+        "flow_duration_std": (F.stddev_samp(fd).over(w), [fd]),
+        "unique_src_ips": (F.size(F.collect_set("src_ip").over(w)), ["src_ip"]),
+        "unique_dst_ips": (F.size(F.collect_set("dst_ip").over(w)), ["dst_ip"]),
+        "unique_src_ports": (F.size(F.collect_set("src_port").over(w)), ["src_port"]),
+        "unique_dst_ports": (F.size(F.collect_set("dst_port").over(w)), ["dst_port"]),
+        "high_port_ratio": (F.avg("_high_port").over(w), ["_high_port"]),
+        "packet_rate": (F.try_divide(F.lit(1.0), F.avg("_dt").over(w)), ["_dt"]),
+        "packet_rate_std": (F.try_divide(F.lit(1.0), F.stddev_samp("_dt").over(w)), ["_dt"]),
+        "src_ip_entropy": (R.entropy_of(F.collect_list("src_ip").over(w)), ["src_ip"]),
+        "dst_ip_entropy": (R.entropy_of(F.collect_list("dst_ip").over(w)), ["dst_ip"]),
+        "traffic_burstiness": (F.try_divide(sd_ps, F.avg(ps).over(w)), [ps]),
+        "traffic_regularity": (1.0 / (1.0 + sd_ps), [ps]),
+        "hour_entropy": (R.entropy_of(F.collect_list("hour").over(w)), ["hour"]),
+        "day_entropy": (R.entropy_of(F.collect_list("day_of_week").over(w)), ["day_of_week"]),
+    }
+    for a, b in combinations(corr_cols, 2):
+        r = F.try_divide(F.covar_pop(a, b).over(w), F.stddev_pop(a).over(w) * F.stddev_pop(b).over(w))
+        e[f"corr_{a}_{b}"] = (r, [f"{a}&{b}"])
+    return {k: v for k, v in e.items() if k in wanted}
+
+
+def _gate_count(key: str, w):
+    """Non-null count in the frame for a column, or for a column pair ``a&b``."""
+    if "&" in key:
+        a, b = key.split("&")
+        return F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.lit(1))).over(w)
+    return F.count(F.col(key)).over(w)
+
+
 def rolling_features(flows: DataFrame, features=BASIC + ADVANCED, n: int = WINDOW_SIZE,
                      key_cols=(), mode: str = "auto", block_rows: int | None = None,
                      keep=("flow_id",), num_partitions: int | None = None) -> DataFrame:
@@ -113,9 +156,22 @@ def rolling_features(flows: DataFrame, features=BASIC + ADVANCED, n: int = WINDO
     df = fr.df
     if wanted & {"packet_rate", "packet_rate_std"}:
         df = df.withColumn("_dt", R.seconds_since_previous("timestamp", fr.window))
-    exprs = _exprs(w, n, wanted)
-    out = df.select(*[F.col(c) for c in cols], "_halo", "_blk",
-                    *[exprs[f].alias(f) for f in features if f in exprs])
+    raw = _raw_exprs(w, wanted)
+    gate_keys = sorted({k for _, keys in raw.values() for k in keys})
+    gname = {k: f"_n{i}" for i, k in enumerate(gate_keys)}
+    stage = df.select(*[F.col(c) for c in cols], "_halo", "_blk",
+                      *[raw[f][0].alias(f"_r_{f}") for f in features if f in raw],
+                      *[_gate_count(k, w).alias(gname[k]) for k in gate_keys])
+    gated = []
+    for f in features:
+        if f not in raw:
+            continue
+        cond = None
+        for k in raw[f][1]:
+            c = F.col(gname[k]) == n
+            cond = c if cond is None else cond & c
+        gated.append(F.when(cond, F.col(f"_r_{f}")).alias(f))
+    out = stage.select(*[F.col(c) for c in cols], "_halo", "_blk", *gated)
     return fr.finish(out)
 
 

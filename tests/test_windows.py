@@ -84,3 +84,16 @@ def test_entropy_bounds(spark):
     import math
     assert abs(e[0] - (-(0.5 * math.log(0.5) + 2 * 0.25 * math.log(0.25)))) < 1e-12
     assert e[1] == 0.0
+
+
+def test_plan_has_one_gate_count_per_column_and_no_global_window(spark):
+    """Plan check: gates share one count per input column, and the window is
+    partitioned by halo block (never a single-partition window)."""
+    import re
+    f = derived.load_flows(spark, SF)
+    df = features.rolling_features(f, ("packet_size_mean", "packet_size_std", "packet_size_min",
+                                       "packet_size_max", "traffic_burstiness"), block_rows=97)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    counts = re.findall(r"count\(packet_size#\d+\) windowspecdefinition", plan)
+    assert len(counts) == 1
+    assert re.search(r"windowspecdefinition\(_blk#\d+", plan)

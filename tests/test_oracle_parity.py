@@ -52,3 +52,18 @@ def test_entry_smoke(spark):
 def test_every_query_has_oracle_or_is_rows_only():
     rows_only = set(queries()) - set(oracle_sql())
     assert rows_only <= {"m4_score_flows", "m6_evaluate_detectors"}
+
+
+def test_oracle_integer_columns_are_bigint(duck):
+    """The oracle side reports every integer column as BIGINT (Spark: bigint)."""
+    narrow = {"TINYINT", "SMALLINT", "INTEGER", "HUGEINT"}
+    for key, sql in oracle_sql().items():
+        rel = duck.sql(sql)
+        bad = [(c, str(t)) for c, t in zip(rel.columns, rel.types) if str(t) in narrow]
+        assert not bad, (key, bad)
+
+
+def test_spark_integer_columns_are_bigint(spark):
+    for key in ("e4_weighted_voting", "w4_distinct_counts", "p7_hour_day_of_week"):
+        df = queries()[key](spark, SF)
+        assert all(f.dataType.simpleString() not in ("int", "smallint", "tinyint") for f in df.schema.fields), key

@@ -16,6 +16,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import sys
 from bisect import bisect_right
 
 from pyspark.sql import DataFrame
@@ -29,10 +30,12 @@ TOKENIZER = "word_bpe_49k.json"
 #: Pieces in a group: one task's memory (about 100 bytes a piece) and the bins a dynamic programme draws from.
 GROUP_PIECES = 20_000
 OPEN_SHARE = 0.004
-#: Words whose ids a Python worker remembers (about 200 bytes each).
-CACHE_WORDS = 500_000
-#: What the tokenizer's normaliser treats as white space; a token never crosses it.
-WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: Units whose ids a Python worker remembers (about 170 bytes each).
+CACHE_WORDS = 1_200_000
+# The units of the tokenizer file, for ASCII and for all texts.
+_ASCII_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+"
+_PARTS = (r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|"
+          r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\p{L}\p{N}]+")
 
 _cache: dict[str, bytes] = {}
 _loaded: dict[str, object] = {}
@@ -52,25 +55,41 @@ def _tokenizer(path: str):
     return _loaded[path]
 
 
-def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
-    """The ids of each whole text as little-endian unsigned 32-bit integers."""
+def _parts(text: str) -> list[str]:
+    """The tokenizer's own units of a text (its normaliser and pre-tokenizer): merges never cross them."""
     import re
+    import unicodedata
+
+    if text.isascii():
+        return re.findall(_ASCII_PARTS, text.lower())
+    import regex
+
+    text = unicodedata.normalize("NFC", text)
+    text = "".join([c.lower() for c in text]) if "\u03a3" in text else text.lower()  # a final sigma is not told apart
+    return regex.findall(_PARTS, text)
+
 
-    import numpy as np
+def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
+    """The ids of each whole text as little-endian unsigned 32-bit integers.
+
+    A unit's ids do not depend on what stands around it, so the ids of units met
+    before are remembered; the tokenizer itself runs on new ones.
+    """
+    from array import array
 
     tok = _tokenizer(path)
-    split = [re.findall(f"[^{WHITE}]+", t or "") for t in texts]
-    out = []
+    split = [_parts(t or "") for t in texts]
     if len(_cache) > CACHE_WORDS:
         _cache.clear()
     new = list({w for ws in split for w in ws if w not in _cache})
     for at in range(0, len(new), 10_000):
         part = new[at:at + 10_000]
         for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False)):
-            _cache[w] = np.array(e.ids, dtype="<u4").tobytes()
-    for ws in split:
-        out.append(b"".join([_cache[w] for w in ws]))
-    return out
+            ids = array("I", e.ids)
+            if sys.byteorder == "big":
+                ids.byteswap()
+            _cache[w] = ids.tobytes()
+    return [b"".join([_cache[w] for w in ws]) for ws in split]
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:

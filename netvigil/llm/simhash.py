@@ -21,7 +21,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netvigil.llm.common import components, cut, prepare
+from netvigil.llm.common import components, cut, prepare, tasks
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -72,7 +72,8 @@ def ball_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     fp = fps.columns[0]
     masks = [sum(1 << i for i in pick) for k in range(max_bits // 2 + 1) for pick in combinations(range(64), k)]
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
-    variants = (fps.select(F.col(fp).alias("fp"),
+    dealt = fps.repartition(tasks(fps.sparkSession), fp)  # small rows that each become 65
+    variants = (dealt.select(F.col(fp).alias("fp"),
                            F.explode(F.array(*[F.lit(m).cast("long") for m in signed])).alias("mask"))
                 .select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant")))
     met = (variants.groupBy("variant").agg(F.min("fp").alias("a"), F.collect_list("fp").alias("members"))

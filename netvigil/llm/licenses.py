@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from netvigil.llm.common import cut, prepare
 
 THRESHOLD = 0.6
-FILE_THRESHOLD = 0.35
+FILE_THRESHOLD = 0.5
 
 # Public licence notices, short forms and headers.
 TEMPLATES = {

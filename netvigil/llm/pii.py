@@ -11,8 +11,9 @@ once is the same phone where it stands without its prefix.  Base spans are obser
 so they stay; a mention whose marginal for a kind passes ``ACCEPT`` is added.
 
 Unary weights are a softmax fitted on mention shapes counted over at most ``FIT_DOCS``
-documents, drawn by hash, with the patterns as labels; the skip weight is the
-log-odds that similar mentions of those documents agree.
+documents, drawn by hash, with the patterns as labels (look-alikes of a base span are
+left out: the field decides about them); the skip weight is the log-odds that similar
+base spans of those documents are of one kind.
 
 Defined results: a null text counts as empty; rows that repeat a doc_id are scanned
 each; matches that fail their check are dropped without a retry inside them; an empty
@@ -34,6 +35,8 @@ from netvigil.llm.common import prepare
 FIT_DOCS = 5_000
 ACCEPT = 0.5
 SWEEPS = 12
+#: Agreeing pairs assumed before any is seen (one that disagrees is assumed beside them).
+SKIP_PRIOR = 100.0
 #: Code points between neighbours of the chain.
 CHAIN_GAP = 80
 #: Two numbers are similar if the shorter has this many digits and ends the longer.
@@ -227,21 +230,27 @@ def fit(docs: DataFrame) -> Model:
             shapes, pairs, links = [], [], []
             for t in b.column(0).to_pylist():
                 nodes = mentions(t or "", base_spans(t or ""))
-                for m in nodes:
-                    shapes.append(repr(m.shape))
-                    pairs.append(m.label)
-                    links.append(0)
+                unknown = set()  # a look-alike of a base span is what the field decides later, not a label
                 for a, c in skip_edges(nodes):
-                    shapes.append("skip")
-                    pairs.append(int(nodes[a].label == nodes[c].label))
-                    links.append(1)
+                    known = [i for i in (a, c) if nodes[i].label < len(KINDS)]
+                    if len(known) == 2:
+                        shapes.append("skip")
+                        pairs.append(int(nodes[a].label == nodes[c].label))
+                        links.append(1)
+                    elif known:
+                        unknown |= {a, c} - set(known)
+                for i, m in enumerate(nodes):
+                    if i not in unknown:
+                        shapes.append(repr(m.shape))
+                        pairs.append(m.label)
+                        links.append(0)
             yield pa.RecordBatch.from_arrays([pa.array(shapes, pa.string()), pa.array(pairs, pa.int32()), pa.array(links, pa.int32())],
                                              names=["shape", "label", "link"])
 
     # shapes take a few hundred values, so this is a small table
     rows = sample.mapInArrow(count, "shape string, label int, link int").groupBy("shape", "label", "link").agg(F.count(F.lit(1)).alias("n")).collect()
     agree = {r.label: r.n for r in rows if r.link}
-    skip = math.log((agree.get(1, 0) + 9.0) / (agree.get(0, 0) + 1.0))
+    skip = math.log((agree.get(1, 0) + SKIP_PRIOR) / (agree.get(0, 0) + 1.0))
     import ast
 
     data = [(ast.literal_eval(r.shape), r.label, r.n) for r in rows if not r.link]

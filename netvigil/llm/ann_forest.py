@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from netvigil.llm.common import cut, prepare
 
 TREES, DEPTH = 48, 24
-SHARE = 0.55
+SHARE = 0.5
 NEAREST = 20
 #: Vectors of a shard and queries of a block: what one task holds.
 SHARD_ROWS, BLOCK_ROWS = 8_192, 512
@@ -50,27 +50,37 @@ def _codes(x, extra):
     return bits.reshape(len(x), TREES, DEPTH).astype(np.int64) @ (1 << np.arange(DEPTH - 1, -1, -1))
 
 
-def candidates(order, codes, query, want: int):
-    """Positions that the query meets: all under the longest common level that covers ``want``.
+def ranges(codes, queries):
+    """Per level (0 to DEPTH), tree and query: where the sorted array holds the query's prefix."""
+    import numpy as np
+
+    lo = np.empty((DEPTH + 1, TREES, len(queries)), dtype=np.int32)
+    hi = np.empty_like(lo)
+    for t in range(TREES):
+        for level in range(DEPTH + 1):
+            prefix = queries[:, t] >> (DEPTH - level) << (DEPTH - level)
+            lo[level, t] = np.searchsorted(codes[t], prefix)
+            hi[level, t] = np.searchsorted(codes[t], prefix + (1 << (DEPTH - level)))
+    return lo, hi
+
+
+def candidates(order, lo, hi, want: int):
+    """Positions that one query meets: all under the longest common level that covers ``want``.
 
-    ``order``/``codes``: per tree the sorted positions and hash strings; ``query``: a hash string per tree.
+    ``order``: per tree the positions in the order of their hash strings; ``lo``/``hi``: the query's ``ranges``.
     """
     import numpy as np
 
-    seen = np.zeros(order.shape[1], dtype=bool)
-    lo = [0] * TREES
-    hi = [0] * TREES
-    for level in range(DEPTH, -1, -1):
-        shift = DEPTH - level
+    level = DEPTH
+    while level and (hi[level] - lo[level]).sum() < want:  # even without overlap too few: ascend
+        level -= 1
+    while True:
+        seen = np.zeros(order.shape[1], dtype=bool)
         for t in range(TREES):
-            prefix = int(query[t]) >> shift << shift
-            a, b = np.searchsorted(codes[t], [prefix, prefix + (1 << shift)])
-            if b - a > hi[t] - lo[t]:  # only what the shorter prefix adds
-                seen[order[t, a:b]] = True
-                lo[t], hi[t] = a, b
-        if np.count_nonzero(seen) >= want:
-            break
-    return np.flatnonzero(seen)
+            seen[order[t, lo[level, t]:hi[level, t]]] = True
+        if not level or np.count_nonzero(seen) >= want:
+            return np.flatnonzero(seen)
+        level -= 1
 
 
 def _valid(rows: DataFrame, ids: str, vectors: str) -> DataFrame:
@@ -128,16 +138,16 @@ def search(queries: DataFrame, rows: DataFrame, nearest: int = NEAREST, ids: str
                 codes = np.frombuffer(r["codes"], "<i8").reshape(TREES, -1)
                 qid = np.frombuffer(r["query_ids"], "<i8")
                 q = np.frombuffer(r["q"], "<f8").reshape(-1, dim)
-                hashes = _codes(q, np.zeros(len(q)))
+                lo, hi = ranges(codes, _codes(q, np.zeros(len(q))))
                 out_q, out_v, out_s = [], [], []
                 for i in range(len(q)):
-                    near = candidates(order, codes, hashes[i], int(np.ceil(SHARE * len(ids_))) + 1)
+                    near = candidates(order, lo[:, :, i], hi[:, :, i], int(np.ceil(SHARE * len(ids_))) + 1)
                     near = near[ids_[near] != qid[i]]
-                    score = (x[near] * q[i]).sum(axis=1)
-                    if len(near) > nearest:  # ties with the last stay, the merge decides
-                        last = np.partition(score, len(score) - nearest)[len(score) - nearest]
-                        keep = score >= last
-                        near, score = near[keep], score[keep]
+                    if len(near) > nearest:  # what may tie with the last stays, the merge decides
+                        rough = x[near] @ q[i]
+                        last = np.partition(rough, len(rough) - nearest)[len(rough) - nearest]
+                        near = near[rough >= last - 1e-9 * max(1.0, abs(last))]
+                    score = (x[near] * q[i]).sum(axis=1)  # summed alike for every row, so equal vectors tie
                     out_q.append(np.full(len(near), qid[i]))
                     out_v.append(ids_[near])
                     out_s.append(score)

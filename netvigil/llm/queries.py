@@ -70,9 +70,9 @@ QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ann_forest, op3_bin_slack
 #: DuckDB SQL for the rows of ``op10_decontaminate``: all item-sized windows with an anchor, exact similarity, best window.
 ORACLE = {
     "op10_decontaminate": r"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') AS w
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
            FROM documents WHERE text IS NOT NULL),
-i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') AS w
+i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
       FROM benchmark WHERE text IS NOT NULL),
 il AS (SELECT item_id, w, len(w) AS n, least(len(w), 5) AS k FROM i WHERE len(w) > 0),
 ish AS (SELECT item_id, n, k, w[q:q + k - 1] AS sh, count(*) AS c

@@ -33,9 +33,14 @@ def severity(attack_type, confidence, n_conflicts, digits: int = 6) -> Column:
 
 
 def is_valid_vote(v) -> Column:
-    """Trained, strictly positive confidence, no error."""
+    """Trained, strictly positive confidence, a prediction, no error.
+
+    NaN is not positive (Spark orders it above every number), and a vote without a
+    prediction cannot be counted for a class."""
     return (F.coalesce(v["is_trained"], F.lit(False))
             & (F.coalesce(v["confidence"], F.lit(0.0)) > 0)
+            & ~F.isnan(F.coalesce(v["confidence"], F.lit(0.0)))
+            & v["prediction"].isNotNull()
             & v["error"].isNull())
 
 

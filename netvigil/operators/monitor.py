@@ -129,8 +129,8 @@ def system_status(registry: DataFrame, votes_long: DataFrame) -> DataFrame:
 # --- history views (L1-L3) ----------------------------------------------------
 
 def latest(df: DataFrame, n: int, order=("ts", "flow_id")) -> DataFrame:
-    """L1: the ``n`` most recent rows (top-k), to be read oldest first."""
-    return df.orderBy(*[F.col(c).desc() for c in order]).limit(n)
+    """L1: the ``n`` most recent rows (top-k), oldest first."""
+    return df.orderBy(*[F.col(c).desc() for c in order]).limit(n).orderBy(*order)
 
 
 def threats(decisions: DataFrame, window: int = 100, first: int = 20,

@@ -73,7 +73,8 @@ def ordinal_codes(df: DataFrame, col: str, out_col: str | None = None) -> DataFr
     code table when small and splits skewed values when not.
     """
     out_col = out_col or f"{col}_code"
-    codes = halo.with_global_index(df.select(col).distinct(), [col], idx_col=out_col)
+    # NULL has no code, and must not take the first one from a value
+    codes = halo.with_global_index(df.select(col).where(F.col(col).isNotNull()).distinct(), [col], idx_col=out_col)
     return df.join(codes, col, "left")
 
 
@@ -227,22 +228,20 @@ def correlation_pairs(df: DataFrame, cols) -> DataFrame:
 ONE_TOL = 1e-12
 
 
-def correlated_to_drop(corr: dict, cols, threshold: float = CORRELATION_THRESHOLD) -> list:
-    """X5 greedy rule on the p x p matrix: walk pairs row-major; when |r| > t,
-    r != 1.0 and neither column is already dropped, drop the later one."""
-    drop = set()
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            if i == j:
-                continue
-            r = corr.get((a, b), corr.get((b, a)))
-            # r == 1.0 (an exact duplicate column) is not a reason to drop;
-            # "1.0" allows for floating noise in the correlation itself
-            if r is None or abs(r) <= threshold or abs(r - 1.0) <= ONE_TOL:
-                continue
-            if i not in drop and j not in drop:
-                drop.add(j)
-    return [cols[j] for j in sorted(drop)]
+def correlated_to_drop(corr: dict, cols, threshold: float = CORRELATION_THRESHOLD, one_tol: float = ONE_TOL) -> list:
+    """Walk the columns in order; each one that stays removes the later columns
+    it is strongly correlated with (|r| > ``threshold``).  An exact duplicate (r = 1
+    up to ``one_tol``, the noise of the correlation itself) is not removed."""
+    def strong(a, b):
+        r = corr.get((a, b), corr.get((b, a)))
+        return r is not None and abs(r) > threshold and abs(r - 1.0) > one_tol
+
+    kept, left = [], list(cols)
+    while left:
+        head, *rest = left
+        kept.append(head)
+        left = [c for c in rest if not strong(head, c)]
+    return [c for c in cols if c not in kept]
 
 
 def drop_correlated(df: DataFrame, cols, threshold: float = CORRELATION_THRESHOLD):
@@ -260,12 +259,13 @@ def anova_f(df: DataFrame, cols, label: str = "label") -> DataFrame:
     One grouped aggregation (count, mean, population variance per class) ->
     small table -> F = (SSB / (k - 1)) / (SSW / (N - k)).
     """
+    # rows are counted per feature: means and variances skip NULLs
     stats = df.groupBy(label).agg(
-        F.count(F.lit(1)).alias("n"),
+        *[F.count(c).alias(f"n_{i}") for i, c in enumerate(cols)],
         *[F.avg(F.col(c).cast("double")).alias(f"m_{i}") for i, c in enumerate(cols)],
         *[F.var_pop(F.col(c).cast("double")).alias(f"v_{i}") for i, c in enumerate(cols)])
-    stack = ", ".join(f"'{c}', m_{i}, v_{i}" for i, c in enumerate(cols))
-    long = stats.selectExpr(label, "n", f"stack({len(cols)}, {stack}) AS (feature, m, v)")
+    stack = ", ".join(f"'{c}', n_{i}, m_{i}, v_{i}" for i, c in enumerate(cols))
+    long = stats.selectExpr(label, f"stack({len(cols)}, {stack}) AS (feature, n, m, v)").where("n > 0")
     tot = long.groupBy("feature").agg(
         F.sum("n").alias("n_total"), F.count(F.lit(1)).alias("k"),
         (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("gm"))

@@ -306,7 +306,7 @@ def p16_vote_validity(spark, sf_dir):
     v = derived.votes_long(_fv(spark, sf_dir))
     return v.groupBy("cluster_id").agg(
         F.count(F.lit(1)).alias("n_votes"),
-        F.sum(is_valid_vote(F.struct("is_trained", "confidence", "error")).cast("long")).alias("n_valid"))
+        F.sum(is_valid_vote(F.struct("is_trained", "confidence", "prediction", "error")).cast("long")).alias("n_valid"))
 
 
 @query("p17_detector_defaults")
@@ -401,7 +401,8 @@ def a15_system_status(spark, sf_dir):
 @query("l1_recent_decisions")
 def l1_recent_decisions(spark, sf_dir):
     from ..operators.monitor import latest
-    return latest(_decide(spark, sf_dir), 100).select(*DECISION_COLS)
+    recent = latest(_decide(spark, sf_dir), 100)  # the place is read off the returned order, not recomputed
+    return recent.withColumn("position", F.monotonically_increasing_id() + 1).select(*DECISION_COLS, "position")
 
 
 @query("l1_recent_conflicts")

@@ -317,7 +317,8 @@ register("a15_system_status", with_(FLOWS, CLUSTERS, PREDS, OKP, A7) + """SELECT
  coalesce((SELECT bool_or(coalesce(p.is_trained, false)) FROM preds p WHERE p.cluster_id = c.cluster_id), false) AS is_trained,
  coalesce(a7.prediction_count, 0) AS prediction_count, round(coalesce(a7.avg_prediction_time, 0.0), 6) + 0.0 AS avg_prediction_time
  FROM clusters c LEFT JOIN a7 ON a7.cluster_id = c.cluster_id""")
-register("l1_recent_decisions", WEIGHTED_DECISIONS + f"SELECT {DEC_COLS} FROM decisions ORDER BY ts DESC, flow_id DESC LIMIT 100")
+register("l1_recent_decisions", WEIGHTED_DECISIONS + f"""SELECT {DEC_COLS}, row_number() OVER (ORDER BY ts, flow_id) AS position
+FROM (SELECT * FROM decisions ORDER BY ts DESC, flow_id DESC LIMIT 100)""")
 register("l1_recent_conflicts", WEIGHTED_DECISIONS + """SELECT flow_id, conflicts_detected FROM decisions
  WHERE conflicts_detected > 0 ORDER BY ts DESC, flow_id DESC LIMIT 50""")
 register("l2_threat_list", WEIGHTED_DECISIONS + f"""SELECT {DEC_COLS} FROM (SELECT * FROM decisions ORDER BY ts DESC, flow_id DESC LIMIT 100) r

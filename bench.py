@@ -34,7 +34,7 @@ def q_rolling_correlation(spark, d):
 
 
 def q_keyed_features(spark, d):
-    """W1 + W4 per src_ip (auto: keyed unless a key is hot)."""
+    """W1 + W4 per src_ip (halo blocks)."""
     return features.rolling_features(derived.load_flows(spark, d),
                                      ("packet_size_mean", "packet_size_std", "unique_dst_ips"),
                                      key_cols=("src_ip",))

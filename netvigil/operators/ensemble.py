@@ -237,6 +237,40 @@ def attack_type_conflict_rows(df: DataFrame, cfg: EnsembleConfig = EnsembleConfi
     return f.filter((F.col("n_types") > 1) & (F.col("n_high_types") > 1)).select("flow_id", "n_high_types")
 
 
+def _conflict_votes(df: DataFrame, *extra: str) -> DataFrame:
+    v = df.select("flow_id", *extra, F.inline_outer(F.filter("votes", is_valid_vote)))
+    return v.select("flow_id", *extra, "ordinal", "attack_type", "cluster_id", "prediction", "confidence")
+
+
+def class_conflict_detail(df: DataFrame, *extra: str) -> DataFrame:
+    """E1 with its evidence: (flow_id, attack_type, classes) where ``classes`` maps every
+    class to the votes for it, {cluster_id, prediction, confidence} in detector order.
+
+    Two groupings; a group is bounded by the number of detectors."""
+    vote = F.struct("ordinal", "cluster_id", "prediction", "confidence")
+    per = (_conflict_votes(df, *extra).groupBy("flow_id", *extra, "attack_type", "prediction")
+           .agg(F.sort_array(F.collect_list(vote)).alias("votes")))
+    votes = F.transform("votes", lambda v: v.dropFields("ordinal"))
+    return (per.groupBy("flow_id", *extra, "attack_type")
+            .agg(F.sort_array(F.collect_list(F.struct(F.col("prediction").alias("key"), votes.alias("value")))).alias("c"))
+            .where(F.size("c") > 1)
+            .select("flow_id", *extra, "attack_type", F.map_from_entries("c").alias("classes")))
+
+
+def attack_type_conflict_detail(df: DataFrame, cfg: EnsembleConfig = EnsembleConfig(), *extra: str) -> DataFrame:
+    """E2 with its evidence: (flow_id, types), one {attack_type, confidence, predictions} for
+    every specialism whose best confidence is above the threshold, in detector order."""
+    vote = F.struct("ordinal", "cluster_id", "prediction", "confidence")
+    per = (_conflict_votes(df, *extra).groupBy("flow_id", *extra, "attack_type")
+           .agg(F.sort_array(F.collect_list(vote)).alias("votes"), F.max("confidence").alias("confidence"), F.min("ordinal").alias("first")))
+    votes = F.transform("votes", lambda v: v.dropFields("ordinal"))
+    high = F.when(F.col("confidence") > float(cfg.confidence_threshold),
+                  F.struct("first", "attack_type", "confidence", votes.alias("predictions")))
+    return (per.groupBy("flow_id", *extra).agg(F.sort_array(F.collect_list(high)).alias("types"))
+            .where(F.size("types") > 1)  # two high ones are two specialisms
+            .select("flow_id", *extra, F.transform("types", lambda t: t.dropFields("first")).alias("types")))
+
+
 def error_decision(df: DataFrame, message_col: str = "error") -> DataFrame:
     """Decision row for a record that could not be processed."""
     return df.select(

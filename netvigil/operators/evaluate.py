@@ -68,45 +68,40 @@ def classification_report(cm: DataFrame) -> DataFrame:
 def grouped_means(report: DataFrame) -> DataFrame:
     """A5 + A6: mean metrics by model type, by attack type, and overall, in one
     aggregation with grouping sets.  ``grouping`` says which rows are which."""
-    report.createOrReplaceTempView("_nv_report")
-    cols = ", ".join(f"avg({m}) AS {m}" for m in METRICS)
-    return report.sparkSession.sql(f"""
-        SELECT CASE WHEN grouping(model_type) = 0 THEN 'model_type'
-                    WHEN grouping(attack_type) = 0 THEN 'attack_type' ELSE 'overall' END AS grouping,
-               coalesce(model_type, attack_type, 'all') AS group_value, {cols}, count(*) AS n_detectors
-        FROM _nv_report GROUP BY GROUPING SETS ((model_type), (attack_type), ())""")
+    keys = [F.col("model_type"), F.col("attack_type")]
+    sets = report.groupingSets([[keys[0]], [keys[1]], []], *keys)
+    means = sets.agg(*[F.avg(m).alias(m) for m in METRICS], F.count(F.lit(1)).alias("n_detectors"),
+                     F.grouping("model_type").alias("_gm"), F.grouping("attack_type").alias("_ga"))
+    which = F.when(F.col("_gm") == 0, "model_type").when(F.col("_ga") == 0, "attack_type").otherwise("overall")
+    return means.select(which.alias("grouping"), F.coalesce("model_type", "attack_type", F.lit("all")).alias("group_value"),
+                        *METRICS, "n_detectors")
 
 
 def best_by_metric(report: DataFrame, order_col: str = "ordinal") -> DataFrame:
     """L4: best detector per metric, first (lowest ``order_col``) on ties."""
-    parts = [report.groupBy().agg(
-        F.lit(m).alias("metric"),
-        F.max_by(F.col("cluster_id"), F.struct(F.col(m), -F.col(order_col))).alias("cluster_id"),
-        F.max(m).alias("value")) for m in METRICS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def roc_auc_scores(scored: DataFrame, keys=("cluster_id",), score_col: str = "score",
-                   digits: int = 6) -> DataFrame:
-    """A4 with scores: rank-sum AUC per detector, ties counted half.
-
-    Scores are rounded to ``digits`` decimals and grouped by (key, score)
-    first (partial aggregation), so a detector's rows are never collected into
-    one task; for scores in [0, 1] (probabilities) the cumulative negative
-    count then runs over at most 10**digits + 1 distinct scores per detector
-    (bounded by the parameter, not by the data).
-    """
-    from pyspark.sql import Window
-    scored = scored.withColumn(score_col, F.round(F.col(score_col).cast("double"), digits))
-    g = scored.groupBy(*keys, score_col).agg(
+    best = report.agg(*[x for m in METRICS for x in (
+        F.max_by(F.col("cluster_id"), F.struct(F.col(m), -F.col(order_col))).alias(f"best_{m}"), F.max(m).alias(f"max_{m}"))])
+    rows = ", ".join(f"'{m}', best_{m}, max_{m}" for m in METRICS)
+    return best.selectExpr(f"stack({len(METRICS)}, {rows}) AS (metric, cluster_id, value)")
+
+
+def roc_auc_scores(scored: DataFrame, keys=("cluster_id",), score_col: str = "score") -> DataFrame:
+    """A4 with scores: rank-sum AUC per detector, ties counted half, scores as they are.
+
+    Rows are combined to one per (key, score) map side.  The negatives below a score
+    come from the distributed order (``halo.with_running_total``), so no task holds a
+    detector's scores, however many differ."""
+    from .halo import with_running_total
+    g = scored.groupBy(*keys, F.col(score_col).cast("double").alias(score_col)).agg(
         F.sum(F.col("y_true")).alias("pos"), F.sum(1 - F.col("y_true")).alias("neg"))
-    w = Window.partitionBy(*keys).orderBy(score_col).rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumn("neg_below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    agg = g.groupBy(*keys).agg(
-        F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0)).alias("u"),
+    below = with_running_total(g, [*keys, score_col], "neg", "_below")
+    first = below.groupBy(*keys).agg(F.min("_below").alias("_first"))  # what earlier keys add up to
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    j = below.alias("a").join(first.alias("b"), on).select("a.*", "_first")
+    agg = j.groupBy(*keys).agg(
+        F.sum(F.col("pos") * (F.col("_below") - F.col("_first") + F.col("neg") / 2.0)).alias("u"),
         F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return agg.select(*keys, F.when((F.col("p") > 0) & (F.col("n") > 0),
                                     F.col("u") / (F.col("p") * F.col("n"))).alias("roc_auc"))

@@ -4,8 +4,8 @@
 window specification (one Window operator, no recomputation of shared
 aggregates).  The frame is the last N rows in (timestamp, flow_id) order,
 either over the whole stream (``key_cols=()``, the reference's semantics) or
-per key (e.g. per ``src_ip``).  Global and hot-key frames use halo blocks
-(``operators.halo``), so no task ever holds more than a block.
+per key (e.g. per ``src_ip``).  All frames use halo blocks (``operators.halo``),
+so no task ever holds more than a block.
 """
 
 from __future__ import annotations
@@ -37,140 +37,103 @@ def corr_names(cols=CORR_COLUMNS):
     return [f"corr_{a}_{b}" for a, b in combinations(cols, 2)]
 
 
-def _exprs(w, n: int, wanted: set, corr_cols=CORR_COLUMNS):
-    ps, fd = "packet_size", "flow_duration"
-    e = {
-        "packet_size_mean": R.r_mean(ps, w, n),
-        "packet_size_std": R.r_std(ps, w, n),
-        "packet_size_min": R.r_min(ps, w, n),
-        "packet_size_max": R.r_max(ps, w, n),
-        "packet_size_median": R.r_median(ps, w, n),
-        "flow_duration_mean": R.r_mean(fd, w, n),
-        "flow_duration_std": R.r_std(fd, w, n),
-        "unique_src_ips": R.r_nunique("src_ip", w, n),
-        "unique_dst_ips": R.r_nunique("dst_ip", w, n),
-        "unique_src_ports": R.r_nunique("src_port", w, n),
-        "unique_dst_ports": R.r_nunique("dst_port", w, n),
-        "high_port_ratio": R.r_mean("_high_port", w, n),
-        "packet_rate": R.gated(F.try_divide(F.lit(1.0), F.avg("_dt").over(w)), "_dt", w, n),
-        "packet_rate_std": R.gated(F.try_divide(F.lit(1.0), F.stddev_samp("_dt").over(w)), "_dt", w, n),
-        "src_ip_entropy": R.r_entropy("src_ip", w, n),
-        "dst_ip_entropy": R.r_entropy("dst_ip", w, n),
-        "traffic_burstiness": R.gated(F.try_divide(F.stddev_samp(ps).over(w), F.avg(ps).over(w)), ps, w, n),
-        "traffic_regularity": R.gated(1.0 / (1.0 + F.stddev_samp(ps).over(w)), ps, w, n),
-        "hour_entropy": R.r_entropy("hour", w, n),
-        "day_entropy": R.r_entropy("day_of_week", w, n),
-    }
-    for a, b in combinations(corr_cols, 2):
-        e[f"corr_{a}_{b}"] = R.r_corr(a, b, w, n)
-    return {k: v for k, v in e.items() if k in wanted}
-
-
-_INPUTS = {
-    "packet_size": ("packet_size_mean", "packet_size_std", "packet_size_min", "packet_size_max",
-                    "packet_size_median", "traffic_burstiness", "traffic_regularity"),
-    "flow_duration": ("flow_duration_mean", "flow_duration_std"),
-    "src_ip": ("unique_src_ips", "src_ip_entropy"),
-    "dst_ip": ("unique_dst_ips", "dst_ip_entropy"),
-    "src_port": ("unique_src_ports",),
-    "dst_port": ("unique_dst_ports",),
-    "_high_port": ("high_port_ratio",),
-    "hour": ("hour_entropy",),
-    "day_of_week": ("day_entropy",),
+_AGGREGATES = {
+    "count": F.count, "mean": F.avg, "sd": F.stddev_samp, "sd_pop": F.stddev_pop, "min": F.min, "max": F.max,
+    "median": lambda c: F.percentile(F.col(c), F.lit(0.5)), "values": F.collect_list, "covar": F.covar_pop,
+}
+
+
+class FrameAggregates:
+    """Aggregates over one frame, each computed once however many features read it.
+
+    Calling it names an aggregate and returns the column that will hold it; the
+    features are formulas in the projection above the Window node.  (Spark does not
+    share equal window expressions by itself.)"""
+
+    def __init__(self, w):
+        self.w, self.columns = w, {}
+
+    def __call__(self, kind: str, *cols: str):
+        name = "_".join(("_agg", kind, *cols))
+        self.columns[name] = _AGGREGATES[kind](*cols).over(self.w).alias(name)
+        return F.col(name)
+
+    def full(self, cols, n: int):
+        """True where none of ``cols`` has a NULL among the ``n`` rows of a full frame."""
+        cond = F.lit(True)
+        for c in cols:
+            cond = cond & (self("count", c) == n)
+        return cond
+
+
+def _distinct(col):
+    return lambda at: F.size(F.array_distinct(at("values", col)))
+
+
+def _entropy(col):
+    return lambda at: R.entropy_of(at("values", col))
+
+
+def _plain(kind, col):
+    return lambda at: at(kind, col)
+
+
+def _correlation(a, b):
+    return lambda at: F.try_divide(at("covar", a, b), at("sd_pop", a) * at("sd_pop", b))
+
+
+#: Feature -> (the columns it reads, its formula over the frame's aggregates).
+FORMULAS = {
+    "packet_size_mean": (("packet_size",), _plain("mean", "packet_size")),
+    "packet_size_std": (("packet_size",), _plain("sd", "packet_size")),
+    "packet_size_min": (("packet_size",), _plain("min", "packet_size")),
+    "packet_size_max": (("packet_size",), _plain("max", "packet_size")),
+    "packet_size_median": (("packet_size",), _plain("median", "packet_size")),
+    "flow_duration_mean": (("flow_duration",), _plain("mean", "flow_duration")),
+    "flow_duration_std": (("flow_duration",), _plain("sd", "flow_duration")),
+    "unique_src_ips": (("src_ip",), _distinct("src_ip")),
+    "unique_dst_ips": (("dst_ip",), _distinct("dst_ip")),
+    "unique_src_ports": (("src_port",), _distinct("src_port")),
+    "unique_dst_ports": (("dst_port",), _distinct("dst_port")),
+    "high_port_ratio": (("_high_port",), _plain("mean", "_high_port")),
+    "packet_rate": (("_dt",), lambda at: F.try_divide(F.lit(1.0), at("mean", "_dt"))),
+    "packet_rate_std": (("_dt",), lambda at: F.try_divide(F.lit(1.0), at("sd", "_dt"))),
+    "src_ip_entropy": (("src_ip",), _entropy("src_ip")),
+    "dst_ip_entropy": (("dst_ip",), _entropy("dst_ip")),
+    "traffic_burstiness": (("packet_size",), lambda at: F.try_divide(at("sd", "packet_size"), at("mean", "packet_size"))),
+    "traffic_regularity": (("packet_size",), lambda at: 1.0 / (1.0 + at("sd", "packet_size"))),
+    "hour_entropy": (("hour",), _entropy("hour")),
+    "day_entropy": (("day_of_week",), _entropy("day_of_week")),
+    **{f"corr_{a}_{b}": ((a, b), _correlation(a, b)) for a, b in combinations(CORR_COLUMNS, 2)},
 }
 
 
 def input_columns(features) -> list:
-    """Columns each requested feature reads (the halo numbering persists its
-    input, so it must be pruned before, not after)."""
-    need = set()
-    for f in features:
-        for a, b in combinations(CORR_COLUMNS, 2):
-            if f == f"corr_{a}_{b}":
-                need.update((a, b))
-        for col, users in _INPUTS.items():
-            if f in users:
-                need.add(col)
-    return sorted(need)
-
-
-def _raw_exprs(w, wanted: set, corr_cols=CORR_COLUMNS):
-    """Ungated window aggregates plus the input columns each one is gated on.
-
-    Gates are applied in a projection above the Window node from one count
-    per input column, instead of one identical count per feature."""
-    ps, fd = "packet_size", "flow_duration"
-    sd_ps = F.stddev_samp(ps).over(w)
-    e = {
-        "packet_size_mean": (F.avg(ps).over(w), [ps]),
-        "packet_size_std": (sd_ps, [ps]),
-        "packet_size_min": (F.min(ps).over(w), [ps]),
-        "packet_size_max": (F.max(ps).over(w), [ps]),
-        "packet_size_median": (F.percentile(F.col(ps), F.lit(0.5)).over(w), [ps]),
-        "flow_duration_mean": (F.avg(fd).over(w), [fd]),
-        "flow_duration_std": (F.stddev_samp(fd).over(w), [fd]),
-        "unique_src_ips": (F.size(F.collect_set("src_ip").over(w)), ["src_ip"]),
-        "unique_dst_ips": (F.size(F.collect_set("dst_ip").over(w)), ["dst_ip"]),
-        "unique_src_ports": (F.size(F.collect_set("src_port").over(w)), ["src_port"]),
-        "unique_dst_ports": (F.size(F.collect_set("dst_port").over(w)), ["dst_port"]),
-        "high_port_ratio": (F.avg("_high_port").over(w), ["_high_port"]),
-        "packet_rate": (F.try_divide(F.lit(1.0), F.avg("_dt").over(w)), ["_dt"]),
-        "packet_rate_std": (F.try_divide(F.lit(1.0), F.stddev_samp("_dt").over(w)), ["_dt"]),
-        "src_ip_entropy": (R.entropy_of(F.collect_list("src_ip").over(w)), ["src_ip"]),
-        "dst_ip_entropy": (R.entropy_of(F.collect_list("dst_ip").over(w)), ["dst_ip"]),
-        "traffic_burstiness": (F.try_divide(sd_ps, F.avg(ps).over(w)), [ps]),
-        "traffic_regularity": (1.0 / (1.0 + sd_ps), [ps]),
-        "hour_entropy": (R.entropy_of(F.collect_list("hour").over(w)), ["hour"]),
-        "day_entropy": (R.entropy_of(F.collect_list("day_of_week").over(w)), ["day_of_week"]),
-    }
-    for a, b in combinations(corr_cols, 2):
-        r = F.try_divide(F.covar_pop(a, b).over(w), F.stddev_pop(a).over(w) * F.stddev_pop(b).over(w))
-        e[f"corr_{a}_{b}"] = (r, [f"{a}&{b}"])
-    return {k: v for k, v in e.items() if k in wanted}
-
-
-def _gate_count(key: str, w):
-    """Non-null count in the frame for a column, or for a column pair ``a&b``."""
-    if "&" in key:
-        a, b = key.split("&")
-        return F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.lit(1))).over(w)
-    return F.count(F.col(key)).over(w)
+    """Columns the requested features read (the halo numbering holds its input,
+    so it is pruned before, not after); ``_dt`` is made from the timestamp."""
+    return sorted({c for f in features for c in FORMULAS[f][0]} - {"_dt"})
 
 
 def rolling_features(flows: DataFrame, features=BASIC + ADVANCED, n: int = WINDOW_SIZE,
-                     key_cols=(), mode: str = "auto", block_rows: int | None = None,
+                     key_cols=(), block_rows: int | None = None,
                      keep=("flow_id",), num_partitions: int | None = None) -> DataFrame:
     """Rolling features per flow (last ``n`` rows, pandas min_periods = n)."""
-    wanted = set(features)
-    needs_time = wanted & {"hour_entropy", "day_entropy"} or any(
-        f.startswith("corr_") and ("hour" in f or "day_of_week" in f) for f in wanted)
+    inputs = {c for f in features for c in FORMULAS[f][0]}
     cols = list(dict.fromkeys(list(keep) + list(key_cols)))
     src = flows
-    if needs_time:
+    if inputs & {"hour", "day_of_week"}:
         src = src.withColumn("hour", hour_of_day("timestamp")).withColumn("day_of_week", day_of_week("timestamp"))
     src = src.withColumn("_high_port", high_port("dst_port"))
     src = src.select(*dict.fromkeys(list(cols) + list(ORDER) + input_columns(features)))
-    fr = halo.frame(src, ORDER, n, key_cols, mode=mode, block_rows=block_rows,
+    fr = halo.frame(src, ORDER, n, key_cols, block_rows=block_rows,
                     num_partitions=num_partitions)
     w = fr.rows(n)
     df = fr.df
-    if wanted & {"packet_rate", "packet_rate_std"}:
+    if "_dt" in inputs:
         df = df.withColumn("_dt", R.seconds_since_previous("timestamp", fr.window))
-    raw = _raw_exprs(w, wanted)
-    gate_keys = sorted({k for _, keys in raw.values() for k in keys})
-    gname = {k: f"_n{i}" for i, k in enumerate(gate_keys)}
-    stage = df.select(*[F.col(c) for c in cols], "_halo", "_blk",
-                      *[raw[f][0].alias(f"_r_{f}") for f in features if f in raw],
-                      *[_gate_count(k, w).alias(gname[k]) for k in gate_keys])
-    gated = []
-    for f in features:
-        if f not in raw:
-            continue
-        cond = None
-        for k in raw[f][1]:
-            c = F.col(gname[k]) == n
-            cond = c if cond is None else cond & c
-        gated.append(F.when(cond, F.col(f"_r_{f}")).alias(f))
+    at = FrameAggregates(w)
+    gated = [F.when(at.full(FORMULAS[f][0], n), FORMULAS[f][1](at)).alias(f) for f in features]
+    stage = df.select(*[F.col(c) for c in cols], "_halo", "_blk", *at.columns.values())
     out = stage.select(*[F.col(c) for c in cols], "_halo", "_blk", *gated)
     return fr.finish(out)
 
@@ -202,7 +165,7 @@ def attach_fan(flows: DataFrame) -> DataFrame:
 def rolling_fan_mean(fan: DataFrame, ip_col: str, value_col: str, n: int = WINDOW_SIZE,
                      block_rows: int | None = None) -> DataFrame:
     """Rolling mean of the per-IP table in IP (string) order."""
-    fr = halo.frame(fan, [ip_col], n, (), mode="halo", block_rows=block_rows)
+    fr = halo.frame(fan, [ip_col], n, (), block_rows=block_rows)
     w = fr.rows(n)
     out = fr.df.select(ip_col, value_col, "_halo", "_blk",
                        R.r_mean(value_col, w, n).alias(f"avg_{value_col}"))
@@ -218,7 +181,7 @@ def sequences(df: DataFrame, value_col: str, length: int = WINDOW_SIZE, stride:
     ``stride`` rows; with ``pad=True`` every row gets a sequence left-padded
     with zeros (the online path).
     """
-    fr = halo.frame(df, ORDER, length, key_cols, mode="halo", block_rows=block_rows)
+    fr = halo.frame(df, ORDER, length, key_cols, block_rows=block_rows)
     w = fr.rows(length)
     seq = F.collect_list(F.col(value_col)).over(w)
     cols = ["flow_id", "_halo", "_blk", "_idx"] + list(key_cols) + ([label_col] if label_col else [])

@@ -129,29 +129,26 @@ def halo_frame(df: DataFrame, order_cols, n: int, key_cols=(), block_rows: int |
     return HaloFrame(framed, w, order, part)
 
 
-def keyed_frame(df: DataFrame, order_cols, key_cols) -> HaloFrame:
-    """The plain keyed window (one partition per key): fastest when no key is hot."""
-    order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    w = Window.partitionBy(*key_cols).orderBy(*order)
-    framed = df.withColumn("_halo", F.lit(False)).withColumn("_blk", F.lit(0))
-    return HaloFrame(framed, w, order, list(key_cols))
-
-
-def hottest_key_rows(df: DataFrame, key_cols) -> int:
-    """Rows of the most frequent key (partial aggregation, one small result)."""
-    r = df.groupBy(*key_cols).count().agg(F.max("count").alias("m")).collect()[0]["m"]
-    return int(r or 0)
+def with_running_total(df: DataFrame, order_cols, value_col: str, out_col: str,
+                       num_partitions: int | None = None) -> DataFrame:
+    """Adds the sum of ``value_col`` over all earlier rows in ``order_cols`` order (a total order).
 
-
-def frame(df: DataFrame, order_cols, n: int, key_cols=(), mode: str = "auto",
-          block_rows: int | None = None, num_partitions: int | None = None) -> HaloFrame:
-    """Choose the plan: ``global`` and hot-key inputs use halo blocks, else keyed."""
-    key_cols = list(key_cols)
-    if not key_cols or mode == "halo":
-        return halo_frame(df, order_cols, n, key_cols, block_rows, num_partitions=num_partitions)
-    if mode == "keyed":
-        return keyed_frame(df, order_cols, key_cols)
-    limit = block_rows or DEFAULT_BLOCK_ROWS
-    if hottest_key_rows(df, key_cols) > limit:
-        return halo_frame(df, order_cols, n, key_cols, block_rows, num_partitions=num_partitions)
-    return keyed_frame(df, order_cols, key_cols)
+    Range partitions in order, a window inside each, plus the totals of the partitions
+    before it; one sum per partition reaches the driver, as in ``with_global_index``."""
+    n = num_partitions or _partitions(df)
+    ranged = (df.repartitionByRange(n, *[F.col(c) for c in order_cols]).withColumn("_pid", F.spark_partition_id())
+              .persist(StorageLevel.MEMORY_AND_DISK))
+    sums = {r["_pid"]: r["s"] for r in ranged.groupBy("_pid").agg(F.sum(value_col).alias("s")).collect()}
+    before, acc = [], 0
+    for pid in range(max(sums) + 1 if sums else 1):
+        before.append(acc)
+        acc += sums.get(pid) or 0
+    w = Window.partitionBy("_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+    base = F.element_at(F.array(*[F.lit(x) for x in before]), F.col("_pid") + 1)
+    return ranged.withColumn(out_col, base + F.coalesce(F.sum(value_col).over(w), F.lit(0))).drop("_pid")
+
+
+def frame(df: DataFrame, order_cols, n: int, key_cols=(), block_rows: int | None = None,
+          num_partitions: int | None = None) -> HaloFrame:
+    """Halo blocks for global and keyed frames alike: one plan, whatever the key skew."""
+    return halo_frame(df, order_cols, n, key_cols, block_rows, num_partitions=num_partitions)

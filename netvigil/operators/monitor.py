@@ -57,19 +57,27 @@ def duration_histogram(votes_long: DataFrame, bounds=HISTOGRAM_BUCKETS) -> DataF
     return wide.selectExpr("cluster_id", f"stack({len(labels)}, {pairs}) AS (le, cumulative_count)")
 
 
-def ensemble_status(decisions: DataFrame, votes_long: DataFrame) -> DataFrame:
-    """Decision and conflict counts, active detectors, recent conflicts."""
-    d = decisions.agg(
+def duration_summary(votes_long: DataFrame) -> DataFrame:
+    """The histogram's ``sum`` and ``count`` per detector."""
+    return successful(votes_long).groupBy("cluster_id").agg(
+        F.sum("prediction_time").alias("duration_sum"), F.count(F.lit(1)).alias("duration_count"))
+
+
+def ensemble_status(decisions: DataFrame, registry: DataFrame) -> DataFrame:
+    """Decision and conflict counts, mean scoring time, registered detectors, recent conflicts.
+
+    One pass over decisions that still carry their ``votes``: a flow's scoring time is
+    a sum inside its array, so nothing is exploded or grouped by flow."""
+    ok = F.filter("votes", lambda v: F.coalesce(v["is_trained"], F.lit(False)) & v["error"].isNull())
+    spent = F.when(F.size(ok) > 0, F.aggregate(ok, F.lit(0.0), lambda acc, v: acc + v["prediction_time"]))
+    d = decisions.select("conflicts_detected", spent.alias("t")).agg(
         F.count(F.lit(1)).alias("decision_count"),
-        F.sum((F.col("conflicts_detected") > 0).cast("long")).alias("conflict_count"))
-    ok = successful(votes_long)
-    per_flow = ok.groupBy("flow_id").agg(F.sum("prediction_time").alias("t"))
-    s = per_flow.agg(F.avg("t").alias("avg_scoring_time"))
-    a = votes_long.agg(F.count_distinct("cluster_id").alias("active_clusters"))
-    # three one-row aggregates: combine without a join
-    return (d.unionByName(s, allowMissingColumns=True).unionByName(a, allowMissingColumns=True)
-             .agg(*[F.max(c).alias(c) for c in ("decision_count", "conflict_count",
-                                                "avg_scoring_time", "active_clusters")])
+        F.coalesce(F.sum((F.col("conflicts_detected") > 0).cast("long")), F.lit(0)).alias("conflict_count"),
+        F.avg("t").alias("avg_scoring_time"))
+    n = registry.agg(F.count(F.lit(1)).alias("active_clusters"))
+    # two one-row aggregates: combined without a join
+    return (d.unionByName(n, allowMissingColumns=True)
+             .agg(*[F.max(c).alias(c) for c in ("decision_count", "conflict_count", "avg_scoring_time", "active_clusters")])
              .withColumn("recent_conflicts", F.least(F.lit(10).cast("long"), F.col("conflict_count"))))
 
 
@@ -133,10 +141,8 @@ def latest(df: DataFrame, n: int, order=("ts", "flow_id")) -> DataFrame:
     return df.orderBy(*[F.col(c).desc() for c in order]).limit(n).orderBy(*order)
 
 
-def threats(decisions: DataFrame, window: int = 100, first: int = 20,
-            order=("ts", "flow_id")) -> DataFrame:
-    """L2: last ``window`` decisions, non-Benign only, the oldest ``first`` of them."""
-    recent = latest(decisions, window, order)
+def threats(recent: DataFrame, first: int = 20, order=("ts", "flow_id")) -> DataFrame:
+    """L2: of the recent decisions the non-Benign ones, the oldest ``first`` of them."""
     return recent.filter(F.col("attack_type") != "Benign").orderBy(*order).limit(first)
 
 

@@ -119,6 +119,27 @@ def load_scaler(spark, path: str) -> ScalerModel:
                        rows[0]["lo"], rows[0]["hi"])
 
 
+def save_codes(encoded: DataFrame, col: str, path: str, code_col: str | None = None) -> None:
+    """A fitted ordinal encoder as its table of (value, code)."""
+    code_col = code_col or f"{col}_code"
+    encoded.where(F.col(code_col).isNotNull()).select(col, code_col).distinct().write.mode("overwrite").parquet(path)
+
+
+def apply_codes(spark, df: DataFrame, col: str, path: str, code_col: str | None = None) -> DataFrame:
+    """A saved encoder applied to new rows; values that it has not seen get NULL."""
+    return df.join(spark.read.parquet(path).select(col, code_col or f"{col}_code"), col, "left")
+
+
+def save_selection(selected: DataFrame, path: str) -> None:
+    """A fitted selector as its table (feature, f_score, rank, selected)."""
+    selected.write.mode("overwrite").parquet(path)
+
+
+def load_selection(spark, path: str) -> list:
+    """The names of the selected features, best first (one row per feature column)."""
+    return [r["feature"] for r in spark.read.parquet(path).where("selected").orderBy("rank").collect()]
+
+
 def fit_minmax(df: DataFrame, cols, feature_range=MINMAX_RANGE) -> ScalerModel:
     r = df.agg(*[F.min(F.col(c).cast("double")).alias(f"mn_{i}") for i, c in enumerate(cols)],
                *[F.max(F.col(c).cast("double")).alias(f"mx_{i}") for i, c in enumerate(cols)]).collect()[0]
@@ -139,21 +160,38 @@ def hash_key(id_col: str = "flow_id", seed: int = SEED):
     return F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"|{seed}")))
 
 
+#: Leading hex digits of the hash that rows are counted by (16 ** 3 counts reach the driver).
+HASH_DIGITS = 3
+
+
 def exact_sample(df: DataFrame, n: int, id_col: str = "flow_id", seed: int = SEED) -> DataFrame:
-    """Exactly ``n`` rows without replacement (all rows when fewer).
+    """Exactly ``n`` rows without replacement (all rows when fewer): the first in hash order.
 
-    A top-n by hash: each partition keeps its own n best, the merge keeps n.
-    """
-    return df.orderBy(hash_key(id_col, seed), F.col(id_col)).limit(n)
+    Rows are counted by the leading digits of their hash (one partial aggregation).
+    Whole buckets below the threshold stay without a sort; only the bucket that the
+    n-th row falls in is ordered, so no task merges n rows."""
+    h = hash_key(id_col, seed)
+    keyed = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, HASH_DIGITS))
+    counts = sorted((r["_b"], r["n"]) for r in keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).where("_b is not null").collect())
+    left, edge = n, None
+    for bucket, size in counts:
+        if size > left:
+            edge = bucket
+            break
+        left -= size
+    if edge is None:
+        return df
+    whole = keyed.where(F.col("_b") < edge).drop("_h", "_b")
+    if left == 0:
+        return whole
+    part = keyed.where(F.col("_b") == edge).orderBy("_h", F.col(id_col)).limit(left).drop("_h", "_b")
+    return whole.unionByName(part)
 
 
 def _ranked_pool(pool: DataFrame, cap: int, id_col: str, seed: int) -> DataFrame:
-    """The ``cap`` first rows of ``pool`` in hash order, numbered 1..cap.
-
-    The numbering window sees at most ``cap`` rows (bounded by the parameter).
-    """
-    top = exact_sample(pool, cap, id_col, seed)
-    return top.withColumn("_rk", F.row_number().over(Window.orderBy(hash_key(id_col, seed), F.col(id_col))))
+    """The ``cap`` first rows of ``pool`` in hash order, numbered 1..cap by the distributed index."""
+    top = exact_sample(pool, cap, id_col, seed).withColumn("_h", hash_key(id_col, seed))
+    return halo.with_global_index(top, ["_h", id_col], idx_col="_rk").withColumn("_rk", F.col("_rk") + 1).drop("_h")
 
 
 def detectors_with_data(registry: DataFrame, flows: DataFrame, label: str = "label") -> DataFrame:
@@ -162,34 +200,31 @@ def detectors_with_data(registry: DataFrame, flows: DataFrame, label: str = "lab
     return registry.select("attack_type").distinct().join(labels, "attack_type", "left_semi")
 
 
+#: Classes whose starts may be broadcast (two numbers and a name each).
+BROADCAST_CLASSES = 100_000
+
+
 def training_sets(flows: DataFrame, registry: DataFrame, cap: int, label: str = "label",
-                  id_col: str = "flow_id", seed: int = SEED, max_types: int = 10_000) -> DataFrame:
+                  id_col: str = "flow_id", seed: int = SEED) -> DataFrame:
     """X2 + X3: one binary set per detector attack type present in the data.
 
-    Positives: every row of that class.  Negatives: a hash-ordered sample of
-    min(#positives, cap) rows of the other side (Benign for attack detectors;
-    all attacks for the Benign detector).  The class counts are one small
-    aggregate (bounded by the number of detector types).
-    """
-    present = detectors_with_data(registry, flows, label)
-    counts = {r["attack_type"]: r["n"] for r in
-              flows.join(present.withColumnRenamed("attack_type", label), label, "left_semi")
-                   .groupBy(F.col(label).alias("attack_type")).count().withColumnRenamed("count", "n")
-                   .limit(max_types + 1).collect()}
-    if len(counts) > max_types:
-        raise ValueError("too many detector types")
-    benign_pool = _ranked_pool(flows.filter(F.col(label) == "Benign"), cap, id_col, seed)
-    attack_pool = _ranked_pool(flows.filter(F.col(label) != "Benign"), cap, id_col, seed)
-    parts = []
-    for a, n in sorted(counts.items()):
-        pos = flows.filter(F.col(label) == a).select(F.lit(a).alias("attack_type"), id_col, F.lit(1).alias("y"))
-        pool = attack_pool if a == "Benign" else benign_pool
-        neg = pool.filter(F.col("_rk") <= min(n, cap)).select(F.lit(a).alias("attack_type"), id_col, F.lit(0).alias("y"))
-        parts += [pos, neg]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    Positives: every row of that class.  Negatives: the first min(#positives, cap) rows
+    of the other side in hash order (Benign for attack detectors; all attacks for the
+    Benign detector).  The two pools are ranked once and joined to the class counts, so
+    the scans do not grow with the registry."""
+    rows = flows.select(id_col, F.col(label).alias("attack_type"))
+    types = registry.select("attack_type").distinct()
+    pos = rows.join(types, "attack_type", "left_semi").select("attack_type", id_col, F.lit(1).alias("y"))
+    need = pos.groupBy("attack_type").agg(F.least(F.count(F.lit(1)), F.lit(cap)).alias("need"))
+    if types.count() <= BROADCAST_CLASSES:  # one row of ``need`` per type at most
+        need = F.broadcast(need)
+    is_benign = F.col("attack_type") == "Benign"
+    benign = _ranked_pool(rows.where(is_benign).select(id_col), cap, id_col, seed).withColumn("_side", F.lit(False))
+    attack = _ranked_pool(rows.where(~is_benign).select(id_col), cap, id_col, seed).withColumn("_side", F.lit(True))
+    # a pool row meets at most one row per registered attack type
+    neg = (benign.unionByName(attack).join(need.withColumn("_side", is_benign), "_side")
+           .where("_rk <= need").select("attack_type", id_col, F.lit(0).alias("y")))
+    return pos.unionByName(neg)
 
 
 def stratified_split(df: DataFrame, label: str = "label", id_col: str = "flow_id",
@@ -198,12 +233,15 @@ def stratified_split(df: DataFrame, label: str = "label", id_col: str = "flow_id
 
     The rank inside a class comes from a global index over (label, hash, id)
     minus the class's first index -- no per-class window, so a class holding
-    most rows does not end up in one task.
+    most rows does not end up in one task.  The classes are counted before they are
+    broadcast; more than ``BROADCAST_CLASSES`` are joined by a shuffle.
     """
     h = hash_key(id_col, seed)
     idx = halo.with_global_index(df.withColumn("_h", h), [label, "_h", id_col])
     per = idx.groupBy(label).agg(F.min("_idx").alias("_start"), F.count(F.lit(1)).alias("_n"))
-    j = idx.join(per, label)  # one row per class: AQE broadcasts it at run time
+    if per.count() <= BROADCAST_CLASSES:
+        per = F.broadcast(per)
+    j = idx.join(per, label)
     rk = F.col("_idx") - F.col("_start") + 1
     n_test = F.round(F.col("_n") * test_size)
     n_val = F.round(F.col("_n") * val_size)
@@ -211,6 +249,12 @@ def stratified_split(df: DataFrame, label: str = "label", id_col: str = "flow_id
     return j.withColumn("split", split).drop("_idx", "_start", "_n", "_h")
 
 
+def decode_ordinal(df: DataFrame, codes: DataFrame, col: str, code_col: str | None = None) -> DataFrame:
+    """P11 inverse: the value of each code, from a table (``col``, ``code_col``); unknown codes give NULL."""
+    code_col = code_col or f"{col}_code"
+    return df.join(codes.select(col, code_col).distinct(), code_col, "left")
+
+
 # --- feature selection -------------------------------------------------------------
 
 def correlation_pairs(df: DataFrame, cols) -> DataFrame:

@@ -105,13 +105,13 @@ def w1_packet_size_stats(spark, sf_dir):
 @query("w1_keyed_packet_size_stats")
 def w1_keyed_packet_size_stats(spark, sf_dir):
     return _rolling(spark, sf_dir, ("packet_size_mean", "packet_size_std", "packet_size_min", "packet_size_max"),
-                    key_cols=("src_ip",), mode="keyed").drop("src_ip")
+                    key_cols=("src_ip",)).drop("src_ip")
 
 
 @query("w0_keyed_halo_stats")
 def w0_keyed_halo_stats(spark, sf_dir):
     return _rolling(spark, sf_dir, ("packet_size_mean", "packet_size_std", "unique_dst_ips"),
-                    key_cols=("src_ip",), mode="halo", block_rows=101).drop("src_ip")
+                    key_cols=("src_ip",), block_rows=101).drop("src_ip")
 
 
 @query("w2_packet_size_median")
@@ -138,7 +138,7 @@ def w5_high_port_ratio(spark, sf_dir):
 def w6_inter_arrival(spark, sf_dir):
     from ..functions.rolling import seconds_since_previous
     from ..operators import halo
-    fr = halo.frame(_flows(spark, sf_dir), ["timestamp", "flow_id"], 2, (), mode="halo",
+    fr = halo.frame(_flows(spark, sf_dir), ["timestamp", "flow_id"], 2, (),
                     block_rows=TEST_BLOCK_ROWS)
     out = fr.df.select("flow_id", "_halo", "_blk",
                        seconds_since_previous("timestamp", fr.window).alias("inter_arrival"))
@@ -263,6 +263,42 @@ def e2_attack_type_conflicts(spark, sf_dir):
     return ensemble.attack_type_conflict_rows(_fv(spark, sf_dir))
 
 
+def _votes_text(votes):
+    """Votes as text, in detector order: cluster=confidence."""
+    one = lambda v: F.concat(v["cluster_id"], F.lit("="), F.format_number(v["confidence"], 3))
+    return F.array_join(F.transform(votes, one), ",")
+
+
+@query("e1_conflict_detail")
+def e1_conflict_detail(spark, sf_dir):
+    """E1 with the votes of every class."""
+    d = ensemble.class_conflict_detail(_fv(spark, sf_dir))
+    return d.select("flow_id", "attack_type", F.explode("classes").alias("prediction", "v")).select(
+        "flow_id", "attack_type", "prediction", _votes_text("v").alias("votes"))
+
+
+@query("e2_conflict_detail")
+def e2_conflict_detail(spark, sf_dir):
+    """E2 with the best confidence and the votes of every specialism above the threshold."""
+    d = ensemble.attack_type_conflict_detail(_fv(spark, sf_dir))
+    return d.select("flow_id", F.inline("types")).select(
+        "flow_id", "attack_type", F.round("confidence", 6).alias("confidence"), _votes_text("predictions").alias("votes"))
+
+
+@query("e4_class_scores")
+def e4_class_scores(spark, sf_dir):
+    """The score of every class that a weighted vote weighed."""
+    d = ensemble.decide(_fv(spark, sf_dir))
+    return d.select("flow_id", F.explode("class_scores").alias("prediction", "s")).select("flow_id", "prediction", F.round("s", 6).alias("score"))
+
+
+@query("e5_class_votes")
+def e5_class_votes(spark, sf_dir):
+    """The votes of every class that a majority vote counted."""
+    d = ensemble.decide(_fv(spark, sf_dir), strategy="majority_voting")
+    return d.select("flow_id", F.explode("class_votes").alias("prediction", "n")).select("flow_id", "prediction", F.col("n").cast("long").alias("n_votes"))
+
+
 @query("e3_conflict_counts")
 def e3_conflict_counts(spark, sf_dir):
     c = ensemble.with_conflicts(_fv(spark, sf_dir))
@@ -373,11 +409,17 @@ def a11_duration_histogram(spark, sf_dir):
     return duration_histogram(_votes(spark, sf_dir))
 
 
+@query("a11_duration_summary")
+def a11_duration_summary(spark, sf_dir):
+    from ..operators.monitor import duration_summary
+    return round_doubles(duration_summary(_votes(spark, sf_dir)), 3)
+
+
 @query("a12_ensemble_status")
 def a12_ensemble_status(spark, sf_dir):
     from ..operators.monitor import ensemble_status
     fv = _fv(spark, sf_dir)
-    return round_doubles(ensemble_status(ensemble.decide(fv), derived.votes_long(fv)))
+    return round_doubles(ensemble_status(ensemble.decide(fv), derived.clusters_df(spark)))
 
 
 @query("a13_health_check")
@@ -401,8 +443,10 @@ def a15_system_status(spark, sf_dir):
 @query("l1_recent_decisions")
 def l1_recent_decisions(spark, sf_dir):
     from ..operators.monitor import latest
-    recent = latest(_decide(spark, sf_dir), 100)  # the place is read off the returned order, not recomputed
-    return recent.withColumn("position", F.monotonically_increasing_id() + 1).select(*DECISION_COLS, "position")
+    recent = latest(_flows(spark, sf_dir).withColumn("ts", F.col("timestamp")), 100)  # then only these are decided
+    recent = recent.withColumn("votes", derived.votes_column(F.col("flow_id")))
+    d = ensemble.decide(recent).withColumn("confidence", F.round("confidence", 6))  # the place is read off the returned order
+    return d.withColumn("position", F.monotonically_increasing_id() + 1).select(*DECISION_COLS, "position")
 
 
 @query("l1_recent_conflicts")
@@ -414,8 +458,10 @@ def l1_recent_conflicts(spark, sf_dir):
 
 @query("l2_threat_list")
 def l2_threat_list(spark, sf_dir):
-    from ..operators.monitor import threats
-    return threats(_decide(spark, sf_dir)).select(*DECISION_COLS)
+    from ..operators.monitor import latest, threats
+    recent = latest(_flows(spark, sf_dir).withColumn("ts", F.col("timestamp")), 100)
+    d = ensemble.decide(recent.withColumn("votes", derived.votes_column(F.col("flow_id"))))
+    return threats(d.withColumn("confidence", F.round("confidence", 6))).select(*DECISION_COLS)
 
 
 @query("l3_history_retention")
@@ -547,6 +593,18 @@ def p11_label_encoding(spark, sf_dir):
     return ordinal_codes(_flows(spark, sf_dir).select("flow_id", "label"), "label").select("flow_id", "label_code")
 
 
+@query("p11_label_decoding")
+def p11_label_decoding(spark, sf_dir):
+    """Codes of a saved label encoder turned back into labels."""
+    from ..operators.prep import apply_codes, decode_ordinal, ordinal_codes, save_codes
+    from ..sources.files import scratch_dir
+    f = _flows(spark, sf_dir).select("flow_id", "label")
+    path = scratch_dir(spark, "label-codes")
+    save_codes(ordinal_codes(f, "label"), "label", path)
+    coded = apply_codes(spark, f, "label", path).select("flow_id", "label_code")
+    return decode_ordinal(coded, spark.read.parquet(path), "label").select("flow_id", "label_code", "label")
+
+
 @query("p12_minmax_scaling")
 def p12_minmax_scaling(spark, sf_dir):
     from ..operators.prep import fit_minmax
@@ -724,6 +782,44 @@ def s10_history_append(spark, sf_dir):
     return h.groupBy(F.col("date").cast("string").alias("date"), "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("s8_selection_roundtrip")
+def s8_selection_roundtrip(spark, sf_dir):
+    """The features that a saved and reloaded selector keeps (k = 5), as columns of the flows."""
+    from ..operators.prep import anova_f, impute_zero, load_selection, save_selection, select_k_best
+    from ..sources.files import scratch_dir
+    f = impute_zero(_flows(spark, sf_dir))
+    path = scratch_dir(spark, "selection")
+    save_selection(select_k_best(anova_f(f, NUMERIC_FLOW_COLS).withColumn("f_score", F.round("f_score", 4)), 5), path)
+    kept = load_selection(spark, path)
+    return spark.read.parquet(path).where("selected").join(
+        f.agg(*[F.sum(F.col(c).cast("double")).alias(c) for c in kept])
+         .selectExpr(f"stack({len(kept)}, " + ", ".join(f"'{c}', {c}" for c in kept) + ") AS (feature, total)"), "feature"
+    ).select("feature", "rank", F.round("total", 3).alias("total"))
+
+
+@query("s10_conflict_history")
+def s10_conflict_history(spark, sf_dir):
+    """Conflicts of both kinds appended to a history by date."""
+    from ..sources.files import append_history, scratch_dir
+    fv = _fv(spark, sf_dir)
+    path = scratch_dir(spark, "conflicts")
+    append_history(ensemble.class_conflict_detail(fv, "timestamp").select("flow_id", "timestamp", F.lit("class_conflict").alias("type")), path, "timestamp")
+    append_history(ensemble.attack_type_conflict_detail(fv, ensemble.EnsembleConfig(), "timestamp")
+                   .select("flow_id", "timestamp", F.lit("attack_type_conflict").alias("type")), path, "timestamp")
+    h = spark.read.parquet(path)
+    return h.groupBy(F.col("date").cast("string").alias("date"), "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s3_dataset_registry")
+def s3_dataset_registry(spark, sf_dir):
+    """Registered datasets with the rows of the flows that each one's attack types cover."""
+    from ..sources.files import datasets_df
+    per = _flows(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    d = datasets_df(spark).select("name", "label_column", F.explode("attack_types").alias("label"))
+    return d.join(per, "label", "left").groupBy("name", "label_column").agg(
+        F.count(F.lit(1)).alias("n_attack_types"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"))
+
+
 # --- M: detectors (rows-only: model weights are not SQL-expressible) -----------------
 
 _TRAINED = {}

@@ -9,7 +9,7 @@ array expressions or halo windows.
 
 from __future__ import annotations
 
-from ..config import ATTACK_TYPES, KNOWN_CLASSES, detector_registry
+from ..config import ATTACK_TYPES, DATASETS, KNOWN_CLASSES, detector_registry
 
 FLOWS = """flows AS (SELECT event_id AS flow_id, ts AS "timestamp",
  concat('192.168.1.', CAST(user_id % 254 + 1 AS VARCHAR(10))) AS src_ip,
@@ -568,3 +568,31 @@ SELECT c.ordinal, c.cluster_id, c.attack_type, c.model_type,
  CASE WHEN coalesce(sz.n_train, 0) > 0 THEN 'trained' ELSE 'no_data' END AS status,
  coalesce(sz.n_train, 0) AS n_train, coalesce(sz.n_test, 0) AS n_test, CAST(NULL AS VARCHAR) AS error
 FROM clusters c LEFT JOIN sz ON sz.attack_type = c.attack_type""")
+
+# --- conflict evidence, class scores, saved fits -------------------------------------------
+
+_VT = "string_agg(concat(cluster_id, '=', printf('%.3f', confidence)), ',' ORDER BY ordinal)"
+register("e1_conflict_detail", ENS + f"""SELECT v.flow_id, v.attack_type, v.prediction, {_VT} AS votes
+ FROM v JOIN e1 ON e1.flow_id = v.flow_id AND e1.attack_type = v.attack_type WHERE e1.nd > 1 GROUP BY ALL""")
+register("e2_conflict_detail", ENS + f""", hi AS (SELECT flow_id, count(*) AS k FROM e1 WHERE mx > 0.7 GROUP BY flow_id)
+SELECT v.flow_id, v.attack_type, round(max(confidence), 6) AS confidence, {_VT} AS votes
+ FROM v JOIN e1 ON e1.flow_id = v.flow_id AND e1.attack_type = v.attack_type JOIN hi ON hi.flow_id = v.flow_id
+ WHERE e1.mx > 0.7 AND hi.k > 1 GROUP BY v.flow_id, v.attack_type""")
+register("e4_class_scores", WEIGHTED_DECISIONS + """SELECT cs.flow_id, cs.prediction, round(round(cs.s / tot.tw, 9), 6) AS score
+ FROM cs JOIN tot ON tot.flow_id = cs.flow_id""")
+register("e5_class_votes", MAJORITY + "SELECT flow_id, prediction, n AS n_votes FROM mv")
+register("a11_duration_summary", MON + """SELECT cluster_id, round(sum(prediction_time), 3) + 0.0 AS duration_sum,
+ count(*) AS duration_count FROM ok GROUP BY cluster_id""")
+register("p11_label_decoding", FL + "SELECT flow_id, dense_rank() OVER (ORDER BY label) - 1 AS label_code, label FROM flows")
+register("s8_selection_roundtrip", (
+    "WITH sel AS (" + ORACLE["x6_anova_f"] + "), " + FLOWS + ", " + FILLED + ", tot AS (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, round(sum(CAST({c} AS DOUBLE)), 3) AS total FROM filled" for c in NUMC) +
+    ") SELECT sel.feature, sel.rank, tot.total FROM sel JOIN tot ON tot.feature = sel.feature WHERE sel.rank <= 5"))
+register("s10_conflict_history", ENS + """, c AS (SELECT flow_id, 'class_conflict' AS type FROM e1 WHERE nd > 1
+ UNION ALL SELECT flow_id, 'attack_type_conflict' FROM cf WHERE n_type = 1)
+SELECT CAST(CAST(f."timestamp" AS DATE) AS VARCHAR) AS date, c.type, count(*) AS n FROM c JOIN flows f ON f.flow_id = c.flow_id GROUP BY 1, 2""")
+register("s3_dataset_registry", FL + ", reg AS (SELECT * FROM (VALUES " + ", ".join(
+    f"('{n}', '{d['label_column']}', '{t}')" for n, d in DATASETS.items() for t in d["attack_types"]) +
+    """) t(name, label_column, label)), per AS (SELECT label, count(*) AS n FROM flows GROUP BY label)
+SELECT name, label_column, count(*) AS n_attack_types, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_rows
+ FROM reg LEFT JOIN per ON per.label = reg.label GROUP BY name, label_column""")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ATTACK_TYPES, detector_registry
+from ..functions.scalar import default_prediction
 from ..operators.ensemble import let
 from .tables import read_table
 
@@ -103,13 +104,12 @@ def votes_column(flow_id: Column, registry=None) -> Column:
         raw = (F.when(s == 5, F.when(r % 3 == 0, k["attack_type"]).otherwise("Benign"))
                .when(s == 6, F.when(r % 2 == 0, k["attack_type"]).otherwise("Benign"))
                .otherwise(target))
-        # Failed detector -> ('Error', 0.0); untrained -> ('Unknown', 0.0)
-        prediction = F.when(failed, "Error").when(~trained, "Unknown").otherwise(raw)
-        confidence = F.when(failed | ~trained, F.lit(0.0)).otherwise(milli.cast("double") / 1000)
+        error = F.when(failed, F.lit("boom"))
+        prediction, confidence = default_prediction(trained, error, raw, milli.cast("double") / 1000)
         return F.struct(
             k["ordinal"].alias("ordinal"), k["cluster_id"].alias("cluster_id"),
             k["attack_type"].alias("attack_type"), k["model_type"].alias("model_type"),
-            trained.alias("is_trained"), F.when(failed, F.lit("boom")).alias("error"),
+            trained.alias("is_trained"), error.alias("error"),
             prediction.alias("prediction"), confidence.alias("confidence"),
             ((r % 500).cast("double") / 1000).alias("prediction_time"))
 

@@ -78,7 +78,7 @@ def test_stream_rolling_state_equals_batch_over_several_batches(spark):
     stream.run_available(stream.rolling_state(fl), f"{d}/out", f"{d}/ckpt")
     got = {r["flow_id"]: r for r in spark.read.parquet(f"{d}/out").collect()}
     want = features.rolling_features(derived.load_flows(spark, SF), ("packet_size_mean", "packet_size_std"),
-                                     key_cols=("src_ip",), mode="keyed").collect()
+                                     key_cols=("src_ip",)).collect()
     assert len(got) == len(want)
     for r in want:
         g = got[r["flow_id"]]

@@ -16,12 +16,16 @@ def test_halo_equals_plain_window(spark, block, key):
     f = derived.load_flows(spark, SF)
     feats = ("packet_size_mean", "packet_size_std", "packet_size_median", "unique_dst_ips",
              "packet_rate", "src_ip_entropy")
-    got = features.rolling_features(f, feats, key_cols=key, mode="halo", block_rows=block)
+    got = features.rolling_features(f, feats, key_cols=key, block_rows=block)
     w = Window.partitionBy(*key).orderBy("timestamp", "flow_id") if key else Window.orderBy("timestamp", "flow_id")
     plain = f.withColumn("_high_port", F.lit(0.0))
     fr = halo.HaloFrame(plain.withColumn("_halo", F.lit(False)).withColumn("_blk", F.lit(0)), w, [], [])
     df = fr.df.withColumn("_dt", R.seconds_since_previous("timestamp", w))
-    ex = features._exprs(w.rowsBetween(-9, 0), 10, set(feats))
+    v = w.rowsBetween(-9, 0)
+    ex = {"packet_size_mean": R.r_mean("packet_size", v, 10), "packet_size_std": R.r_std("packet_size", v, 10),
+          "packet_size_median": R.r_median("packet_size", v, 10), "unique_dst_ips": R.r_nunique("dst_ip", v, 10),
+          "packet_rate": R.gated(F.try_divide(F.lit(1.0), F.avg("_dt").over(v)), "_dt", v, 10),
+          "src_ip_entropy": R.r_entropy("src_ip", v, 10)}
     want = df.select("flow_id", *[ex[c].alias(c) for c in feats])
     a = {r["flow_id"]: r for r in got.collect()}
     b = {r["flow_id"]: r for r in want.collect()}
@@ -96,4 +100,7 @@ def test_plan_has_one_gate_count_per_column_and_no_global_window(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     counts = re.findall(r"count\(packet_size#\d+\) windowspecdefinition", plan)
     assert len(counts) == 1
+    corr = features.rolling_features(f, tuple(features.corr_names()), block_rows=97)
+    plan = corr._jdf.queryExecution().executedPlan().toString()
+    assert len(set(re.findall(r"stddev_pop\([^)]*\)+ windowspecdefinition", plan))) == 6
     assert re.search(r"windowspecdefinition\(_blk#\d+", plan)

@@ -205,16 +205,19 @@ BROADCAST_CLASSES = 100_000
 
 
 def training_sets(flows: DataFrame, registry: DataFrame, cap: int, label: str = "label",
-                  id_col: str = "flow_id", seed: int = SEED) -> DataFrame:
+                  id_col: str = "flow_id", seed: int = SEED, positive_cap: int | None = None) -> DataFrame:
     """X2 + X3: one binary set per detector attack type present in the data.
 
-    Positives: every row of that class.  Negatives: the first min(#positives, cap) rows
+    Positives: every row of that class (with ``positive_cap`` its first in hash order).  Negatives: the first min(#positives, cap) rows
     of the other side in hash order (Benign for attack detectors; all attacks for the
     Benign detector).  The two pools are ranked once and joined to the class counts, so
     the scans do not grow with the registry."""
     rows = flows.select(id_col, F.col(label).alias("attack_type"))
     types = registry.select("attack_type").distinct()
     pos = rows.join(types, "attack_type", "left_semi").select("attack_type", id_col, F.lit(1).alias("y"))
+    if positive_cap is not None:
+        ranked = class_rank(pos, "attack_type", id_col, seed)
+        pos = ranked.where(F.col("_rk") <= positive_cap).drop("_rk", "_n")
     need = pos.groupBy("attack_type").agg(F.least(F.count(F.lit(1)), F.lit(cap)).alias("need"))
     if types.count() <= BROADCAST_CLASSES:  # one row of ``need`` per type at most
         need = F.broadcast(need)
@@ -227,26 +230,29 @@ def training_sets(flows: DataFrame, registry: DataFrame, cap: int, label: str =
     return pos.unionByName(neg)
 
 
-def stratified_split(df: DataFrame, label: str = "label", id_col: str = "flow_id",
-                     test_size: float = 0.2, val_size: float = 0.1, seed: int = SEED) -> DataFrame:
-    """Exact per-class 70/10/20 split in hash order (adds ``split``).
+def class_rank(df: DataFrame, label: str, id_col: str = "flow_id", seed: int = SEED) -> DataFrame:
+    """Adds ``_rk``, the 1-based rank in hash order inside the row's class, and ``_n``, the class's rows.
 
-    The rank inside a class comes from a global index over (label, hash, id)
-    minus the class's first index -- no per-class window, so a class holding
-    most rows does not end up in one task.  The classes are counted before they are
-    broadcast; more than ``BROADCAST_CLASSES`` are joined by a shuffle.
-    """
-    h = hash_key(id_col, seed)
-    idx = halo.with_global_index(df.withColumn("_h", h), [label, "_h", id_col])
+    The rank comes from a global index over (label, hash, id) minus the class's first
+    index -- no per-class window, so a class holding most rows does not end up in one
+    task.  The classes are counted before they are broadcast; more than
+    ``BROADCAST_CLASSES`` are joined by a shuffle."""
+    idx = halo.with_global_index(df.withColumn("_h", hash_key(id_col, seed)), [label, "_h", id_col])
     per = idx.groupBy(label).agg(F.min("_idx").alias("_start"), F.count(F.lit(1)).alias("_n"))
     if per.count() <= BROADCAST_CLASSES:
         per = F.broadcast(per)
-    j = idx.join(per, label)
-    rk = F.col("_idx") - F.col("_start") + 1
+    return idx.join(per, label).withColumn("_rk", F.col("_idx") - F.col("_start") + 1).drop("_idx", "_start", "_h")
+
+
+def stratified_split(df: DataFrame, label: str = "label", id_col: str = "flow_id",
+                     test_size: float = 0.2, val_size: float = 0.1, seed: int = SEED) -> DataFrame:
+    """Exact per-class 70/10/20 split in hash order (adds ``split``)."""
+    j = class_rank(df, label, id_col, seed)
+    rk = F.col("_rk")
     n_test = F.round(F.col("_n") * test_size)
     n_val = F.round(F.col("_n") * val_size)
     split = F.when(rk <= n_test, "test").when(rk <= n_test + n_val, "val").otherwise("train")
-    return j.withColumn("split", split).drop("_idx", "_start", "_n", "_h")
+    return j.withColumn("split", split).drop("_rk", "_n")
 
 
 def decode_ordinal(df: DataFrame, codes: DataFrame, col: str, code_col: str | None = None) -> DataFrame:

@@ -826,38 +826,96 @@ _TRAINED = {}
 
 
 def _trained(spark, sf_dir):
-    """Train once per (session, data set) and reuse across the M queries."""
+    """Train once per (application, data set) and reuse across the M queries."""
     from ..operators.detectors import train_all
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _TRAINED:
+        for old in [k for k in _TRAINED if k[0] != key[0]]:
+            del _TRAINED[old]
         _TRAINED[key] = train_all(spark, _flows(spark, sf_dir))
     return _TRAINED[key]
 
 
 @query("m3_train_all_detectors")
 def m3_train_all_detectors(spark, sf_dir):
-    _fs, _frame, res = _trained(spark, sf_dir)
-    return spark.createDataFrame(res.rows, "ordinal int, cluster_id string, attack_type string, model_type string, "
-                                           "status string, n_train long, n_test long, error string")
+    rows = _trained(spark, sf_dir).result.rows
+    return spark.createDataFrame(rows, "ordinal int, cluster_id string, attack_type string, model_type string, "
+                                       "status string, n_train long, n_test long, error string")
 
 
 @query("m4_score_flows")
 def m4_score_flows(spark, sf_dir):
     from ..operators.detectors import score_votes
-    fs, _frame, res = _trained(spark, sf_dir)
-    d = ensemble.decide(score_votes(fs, res, _flows(spark, sf_dir)))
+    t = _trained(spark, sf_dir)
+    d = ensemble.decide(score_votes(t.features, t.result, _flows(spark, sf_dir)))
     return d.groupBy("label", "attack_type", "severity").agg(F.count(F.lit(1)).alias("n_flows"))
 
 
+@query("p21_class_probabilities")
+def p21_class_probabilities(spark, sf_dir):
+    """Per detector: flows scored, whether every map sums to one, and how many favour the attack."""
+    from ..operators.detectors import score_votes
+    t = _trained(spark, sf_dir)
+    p = score_votes(t.features, t.result, _flows(spark, sf_dir)).select(F.explode("class_probabilities").alias("cluster_id", "p"))
+    total = F.aggregate(F.map_values("p"), F.lit(0.0), lambda acc, x: acc + x)
+    return p.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n_flows"), F.max(F.size("p")).alias("n_classes"),
+                                       F.bool_and((F.size("p") == 1) | (F.abs(total - 1.0) < 1e-9)).alias("sums_to_one"))
+
+
+@query("m5_retrain_detectors")
+def m5_retrain_detectors(spark, sf_dir):
+    """The DoS detectors refitted on the validation rows: test accuracy before and after."""
+    from ..operators.detectors import Training, evaluate_all, retrain
+    t = _trained(spark, sf_dir)
+    new = t.held_out.where("split = 'val' and label in ('DoS', 'Benign')").withColumn("y", (F.col("label") == "DoS").cast("int"))
+    again = retrain(retrain(t.result, "DoS_svm", new), "DoS_lstm", new)
+    parts = [evaluate_all(Training(t.features, t.fit, t.held_out, r)).where("attack_type = 'DoS'").groupBy("cluster_id")
+             .agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("double")).alias(name), F.count(F.lit(1)).alias(f"n_{name}"))
+             for name, r in (("before", t.result), ("after", again))]
+    return round_doubles(parts[0].join(parts[1], "cluster_id").select("cluster_id", "before", "after", F.col("n_after").alias("test_samples")))
+
+
 @query("m6_evaluate_detectors")
 def m6_evaluate_detectors(spark, sf_dir):
     from ..operators.detectors import evaluate_all
-    from ..operators.evaluate import classification_report, confusion
-    _fs, frame, res = _trained(spark, sf_dir)
-    ev = evaluate_all(res, frame)
+    from ..operators.evaluate import classification_report, confusion, roc_auc_scores
+    ev = evaluate_all(_trained(spark, sf_dir))
     rep = classification_report(confusion(ev, ("ordinal", "cluster_id", "attack_type", "model_type")))
-    return round_doubles(rep.select("cluster_id", "accuracy", "precision", "recall", "f1_score", "roc_auc",
-                                    "test_samples"))
+    auc = roc_auc_scores(ev).withColumnRenamed("roc_auc", "roc_auc_scores")
+    return round_doubles(rep.join(auc, "cluster_id").select("cluster_id", "accuracy", "precision", "recall", "f1_score", "roc_auc",
+                                                            "roc_auc_scores", "test_samples"))
+
+
+@query("s6_score_records")
+def s6_score_records(spark, sf_dir):
+    """JSON records through the contract, the shared features and the fitted detectors."""
+    from ..operators.detectors import score_records
+    t = _trained(spark, sf_dir)
+    d = score_records(_request_json(spark, sf_dir), t.features, t.result)
+    return d.groupBy("method", "attack_type", "severity").agg(F.count(F.lit(1)).alias("n_flows"), F.count("error").alias("n_errors"))
+
+
+@query("s9_detector_roundtrip")
+def s9_detector_roundtrip(spark, sf_dir):
+    """Decisions of saved and reloaded detectors."""
+    from ..operators.detectors import load_detectors, save_detectors, score_votes
+    from ..sources.files import scratch_dir
+    path = scratch_dir(spark, "detectors")
+    save_detectors(spark, _trained(spark, sf_dir), path)
+    fs, res = load_detectors(spark, path)
+    d = ensemble.decide(score_votes(fs, res, _flows(spark, sf_dir)))
+    return d.groupBy("label", "attack_type", "severity").agg(F.count(F.lit(1)).alias("n_flows"))
+
+
+@query("t1_stream_detectors")
+def t1_stream_detectors(spark, sf_dir):
+    """Fitted detectors over a stream of events, summed like m4_score_flows."""
+    from ..sources.files import scratch_dir
+    from ..streaming.stream import run_detectors
+    t, base = _trained(spark, sf_dir), scratch_dir(spark, "t1d")
+    run_detectors(_stream_flows(spark, sf_dir), t.features, t.result, f"{base}/out", f"{base}/history", f"{base}/ckpt")
+    d = spark.read.parquet(f"{base}/out")
+    return d.groupBy("attack_type", "severity").agg(F.count(F.lit(1)).alias("n_flows"))
 
 
 # --- T: streaming (T1/T2 run real availableNow streams; T3-T7 batch twins) ------------

@@ -557,17 +557,16 @@ SELECT f.feature, NOT list_contains((SELECT dropped FROM walk ORDER BY step DESC
 
 # M3: which detectors train and on how many rows follows from X3 + X4 alone
 # (statuses and sizes; the fitted weights themselves have no SQL twin).
-register("m3_train_all_detectors", TRAIN + f""", sp AS (SELECT attack_type, y, flow_id,
-   row_number() OVER (PARTITION BY attack_type, y ORDER BY {HK}, flow_id) AS rk,
-   count(*) OVER (PARTITION BY attack_type, y) AS n FROM tset),
- lab AS (SELECT attack_type, CASE WHEN rk <= round(n * 0.2) THEN 'test'
-   WHEN rk <= round(n * 0.2) + round(n * 0.1) THEN 'val' ELSE 'train' END AS split FROM sp),
- sz AS (SELECT attack_type, CAST(sum(CASE WHEN split = 'train' THEN 1 ELSE 0 END) AS BIGINT) AS n_train,
-   CAST(sum(CASE WHEN split = 'test' THEN 1 ELSE 0 END) AS BIGINT) AS n_test FROM lab GROUP BY attack_type)
-SELECT c.ordinal, c.cluster_id, c.attack_type, c.model_type,
- CASE WHEN coalesce(sz.n_train, 0) > 0 THEN 'trained' ELSE 'no_data' END AS status,
- coalesce(sz.n_train, 0) AS n_train, coalesce(sz.n_test, 0) AS n_test, CAST(NULL AS VARCHAR) AS error
-FROM clusters c LEFT JOIN sz ON sz.attack_type = c.attack_type""")
+register("m3_train_all_detectors", SPLIT + """, """ + CLUSTERS + """,
+ c AS (SELECT label, sum(CASE WHEN split = 'train' THEN 1 ELSE 0 END) AS tr, sum(CASE WHEN split = 'test' THEN 1 ELSE 0 END) AS te FROM sp GROUP BY label),
+ side AS (SELECT sum(CASE WHEN label = 'Benign' THEN tr ELSE 0 END) AS b_tr, sum(CASE WHEN label <> 'Benign' THEN tr ELSE 0 END) AS a_tr,
+   sum(CASE WHEN label = 'Benign' THEN te ELSE 0 END) AS b_te, sum(CASE WHEN label <> 'Benign' THEN te ELSE 0 END) AS a_te FROM c),
+ sz AS (SELECT k.*, least(coalesce(c.tr, 0), 10000) AS pos, coalesce(c.te, 0) AS te,
+   CASE WHEN k.attack_type = 'Benign' THEN a_tr ELSE b_tr END AS other_tr, CASE WHEN k.attack_type = 'Benign' THEN a_te ELSE b_te END AS other_te
+   FROM clusters k CROSS JOIN side LEFT JOIN c ON c.label = k.attack_type)
+SELECT ordinal, cluster_id, attack_type, model_type, CASE WHEN pos > 0 THEN 'trained' ELSE 'no_data' END AS status,
+ CAST(pos + least(pos, other_tr) AS BIGINT) AS n_train,
+ CAST(CASE WHEN pos > 0 THEN te + other_te ELSE 0 END AS BIGINT) AS n_test, CAST(NULL AS VARCHAR) AS error FROM sz""")
 
 # --- conflict evidence, class scores, saved fits -------------------------------------------
 

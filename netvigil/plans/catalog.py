@@ -700,13 +700,12 @@ def j6_register_detectors(spark, sf_dir):
 # --- S: sources and sinks -----------------------------------------------------------
 
 def _flows_csv(spark, sf_dir, extra_corrupt=False):
-    from ..sources.files import read_flow_csv, scratch_dir, write_flow_csv
+    from ..sources.files import read_flow_csv, scratch_dir, write_bytes, write_flow_csv
     out = scratch_dir(spark, "flows-csv")
     write_flow_csv(_flows(spark, sf_dir), f"{out}/good")
     if extra_corrupt:
         # an unreadable member of the dataset: gzip extension, not gzip content
-        with open(f"{out}/good/zz-broken.csv.gz", "wb") as fh:
-            fh.write(b"this is not gzip data")
+        write_bytes(spark, f"{out}/good/zz-broken.csv.gz", b"this is not gzip data")
     return read_flow_csv(spark, f"{out}/good/*.csv*")
 
 
@@ -918,7 +917,7 @@ def t1_stream_detectors(spark, sf_dir):
     return d.groupBy("attack_type", "severity").agg(F.count(F.lit(1)).alias("n_flows"))
 
 
-# --- T: streaming (T1/T2 run real availableNow streams; T3-T7 batch twins) ------------
+# --- T: streaming (availableNow streams into a sink)  ------------
 
 def _stream_flows(spark, sf_dir):
     from ..streaming.stream import event_stream, flow_stream
@@ -944,43 +943,55 @@ def t2_stream_rolling_state(spark, sf_dir):
     return round_doubles(spark.read.parquet(f"{base}/out").select("flow_id", "packet_size_mean", "packet_size_std"))
 
 
-def _batch_flows_ts(spark, sf_dir):
-    return _flows(spark, sf_dir).withColumn("ts", F.col("timestamp").cast("timestamp"))
+def _stream_result(spark, df, keys, name):
+    """The final state of a stream in update mode."""
+    from ..sources.files import scratch_dir
+    from ..streaming.stream import latest_updates, run_updates
+    base = scratch_dir(spark, name)
+    run_updates(df, f"{base}/out", f"{base}/ckpt")
+    return latest_updates(spark, f"{base}/out", keys)
 
 
 @query("t3_tumbling_counts")
 def t3_tumbling_counts(spark, sf_dir):
     from ..streaming.stream import tumbling_counts, window_seconds
-    d = ensemble.decide(derived.flows_with_votes(_batch_flows_ts(spark, sf_dir)))
-    return tumbling_counts(d).select(*window_seconds(), "attack_type", "severity", "n")
+    d = ensemble.decide(derived.flows_with_votes(_stream_flows(spark, sf_dir)))
+    return _stream_result(spark, tumbling_counts(d), ("w", "attack_type", "severity"), "t3").select(
+        *window_seconds(), "attack_type", "severity", "n")
 
 
 @query("t4_sliding_windows")
 def t4_sliding_windows(spark, sf_dir):
     from ..streaming.stream import sliding_counts, window_seconds
-    return sliding_counts(_batch_flows_ts(spark, sf_dir)).select(*window_seconds(), "protocol", "n")
+    return _stream_result(spark, sliding_counts(_stream_flows(spark, sf_dir)), ("w", "protocol"), "t4").select(
+        *window_seconds(), "protocol", "n")
 
 
 @query("t5_health_windows")
 def t5_health_windows(spark, sf_dir):
-    from ..streaming.stream import health_windows, window_seconds
-    s = derived.load_host_metrics(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    return health_windows(s).select(*window_seconds(), "host", "cpu_usage", "memory_usage", "disk_usage",
-                                    "status", "issues")
+    from ..streaming.stream import event_stream, health_windows, window_seconds
+    s = derived.host_metrics_from_events(event_stream(spark, f"{sf_dir.rstrip('/')}/events*.parquet"))
+    out = health_windows(s.withColumn("ts", F.col("ts").cast("timestamp")))
+    return _stream_result(spark, out, ("w", "host"), "t5").select(
+        *window_seconds(), "host", "cpu_usage", "memory_usage", "disk_usage", "status", "issues")
 
 
 @query("t6_running_stats")
 def t6_running_stats(spark, sf_dir):
     from ..streaming.stream import running_stats
-    return round_doubles(running_stats(_votes(spark, sf_dir)))
+    votes = derived.votes_long(derived.flows_with_votes(_stream_flows(spark, sf_dir)))
+    return round_doubles(_stream_result(spark, running_stats(votes), ("cluster_id",), "t6"))
 
 
 @query("t7_dedup_within_watermark")
 def t7_dedup_within_watermark(spark, sf_dir):
-    from ..streaming.stream import dedup
-    f = _batch_flows_ts(spark, sf_dir)
-    resent = f.filter(F.col("protocol") == "UDP")  # UDP senders retransmit
-    return dedup(f.unionByName(resent)).select("flow_id", "protocol")
+    from ..sources.files import scratch_dir
+    from ..streaming.stream import dedup, run_available
+    f = _stream_flows(spark, sf_dir).select("flow_id", "protocol", "ts")
+    resent = _stream_flows(spark, sf_dir).select("flow_id", "protocol", "ts").filter(F.col("protocol") == "UDP")  # UDP senders retransmit
+    base = scratch_dir(spark, "t7")
+    run_available(dedup(f.unionByName(resent)), f"{base}/out", f"{base}/ckpt")
+    return spark.read.parquet(f"{base}/out").select("flow_id", "protocol")
 
 
 # --- remaining inventory items -------------------------------------------------------

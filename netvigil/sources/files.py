@@ -66,6 +66,15 @@ def scratch_dir(spark: SparkSession, prefix: str) -> str:
     return checkpoint_path(spark, f"{prefix}-{uuid.uuid4().hex}")
 
 
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """A small file in whatever store the path names."""
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(sc._jsc.hadoopConfiguration()).create(where)
+    out.write(bytearray(content))
+    out.close()
+
+
 # --- S1 / S2 / S3 -------------------------------------------------------------
 
 def read_flow_csv(spark: SparkSession, path: str, schema: T.StructType | None = FLOW_CSV,

@@ -64,6 +64,22 @@ def run_available(df: DataFrame, sink_path: str, checkpoint: str, fmt: str = "pa
     q.awaitTermination()
 
 
+def run_updates(df: DataFrame, path: str, checkpoint: str) -> None:
+    """Process everything available now in update mode: every micro-batch leaves the rows it changed
+    in ``path``/batch=<id>, overwritten when the batch is run again after a failure."""
+    def run(rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    df.writeStream.foreachBatch(run).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def latest_updates(spark: SparkSession, path: str, keys) -> DataFrame:
+    """The last state of every key that ``run_updates`` wrote (combined map side, no window)."""
+    t = spark.read.parquet(path)
+    rest = [c for c in t.columns if c not in (*keys, "batch")]
+    return t.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")
+
+
 def run_detectors(flows: DataFrame, fs, trained, sink_path: str, history: str, checkpoint: str, registry=None) -> None:
     """T1 with fitted detectors: every micro-batch is featurized, scored and decided like a batch.
 

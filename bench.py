@@ -67,6 +67,22 @@ def q_split(spark, d):
     return prep.stratified_split(derived.load_flows(spark, d).select("flow_id", "label"))
 
 
+def q_feature_row(spark, d):
+    """All 35 rolling features."""
+    return features.rolling_features(derived.load_flows(spark, d), features.BASIC + features.ADVANCED + tuple(features.corr_names()))
+
+
+def q_training_sets(spark, d):
+    """X2 + X3."""
+    return prep.training_sets(derived.load_flows(spark, d), derived.clusters_df(spark), 10_000)
+
+
+def q_best_detectors(spark, d):
+    """L4 over A2-A4."""
+    ev = derived.eval_predictions(derived.flows_with_votes(derived.load_flows(spark, d)))
+    return evaluate.best_by_metric(evaluate.classification_report(evaluate.confusion(ev, ("ordinal", "cluster_id"))))
+
+
 QUERIES = {
     "rolling_features": q_rolling_features,
     "rolling_correlation": q_rolling_correlation,
@@ -76,6 +92,9 @@ QUERIES = {
     "evaluation": q_evaluation,
     "fan_join": q_fan,
     "stratified_split": q_split,
+    "feature_row": q_feature_row,
+    "training_sets": q_training_sets,
+    "best_detectors": q_best_detectors,
 }
 
 

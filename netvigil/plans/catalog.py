@@ -934,13 +934,22 @@ def t1_stream_scoring(spark, sf_dir):
     return _summary(spark.read.parquet(f"{base}/out"))
 
 
-@query("t2_stream_rolling_state")
-def t2_stream_rolling_state(spark, sf_dir):
+def _rolling_stream(spark, sf_dir):
     from ..sources.files import scratch_dir
     from ..streaming.stream import rolling_state, run_available
     base = scratch_dir(spark, "t2")
     run_available(rolling_state(_stream_flows(spark, sf_dir)), f"{base}/out", f"{base}/ckpt")
-    return round_doubles(spark.read.parquet(f"{base}/out").select("flow_id", "packet_size_mean", "packet_size_std"))
+    return spark.read.parquet(f"{base}/out")
+
+
+@query("t2_stream_rolling_state")
+def t2_stream_rolling_state(spark, sf_dir):
+    return round_doubles(_rolling_stream(spark, sf_dir).select("flow_id", "packet_size_mean", "packet_size_std"))
+
+
+@query("t2_stream_rolling_features")
+def t2_stream_rolling_features(spark, sf_dir):
+    return round_doubles(_rolling_stream(spark, sf_dir).drop("src_ip", "packet_size_mean", "packet_size_std"))
 
 
 def _stream_result(spark, df, keys, name):
@@ -1023,6 +1032,16 @@ def a16_dataset_statistics(spark, sf_dir):
         *[F.sum((F.col("split") == x).cast("long")).alias(f"n_{x}") for x in ("train", "val", "test")])
 
 
+@query("a16_dataset_summary")
+def a16_dataset_summary(spark, sf_dir):
+    """Samples, numeric features and classes of the flows."""
+    from ..operators.prep import split_columns
+    f = _flows(spark, sf_dir)
+    numeric, _ = split_columns(f)
+    return f.agg(F.count(F.lit(1)).alias("n_samples"), F.lit(len([c for c in numeric if c != "flow_id"])).alias("n_features"),
+                 F.array_join(F.sort_array(F.collect_set("label")), ",").alias("classes"))
+
+
 @query("s7_json_results")
 def s7_json_results(spark, sf_dir):
     from ..sources.files import scratch_dir, write_json

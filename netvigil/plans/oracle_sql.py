@@ -595,3 +595,11 @@ register("s3_dataset_registry", FL + ", reg AS (SELECT * FROM (VALUES " + ", ".j
     """) t(name, label_column, label)), per AS (SELECT label, count(*) AS n FROM flows GROUP BY label)
 SELECT name, label_column, count(*) AS n_attack_types, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_rows
  FROM reg LEFT JOIN per ON per.label = reg.label GROUP BY name, label_column""")
+register("t2_stream_rolling_features", with_(FLOWS) + f"""SELECT flow_id,
+ {g('CAST(min(packet_size) OVER w AS DOUBLE)', 'packet_size')} AS packet_size_min,
+ {g('CAST(max(packet_size) OVER w AS DOUBLE)', 'packet_size')} AS packet_size_max,
+ {g('median(packet_size) OVER w', 'packet_size')} AS packet_size_median,
+ {g('avg(flow_duration) OVER w', 'flow_duration')} AS flow_duration_mean,
+ {g('stddev_samp(flow_duration) OVER w', 'flow_duration')} AS flow_duration_std FROM flows {KW}""")
+register("a16_dataset_summary", FL + f"""SELECT count(*) AS n_samples, {len(NUMC)} AS n_features,
+ string_agg(DISTINCT label, ',' ORDER BY label) AS classes FROM flows""")

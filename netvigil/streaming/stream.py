@@ -105,51 +105,56 @@ def run_detectors(flows: DataFrame, fs, trained, sink_path: str, history: str, c
 
 # --- T2 ------------------------------------------------------------------------
 
-ROLLING_OUT = T.StructType([
-    T.StructField("flow_id", T.LongType()), T.StructField("src_ip", T.StringType()),
-    T.StructField("packet_size_mean", T.DoubleType()), T.StructField("packet_size_std", T.DoubleType()),
-])
-ROLLING_STATE = T.StructType([
-    T.StructField("ts", T.ArrayType(T.TimestampType())), T.StructField("ids", T.ArrayType(T.LongType())),
-    T.StructField("sizes", T.ArrayType(T.DoubleType())),
-])
-
-
-def _rolling_update(n: int):
+ROLLING_INPUTS = ("packet_size", "flow_duration")
+#: Feature -> (input, pandas rolling statistic).
+ROLLING_STATS = {
+    "packet_size_mean": ("packet_size", "mean"), "packet_size_std": ("packet_size", "std"),
+    "packet_size_min": ("packet_size", "min"), "packet_size_max": ("packet_size", "max"),
+    "packet_size_median": ("packet_size", "median"),
+    "flow_duration_mean": ("flow_duration", "mean"), "flow_duration_std": ("flow_duration", "std"),
+}
+ROLLING_OUT = T.StructType([T.StructField("flow_id", T.LongType()), T.StructField("src_ip", T.StringType()),
+                            *[T.StructField(c, T.DoubleType()) for c in ROLLING_STATS]])
+ROLLING_STATE = T.StructType([T.StructField("ids", T.ArrayType(T.LongType())),
+                              *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in ROLLING_INPUTS]])
+
+
+def _rolling_update(n: int, idle_ms: int | None):
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(batches), ignore_index=True)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        new = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "flow_id"], kind="mergesort")
+        cols = ["flow_id", *ROLLING_INPUTS]
+        rows = new[cols].astype({c: "float64" for c in ROLLING_INPUTS})
+        k = 0
         if state.exists:
-            ts, ids, sizes = state.get
-            prev = pd.DataFrame({"ts": list(ts), "flow_id": list(ids), "packet_size": list(sizes)})
-        else:
-            prev = pd.DataFrame({"ts": [], "flow_id": [], "packet_size": []})
-        new = new.sort_values(["ts", "flow_id"], kind="mergesort")
-        cur = new[["ts", "flow_id", "packet_size"]]
-        allrows = pd.concat([prev, cur], ignore_index=True) if len(prev) else cur.reset_index(drop=True)
-        vals = allrows["packet_size"].astype("float64")
+            before = pd.DataFrame({c: list(v) for c, v in zip(cols, state.get)}).astype({c: "float64" for c in ROLLING_INPUTS})
+            k, rows = len(before), pd.concat([before, rows])
+        rows = rows.reset_index(drop=True)
         # pandas min_periods = n (NULL unless n values in the frame)
-        mean = vals.rolling(n, min_periods=n).mean()
-        std = vals.rolling(n, min_periods=n).std(ddof=1)
-        k = len(prev)
-        out = pd.DataFrame({"flow_id": allrows["flow_id"].iloc[k:].astype("int64").values,
-                            "src_ip": key[0],
-                            "packet_size_mean": mean.iloc[k:].values,
-                            "packet_size_std": std.iloc[k:].values})
-        tail = allrows.iloc[-(n - 1):] if n > 1 else allrows.iloc[0:0]
-        state.update((list(pd.to_datetime(tail["ts"])), [int(x) for x in tail["flow_id"]],
-                      [float(x) for x in tail["packet_size"]]))
+        stats = {f: getattr(rows[c].rolling(n, min_periods=n), how)() for f, (c, how) in ROLLING_STATS.items()}
+        out = pd.DataFrame({"flow_id": rows["flow_id"].astype("int64"), "src_ip": key[0], **stats}).iloc[k:]
+        tail = rows.iloc[max(0, len(rows) - n + 1):]
+        state.update(([int(x) for x in tail["flow_id"]],
+                      *[[None if pd.isna(x) else float(x) for x in tail[c]] for c in ROLLING_INPUTS]))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield out
     return update
 
 
-def rolling_state(flows: DataFrame, n: int = WINDOW_SIZE, key: str = "src_ip") -> DataFrame:
-    """Packet-size mean/std over the last ``n`` flows of each key.
+def rolling_state(flows: DataFrame, n: int = WINDOW_SIZE, key: str = "src_ip", idle_ms: int | None = None) -> DataFrame:
+    """Statistics of the packet size and the duration over the last ``n`` flows of each key.
 
-    State per key is the last n-1 rows (bounded); rows of one micro-batch
-    are ordered by (ts, flow_id) and follow the rows already in state."""
-    src = flows.select(key, "flow_id", "ts", F.col("packet_size").cast("double").alias("packet_size"))
+    State per key is the last n-1 rows (bounded); rows of one micro-batch are ordered by
+    (ts, flow_id) and follow the rows already in state.  A stream that goes on for ever
+    sets ``idle_ms``: a key without rows for so long (processing time) is forgotten.  A
+    run that ends with the input leaves it unset, as Spark then adds batches without end."""
+    src = flows.select(key, "flow_id", "ts", *[F.col(c).cast("double").alias(c) for c in ROLLING_INPUTS])
     return src.groupBy(key).applyInPandasWithState(
-        _rolling_update(n), ROLLING_OUT, ROLLING_STATE, "append", GroupStateTimeout.NoTimeout)
+        _rolling_update(n, idle_ms), ROLLING_OUT, ROLLING_STATE, "append",
+        GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
 # --- T3-T7 ----------------------------------------------------------------------

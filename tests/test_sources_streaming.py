@@ -107,6 +107,33 @@ def test_updates_of_several_batches_end_in_the_batch_counts(spark):
         assert got.select(cols).exceptAll(want.select(cols)).count() == 0 and got.count() == want.count() > 0
 
 
+def test_an_idle_key_is_forgotten(spark):
+    """After the timeout a key starts anew, so its next row has no full frame."""
+    import time
+    d = files.scratch_dir(spark, "idle")
+    ev = spark.read.parquet(f"{SF}/events.parquet")
+    rows = [r for r in ev.orderBy("ts", "event_id").collect() if r["user_id"] % 254 == ev.first()["user_id"] % 254]
+    put = lambda k, part: spark.createDataFrame([(*r[:2], 7, *r[3:]) for r in part], ev.schema).coalesce(1).write.parquet(f"{d}/in/p{k}")
+    base = (rows * 10)[:10]
+    put(0, base[:9])
+    fl = stream.flow_stream(stream.event_stream(spark, f"{d}/in/*/*.parquet"))
+    q = (stream.rolling_state(fl, idle_ms=1000).writeStream.format("parquet").outputMode("append")
+         .option("checkpointLocation", f"{d}/ckpt").trigger(processingTime="0 seconds").start(f"{d}/out"))
+    read = lambda: spark.read.schema(stream.ROLLING_OUT).parquet(f"{d}/out")
+    try:
+        until = time.time() + 40
+        while time.time() < until and (not q.lastProgress or read().count() < 9):
+            time.sleep(0.5)
+        time.sleep(4)
+        put(1, base[9:])
+        while time.time() < until and read().count() < 10:
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    out = read()
+    assert out.count() == 10 and out.where("packet_size_mean is not null").count() == 0
+
+
 def test_history_append_partitions_by_date(spark):
     from netvigil.operators import ensemble
     dec = ensemble.decide(derived.flows_with_votes(derived.load_flows(spark, SF))).withColumnRenamed("timestamp", "ts")

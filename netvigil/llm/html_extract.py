@@ -3,7 +3,8 @@
 Markup is stripped to lines: one per block of the page, in page order, with
 character references decoded and white space made single spaces.  What the markup
 itself names as apart from the article (menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles, reader comments) gives lines without length.  The
+adverts, forms, scripts, styles, reader comments) gives lines without length; the name
+of a wrapper around an article says nothing about the article.  The
 lengths are summed over sliding windows of ``WINDOW`` lines; a surge is where a
 window's sum climbs over the page's threshold, a dive where the sum falls to nothing,
 and the text between the two of the heaviest stretch is kept.  Where the page marks
@@ -38,33 +39,49 @@ APART = frozenset("""aside button canvas dialog footer form header head iframe m
 template textarea title""".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words of class, id and role that name what is apart from the article.
-_NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|advertis\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice\w*|alert|"
-                    r"popup|modal|overlay|newsletter|subscri\w+|sidebar|side|aside|nav|navbar|navigation|menu|breadcrumb\w*|"
-                    r"header|masthead|footer|foot|comment\w*|disqus|replies|respond|share|sharing|social|related|recommend\w*|"
-                    r"widget\w*|pager|pagination|tags|toolbar|complementary|contentinfo|search|login|signup)(?:$|[\s_-])", re.I)
+#: Words that name what is apart from the article, as whole tokens of class, id and role ("sidebar", not "has-sidebar").
+_WORD = (r"(?:ad|ads|advert[^\W_]*|advertis[^\W_]*|sponsor[^\W_]*|promo[^\W_]*|banner|cookie[^\W_]*|consent|notice[^\W_]*|alert|"
+         r"popup|modal|overlay|newsletter|subscri[^\W_]+|sidebar|side|aside|nav|navbar|navigation|menu|breadcrumb[^\W_]*|"
+         r"header|masthead|footer|foot|comment[^\W_]*|disqus|replies|respond|share|sharing|social|related|recommend[^\W_]*|"
+         r"widget[^\W_]*|pager|pagination|tags|toolbar|complementary|contentinfo|search|login|signup)")
+#: A token is such words alone, of a site or of a box that holds them ("site-footer", "share-buttons").
+_NAMES = re.compile(rf"(?:(?:site|main)[_-]+)?{_WORD}(?:[_-]+{_WORD})*"
+                    r"(?:[_-]+(?:area|bar|box|buttons|container|form|links|list|posts|slot|unit|wrap|wrapper))?", re.I)
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 dt".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
 
-def _named_apart(attrs: str) -> bool:
+def _named_apart(attrs: str, heading: bool) -> bool:
+    """Whether a name says so; the ids of headings are made from their text and say nothing."""
     if not attrs or attrs == "/":
         return False
-    return any(_NAMES.search(a or b or c or "") for _, a, b, c in _ATTR.findall(attrs)) or bool(_HIDDEN.search(attrs))
+    return any(_NAMES.fullmatch(t) for kind, a, b, c in _ATTR.findall(attrs) if not (heading and kind.lower() == "id")
+               for t in html.unescape(a or b or c or "").split())
+
+
+def _stands(open_: list[tuple[str, bool, bool, bool]]) -> tuple[bool, bool]:
+    """(apart, in article) below the open elements; an article clears what only the names of wrappers around it say."""
+    apart = named = article = False
+    for _, a, n, m in open_:
+        if m and not article:
+            named, article = False, True
+        apart, named = apart or a, named or n
+    return apart or named, article
 
 
 def lines_of(page: str) -> list[tuple[str, bool, bool]]:
     """(text, apart, in article) of every block that has text."""
     out: list[tuple[str, bool, bool]] = []
-    open_: list[tuple[str, bool, bool]] = []  # element, apart, article
+    open_: list[tuple[str, bool, bool, bool]] = []  # element, apart, apart by name only, article
     held: list[str] = []
 
     def flush():
         text = " ".join(html.unescape("".join(held)).split())
         held.clear()
         if text:
-            out.append((text, any(a for _, a, _ in open_), any(m for _, _, m in open_)))
+            out.append((text, *_stands(open_)))
 
     at = 0
     while (m := _TAG.search(page, at)) is not None:
@@ -80,7 +97,7 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
         if m.group(1):  # an end tag closes its element and what is open inside it
             for i in range(len(open_) - 1, -1, -1):
                 if open_[i][0] == name:
-                    if any(x[0] in BLOCKS or x[1] for x in open_[i:]):
+                    if any(x[0] in BLOCKS or x[1] or x[2] for x in open_[i:]):
                         flush()
                     del open_[i:]
                     break
@@ -100,11 +117,13 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
                     break
                 if open_[i][0] in BLOCKS:
                     break
-        inside = any(x[2] for x in open_)
-        apart = (name in APART and not (name == "header" and inside)) or _named_apart(m.group(3))
-        if apart and name not in BLOCKS:
+        inside = any(x[3] for x in open_)
+        apart = (name in APART and not (name == "header" and inside)) or bool(_HIDDEN.search(m.group(3)))
+        named = not apart and _named_apart(m.group(3), name in _HEADINGS or any(x[0] in _HEADINGS for x in open_))
+        if (apart or named) and name not in BLOCKS:
             flush()
-        open_.append((name, apart and name not in ("html", "body", "article", "main"), name in ("article", "main")))
+        whole = name in ("html", "body", "article", "main")
+        open_.append((name, apart and not whole, named and not whole, name in ("article", "main")))
     held.append(page[at:])
     flush()
     return out

@@ -6,10 +6,10 @@ itself names as apart from the article (menus, headers, footers, sidebars, notic
 adverts, forms, scripts, styles, reader comments) gives lines without length; the name
 of a wrapper around an article says nothing about the article.  The
 lengths are summed over sliding windows of ``WINDOW`` lines; a surge is where a
-window's sum climbs over the page's threshold, a dive where the sum falls to nothing,
-and the text between the two of the heaviest stretch is kept.  Where the page marks
-its article (article, main), the stretch runs over the lines marked so, short ones
-included.
+window's sum climbs over the page's threshold, a dive where the sum falls to nothing.
+Blocks that stand apart make the dives, so they do not end the article: the text from
+the first surge to the dive after the last one is kept, short lines included.  Where
+the page marks its article (article, main), it runs over the lines marked so.
 
 Defined results: a null or empty page, and one without text, gives the empty string;
 rows that repeat a page_id are extracted each; malformed markup is read as far as it
@@ -138,7 +138,7 @@ def main_text(page: str | None) -> str:
     if not any(length):
         return ""
     sums = [sum(length[max(0, i - WINDOW + 1):i + 1]) for i in range(len(length))]
-    best, lo, hi = -1, 0, 0
+    lo, hi = None, -1
     surge = 0 if marked else min(SURGE_CHARS, SURGE_SHARE * max(sums))
     i = 0
     while i < len(lines):
@@ -148,12 +148,11 @@ def main_text(page: str | None) -> str:
         j = i  # to the dive: a window whose sum is nothing
         while j + 1 < len(lines) and (marked or sums[j + 1] > 0):
             j += 1
-        start = i
-        while start > 0 and length[start - 1]:  # short lines that lead up to the surge
-            start -= 1
-        total = sum(length[start:j + 1])
-        if total > best:
-            best, lo, hi = total, start, j
+        if lo is None:
+            lo = i
+            while lo > 0 and length[lo - 1]:  # short lines that lead up to the surge
+                lo -= 1
+        hi = j
         i = j + 1
     return "\n".join(lines[k][0] for k in range(lo, hi + 1) if length[k])
 

@@ -1,8 +1,8 @@
 """Licence scans: sparse TF-IDF cosine to templates, then directory inheritance (operator 5).
 
 Every line block of every whole file is compared with the licence templates as sparse
-TF-IDF vectors; the document frequencies of the templates' words are counted over all
-files.  A file's own licence is the template with the largest cosine of any of its
+TF-IDF vectors; the document frequencies of all words are counted over all files and
+joined to the words of the blocks that may decide about a file.  A file's own licence is the template with the largest cosine of any of its
 lines, or of the file as a whole, from ``THRESHOLD`` on.  Files that are licence files
 (the whole text reaches ``FILE_THRESHOLD``) license their directory; every file without
 a licence of its own inherits from the nearest ancestor directory that has one, found by
@@ -20,11 +20,12 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netvigil.llm.common import cut, prepare
+from netvigil.llm.common import bounded, cut, prepare
 
 THRESHOLD = 0.6
 FILE_THRESHOLD = 0.5
@@ -43,18 +44,37 @@ TEMPLATES = {
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
 }
 _WORD = re.compile(r"[^\W_]+")
+#: Distinct words that a task counts before it hands them on.
+TALLY_WORDS = 100_000
 
 
 def _words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+VOCABULARY = frozenset(w for t in TEMPLATES.values() for x in t for w in _words(x))
+
+
+@dataclass(frozen=True)
+class Unit:
+    """A block's product with its closest template, the square of its norm over template words, and its other words."""
+
+    name: str
+    dot: float
+    known: float
+    others: dict[str, int]
+
+    def cosine(self, weight: float) -> float:
+        """The cosine if all other words weighed so much."""
+        return self.dot / math.sqrt(self.known + weight * weight * sum(c * c for c in self.others.values()))
+
+
 class Matcher:
-    """TF-IDF cosine of a text to every template; words outside the templates weigh as words of one file."""
+    """Texts as sparse TF-IDF vectors beside every template; words outside the templates get their weight later, by a join."""
 
     def __init__(self, frequency: dict[str, int], files: int):
-        self.other = math.log((1.0 + files) / 2.0) + 1.0
-        self.idf = {w: math.log((1.0 + files) / (1.0 + frequency.get(w, 0))) + 1.0 for t in TEMPLATES.values() for x in t for w in _words(x)}
+        self.most = math.log((1.0 + files) / 2.0) + 1.0  # of a word of one file; a word of all files weighs 1
+        self.idf = {w: math.log((1.0 + files) / (1.0 + frequency.get(w, 0))) + 1.0 for w in VOCABULARY}
         self.rows = []
         for name, forms in TEMPLATES.items():
             for x in forms:
@@ -71,31 +91,28 @@ class Matcher:
                 break
         self.strong = frozenset(self.idf) - weak
 
-    def best(self, words: list[str]) -> tuple[str | None, float]:
+    def unit(self, words: list[str]) -> Unit | None:
+        """One block of a text beside its closest template; None without a word that counts."""
         count = Counter(words)
         if not self.strong & count.keys():
-            return None, 0.0
-        v = {w: c * self.idf.get(w, self.other) for w, c in count.items()}
-        norm = math.sqrt(sum(a * a for a in v.values()))
-        name, top = None, 0.0
+            return None
+        v = {w: c * self.idf[w] for w, c in count.items() if w in self.idf}
+        name, top = None, 0.0  # the norm is the same for all templates
         for n, row in self.rows:
-            s = sum(a * v[w] for w, a in row.items() if w in v) / norm
-            if s > top + 1e-12:
+            s = sum(a * v[w] for w, a in row.items() if w in v)
+            if s > top * (1 + 1e-12):
                 name, top = n, s
-        return name, top
+        return Unit(name, top, sum(a * a for a in v.values()), {w: c for w, c in count.items() if w not in v})
 
-    def judge(self, text: str | None) -> tuple[str | None, float, bool]:
-        """(licence or None, cosine, is a licence file) of a whole file."""
+    def units(self, text: str | None) -> list[tuple[int, bool, Unit]]:
+        """(order, is the whole file, unit) of every block that may decide about a file; the rest cannot, whatever its words weigh."""
         lines = [_words(x) for x in (text or "").split("\n")]
-        name, top = None, 0.0
-        for words in lines:
-            n, s = self.best(words)
-            if s > top + 1e-12:
-                name, top = n, s
-        whole, share = self.best([w for x in lines for w in x])
-        if share > top + 1e-12:
-            name, top = whole, share
-        return (name if top >= THRESHOLD or share >= FILE_THRESHOLD else None), top, share >= FILE_THRESHOLD
+        got = [(k, False, u) for k, x in enumerate(lines) if (u := self.unit(x))]
+        if not got:
+            return []
+        got.append((len(lines), True, self.unit([w for x in lines for w in x])))
+        least = max(u.cosine(self.most) for _, _, u in got)
+        return [(k, whole, u) for k, whole, u in got if u.cosine(1.0) >= least - 1e-9 or (whole and u.cosine(1.0) >= FILE_THRESHOLD - 1e-9)]
 
 
 def with_path(docs: DataFrame) -> DataFrame:
@@ -105,34 +122,62 @@ def with_path(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.concat_ws("/", *parts).alias("path"), "text")
 
 
-def own_licenses(files: DataFrame) -> DataFrame:
-    """(keys of ``files`` but text, own, cosine, is_file) of every file."""
+def word_counts(files: DataFrame) -> DataFrame:
+    """(w, n): in how many files each word stands; the word "" counts the files."""
     import pyarrow as pa
 
-    prepare(files.sparkSession)
-    vocabulary = frozenset(w for t in TEMPLATES.values() for x in t for w in _words(x))
-
     def count(batches):
+        tally: Counter = Counter()
         for b in batches:
-            tally: Counter = Counter({"": b.num_rows})
+            tally[""] += b.num_rows
             for t in b.column(0).to_pylist():
-                tally.update(vocabulary.intersection(_words(t or "")))
-            yield pa.RecordBatch.from_arrays([pa.array(list(tally)), pa.array(list(tally.values()), pa.int64())], names=["w", "n"])
+                tally.update(set(_words(t or "")))
+            if len(tally) > TALLY_WORDS:
+                yield pa.RecordBatch.from_arrays([pa.array(list(tally), pa.string()), pa.array(list(tally.values()), pa.int64())], names=["w", "n"])
+                tally.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(tally), pa.string()), pa.array(list(tally.values()), pa.int64())], names=["w", "n"])
 
+    return files.select("text").mapInArrow(count, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
+
+
+def own_licenses(files: DataFrame) -> DataFrame:
+    """(keys of ``files`` but text, own, cosine, is_file) of every file."""
+    import pyarrow as pa
+
+    prepare(files.sparkSession)
+    counts = cut(word_counts(files))
     # at most one row per word of the templates
-    seen = {r.w: r.n for r in files.select("text").mapInArrow(count, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")).collect()}
+    seen = {r.w: r.n for r in counts.where(F.col("w").isin("", *sorted(VOCABULARY))).collect()}
     files_n = seen.pop("", 0)
-    keys = [c for c in files.columns if c != "text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.select(*keys).schema)
 
     def run(batches):
         matcher = Matcher(seen, files_n)
         for b in batches:
-            got = [matcher.judge(t) for t in b.column(len(keys)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()),
-                                              pa.array([g[2] for g in got], pa.bool_())], names=[*keys, "own", "cosine", "is_file"])
-
-    return files.select(*keys, "text").mapInArrow(run, f"{schema}, own string, cosine double, is_file boolean")
+            rows = [{"_text": key, "unit": k, "whole": whole, "name": u.name, "dot": u.dot, "known": u.known,
+                     "others": [{"w": w, "c": c} for w, c in u.others.items()]}
+                    for key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for k, whole, u in matcher.units(t)]
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([
+                ("_text", pa.string()), ("unit", pa.int32()), ("whole", pa.bool_()), ("name", pa.string()), ("dot", pa.float64()), ("known", pa.float64()),
+                ("others", pa.list_(pa.struct([("w", pa.string()), ("c", pa.int64())])))]))
+
+    # equal texts are judged alike, so each is weighed once
+    marked = files.withColumn("_text", F.sha2(F.coalesce("text", F.lit("")), 256))
+    units = cut(marked.select("_text", "text").mapInArrow(
+        run, "_text string, unit int, whole boolean, name string, dot double, known double, others array<struct<w string, c bigint>>").dropDuplicates(["_text", "unit"]))
+    others = units.select("_text", "unit", F.explode("others").alias("o")).select("_text", "unit", F.col("o.w").alias("w"), F.col("o.c").alias("c"))
+    idf = F.log((1.0 + files_n) / (1.0 + F.col("n"))) + 1.0
+    weights = cut(counts.join(others.select("w").distinct(), "w", "left_semi").select("w", idf.alias("idf")))
+    rest = others.join(bounded(weights), "w").groupBy("_text", "unit").agg(F.sum(F.pow(F.col("c") * F.col("idf"), 2)).alias("rest"))
+    # rounded, as the order of a sum is not fixed
+    scored = (units.drop("others").join(rest, ["_text", "unit"], "left")
+              .withColumn("cosine", F.round(F.col("dot") / F.sqrt(F.col("known") + F.coalesce("rest", F.lit(0.0))), 12)))
+    verdict = cut(scored.groupBy("_text").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "unit", "name")).alias("m"),
+                                              F.max(F.when(F.col("whole"), F.col("cosine"))).alias("share"))
+                  .select("_text", (-F.col("m.c")).alias("cosine"), F.coalesce(F.col("share") >= FILE_THRESHOLD, F.lit(False)).alias("is_file"), F.col("m.name").alias("name")))
+    keys = [c for c in files.columns if c != "text"]
+    return (marked.select(*keys, "_text").join(bounded(verdict), "_text", "left")
+            .select(*keys, F.when((F.col("cosine") >= THRESHOLD) | F.col("is_file"), F.col("name")).alias("own"),
+                    F.coalesce("cosine", F.lit(0.0)).alias("cosine"), F.coalesce("is_file", F.lit(False)).alias("is_file")))
 
 
 def scan(files: DataFrame) -> DataFrame:

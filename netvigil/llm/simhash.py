@@ -82,14 +82,19 @@ def ball_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             .where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits))
 
 
-def link_documents(docs: DataFrame, size: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs`` (doc_id, text, ...)."""
+def _rooted(docs: DataFrame, size: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every row, and (fp, first, root): one fingerprint stands for each component."""
     prepare(docs.sparkSession)
     marked = cut(with_fingerprint(docs, ["doc_id"], size=size))
     fps = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     comp = components(ball_links(fps.select("fp"), max_bits))
-    rooted = (fps.join(comp.withColumnRenamed("node", "fp"), "fp", "left")
-              .select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    return marked, (fps.join(comp.withColumnRenamed("node", "fp"), "fp", "left")
+                    .select("fp", "first", F.coalesce("root", "fp").alias("root")))
+
+
+def link_documents(docs: DataFrame, size: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of ``docs`` (doc_id, text, ...)."""
+    marked, rooted = _rooted(docs, size, max_bits)
     # the smallest doc_id of each root, combined before the shuffle
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = rooted.join(least, "root").select("fp", "component_id")
@@ -103,10 +108,10 @@ def near_dedup(docs: DataFrame, size: int = SHINGLE_WORDS, max_bits: int = MAX_B
     that repeat both, one stays.
     """
     columns = docs.columns
-    linked = cut(link_documents(docs, size, max_bits).withColumn("has_id", F.col("doc_id").isNotNull()))
-    # components are told apart by the root they share: the smallest fingerprint's document may have no id
-    comp_key = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp").cast("string")))
-    best = linked.groupBy(comp_key.alias("k")).agg(F.min(F.struct((~F.col("has_id")).alias("no_id"), "doc_id", "fp")).alias("m"))
+    # components are told apart by their root: a doc_id may stand on rows of several, or be null.  The smallest
+    # row of each fingerprint is the one with its smallest id, so fingerprints suffice
+    _, rooted = _rooted(docs, size, max_bits)
+    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("no_id"), F.col("first").alias("doc_id"), "fp")).alias("m"))
     keep = cut(best.select(F.col("m.doc_id").alias("_keep_id"), F.col("m.fp").alias("_keep_fp")).distinct())
     if "_keep_fp" in columns or "_keep_id" in columns:
         raise ValueError("columns _keep_id and _keep_fp are reserved")

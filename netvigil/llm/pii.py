@@ -128,20 +128,20 @@ def mentions(text: str, base: list[tuple[str, int, int]]) -> list[Mention]:
 
 
 def skip_edges(nodes: list[Mention]) -> list[tuple[int, int]]:
-    """Each mention to the first with its key, or with a key that ends in (or is the end of) its own."""
+    """Each mention to the first with its key, or else to the first with a key that ends in (or is the end of) its own."""
     first: dict[str, int] = {}
+    ends: dict[str, list[int]] = {}  # the first mention of each distinct key under its last digits
     edges = []
     for i, m in enumerate(nodes):
-        names = [m.key]
-        if m.key.isdigit() and len(m.key) >= SUFFIX_DIGITS:
-            names.append(f"end {m.key[-SUFFIX_DIGITS:]}")
         if not m.key:
             continue
-        for n in names:
-            j = first.setdefault(n, i)
-            if j != i and (nodes[j].key.endswith(m.key) or m.key.endswith(nodes[j].key)):
-                edges.append((j, i))
-                break
+        j = first.setdefault(m.key, i)
+        if j == i and m.key.isdigit() and len(m.key) >= SUFFIX_DIGITS:
+            alike = ends.setdefault(m.key[-SUFFIX_DIGITS:], [])
+            j = next((a for a in alike if nodes[a].key.endswith(m.key) or m.key.endswith(nodes[a].key)), i)
+            alike.append(i)
+        if j != i:
+            edges.append((j, i))
     return edges
 
 

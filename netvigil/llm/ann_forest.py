@@ -5,7 +5,7 @@ projections).  The index is cut into shards of bounded size by vec_id; a shard h
 per tree, its hash strings as a sorted array.  A block of queries meets every shard
 once: in all trees of the shard each query descends to its longest matching prefix,
 then all trees ascend together, one bit at a time, and take in every vector under the
-shorter prefix until ``SHARE`` of the shard has been seen.  The candidates are ranked by their exact inner
+shorter prefix until ``SHARE`` of the shard, and as many as are asked for, has been seen.  The candidates are ranked by their exact inner
 product in double precision, and the best of all shards are merged by a window whose
 group limit runs before the shuffle.
 
@@ -141,7 +141,7 @@ def search(queries: DataFrame, rows: DataFrame, nearest: int = NEAREST, ids: str
                 lo, hi = ranges(codes, _codes(q, np.zeros(len(q))))
                 out_q, out_v, out_s = [], [], []
                 for i in range(len(q)):
-                    near = candidates(order, lo[:, :, i], hi[:, :, i], int(np.ceil(SHARE * len(ids_))) + 1)
+                    near = candidates(order, lo[:, :, i], hi[:, :, i], max(int(np.ceil(SHARE * len(ids_))), nearest) + 1)
                     near = near[ids_[near] != qid[i]]
                     if len(near) > nearest:  # what may tie with the last stays, the merge decides
                         rough = x[near] @ q[i]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from netvigil.llm import ann_forest, decontaminate, html_extract, licenses, line_dedup, packing, pii, secrets, simhash, toxicity
+from netvigil.llm import ann_forest, conversations, decontaminate, html_extract, licenses, line_dedup, packing, pii, secrets, simhash, toxicity
 from netvigil.sources.tables import read_table
 
 
@@ -64,8 +64,15 @@ def op10_decontaminate(spark, sf_dir):
                                       read_table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+def op11_conversation_repair(spark, sf_dir):
+    """Damaged conversations, repaired at least cost."""
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversations.digest(conversations.repair(conversations.damage(rows)))
+
+
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ann_forest, op3_bin_slack_packing, op4_toxicity, op5_licenses,
-                                   op6_pii_crf, op7_secret_ledger, op8_simhash_ball, op9_line_blocks, op10_decontaminate)}
+                                   op6_pii_crf, op7_secret_ledger, op8_simhash_ball, op9_line_blocks, op10_decontaminate,
+                                   op11_conversation_repair)}
 
 #: DuckDB SQL for the rows of ``op10_decontaminate``: all item-sized windows with an anchor, exact similarity, best window.
 ORACLE = {

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from netvigil.llm import ann_forest, conversations, decontaminate, html_extract, licenses, line_dedup, packing, pieces, pii, secrets, simhash, toxicity
+from netvigil.llm import ann_forest, conversations, decontaminate, html_extract, licenses, line_dedup, packing, pieces, pii, secrets, simhash, spelling, toxicity
 from netvigil.sources.tables import read_table
 
 
@@ -70,6 +70,11 @@ def op11_conversation_repair(spark, sf_dir):
     return conversations.digest(conversations.repair(conversations.damage(rows)))
 
 
+def op12_spelling_variants(spark, sf_dir):
+    """Words of all documents, their most frequent near word and where that leads."""
+    return spelling.group_variants(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_sentencepiece(spark, sf_dir):
     """Ids and decoded text of every document, as digests."""
     return pieces.digest(pieces.decode(pieces.encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"))))
@@ -77,7 +82,7 @@ def op13_sentencepiece(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ann_forest, op3_bin_slack_packing, op4_toxicity, op5_licenses,
                                    op6_pii_crf, op7_secret_ledger, op8_simhash_ball, op9_line_blocks, op10_decontaminate,
-                                   op11_conversation_repair, op13_sentencepiece)}
+                                   op11_conversation_repair, op12_spelling_variants, op13_sentencepiece)}
 
 #: DuckDB SQL for the rows of ``op10_decontaminate``: all item-sized windows with an anchor, exact similarity, best window.
 ORACLE = {

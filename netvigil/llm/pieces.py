@@ -16,7 +16,8 @@ occurrence, each with the better pairs that it makes.
 Defined results: a null text counts as empty and has no ids; rows that repeat a doc_id
 get a row each; characters outside the vocabulary become their UTF-8 bytes; an empty table
 gives an empty result; other columns are ignored.  Decoding takes any ids: bytes that are
-no UTF-8 become U+FFFD one by one, control ids nothing, the unknown id its sign.
+no UTF-8 become U+FFFD one by one, control ids nothing, the unknown id its sign;
+no list of ids is an empty text.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ UNKNOWN_SIGN = " ⁇ "
 CACHE_WORDS = 500_000
 CACHE_LENGTH = 48
 NEVER = 2**31 - 1
+#: Ids whose bytes are gathered at once.
+DECODED = 1 << 18
 
 
 @dataclass
@@ -52,8 +55,10 @@ class Vocabulary:
     pair_rank: object
     #: per symbol: merging it may make a pair of no worse rank
     early: object
-    #: per id: the bytes it decodes to
-    surface: list
+    #: the bytes that the ids decode to, one after the other, and per id where they start and how many they are
+    surface_bytes: object
+    surface_start: object
+    surface_size: object
     #: ids of the 256 byte pieces
     byte_id: object
     #: per symbol: its id, or -1 where it has to be spelled in bytes
@@ -61,8 +66,8 @@ class Vocabulary:
     symbols: int
     #: whether no piece goes on with a space after another character
     spaces_start: bool
-    #: ids that lose their leading space at the start of a text
-    spaced: set
+    #: per id: whether it loses its leading space at the start of a text
+    spaced: object
 
     def rank(self, left: int, right: int) -> tuple[int, int]:
         """(rank, merged symbol) of one pair."""
@@ -118,9 +123,14 @@ def vocabulary(path: str) -> Vocabulary:
             surface.append((UNKNOWN_SIGN if sp.is_unknown(i) else "" if special[i] else names[i].replace(SPACE, " ")).encode())
     symbol_id = np.full(symbols, -1, np.int32)
     symbol_id[[s for s in symbol.values()]] = [s - 1 for s in symbol.values()]
+    spaced = np.zeros(n, bool)
+    if sp.normalize("a")[0] == SPACE:
+        spaced[[s - 1 for p, s in symbol.items() if p[0] == SPACE]] = True
+    sizes = np.array([len(s) for s in surface])
     return Vocabulary(sp.normalize, char_symbol, char_place, together, keys, np.array([pairs[k][0] for k in keys.tolist()], np.int32),
-                      np.array([pairs[k][1] for k in keys.tolist()], np.int32), early, surface, byte_id, symbol_id, symbols,
-                      not any(a != SPACE and b == SPACE for p in symbol for a, b in zip(p, p[1:])), {s - 1 for p, s in symbol.items() if p[0] == SPACE and sp.normalize("a")[0] == SPACE})
+                      np.array([pairs[k][1] for k in keys.tolist()], np.int32), early, np.frombuffer(b"".join(surface), np.uint8),
+                      np.cumsum(sizes) - sizes, sizes, byte_id, symbol_id, symbols,
+                      not any(a != SPACE and b == SPACE for p in symbol for a, b in zip(p, p[1:])), spaced)
 
 
 def _pair_ranks(voc: Vocabulary, left, right):
@@ -276,9 +286,11 @@ def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
     if len(_cache) > CACHE_WORDS:
         _cache.clear()
     new = list({w for ws in split for w in ws if w not in _cache})
-    known = dict(zip(new, word_ids(new, voc)))
-    out = [b"".join([known[w] if w in known else _cache[w] for w in ws]) for ws in split]
-    _cache.update((w, i) for w, i in known.items() if len(w) <= CACHE_LENGTH)
+    _cache.update(zip(new, word_ids(new, voc)))
+    out = [b"".join(map(_cache.__getitem__, ws)) for ws in split]
+    for w in new:
+        if len(w) > CACHE_LENGTH:
+            del _cache[w]
     return out
 
 
@@ -286,19 +298,30 @@ def _byte_by_byte(error):
     return "�", error.start + 1
 
 
-def decode_ids(ids: list[list[int] | None], path: str) -> list[str]:
-    """The text of each list of ids."""
+def decode_ids(ids, ends: list[int], path: str) -> list[str]:
+    """The texts of lists of ids that lie one after the other; ``ends``: where each list ends."""
     import codecs
 
+    import numpy as np
+
     codecs.register_error("netvigil-byte-by-byte", _byte_by_byte)
     voc = _vocabulary(path)
-    out = []
-    for of in ids:
-        parts = [voc.surface[i] for i in of or ()]
-        first = next((k for k, s in enumerate(parts) if s), None)
-        if first is not None and of[first] in voc.spaced:
-            parts[first] = parts[first][1:]
-        out.append(b"".join(parts).decode("utf-8", "netvigil-byte-by-byte"))
+    size = voc.surface_size[ids]
+    stops, raw = np.cumsum(size), []
+    for at in range(0, len(ids), DECODED):  # the bytes of all ids, gathered by position
+        part, sizes = ids[at:at + DECODED], size[at:at + DECODED]
+        behind = np.cumsum(sizes)
+        raw.append(voc.surface_bytes[np.arange(behind[-1]) + np.repeat(voc.surface_start[part] - behind + sizes, sizes)].tobytes())
+    raw = b"".join(raw)
+    spoken, begin, out = np.flatnonzero(size), 0, []
+    firsts = np.searchsorted(spoken, [0, *ends])
+    for k, end in enumerate(ends):
+        lo = int(stops[begin - 1]) if begin else 0
+        hi = int(stops[end - 1]) if end else 0
+        if firsts[k] < firsts[k + 1] and voc.spaced[ids[spoken[firsts[k]]]]:
+            lo += 1
+        out.append(raw[lo:hi].decode("utf-8", "netvigil-byte-by-byte"))
+        begin = end
     return out
 
 
@@ -337,9 +360,12 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     path = _path(path)
 
     def run(batches):
+        import numpy as np
+
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(decode_ids(b.column(1).to_pylist(), path), pa.string())],
-                                             names=["doc_id", "ids", "text"])
+            lists = b.column(1)
+            ids, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+            yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(decode_ids(ids, ends, path), pa.string())], names=["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")
 

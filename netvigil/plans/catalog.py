@@ -715,6 +715,33 @@ def s1_csv_scan(spark, sf_dir):
     return round_doubles(df.withColumn("timestamp", F.unix_micros(F.col("timestamp"))))
 
 
+@query("s1_header_union")
+def s1_header_union(spark, sf_dir):
+    """Flows written by three kinds of sensors: as declared, columns in reverse order, and without a duration but with the sensor's name."""
+    from ..sources.files import read_flow_csv, scratch_dir, write_flow_csv
+    out = scratch_dir(spark, "flows-by-header")
+    f, kind = _flows(spark, sf_dir), F.col("flow_id") % 3
+    write_flow_csv(f.where(kind == 0), f"{out}/declared")
+    write_flow_csv(f.where(kind == 1).select(*reversed(f.columns)), f"{out}/reversed")
+    write_flow_csv(f.where(kind == 2).drop("flow_duration").select(F.concat(F.lit("s"), (F.col("flow_id") % 7).cast("string")).alias("sensor"), "*"), f"{out}/named")
+    df = read_flow_csv(spark, f"{out}/*/*.csv")
+    return round_doubles(df.withColumn("timestamp", F.unix_micros(F.col("timestamp"))))
+
+
+@query("s2_skipped_files")
+def s2_skipped_files(spark, sf_dir):
+    """Rows per label of what could be read, beside the files that could not."""
+    from ..sources.files import header_index, read_flow_csv, scratch_dir, skipped_files, write_bytes, write_flow_csv
+    out = scratch_dir(spark, "flows-broken")
+    write_flow_csv(_flows(spark, sf_dir), f"{out}/good")
+    write_bytes(spark, f"{out}/good/zy-empty.csv", b"")
+    write_bytes(spark, f"{out}/good/zz-broken.csv.gz", b"this is not gzip data")
+    index = header_index(spark, f"{out}/good/*.csv*")
+    rows = read_flow_csv(spark, None, index=index).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    names = skipped_files(spark, index).select(F.element_at(F.split("path", "/"), -1).alias("file"))
+    return rows.unionByName(names.groupBy(F.concat(F.lit("skipped "), "file").alias("label")).agg(F.count(F.lit(1)).alias("n")))
+
+
 @query("s2_skip_unreadable_files")
 def s2_skip_unreadable_files(spark, sf_dir):
     df = _flows_csv(spark, sf_dir, extra_corrupt=True)

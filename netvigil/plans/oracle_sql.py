@@ -451,6 +451,11 @@ SELECT CAST(17 + row_number() OVER (ORDER BY nw.attack_type, nw.model_type) AS I
 
 register("s1_csv_scan", FL + """SELECT flow_id, epoch_us("timestamp") AS "timestamp", src_ip, dst_ip, src_port, dst_port, protocol,
  packet_size, round(flow_duration, 6) + 0.0 AS flow_duration, bytes_sent, bytes_received, packets_sent, packets_received, label FROM flows""")
+register("s1_header_union", FL + """SELECT flow_id, epoch_us("timestamp") AS "timestamp", src_ip, dst_ip, src_port, dst_port, protocol,
+ packet_size, CASE WHEN flow_id % 3 <> 2 THEN round(flow_duration, 6) END AS flow_duration, bytes_sent, bytes_received, packets_sent, packets_received,
+ label, CASE WHEN flow_id % 3 = 2 THEN concat('s', CAST(flow_id % 7 AS VARCHAR)) END AS sensor FROM flows""")
+register("s2_skipped_files", FL + """SELECT label, count(*) AS n FROM flows GROUP BY label
+ UNION ALL SELECT * FROM (VALUES ('skipped zy-empty.csv', 1), ('skipped zz-broken.csv.gz', 1)) t(label, n)""")
 register("s2_skip_unreadable_files", FL + "SELECT label, count(*) AS n FROM flows GROUP BY label")
 register("s4_contract_check", FL + """SELECT flow_id, CASE WHEN protocol = 'ICMP' THEN 'quarantine' ELSE 'valid' END AS status FROM flows""")
 register("s5_ingest_defaults", FL + """SELECT flow_id, protocol = 'UDP' AS defaulted, true AS has_timestamp, true AS has_request_id

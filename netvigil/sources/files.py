@@ -1,7 +1,7 @@
 """Flow sources and sinks.
 
-CSV datasets are read with an explicit schema (inference only as a fallback),
-bad files are skipped instead of failing the job, incoming request records
+CSV datasets are read by the names in each file's header, with an explicit schema
+(inference only as a fallback), bad files are skipped and reported instead of failing the job, incoming request records
 are validated against the flow contract and split into valid / quarantine
 rows, and results are written as JSON or appended to a date-partitioned
 history.  Scratch output goes under the shared ``spark.checkpoint.dir``.
@@ -9,8 +9,13 @@ history.  Scratch output goes under the shared ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import csv
 import uuid
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,25 +82,138 @@ def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
 
 # --- S1 / S2 / S3 -------------------------------------------------------------
 
-def read_flow_csv(spark: SparkSession, path: str, schema: T.StructType | None = FLOW_CSV,
-                  skip_bad_files: bool = True, corrupt_col: str | None = None) -> DataFrame:
-    """Header CSV glob with an explicit schema.
+#: Files whose first line is read at the same time by ``header_index``.
+HEADER_THREADS = 16
 
-    ``skip_bad_files`` skips unreadable files (the rest of the dataset still
-    loads); ``corrupt_col`` keeps malformed lines in a column instead of
-    failing (PERMISSIVE mode).  ``schema=None`` falls back to inference.
-    """
-    r = (spark.read.option("header", True).option("ignoreCorruptFiles", skip_bad_files)
-         .option("timestampFormat", TS_FORMAT).option("timestampNTZFormat", TS_FORMAT))
-    r = r.option("mode", "PERMISSIVE")
-    if schema is None:
-        r = r.option("inferSchema", True)
+
+@dataclass(frozen=True)
+class CsvFile:
+    """One member of a CSV dataset: its columns in file order, or why it cannot be read."""
+    path: str
+    size: int
+    columns: tuple[str, ...] | None
+    error: str | None = None
+
+
+def _members(spark: SparkSession, patterns) -> list:
+    """Hadoop file statuses below the globs; hidden and marker files are left out."""
+    sc = spark.sparkContext
+    conf, new = sc._jsc.hadoopConfiguration(), sc._jvm.org.apache.hadoop.fs.Path
+    found = []
+    for pattern in patterns:
+        where = new(pattern)
+        fs = where.getFileSystem(conf)
+        todo = list(fs.globStatus(where) or [])
+        while todo:
+            status = todo.pop()
+            if status.getPath().getName().startswith(("_", ".")):
+                continue
+            if status.isDirectory():
+                todo += list(fs.listStatus(status.getPath()))
+            else:
+                found.append(status)
+    return found
+
+
+def _header(spark: SparkSession, status, sep: str) -> CsvFile:
+    sc = spark.sparkContext
+    jvm, conf, where = sc._jvm, sc._jsc.hadoopConfiguration(), status.getPath()
+    path, size, stream = where.toString(), status.getLen(), None
+    try:
+        stream = where.getFileSystem(conf).open(where)
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(where)
+        text = codec.createInputStream(stream) if codec is not None else stream
+        line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(text, "UTF-8")).readLine()
+    except Py4JJavaError as broken:
+        return CsvFile(path, size, None, str(broken.java_exception))
+    finally:
+        if stream is not None:
+            stream.close()
+    if line is None or not line.strip():
+        return CsvFile(path, size, None, "no header")
+    seen: dict[str, int] = {}
+    names = []
+    for name in next(csv.reader([line.removeprefix("\ufeff")], delimiter=sep)):
+        k = seen[name] = seen.get(name, -1) + 1
+        names.append(f"{name}.{k}" if k else name)  # a repeated name gets a number
+    return CsvFile(path, size, tuple(names))
+
+
+def header_index(spark: SparkSession, paths, sep: str = ",") -> list[CsvFile]:
+    """The column list of every file of a dataset, from its first line alone.
+
+    Goes with the file listing: one small read a file, through the file system that the
+    path names, none of the data."""
+    patterns = [paths] if isinstance(paths, str) else list(paths)
+    with ThreadPoolExecutor(HEADER_THREADS) as pool:
+        files = list(pool.map(lambda status: _header(spark, status, sep), _members(spark, patterns)))
+    return sorted(files, key=lambda f: f.path)
+
+
+def skipped_files(spark: SparkSession, index: list[CsvFile]) -> DataFrame:
+    """(path, size, error) of the files that a scan leaves out."""
+    return spark.createDataFrame([(f.path, f.size, f.error) for f in index if f.error], "path string, size bigint, error string")
+
+
+def _common_type(types: list[T.DataType]) -> T.DataType:
+    """One type for a column that was inferred differently in several groups of files."""
+    kinds = {t.simpleString() for t in types}
+    if len(kinds) == 1:
+        return types[0]
+    if kinds <= {"int", "bigint"}:
+        return T.LongType()
+    return T.DoubleType() if kinds <= {"int", "bigint", "double"} else T.StringType()
+
+
+def read_flow_csv(spark: SparkSession, path, schema: T.StructType | None = FLOW_CSV, skip_bad_files: bool = True,
+                  corrupt_col: str | None = None, keep_extra: bool = True, index: list[CsvFile] | None = None) -> DataFrame:
+    """Header CSV globs, every column found by its name in each file's own header.
+
+    Files are grouped by header and each distinct header is one scan with the schema in
+    that header's order; the scans are united by name, so files may order their columns
+    differently, lack some (NULL) or have more.  ``schema`` gives the types and comes
+    first; columns beyond it follow as strings unless ``keep_extra`` is off.
+    ``schema=None`` infers the types, once for each distinct header.
+
+    ``skip_bad_files`` leaves out files without a readable header (``skipped_files`` tells
+    which) and what follows a place where a file breaks; ``corrupt_col`` keeps malformed
+    lines in a column instead of failing (PERMISSIVE mode).  Without a readable file the
+    result is empty (``schema``) or an error (no schema)."""
+    index = header_index(spark, path) if index is None else index
+    bad = [f for f in index if f.error]
+    if bad and not skip_bad_files:
+        raise ValueError(f"unreadable: {bad[0].path}: {bad[0].error}")
+    groups: dict[tuple, list[str]] = {}
+    for f in index:
+        if f.columns:
+            groups.setdefault(f.columns, []).append(f.path)
+    reader = (spark.read.option("header", True).option("mode", "PERMISSIVE").option("ignoreCorruptFiles", skip_bad_files)
+              .option("timestampFormat", TS_FORMAT).option("timestampNTZFormat", TS_FORMAT))
+    typed = {f.name: f.dataType for f in schema.fields} if schema is not None else {}
+    parts = []
+    for columns, members in groups.items():
+        if schema is None:
+            part = reader.option("inferSchema", True).csv(members).toDF(*columns)
+        else:
+            shape = T.StructType([T.StructField(c, typed.get(c, T.StringType())) for c in columns])
+            scan = reader
+            if corrupt_col:
+                shape, scan = shape.add(corrupt_col, T.StringType()), reader.option("columnNameOfCorruptRecord", corrupt_col)
+            part = scan.schema(shape).csv(members)
+            if not keep_extra:
+                part = part.select(*[f"`{c}`" for c in part.columns if c in typed or c == corrupt_col])
+        parts.append(part)
+    if schema is not None:
+        parts.insert(0, spark.createDataFrame([], T.StructType([T.StructField(c, t) for c, t in typed.items()])))
+    elif not parts:
+        raise ValueError("no valid files")
     else:
-        if corrupt_col:
-            schema = T.StructType(schema.fields + [T.StructField(corrupt_col, T.StringType(), True)])
-            r = r.option("columnNameOfCorruptRecord", corrupt_col)
-        r = r.schema(schema)
-    return r.csv(path)
+        kinds: dict[str, list] = {}
+        for part in parts:
+            for f in part.schema.fields:
+                kinds.setdefault(f.name, []).append(f.dataType)
+        parts = [p.select(*[F.col(f"`{c}`").cast(_common_type(kinds[c])).alias(c) for c in p.columns]) for p in parts]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def dataset_info(name: str, registry=DATASETS) -> dict:
@@ -112,11 +230,11 @@ def datasets_df(spark: SparkSession, registry=DATASETS) -> DataFrame:
                                        "attack_types array<string>")
 
 
-def load_dataset(spark: SparkSession, base_dir: str, name: str, registry=DATASETS) -> DataFrame:
+def load_dataset(spark: SparkSession, base_dir: str, name: str, registry=DATASETS, schema: T.StructType | None = None) -> DataFrame:
     """S1 + S3 + P2: every file glob of a registered dataset, label renamed to ``label``."""
     info = dataset_info(name, registry)
     paths = [f"{base_dir.rstrip('/')}/{name}/{g}" for g in info["files"]]
-    df = read_flow_csv(spark, paths, schema=None)
+    df = read_flow_csv(spark, paths, schema)
     col = info["label_column"]
     return df.withColumnRenamed(col, "label") if col != "label" else df
 

@@ -159,3 +159,42 @@ def test_late_file_keeps_on_time_rows(spark):
     stream.run_available(counts, f"{d}/out", f"{d}/ckpt")
     total = spark.read.parquet(f"{d}/out").agg(F.sum("count")).first()[0] or 0
     assert len(rows) - half <= total <= len(rows) - half + 50
+
+
+def test_columns_are_found_by_header(spark):
+    d = files.scratch_dir(spark, "headers")
+    parts = {"a.csv": "flow_id,src_ip,dst_ip,label\n1,s1,d1,x\n2,s2,d2,y\n",
+             "b.csv": "﻿dst_ip,label,src_ip,flow_id\nd3,x,s3,3\n",
+             "c.csv": 'extra,flow_id,"src_ip",extra\nq,4,s4,r\n',
+             "d.csv": "", "e.csv.gz": "no gzip"}
+    for name, text in parts.items():
+        files.write_bytes(spark, f"{d}/{name}", text.encode())
+    index = files.header_index(spark, f"{d}/*.csv*")
+    assert [f.columns for f in index[2:]] == [("extra", "flow_id", "src_ip", "extra.1"), None, None]
+    assert [r["path"][-8:] for r in files.skipped_files(spark, index).sort("path").collect()] == [index[3].path[-8:], "e.csv.gz"]
+    got = files.read_flow_csv(spark, f"{d}/*.csv*").select("flow_id", "src_ip", "dst_ip", "label", "extra", "`extra.1`")
+    assert sorted(map(tuple, got.collect())) == [(1, "s1", "d1", "x", None, None), (2, "s2", "d2", "y", None, None),
+                                                 (3, "s3", "d3", "x", None, None), (4, "s4", None, None, "q", "r")]
+    alone = [files.read_flow_csv(spark, f"{d}/{n}").select("flow_id", "src_ip", "dst_ip", "label") for n in ("a.csv", "b.csv", "c.csv")]
+    assert sorted(map(tuple, got.drop("extra", "extra.1").collect()), key=str) == sorted((tuple(r) for a in alone for r in a.collect()), key=str)
+    assert files.read_flow_csv(spark, f"{d}/*.csv", keep_extra=False).columns == [f.name for f in files.FLOW_CSV.fields]
+
+
+def test_dataset_files_of_different_types_are_united(spark):
+    d = files.scratch_dir(spark, "dataset")
+    for name, text in {"1.csv": "x,y,Label\n1,a,Benign\n", "2.csv": "y,z,x,Label\nb,7,2.5,DoS\n", "3.csv": "Label,z,x\nDDoS,w,3\n"}.items():
+        files.write_bytes(spark, f"{d}/cic_iot_2023/{name}", text.encode())
+    got = files.load_dataset(spark, d, "cic_iot_2023")
+    assert {f.name: f.dataType.simpleString() for f in got.schema} == {"x": "double", "y": "string", "z": "string", "label": "string"}
+    assert sorted(map(tuple, got.select("label", "x", "y", "z").collect())) == [("Benign", 1.0, "a", None), ("DDoS", 3.0, None, "w"), ("DoS", 2.5, "b", "7")]
+
+
+def test_no_readable_file(spark):
+    import pytest
+    d = files.scratch_dir(spark, "nothing")
+    files.write_bytes(spark, f"{d}/a.csv", b"")
+    assert files.read_flow_csv(spark, f"{d}/*.csv").count() == 0
+    with pytest.raises(ValueError):
+        files.read_flow_csv(spark, f"{d}/*.csv", schema=None)
+    with pytest.raises(ValueError):
+        files.read_flow_csv(spark, f"{d}/*.csv", skip_bad_files=False)

@@ -155,11 +155,26 @@ def fan_in(flows: DataFrame, approx: bool = False) -> DataFrame:
 def attach_fan(flows: DataFrame) -> DataFrame:
     """Per-IP fan-out / fan-in joined back to each flow.
 
-    The per-IP tables have one row per distinct IP; AQE turns the join into a
-    broadcast when they are small and splits skewed IP partitions otherwise.
+    Both directions count rows of one distinct (src, dst) table, which a single shuffle
+    makes (combined map side).  The per-IP tables have one row per distinct IP; AQE turns
+    the join into a broadcast when they are small and splits skewed IP partitions otherwise.
     """
-    return (flows.join(fan_out(flows), "src_ip", "left")
-                 .join(fan_in(flows), "dst_ip", "left"))
+    pairs = flows.select("src_ip", "dst_ip").distinct()
+    out = pairs.groupBy("src_ip").agg(F.count("dst_ip").alias("fan_out"))
+    into = pairs.groupBy("dst_ip").agg(F.count("src_ip").alias("fan_in"))
+    return flows.join(out, "src_ip", "left").join(into, "dst_ip", "left")
+
+
+def fan_sketches(flows: DataFrame, ip: str = "src_ip", other: str = "dst_ip", ts: str = "timestamp", lg_k: int = 12) -> DataFrame:
+    """A1 over stored sketches: (date, ip, peers), one HLL sketch of the distinct peers for each day and IP.
+
+    Sketches of new days are appended; a range of days is merged without its flows."""
+    return flows.groupBy(F.to_date(ts).alias("date"), ip).agg(F.hll_sketch_agg(other, F.lit(lg_k)).alias("peers"))
+
+
+def merged_fan(sketches: DataFrame, ip: str = "src_ip", out: str = "fan_out") -> DataFrame:
+    """Distinct peers per IP over all the given days, estimated (about 1.6 % standard error at ``lg_k`` 12)."""
+    return sketches.groupBy(ip).agg(F.hll_sketch_estimate(F.hll_union_agg("peers")).alias(out))
 
 
 def rolling_fan_mean(fan: DataFrame, ip_col: str, value_col: str, n: int = WINDOW_SIZE,

@@ -5,7 +5,7 @@ nothing is collected except where noted.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ALERT_THRESHOLDS, HISTOGRAM_BUCKETS, SEVERITIES
@@ -148,6 +148,11 @@ def threats(recent: DataFrame, first: int = 20, order=("ts", "flow_id")) -> Data
 
 def retain(history: DataFrame, max_rows: int = 1000, keep: int = 500,
            order=("ts", "flow_id")) -> DataFrame:
-    """L3: when the history holds more than ``max_rows``, keep the newest ``keep``."""
-    n = history.count()
-    return latest(history, keep, order) if n > max_rows else history
+    """L3: when the history holds more than ``max_rows``, keep the newest ``keep``.
+
+    One pass: the newest ``max_rows`` + 1 rows tell which case it is, and hold the rows of
+    either.  ``sources.history.retain_history`` is the storage job by date."""
+    newest = history.orderBy(*[F.col(c).desc() for c in order]).limit(max_rows + 1)
+    w = Window.orderBy(*[F.col(c).desc() for c in order])  # over max_rows + 1 rows
+    placed = newest.withColumn("_rank", F.row_number().over(w)).withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
+    return placed.where((F.col("_rows") <= max_rows) | (F.col("_rank") <= keep)).orderBy(*order).drop("_rank", "_rows")

@@ -156,8 +156,8 @@ def fit_standard(df: DataFrame, cols) -> ScalerModel:
 # --- sampling and splitting ------------------------------------------------------
 
 def hash_key(id_col: str = "flow_id", seed: int = SEED):
-    """Deterministic pseudo-random order: md5 of 'id|seed'."""
-    return F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"|{seed}")))
+    """Deterministic pseudo-random order: md5 of 'id|seed'; a NULL id counts as an empty one."""
+    return F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f"|{seed}")))
 
 
 #: Leading hex digits of the hash that rows are counted by (16 ** 3 counts reach the driver).
@@ -169,10 +169,11 @@ def exact_sample(df: DataFrame, n: int, id_col: str = "flow_id", seed: int = SEE
 
     Rows are counted by the leading digits of their hash (one partial aggregation).
     Whole buckets below the threshold stay without a sort; only the bucket that the
-    n-th row falls in is ordered, so no task merges n rows."""
+    n-th row falls in is ordered, so no task merges n rows.  Rows without an id share one
+    place in the order; which of them are taken is not determined."""
     h = hash_key(id_col, seed)
     keyed = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, HASH_DIGITS))
-    counts = sorted((r["_b"], r["n"]) for r in keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).where("_b is not null").collect())
+    counts = sorted((r["_b"], r["n"]) for r in keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).collect())
     left, edge = n, None
     for bucket, size in counts:
         if size > left:
@@ -236,12 +237,13 @@ def class_rank(df: DataFrame, label: str, id_col: str = "flow_id", seed: int = S
     The rank comes from a global index over (label, hash, id) minus the class's first
     index -- no per-class window, so a class holding most rows does not end up in one
     task.  The classes are counted before they are broadcast; more than
-    ``BROADCAST_CLASSES`` are joined by a shuffle."""
+    ``BROADCAST_CLASSES`` are joined by a shuffle.  Rows without a label are a class of their own."""
     idx = halo.with_global_index(df.withColumn("_h", hash_key(id_col, seed)), [label, "_h", id_col])
-    per = idx.groupBy(label).agg(F.min("_idx").alias("_start"), F.count(F.lit(1)).alias("_n"))
+    per = idx.groupBy(F.col(label).alias("_class")).agg(F.min("_idx").alias("_start"), F.count(F.lit(1)).alias("_n"))
     if per.count() <= BROADCAST_CLASSES:
         per = F.broadcast(per)
-    return idx.join(per, label).withColumn("_rk", F.col("_idx") - F.col("_start") + 1).drop("_idx", "_start", "_h")
+    return (idx.join(per, F.col(label).eqNullSafe(F.col("_class"))).withColumn("_rk", F.col("_idx") - F.col("_start") + 1)
+            .drop("_idx", "_start", "_h", "_class"))
 
 
 def stratified_split(df: DataFrame, label: str = "label", id_col: str = "flow_id",
@@ -255,6 +257,15 @@ def stratified_split(df: DataFrame, label: str = "label", id_col: str = "flow_id
     return j.withColumn("split", split).drop("_rk", "_n")
 
 
+def hash_split(df: DataFrame, id_col: str = "flow_id", test_size: float = 0.2, val_size: float = 0.1, seed: int = SEED) -> DataFrame:
+    """X4 at scale: adds ``split`` from the row's hash alone, in the scan.
+
+    No shuffle and no count, and a row keeps its split however the table grows; the shares
+    hold in every class up to sampling error (about 0.4 / sqrt(rows of the class))."""
+    place = F.conv(F.substring(hash_key(id_col, seed), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return df.withColumn("split", F.when(place < test_size, "test").when(place < test_size + val_size, "val").otherwise("train"))
+
+
 def decode_ordinal(df: DataFrame, codes: DataFrame, col: str, code_col: str | None = None) -> DataFrame:
     """P11 inverse: the value of each code, from a table (``col``, ``code_col``); unknown codes give NULL."""
     code_col = code_col or f"{col}_code"
@@ -264,10 +275,13 @@ def decode_ordinal(df: DataFrame, codes: DataFrame, col: str, code_col: str | No
 # --- feature selection -------------------------------------------------------------
 
 def correlation_pairs(df: DataFrame, cols) -> DataFrame:
-    """p x p Pearson matrix (upper triangle) in one aggregation."""
+    """p x p Pearson matrix (upper triangle) in one aggregation, each pair over the rows that have both values."""
+    may_lack = {f.name: f.nullable for f in df.schema.fields}
     aggs = []
     for i, j in combinations(range(len(cols)), 2):
-        a, b = F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double")
+        x, y = F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double")
+        a = F.when(y.isNotNull(), x) if may_lack[cols[j]] else x  # a column without NULLs leaves one deviation to share
+        b = F.when(x.isNotNull(), y) if may_lack[cols[i]] else y
         aggs.append(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)).alias(f"c_{i}_{j}"))
     row = df.agg(*aggs)
     pairs = ", ".join(f"'{cols[i]}', '{cols[j]}', c_{i}_{j}" for i, j in combinations(range(len(cols)), 2))
@@ -327,8 +341,51 @@ def anova_f(df: DataFrame, cols, label: str = "label") -> DataFrame:
                                             F.col("ssw") / (F.col("n_total") - F.col("k"))).alias("f_score"))
 
 
+#: Quantile bins of the contingency-table scores.
+SCORE_BINS = 10
+
+
+def contingency(df: DataFrame, cols, label: str = "label", bins: int = SCORE_BINS) -> DataFrame:
+    """(feature, bin, label, n): how the quantile bins of each feature meet the classes.
+
+    A value's bin is floor(bins * rows below it / rows), so equal values share a bin and
+    the bins are exact quantiles.  Rows are first counted by (feature, value, class), map
+    side; ranks are a distributed running total over the counted values, so neither a
+    sort of the rows nor a single-task window is needed."""
+    pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
+    cells = (df.selectExpr(f"`{label}` AS _class", f"stack({len(cols)}, {pairs}) AS (feature, _value)").where("_value IS NOT NULL")
+             .groupBy("feature", "_value", "_class").agg(F.count(F.lit(1)).alias("_n")))
+    values = cells.groupBy("feature", "_value").agg(F.sum("_n").alias("_here"))
+    below = halo.with_running_total(values, ["feature", "_value"], "_here", "_below")
+    whole = below.groupBy("feature").agg(F.min("_below").alias("_first"), F.sum("_here").alias("_rows"))  # a row a column
+    place = F.floor((F.col("_below") - F.col("_first")) * bins / F.col("_rows"))
+    binned = below.join(F.broadcast(whole), "feature").select("feature", "_value", place.alias("bin"))
+    return (cells.join(binned, ["feature", "_value"]).groupBy("feature", "bin", F.col("_class").alias(label))
+            .agg(F.sum("_n").alias("n")))
+
+
+def contingency_scores(df: DataFrame, cols, label: str = "label", bins: int = SCORE_BINS) -> DataFrame:
+    """(feature, chi2, mutual_info) of each feature's quantile bins against the class (natural logarithm)."""
+    t = contingency(df, cols, label, bins)
+    row, col, every = Window.partitionBy("feature", "bin"), Window.partitionBy("feature", label), Window.partitionBy("feature")
+    t = t.select("feature", "n", F.sum("n").over(row).alias("r"), F.sum("n").over(col).alias("c"), F.sum("n").over(every).alias("t"))
+    share = F.col("n") / F.col("t")
+    return t.groupBy("feature").agg(
+        (F.max("t") * (F.sum(F.col("n") * F.col("n") / (F.col("r") * F.col("c"))) - 1)).alias("chi2"),
+        F.sum(share * F.log(F.col("n") * F.col("t") / (F.col("r") * F.col("c")))).alias("mutual_info"))
+
+
+def feature_scores(df: DataFrame, cols, score: str = "anova_f", label: str = "label", bins: int = SCORE_BINS) -> DataFrame:
+    """(feature, f_score) by the named score function: ``anova_f``, ``chi2`` or ``mutual_info``."""
+    if score == "anova_f":
+        return anova_f(df, cols, label)
+    if score not in ("chi2", "mutual_info"):
+        raise ValueError(f"Unknown score function: {score}")
+    return contingency_scores(df, cols, label, bins).select("feature", F.col(score).alias("f_score"))
+
+
 def select_k_best(fscores: DataFrame, k: int = MAX_FEATURES) -> DataFrame:
-    """Top-k by F (p rows, a bounded table): adds ``rank`` and ``selected``."""
+    """Top-k by score (p rows, a bounded table): adds ``rank`` and ``selected``."""
     w = Window.orderBy(F.col("f_score").desc_nulls_last(), F.col("feature"))
     r = fscores.withColumn("rank", F.row_number().over(w))
     return r.withColumn("selected", F.col("rank") <= k)

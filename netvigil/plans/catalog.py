@@ -214,6 +214,18 @@ def a1_fan_in(spark, sf_dir):
     return fan_in(_flows(spark, sf_dir))
 
 
+@query("a1_fan_sketches")
+def a1_fan_sketches(spark, sf_dir):
+    """Fan-out from stored daily sketches, held against the exact counts."""
+    from ..operators.features import fan_out, fan_sketches, merged_fan
+    from ..sources.files import scratch_dir
+    f, path = _flows(spark, sf_dir), scratch_dir(spark, "fan-sketches")
+    fan_sketches(f).write.partitionBy("date").parquet(path)
+    near = merged_fan(spark.read.parquet(path), out="estimate")
+    close = F.abs(F.col("estimate") - F.col("fan_out")) <= 0.05 * F.col("fan_out") + 1
+    return fan_out(f).join(near, "src_ip").select("src_ip", "fan_out", close.alias("within_5_percent"))
+
+
 @query("j2_flow_fan")
 def j2_flow_fan(spark, sf_dir):
     from ..operators.features import attach_fan
@@ -470,6 +482,24 @@ def l3_history_retention(spark, sf_dir):
     return retain(_decide(spark, sf_dir)).select("flow_id", "severity")
 
 
+@query("l3_history_by_date")
+def l3_history_by_date(spark, sf_dir):
+    """The stored history after a retention job that keeps the last 10 days and compacts them."""
+    from datetime import timedelta
+
+    from ..sources.files import append_history, scratch_dir
+    from ..sources.history import retain_history
+    d = _decide(spark, sf_dir).select("flow_id", "ts", "attack_type")
+    path = scratch_dir(spark, "history-retained")
+    for part in range(3):  # three appends: several files a day
+        append_history(d.where(F.col("flow_id") % 3 == part), path)
+    last = spark.read.parquet(path).agg(F.max("date")).first()[0]
+    if last is None:
+        return d.groupBy(F.to_date("ts").cast("string").alias("date")).agg(F.count(F.lit(1)).alias("n"))
+    left = retain_history(spark, path, last - timedelta(days=9), most_files=2)
+    return left.groupBy(F.col("date").cast("string").alias("date")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- A2-A6, L4: evaluation -------------------------------------------------------
 
 def _report(spark, sf_dir):
@@ -655,6 +685,20 @@ def x4_split_sizes(spark, sf_dir):
     return s.groupBy("label", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("x4_hash_split")
+def x4_hash_split(spark, sf_dir):
+    from ..operators.prep import hash_split
+    return hash_split(_flows(spark, sf_dir).select("flow_id", "label"))
+
+
+@query("x5_correlations_with_gaps")
+def x5_correlations_with_gaps(spark, sf_dir):
+    """Correlations of the raw flows: durations are missing, so every pair has rows of its own."""
+    from ..operators.prep import correlation_pairs
+    gaps = _flows(spark, sf_dir).withColumn("packet_size", F.when(F.col("flow_id") % 5 != 0, F.col("packet_size")))
+    return round_doubles(correlation_pairs(gaps, NUMERIC_FLOW_COLS))
+
+
 @query("x5_feature_correlations")
 def x5_feature_correlations(spark, sf_dir):
     from ..operators.prep import correlation_pairs, impute_zero
@@ -683,6 +727,14 @@ def x6_anova_f(spark, sf_dir):
     return select_k_best(f.withColumn("f_score", F.round("f_score", 4)))
 
 
+@query("x6_contingency_scores")
+def x6_contingency_scores(spark, sf_dir):
+    """Chi-square and mutual information of ten quantile bins, of features that depend on the class and of one that does not."""
+    from ..operators.prep import contingency_scores, impute_zero
+    f = impute_zero(_flows(spark, sf_dir)).withColumn("class_bytes", F.col("bytes_sent") % 100 + F.length("label") * 20)
+    return round_doubles(contingency_scores(f, NUMERIC_FLOW_COLS + ("class_bytes",)), 5)
+
+
 @query("j5_detectors_with_data")
 def j5_detectors_with_data(spark, sf_dir):
     from ..operators.prep import detectors_with_data

@@ -424,6 +424,20 @@ SPLIT = with_(FLOWS, f"""sp AS (SELECT flow_id, label, CASE WHEN rk <= round(n *
  row_number() OVER (PARTITION BY label ORDER BY {HK}, flow_id) AS rk, count(*) OVER (PARTITION BY label) AS n FROM flows) r)""")
 register("x4_stratified_split", SPLIT + "SELECT flow_id, label, split FROM sp")
 register("x4_split_sizes", SPLIT + "SELECT label, split, count(*) AS n FROM sp GROUP BY label, split")
+register("x4_hash_split", FL + f"""SELECT flow_id, label, CASE WHEN place < 0.2 THEN 'test' WHEN place < 0.2 + 0.1 THEN 'val' ELSE 'train' END AS split
+ FROM (SELECT flow_id, label, CAST(CAST(concat('0x', substr({HK}, 1, 8)) AS BIGINT) AS DOUBLE) / CAST(4294967296 AS DOUBLE) AS place FROM flows) r""")
+register("x5_correlations_with_gaps", with_(FLOWS, "gaps AS (SELECT * REPLACE (CASE WHEN flow_id % 5 <> 0 THEN packet_size END AS packet_size) FROM flows)") + " UNION ALL ".join(
+    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, round(corr({a}, {b}), 6) + 0.0 AS r FROM gaps" for i, a in enumerate(NUMC) for b in NUMC[i + 1:]))
+register("x6_contingency_scores", with_(FLOWS, FILLED, "l AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, CAST({e} AS DOUBLE) AS v, label FROM filled" for c, e in [*((c, c) for c in NUMC), ("class_bytes", "bytes_sent % 100 + length(label) * 20")]) + ")",
+    "k AS (SELECT feature, label, floor((rank() OVER (PARTITION BY feature ORDER BY v) - 1) * 10 / count(*) OVER (PARTITION BY feature)) AS bin FROM l)",
+    "o AS (SELECT feature, bin, label, CAST(count(*) AS DOUBLE) AS n FROM k GROUP BY ALL)",
+    "e AS (SELECT feature, n, sum(n) OVER (PARTITION BY feature, bin) AS r, sum(n) OVER (PARTITION BY feature, label) AS c, sum(n) OVER (PARTITION BY feature) AS t FROM o)") +
+    """SELECT feature, round(any_value(t) * (sum(n * n / (r * c)) - 1), 5) + 0.0 AS chi2, round(sum(n / t * ln(n * t / (r * c))), 5) + 0.0 AS mutual_info
+ FROM e GROUP BY feature""")
+register("a1_fan_sketches", with_(FLOWS, FAN) + "SELECT src_ip, fan_out, true AS within_5_percent FROM fo")
+register("l3_history_by_date", FL + """SELECT CAST(CAST("timestamp" AS DATE) AS VARCHAR) AS date, count(*) AS n FROM flows
+ WHERE CAST("timestamp" AS DATE) >= (SELECT max(CAST("timestamp" AS DATE)) FROM flows) - 9 GROUP BY 1""")
 register("x5_feature_correlations", with_(FLOWS, FILLED) + " UNION ALL ".join(
     f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, round(covar_pop({a}, {b}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0), 6) + 0.0 AS r FROM filled"
     for i, a in enumerate(NUMC) for b in NUMC[i + 1:]))

@@ -39,6 +39,8 @@ _PARTS = (r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|"
 
 _cache: dict[str, bytes] = {}
 _loaded: dict[str, object] = {}
+#: Characters that the tokenizer's normaliser treats alike wherever they stand.
+_plain: set[str] = set()
 
 
 def _tokenizer(path: str):
@@ -49,22 +51,64 @@ def _tokenizer(path: str):
         from tokenizers import Tokenizer
 
         _cache.clear()
+        _plain.clear()
         _loaded.clear()
         _loaded[path] = Tokenizer.from_file(path)
-        _loaded[path].encode_special_tokens = True  # their strings in a text are ordinary text
     return _loaded[path]
 
 
-def _parts(text: str) -> list[str]:
-    """The tokenizer's own units of a text (its normaliser and pre-tokenizer): merges never cross them."""
-    import re
+def _joins_back() -> set[str]:
+    """Characters that may combine with the one before them."""
+    import unicodedata
+
+    out = {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
+    for c in range(0x110000):
+        parts = unicodedata.decomposition(chr(c)).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            out.add(chr(int(parts[1], 16)))
+    return out
+
+
+def _stands_alone(text: str, tok) -> bool:
+    """Whether no character of the text changes with its neighbours under composition and lower case, and the
+    tokenizer itself normalises and cuts each as ``_parts`` does (its tables may be of another Unicode version)."""
     import unicodedata
 
+    import regex
+
+    if not _plain:
+        _plain.update(map(chr, range(128)))
+    if not _joiners:
+        _joiners.update(_joins_back())
+    for c in set(text) - _plain:
+        low = c.lower()
+        if len(low) != 1 or low.lower() != low or any(
+                unicodedata.combining(x) or x in _joiners or not unicodedata.is_normalized("NFC", x) for x in (c, low)):
+            return False
+        for probe in (f"a{c}a", f"{c}{c}", f"!{c}!"):
+            low = "".join([x.lower() for x in probe])
+            if tok.normalizer.normalize_str(probe) != low or len(tok.pre_tokenizer.pre_tokenize_str(low)) != len(regex.findall(_PARTS, low)):
+                return False
+        _plain.add(c)
+    return True
+
+
+_joiners: set[str] = set()
+
+
+def _parts(text: str, tok) -> list[str] | None:
+    """The tokenizer's own units of a text (its normaliser and pre-tokenizer), which merges never cross; None where
+    they cannot be told without it: text that may hold a special token, or whose characters change together."""
+    import re
+
+    if "<|" in text:
+        return None
     if text.isascii():
         return re.findall(_ASCII_PARTS, text.lower())
     import regex
 
-    text = unicodedata.normalize("NFC", text)
+    if not _stands_alone(text, tok):
+        return None
     text = "".join([c.lower() for c in text]) if "\u03a3" in text else text.lower()  # a final sigma is not told apart
     return regex.findall(_PARTS, text)
 
@@ -73,23 +117,28 @@ def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
     """The ids of each whole text as little-endian unsigned 32-bit integers.
 
     A unit's ids do not depend on what stands around it, so the ids of units met
-    before are remembered; the tokenizer itself runs on new ones.
+    before are remembered; the tokenizer itself runs on new ones, and on whole texts
+    that cannot be cut beforehand.
     """
     from array import array
 
+    def raw(ids):
+        ids = array("I", ids)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
     tok = _tokenizer(path)
-    split = [_parts(t or "") for t in texts]
+    split = [_parts(t or "", tok) for t in texts]
     if len(_cache) > CACHE_WORDS:
         _cache.clear()
-    new = list({w for ws in split for w in ws if w not in _cache})
+    new = list({w for ws in split if ws for w in ws if w not in _cache})
     for at in range(0, len(new), 10_000):
         part = new[at:at + 10_000]
         for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False)):
-            ids = array("I", e.ids)
-            if sys.byteorder == "big":
-                ids.byteswap()
-            _cache[w] = ids.tobytes()
-    return [b"".join([_cache[w] for w in ws]) for ws in split]
+            _cache[w] = raw(e.ids)
+    return [b"".join([_cache[w] for w in ws]) if ws is not None else raw(tok.encode(t, add_special_tokens=False).ids)
+            for t, ws in zip(texts, split)]
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:

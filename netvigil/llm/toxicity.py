@@ -131,18 +131,17 @@ def bucket_of(doc_id: Column) -> Column:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, flag: str) -> DataFrame:
-    """(words' text, label, bucket) of at most FIT_TOXIC + FIT_CLEAN labelled rows outside the held-out part."""
+    """(text, label, bucket, doc_id) of at most FIT_TOXIC + FIT_CLEAN labelled rows outside the held-out part."""
     marks = cut(labels.where(f"doc_id is not null and {flag} is not null")
                 .groupBy("doc_id").agg(F.max(flag).alias("label"))
                 .where(bucket_of(F.col("doc_id")) != 0))
-    n = {int(r.label > 0): r.n for r in marks.groupBy((F.col("label") > 0).cast("int").alias("label"))
-         .agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.when(F.col("label") > 0, min(1.0, FIT_TOXIC / max(1, n.get(1, 0)))).otherwise(min(1.0, FIT_CLEAN / max(1, n.get(0, 0))))
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    picked = marks.where(draw < share).select(F.col("doc_id").alias("_id"), (F.col("label") > 0).cast("int").alias("label"))
-    # the draw is bounded by the two parameters, so this side may be broadcast
+    drawn = [marks.where(side).select("doc_id", F.lit(label).alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+             for side, label, most in ((F.col("label") > 0, 1, FIT_TOXIC), (~(F.col("label") > 0), 0, FIT_CLEAN))]
+    picked = drawn[0].unionByName(drawn[1]).withColumnRenamed("doc_id", "_id")
+    # the draw is bounded by the two parameters, so this side may be broadcast; of rows that repeat an id one counts
     return (docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
-            .select("text", "label", bucket_of(F.col("doc_id")).alias("part")))
+            .groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+            .select("text", "label", bucket_of(F.col("doc_id")).alias("part"), "doc_id"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, flag: str = "toxic") -> Lexicon:
@@ -158,10 +157,11 @@ def fit(docs: DataFrame, labels: DataFrame, flag: str = "toxic") -> Lexicon:
 
             key = [min((xxhash.xxh64_intdigest(" ".join(w[i:i + 3])) for i in range(max(1, len(w) - 2))), default=0) >> 1 for w in words]
             yield pa.RecordBatch.from_arrays([pa.array([" ".join(w) for w in words]), *b.columns[1:], pa.array(key, pa.int64())],
-                                             names=["words", "label", "part", "copy"])
+                                             names=["words", "label", "part", "doc_id", "copy"])
 
-    rows = cut(_sample(docs, labels, flag).mapInArrow(read, "words string, label int, part bigint, copy bigint")
-               .dropDuplicates(["copy", "label"]))
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    rows = cut(_sample(docs, labels, flag).mapInArrow(read, f"words string, label int, part bigint, doc_id {id_type}, copy bigint")
+               .groupBy("copy", "label").agg(F.min(F.struct("doc_id", "words", "part")).alias("one")).select("one.words", "label", "one.part"))
     learn, tune = rows.where("part <> 4"), rows.where("part = 4")
     size = {r.label: r.n for r in learn.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not size.get(0) or not size.get(1):

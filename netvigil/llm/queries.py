@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from netvigil.llm import ann_forest, conversations, decontaminate, html_extract, licenses, line_dedup, packing, pieces, pii, secrets, simhash, spelling, toxicity
+from netvigil.session import checkpoint_path
 from netvigil.sources.tables import read_table
 
 
@@ -43,8 +46,12 @@ def op6_pii_crf(spark, sf_dir):
 
 
 def op7_secret_ledger(spark, sf_dir):
-    """Secrets in every document, scanned by content and joined back to every row."""
-    return secrets.digest(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Secrets in every document, joined back to every row from a stored ledger: a first run records the base rules, a second
+    one the pairs of blobs and rules that are new then."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = checkpoint_path(spark, f"secret-ledger-{uuid.uuid4().hex}")
+    secrets.record(docs, path, secrets.BASE)
+    return secrets.digest(docs, secrets.record(docs, path))
 
 
 def op8_simhash_ball(spark, sf_dir):

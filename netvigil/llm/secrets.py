@@ -103,12 +103,30 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     return raw.select("blob", F.array_except(every, "done").alias("scanned"), F.concat(*found).alias("findings"))
 
 
+def record(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The ledger stored at ``path`` after a run over ``docs``: what the run scanned is appended.
+
+    A run that dies leaves no half-written rows (Spark commits the files at the end); one
+    that is repeated finds its pairs in the ledger and scans nothing."""
+    spark = docs.sparkSession
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    known = spark.read.parquet(path) if where.getFileSystem(sc._jsc.hadoopConfiguration()).exists(where) else None
+    scan(docs, known, rules).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
 def digest(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans): findings joined back to every row of ``docs``."""
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans): findings joined back to every row of ``docs``.
+
+    Pairs of blob and rule that ``ledger`` lacks are scanned; findings of other versions in it do not count."""
     order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
     base = len(BASE)
     new = cut(scan(docs, ledger, rules))
     known = new if ledger is None else new.unionByName(ledger)
+    asked = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
+    now = lambda f: F.array_contains(asked, F.struct(f["kind"].alias("kind"), f["version"].alias("version")))
+    known = known.select("blob", F.filter("findings", now).alias("findings"))  # a ledger may hold older rule versions
     sorted_ = F.sort_array(F.collect_list(F.struct("f.start", F.element_at(order, F.col("f.kind")).alias("at"), "f.end", "f.kind")))
     flat = known.select("blob", F.explode("findings").alias("f")).groupBy("blob").agg(sorted_.alias("all"))
     name = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))

@@ -9,15 +9,16 @@ how often a shingle occurs) of ``SIMILARITY`` or more.
    if it holds enough shingles of that item, so only windows with that many anchors
    go on; the bound is exact, no window is lost.
 2. Each such window gets a SimHash (majority per bit over its shingle hashes), and
-   so does the item.  The 64 bits are cut into ``MAX_BITS + 1`` blocks: fingerprints
-   within ``MAX_BITS`` agree on at least one block, so an equi-join on (item, block,
-   value) finds all of them.
+   so does the item.  The radius follows from the similarity itself: a similar window
+   lacks so many of the item's shingles at most and has so many others, so a bit of the
+   item whose majority is larger than that cannot differ.  The item's fingerprint is cut
+   into ``BLOCKS`` blocks, of which such steady bits count; a window within the radius
+   agrees with the item on the steady bits of every block, so an equi-join on (item,
+   value of its blocks) finds all of them and loses none.
 3. The exact similarity of each remaining pair decides.
 
 Words are runs of letters and digits, lower-cased, so punctuation and case do not
-hide a passage.  The expected distance at similarity 0.8 is under 10 bits
-(arccos(8/9) / pi of 64) with a deviation under 3; ``MAX_BITS`` = 20 is 3.6
-deviations above.
+hide a passage.
 
 Defined results: null or wordless texts and items match nothing; an item of fewer
 than ``SHINGLE_WORDS`` words is one shingle; a document shorter than an item is one
@@ -35,7 +36,7 @@ from netvigil.llm.common import bounded, cut, prepare
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-MAX_BITS = 20
+BLOCKS = 8
 EPS = 1e-9
 
 
@@ -49,26 +50,45 @@ def _shingle(at: Column, k: int) -> Column:
     return F.xxhash64(*[F.get(F.col("words"), at + i) for i in range(k)])
 
 
-def _simhash(shingles: DataFrame, keys: list[str]) -> DataFrame:
-    """One fingerprint per key: bit b is 1 if set in over half of the hashes ``h``."""
+def _simhash(shingles: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """One fingerprint per key: bit b is 1 if set in over half of the hashes ``h``; ``more`` is of n, b0 to b63."""
     ones = [F.sum(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1).cast("long"))).alias(f"b{b}") for b in range(64)]
     tall = shingles.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *ones)
     fp = F.lit(0).cast("long")
     for b in range(64):
         fp = fp.bitwiseOR(F.when(F.col(f"b{b}") * 2 > F.col("n"), F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
-    return tall.select(*keys, "n", fp.alias("fp"))
+    return tall.select(*keys, "n", fp.alias("fp"), *more)
 
 
-def _blocks(fp: str, count: int) -> Column:
-    """(block, value) structs that cut 64 bits into ``count`` blocks of nearly equal width."""
-    edges = [64 * i // count for i in range(count + 1)]
-    return F.array(*[F.struct(F.lit(i).alias("block"),
-                              F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long")).alias("value"))
-                     for i, (lo, hi) in enumerate(zip(edges, edges[1:]))])
+def _steady(similarity: float) -> tuple[Column, Column]:
+    """Bits of an item (columns n and b0 to b63, its set bits counted) that no similar window can flip: for windows of
+    as many shingles, and for shorter ones (of documents shorter than the item).
+
+    A window of w shingles shares I >= s / (1 + s) * (w + n) of them; it lacks n - I of the item's and
+    has w - I others.  With c of the item's hashes set, between c - (n - I) and c + (w - I) of its own are.
+    """
+    share = similarity / (1 + similarity)
+    n, ones = F.col("n"), F.array(*[F.col(f"b{b}") for b in range(64)])
+    bits = F.array(*[F.lit(1 << b if b < 63 else -1 << 63).cast("long") for b in range(64)])
+
+    def mask(shared: Column, window: Column) -> Column:
+        away = n - shared
+        steady = lambda c: (2 * (c - away) > n) | (2 * (c + away) <= window)
+        kept = F.zip_with(ones, bits, lambda c, bit: F.when(steady(c), bit).otherwise(F.lit(0).cast("long")))
+        return F.aggregate(kept, F.lit(0).cast("long"), lambda acc, bit: acc.bitwiseOR(bit))
+
+    least = F.ceil(similarity * n - EPS)  # a window of fewer shingles cannot be similar; all of these are shared
+    return mask(F.ceil(2 * share * n - EPS), n), mask(least, least)
+
+
+def _blocks(fp: str, steady: str) -> Column:
+    """The blocks of a fingerprint, of which the steady bits count."""
+    width = 64 // BLOCKS
+    return F.array(*[F.shiftrightunsigned(F.col(fp).bitwiseAND(F.col(steady)), width * i).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+                     for i in range(BLOCKS)])
 
 
-def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE_WORDS,
-          max_bits: int = MAX_BITS) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, text_key, item_id, start, n_words, similarity, bits): the best window per document and item.
 
     ``docs``: doc_id, text; ``items``: item_id, text.  start counts words from 0.
@@ -91,7 +111,9 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, siz
                         F.lit(0.0).alias("similarity"), F.lit(0).alias("bits")))
     item_shingles = cut(item_shingles)
     item_bag = cut(item_shingles.groupBy("item", "h").agg(F.count(F.lit(1)).alias("c")))
-    item_fp = cut(_simhash(item_shingles, ["item"]).select("item", F.col("n").alias("item_n"), F.col("fp").alias("item_fp")))
+    full, short = _steady(similarity)
+    item_fp = cut(_simhash(item_shingles, ["item"], full.alias("full"), short.alias("short"))
+                  .select("item", F.col("n").alias("item_n"), F.col("fp").alias("item_fp"), "full", "short"))
     look_up = cut(item_shingles.distinct())
 
     keyed = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("text_key"), "text")
@@ -136,11 +158,13 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, siz
 
     marks = marked.select(F.col("doc_id").alias("_d"), *[F.col(a).alias(f"_{a}") for a in spot_keys[1:]], "fp", "n")
     with_fp = windows.join(marks, same(windows, marks)).select(*spot_keys, "item", "fp", "n")
-    item_blocks = item_fp.select("item", "item_fp", "item_n", F.explode(_blocks("item_fp", max_bits + 1)).alias("b")).select("item", "item_fp", "item_n", "b.block", "b.value")
-    near = cut(with_fp.select("*", F.explode(_blocks("fp", max_bits + 1)).alias("b")).select(*spot_keys, "item", "fp", "n", "b.block", "b.value")
-               .join(bounded(item_blocks), ["item", "block", "value"])
-               .withColumn("bits", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))).where(F.col("bits") <= max_bits)
-               .select(*spot_keys, "item", "n", "item_n", "bits").distinct())
+    masks = with_fp.join(bounded(item_fp.select("item", "item_n", "full", "short")), "item").withColumn(
+        "steady", F.when(F.col("n") == F.col("item_n"), F.col("full")).otherwise(F.col("short")))
+    item_blocks = (item_fp.select("item", "item_fp", F.explode(F.array_distinct(F.array("full", "short"))).alias("steady"))
+                   .withColumn("blocks", _blocks("item_fp", "steady")))
+    near = cut(masks.withColumn("blocks", _blocks("fp", "steady")).join(bounded(item_blocks), ["item", "steady", "blocks"])
+               .withColumn("bits", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
+               .select(*spot_keys, "item", "n", "item_n", "bits"))
     bags = shingles.groupBy(*spot_keys, "h").agg(F.count(F.lit(1)).alias("c"))
     bags = bags.select(F.col("doc_id").alias("_d"), *[F.col(a).alias(f"_{a}") for a in spot_keys[1:]], "h", F.col("c").alias("cw"))
     shared = (near.join(bags, same(near, bags)).select(*spot_keys, "item", "n", "item_n", "bits", "h", "cw")

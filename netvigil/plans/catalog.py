@@ -989,9 +989,9 @@ def s9_detector_roundtrip(spark, sf_dir):
 def t1_stream_detectors(spark, sf_dir):
     """Fitted detectors over a stream of events, summed like m4_score_flows."""
     from ..sources.files import scratch_dir
-    from ..streaming.stream import run_detectors
+    from ..streaming.keyed import run_detectors
     t, base = _trained(spark, sf_dir), scratch_dir(spark, "t1d")
-    run_detectors(_stream_flows(spark, sf_dir), t.features, t.result, f"{base}/out", f"{base}/history", f"{base}/ckpt")
+    run_detectors(_stream_flows(spark, sf_dir), t.features, t.result, f"{base}/out", f"{base}/ckpt")
     d = spark.read.parquet(f"{base}/out")
     return d.groupBy("attack_type", "severity").agg(F.count(F.lit(1)).alias("n_flows"))
 
@@ -1031,6 +1031,35 @@ def t2_stream_rolling_features(spark, sf_dir):
     return round_doubles(_rolling_stream(spark, sf_dir).drop("src_ip", "packet_size_mean", "packet_size_std"))
 
 
+@query("t2_stream_all_features")
+def t2_stream_all_features(spark, sf_dir):
+    """All rolling features per source from the state store."""
+    from ..sources.files import scratch_dir
+    from ..streaming.keyed import rolling_stream, run_available
+    base = scratch_dir(spark, "t2-all")
+    run_available(rolling_stream(_stream_flows(spark, sf_dir)), f"{base}/out", f"{base}/ckpt")
+    return round_doubles(spark.read.parquet(f"{base}/out").drop("src_ip"))
+
+
+def _request_stream_run(spark, sf_dir):
+    """Request records through the contract and the fitted detectors as a stream: the folder of both sinks."""
+    from ..sources.files import scratch_dir
+    from ..streaming.keyed import run_requests
+    t, base = _trained(spark, sf_dir), scratch_dir(spark, "t1-requests")
+    _request_json(spark, sf_dir).write.parquet(f"{base}/in")
+    raw = spark.readStream.schema("flow_id long, value string").parquet(f"{base}/in")
+    run_requests(raw, t.features, t.result, base, f"{base}/ckpt")
+    return base
+
+
+@query("t1_stream_requests")
+def t1_stream_requests(spark, sf_dir):
+    """Which sink each request record reached, and what the quarantine says."""
+    base = _request_stream_run(spark, sf_dir)
+    good = spark.read.parquet(f"{base}/decisions").select("flow_id", F.lit("decided").alias("status"), F.lit(None).cast("string").alias("error"))
+    return good.unionByName(spark.read.parquet(f"{base}/quarantine").select("flow_id", F.lit("quarantined").alias("status"), "error"))
+
+
 def _stream_result(spark, df, keys, name):
     """The final state of a stream in update mode."""
     from ..sources.files import scratch_dir

@@ -622,3 +622,7 @@ register("t2_stream_rolling_features", with_(FLOWS) + f"""SELECT flow_id,
  {g('stddev_samp(flow_duration) OVER w', 'flow_duration')} AS flow_duration_std FROM flows {KW}""")
 register("a16_dataset_summary", FL + f"""SELECT count(*) AS n_samples, {len(NUMC)} AS n_features,
  string_agg(DISTINCT label, ',' ORDER BY label) AS classes FROM flows""")
+register("t2_stream_all_features", with_(FLOWS, TIMEF, _J1_SRC.replace("OVER (ORDER BY", "OVER (PARTITION BY src_ip ORDER BY")) +
+         "SELECT flow_id, " + ",\n ".join(_J1_COLS) + f" FROM allf {KW}")
+register("t1_stream_requests", FL + """SELECT flow_id, CASE WHEN protocol = 'ICMP' THEN 'quarantined' ELSE 'decided' END AS status,
+ CASE WHEN protocol = 'ICMP' THEN 'invalid record: missing or malformed src_port, dst_port' END AS error FROM flows""")

@@ -5,7 +5,8 @@ ensemble decision) runs unchanged on a streaming DataFrame, so continuous
 scoring (T1) is a plain ``readStream -> transform -> writeStream`` with a
 checkpoint.  Row-count windows are not supported on streams, so the last-N
 rolling features per key (T2) keep the last N-1 rows of each key in state
-(``applyInPandasWithState``; state per key is bounded by N).  Counters and
+(``applyInPandasWithState``; state per key is bounded by N; ``streaming.keyed`` has
+all features and scoring with fitted detectors over ``transformWithState``).  Counters and
 health checks (T3-T6) are event-time window aggregations with a watermark;
 late duplicates are dropped with ``dropDuplicatesWithinWatermark`` (T7).
 Each function also accepts a batch DataFrame (its batch twin).
@@ -16,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -80,29 +81,6 @@ def latest_updates(spark: SparkSession, path: str, keys) -> DataFrame:
     return t.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")
 
 
-def run_detectors(flows: DataFrame, fs, trained, sink_path: str, history: str, checkpoint: str, registry=None) -> None:
-    """T1 with fitted detectors: every micro-batch is featurized, scored and decided like a batch.
-
-    A sequence reaches back over earlier batches, so each batch leaves the last
-    SEQ_LEN - 1 flows of every source in ``history``/<batch id>; the next one reads them.
-    Both outputs of a batch are overwritten when it is run again after a failure."""
-    from ..operators.detectors import SEQ_LEN, score_votes
-
-    def run(rows: DataFrame, batch_id: int) -> None:
-        spark = rows.sparkSession
-        both = rows.drop("label").withColumn("_new", F.lit(True))
-        if batch_id > 0:
-            both = both.unionByName(spark.read.parquet(f"{history}/{batch_id - 1}").withColumn("_new", F.lit(False)))
-        d = ensemble.decide(score_votes(fs, trained, both, registry)).where("_new")
-        d.select("flow_id", "ts", "attack_type", "prediction", "confidence", "severity", "method", "conflicts_detected") \
-         .write.mode("overwrite").parquet(f"{sink_path}/batch={batch_id}")
-        last = Window.partitionBy("src_ip").orderBy(F.desc("timestamp"), F.desc("flow_id"))
-        (both.drop("_new").withColumn("_at", F.row_number().over(last)).where(F.col("_at") < SEQ_LEN).drop("_at")
-         .write.mode("overwrite").parquet(f"{history}/{batch_id}"))
-
-    flows.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
 # --- T2 ------------------------------------------------------------------------
 
 ROLLING_INPUTS = ("packet_size", "flow_duration")

@@ -985,6 +985,31 @@ def s9_detector_roundtrip(spark, sf_dir):
     return d.groupBy("label", "attack_type", "severity").agg(F.count(F.lit(1)).alias("n_flows"))
 
 
+@query("s9_model_versions")
+def s9_model_versions(spark, sf_dir):
+    """Versions of the stored detectors after one of them is retrained on the flows."""
+    from ..operators.model_store import ModelStore
+    from ..sources.files import scratch_dir
+    store, t = ModelStore(spark, scratch_dir(spark, "model-store")), _trained(spark, sf_dir)
+    store.save(t)
+    some = next((r[1] for r in t.result.rows if r[4] == "trained" and r[3] == "lstm"), None)
+    if some is not None:
+        store.retrain(some, _flows(spark, sf_dir))
+    return store.versions()
+
+
+@query("p21_calibration")
+def p21_calibration(spark, sf_dir):
+    """Log-loss of each detector on the test rows, with its calibrated probabilities and with the plain logistic."""
+    from ..operators.detectors import Training, TrainResult, evaluate_all
+    t = _trained(spark, sf_dir)
+    p = F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), F.col("score")))
+    loss = F.avg(-F.when(F.col("y_true") == 1, F.log(p)).otherwise(F.log(1 - p)))
+    plain = Training(t.features, t.fit, t.held_out, TrainResult(t.result.models, t.result.rows))
+    return round_doubles(evaluate_all(t).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), loss.alias("log_loss")).join(
+        evaluate_all(plain).groupBy("cluster_id").agg(loss.alias("plain_log_loss")), "cluster_id"))
+
+
 @query("t1_stream_detectors")
 def t1_stream_detectors(spark, sf_dir):
     """Fitted detectors over a stream of events, summed like m4_score_flows."""

@@ -626,3 +626,5 @@ register("t2_stream_all_features", with_(FLOWS, TIMEF, _J1_SRC.replace("OVER (OR
          "SELECT flow_id, " + ",\n ".join(_J1_COLS) + f" FROM allf {KW}")
 register("t1_stream_requests", FL + """SELECT flow_id, CASE WHEN protocol = 'ICMP' THEN 'quarantined' ELSE 'decided' END AS status,
  CASE WHEN protocol = 'ICMP' THEN 'invalid record: missing or malformed src_port, dst_port' END AS error FROM flows""")
+register("s9_model_versions", "WITH m AS (" + ORACLE["m3_train_all_detectors"] + """), k AS (SELECT count(*) AS n FROM m WHERE status = 'trained')
+SELECT v.version, k.n AS n_models, v.in_force FROM k, (VALUES (1, false), (2, true)) v(version, in_force)""")

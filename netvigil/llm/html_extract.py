@@ -3,9 +3,10 @@
 Markup is stripped to lines: one per block of the page, in page order, with
 character references decoded and white space made single spaces.  What the markup
 itself names as apart from the article (menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles, reader comments) gives lines without length; the name
-of a wrapper around an article says nothing about the article.  The
-lengths are summed over sliding windows of ``WINDOW`` lines; a surge is where a
+adverts, forms, scripts, styles, reader comments) gives lines without length: elements, names of which every word
+but those for boxes says so, articles inside an article, and menus known by nothing but
+links in their items.  The name of a wrapper around an article says nothing about the
+article.  The lengths are summed over sliding windows of ``WINDOW`` lines; a surge is where a
 window's sum climbs over the page's threshold, a dive where the sum falls to nothing.
 Blocks that stand apart make the dives, so they do not end the article: the text from
 the first surge to the dive after the last one is kept, short lines included.  Where
@@ -21,6 +22,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
@@ -39,14 +43,38 @@ APART = frozenset("""aside button canvas dialog footer form header head iframe m
 template textarea title""".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words that name what is apart from the article, as whole tokens of class, id and role ("sidebar", not "has-sidebar").
-_WORD = (r"(?:ad|ads|advert[^\W_]*|advertis[^\W_]*|sponsor[^\W_]*|promo[^\W_]*|banner|cookie[^\W_]*|consent|notice[^\W_]*|alert|"
-         r"popup|modal|overlay|newsletter|subscri[^\W_]+|sidebar|side|aside|nav|navbar|navigation|menu|breadcrumb[^\W_]*|"
-         r"header|masthead|footer|foot|comment[^\W_]*|disqus|replies|respond|share|sharing|social|related|recommend[^\W_]*|"
-         r"widget[^\W_]*|pager|pagination|tags|toolbar|complementary|contentinfo|search|login|signup)")
-#: A token is such words alone, of a site or of a box that holds them ("site-footer", "share-buttons").
-_NAMES = re.compile(rf"(?:(?:site|main)[_-]+)?{_WORD}(?:[_-]+{_WORD})*"
-                    r"(?:[_-]+(?:area|bar|box|buttons|container|form|links|list|posts|slot|unit|wrap|wrapper))?", re.I)
+#: Words that name what is apart from the article.
+_WORD = re.compile(r"ads?|adsby\w*|advert\w*|sponsor\w*|promo\w*|banners?|cookies?|gdpr|ccpa|consent|notices?|alerts?|popups?|modal|overlay|"
+                   r"newsletters?|subscri\w+|sidebars?|side|aside|nav|navbar|topbar|appbar|navigation|menus?|breadcrumbs?|header|masthead|footer|foot|"
+                   r"comments?|commenting|disqus|replies|respond|share|sharing|social|related|recommend\w*|widgets?|pager|pagination|tags|toolbar|"
+                   r"complementary|contentinfo|search|login|signup")
+#: Words before, behind and between them that only say where, whose or what kind of box it is.
+_BOX = frozenset("""site page main global top bottom left right primary secondary wp user users reader readers post posts article articles story google
+area bar block box buttons column container content form group inner item items law links list panel policy region row section
+slot stories thread unit wrap wrapper zone""".split())
+#: A name with one of these in front or behind speaks of a state or of something else ("has-sidebar", "comments-open", "related-work").
+_DENIED = frozenset("no not has have with without is hide show enable disable".split())
+_STATE = frozenset("open opened closed fixed sticky on off active enabled disabled visible ready loaded work works".split())
+#: The head of an article holds its title.
+_OWN = frozenset("post posts article articles story entry".split())
+_PARTS = re.compile(r"[-_:]+|(?<=[a-z])(?=[A-Z])")
+_NUMBERED = re.compile(r"\d+(?:x\d+)?$")
+
+
+@lru_cache(maxsize=50_000)
+def _says_apart(token: str) -> bool:
+    """Whether a token of class, id or role names something apart: besides words for boxes all its words do."""
+    words = [w for w in (_NUMBERED.sub("", p).lower() for p in _PARTS.split(token)) if w]
+    if not words or words[0] in _DENIED or words[-1] in _STATE:
+        return False
+    if "".join(words) in ("topbar", "navbar"):
+        return True
+    left = [w for w in words if w not in _BOX]
+    if left == ["header"] and _OWN & set(words):
+        return False
+    return bool(left) and all(_WORD.fullmatch(w) for w in left)
+
+
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 dt".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -57,51 +85,69 @@ def _named_apart(attrs: str, heading: bool) -> bool:
     """Whether a name says so; the ids of headings are made from their text and say nothing."""
     if not attrs or attrs == "/":
         return False
-    return any(_NAMES.fullmatch(t) for kind, a, b, c in _ATTR.findall(attrs) if not (heading and kind.lower() == "id")
+    return any(_says_apart(t) for kind, a, b, c in _ATTR.findall(attrs) if not (heading and kind.lower() == "id")
                for t in html.unescape(a or b or c or "").split())
 
 
-def _stands(open_: list[tuple[str, bool, bool, bool]]) -> tuple[bool, bool]:
-    """(apart, in article) below the open elements; an article clears what only the names of wrappers around it say."""
-    apart = named = article = False
-    for _, a, n, m in open_:
-        if m and not article:
-            named, article = False, True
-        apart, named = apart or a, named or n
-    return apart or named, article
+@dataclass(frozen=True)
+class _Open:
+    """An open element, with what holds below it for all the elements it stands in."""
+    name: str
+    flushes: bool
+    apart: bool = False
+    named: bool = False  # apart by the name of a wrapper only, which an article inside clears
+    article: bool = False  # in an article or main element
+    nested: bool = False  # in an article element
+    heading: bool = False
+    item: bool = False  # in a list item
+    link: bool = False
+
+
+#: So many list items in a row that hold a link and nothing else are a menu where no article is around them.
+MENU_ITEMS = 3
 
 
 def lines_of(page: str) -> list[tuple[str, bool, bool]]:
     """(text, apart, in article) of every block that has text."""
     out: list[tuple[str, bool, bool]] = []
-    open_: list[tuple[str, bool, bool, bool]] = []  # element, apart, apart by name only, article
-    held: list[str] = []
+    bare: list[bool] = []  # list items of which all text is a link
+    root = _Open("", False)
+    open_, count = [root], Counter()
+    held: list[tuple[str, bool]] = []
 
     def flush():
-        text = " ".join(html.unescape("".join(held)).split())
-        held.clear()
+        text = " ".join(html.unescape("".join(t for t, _ in held)).split())
         if text:
-            out.append((text, *_stands(open_)))
+            top = open_[-1]
+            out.append((text, top.apart or top.named, top.article))
+            bare.append(top.item and not top.article and all(link or not t.strip() for t, link in held))
+        held.clear()
+
+    def close(i: int):
+        count.subtract(x.name for x in open_[i:])
+        del open_[i:]
 
     at = 0
     while (m := _TAG.search(page, at)) is not None:
-        held.append(page[at:m.start()])
+        held.append((page[at:m.start()], open_[-1].link))
         at = m.end()
         name = (m.group(2) or "").lower()
         if not name:
             if m.group().startswith("<![CDATA["):
-                held.append(html.escape(m.group()[9:].removesuffix("]]>")))
+                held.append((html.escape(m.group()[9:].removesuffix("]]>")), open_[-1].link))
             continue
         if name in BLOCKS:
             flush()
         if m.group(1):  # an end tag closes its element and what is open inside it
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] == name:
-                    if any(x[0] in BLOCKS or x[1] or x[2] for x in open_[i:]):
+            if not count[name]:
+                continue
+            for i in range(len(open_) - 1, 0, -1):
+                if open_[i].name == name:
+                    if any(x.flushes for x in open_[i:]):
                         flush()
-                    del open_[i:]
+                    close(i)
                     break
-                if open_[i][0] in ("article", "main", "body") and name not in ("html", "body", "main"):
+                if open_[i].name in ("article", "main", "body") and name not in ("html", "body", "main"):
                     break  # a stray end tag does not close the article around it
             continue
         if name in RAW:
@@ -111,21 +157,35 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
         if name in VOID or m.group(3).rstrip().endswith("/"):
             continue
         if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):  # a new one ends one that is open
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] == name:
-                    del open_[i:]
+            for i in range(len(open_) - 1, 0, -1):
+                if open_[i].name == name:
+                    close(i)
                     break
-                if open_[i][0] in BLOCKS:
+                if open_[i].name in BLOCKS:
                     break
-        inside = any(x[3] for x in open_)
-        apart = (name in APART and not (name == "header" and inside)) or bool(_HIDDEN.search(m.group(3)))
-        named = not apart and _named_apart(m.group(3), name in _HEADINGS or any(x[0] in _HEADINGS for x in open_))
+        up = open_[-1]
+        own = name in ("article", "main")
+        apart = (name in APART and not (name == "header" and up.article)) or bool(_HIDDEN.search(m.group(3)))
+        apart = apart or (name == "article" and up.nested)  # articles in an article are its readers' comments
+        heading = up.heading or name in _HEADINGS
+        named = not apart and _named_apart(m.group(3), heading)
         if (apart or named) and name not in BLOCKS:
             flush()
-        whole = name in ("html", "body", "article", "main")
-        open_.append((name, apart and not whole, named and not whole, name in ("article", "main")))
-    held.append(page[at:])
+        whole = name in ("html", "body", "main") or (name == "article" and not up.nested)
+        open_.append(_Open(name, name in BLOCKS or apart or named, up.apart or (apart and not whole),
+                           not (own and not up.article) and (up.named or (named and not whole)), up.article or own,
+                           up.nested or name == "article", heading, up.item or name == "li", up.link or name == "a"))
+        count[name] += 1
+    held.append((page[at:], open_[-1].link))
     flush()
+    i = 0
+    while i < len(out):
+        j = i
+        while j < len(out) and bare[j]:
+            j += 1
+        if j - i >= MENU_ITEMS:
+            out[i:j] = [(text, True, inside) for text, _, inside in out[i:j]]
+        i = max(i + 1, j)
     return out
 
 

@@ -132,12 +132,12 @@ def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
     split = [_parts(t or "", tok) for t in texts]
     if len(_cache) > CACHE_WORDS:
         _cache.clear()
-    new = list({w for ws in split if ws for w in ws if w not in _cache})
+    new = list(set().union(*filter(None, split)).difference(_cache))
     for at in range(0, len(new), 10_000):
         part = new[at:at + 10_000]
         for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False)):
             _cache[w] = raw(e.ids)
-    return [b"".join([_cache[w] for w in ws]) if ws is not None else raw(tok.encode(t, add_special_tokens=False).ids)
+    return [b"".join(map(_cache.__getitem__, ws)) if ws is not None else raw(tok.encode(t, add_special_tokens=False).ids)
             for t, ws in zip(texts, split)]
 
 

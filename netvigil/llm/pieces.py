@@ -285,7 +285,7 @@ def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
     split = [(_WORDS.findall(s) if voc.spaces_start else [s]) if (s := voc.normalize(t or "")) else [] for t in texts]
     if len(_cache) > CACHE_WORDS:
         _cache.clear()
-    new = list({w for ws in split for w in ws if w not in _cache})
+    new = list(set().union(*split).difference(_cache))
     _cache.update(zip(new, word_ids(new, voc)))
     out = [b"".join(map(_cache.__getitem__, ws)) for ws in split]
     for w in new:

@@ -37,6 +37,17 @@ _ASCII_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+"
 _PARTS = (r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|"
           r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\p{L}\p{N}]+")
 
+
+
+def _latin_parts() -> str:
+    """``_PARTS`` for texts of code points below 256, where the classes can be listed."""
+    import unicodedata
+
+    of = lambda kind: "".join(chr(c) for c in range(128, 256) if unicodedata.category(chr(c))[0] == kind)
+    return rf"'s|'t|'re|'ve|'m|'ll|'d|[a-zA-Z{of('L')}]+|[0-9{of('N')}]|[^\t-\r \x85\xa0a-zA-Z0-9{of('L')}{of('N')}]+"
+
+
+_LATIN_PARTS = _latin_parts()
 _cache: dict[str, bytes] = {}
 _loaded: dict[str, object] = {}
 #: Characters that the tokenizer's normaliser treats alike wherever they stand.
@@ -109,6 +120,11 @@ def _parts(text: str, tok) -> list[str] | None:
 
     if not _stands_alone(text, tok):
         return None
+    try:
+        text.encode("latin-1")
+        return re.findall(_LATIN_PARTS, text.lower())
+    except UnicodeEncodeError:
+        pass
     text = "".join([c.lower() for c in text]) if "\u03a3" in text else text.lower()  # a final sigma is not told apart
     return regex.findall(_PARTS, text)
 

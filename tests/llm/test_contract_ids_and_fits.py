@@ -22,6 +22,7 @@ def test_ids_are_the_untouched_tokenizer_s():
            "12", "'S", "'ll", "Ǆ", "ﬁ", "Å", "a", "the", "\0", "\x85", " ", "Ⱥ", "K", "\U00016eb2"]
     texts = ["".join(rng.choice(odd) for _ in range(rng.randrange(1, 9))) for _ in range(4000)]
     texts += ["".join(chr(rng.choice([rng.randrange(32, 0x250), rng.randrange(0xd7ff), rng.randrange(0xe000, 0x1ffff)])) for _ in range(8)) for _ in range(4000)]
+    texts += ["".join(chr(rng.randrange(256)) for _ in range(12)) for _ in range(4000)]
     got = [np.frombuffer(g, "<u4").tolist() for g in packing.token_bytes(texts, path)]
     assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 

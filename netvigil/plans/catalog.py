@@ -1102,6 +1102,13 @@ def t3_tumbling_counts(spark, sf_dir):
         *window_seconds(), "attack_type", "severity", "n")
 
 
+@query("t3_conflict_counts")
+def t3_conflict_counts(spark, sf_dir):
+    from ..streaming.stream import conflict_counts, window_seconds
+    c = conflict_counts(derived.flows_with_votes(_stream_flows(spark, sf_dir)))
+    return _stream_result(spark, c, ("w", "conflict_type"), "t3c").select(*window_seconds(), "conflict_type", "n")
+
+
 @query("t4_sliding_windows")
 def t4_sliding_windows(spark, sf_dir):
     from ..streaming.stream import sliding_counts, window_seconds
@@ -1118,6 +1125,18 @@ def t5_health_windows(spark, sf_dir):
         *window_seconds(), "host", "cpu_usage", "memory_usage", "disk_usage", "status", "issues")
 
 
+@query("t5_alerts")
+def t5_alerts(spark, sf_dir):
+    """Alerts that open and close over the check intervals that the watermark has passed."""
+    from ..sources.files import scratch_dir
+    from ..streaming.keyed import alert_stream, run_available
+    from ..streaming.stream import event_stream
+    s = derived.host_metrics_from_events(event_stream(spark, f"{sf_dir.rstrip('/')}/events*.parquet"))
+    base = scratch_dir(spark, "t5-alerts")
+    run_available(alert_stream(s.withColumn("ts", F.col("ts").cast("timestamp"))), f"{base}/out", f"{base}/ckpt")
+    return spark.read.parquet(f"{base}/out")
+
+
 @query("t6_running_stats")
 def t6_running_stats(spark, sf_dir):
     from ..streaming.stream import running_stats

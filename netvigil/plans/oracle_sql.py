@@ -491,6 +491,11 @@ register("t2_stream_rolling_state", with_(FLOWS) + f"""SELECT flow_id,
 register("t3_tumbling_counts", WEIGHTED_DECISIONS + """SELECT CAST(floor(epoch(ts) / 10) * 10 AS BIGINT) AS window_start,
  CAST(floor(epoch(ts) / 10) * 10 + 10 AS BIGINT) AS window_end, attack_type, severity, count(*) AS n
  FROM decisions GROUP BY 1, 2, 3, 4""")
+_T3_WINDOW = """CAST(floor(epoch(f."timestamp") / 10) * 10 AS BIGINT) AS window_start, CAST(floor(epoch(f."timestamp") / 10) * 10 + 10 AS BIGINT) AS window_end"""
+register("t3_conflict_counts", ENS + f"""SELECT {_T3_WINDOW}, 'class_conflict' AS conflict_type, count(*) AS n
+ FROM e1 JOIN flows f ON f.flow_id = e1.flow_id WHERE nd > 1 GROUP BY 1, 2
+UNION ALL SELECT {_T3_WINDOW}, 'attack_type_conflict', CAST(sum(n_type) AS BIGINT)
+ FROM cf JOIN flows f ON f.flow_id = cf.flow_id GROUP BY 1, 2 HAVING sum(n_type) > 0""")
 register("t4_sliding_windows", FL + """, s AS (SELECT CAST(floor(epoch("timestamp") / 5) * 5 AS BIGINT) AS b, protocol FROM flows)
 SELECT window_start, window_start + 10 AS window_end, protocol, count(*) AS n FROM (
  SELECT b AS window_start, protocol FROM s UNION ALL SELECT b - 5 AS window_start, protocol FROM s) x
@@ -504,6 +509,17 @@ register("t5_health_windows", HM + """, l AS (SELECT host, metric, value, CAST(f
    CASE WHEN disk_usage > 90 THEN 'disk_usage' END) AS issues FROM p)
 SELECT ws AS window_start, ws + 30 AS window_end, host, cpu_usage, memory_usage, disk_usage,
  CASE WHEN issues = '' THEN 'healthy' ELSE 'unhealthy' END AS status, issues FROM q""")
+register("t5_alerts", HM + """, l AS (SELECT host, metric, value, CAST(floor(epoch(ts) / 30) * 30 + 30 AS BIGINT) AS checked_at,
+ row_number() OVER (PARTITION BY CAST(floor(epoch(ts) / 30) * 30 AS BIGINT), host, metric ORDER BY ts DESC, sample_id DESC) AS rn FROM host_metrics),
+ c AS (SELECT host, metric AS type, checked_at, value, CAST(CASE metric WHEN 'cpu_usage' THEN 80 ELSE 85 END AS DOUBLE) AS threshold FROM l
+  WHERE rn = 1 AND metric IN ('cpu_usage', 'memory_usage') AND checked_at * 1000 <= (SELECT epoch_ms(max(ts)) - 60000 FROM host_metrics)),
+ u AS (SELECT *, value > threshold AS up, coalesce(lag(value > threshold) OVER (PARTITION BY host, type ORDER BY checked_at), false) AS was FROM c),
+ e AS (SELECT *, sum(CASE WHEN up AND NOT was THEN 1 ELSE 0 END) OVER (PARTITION BY host, type ORDER BY checked_at) AS episode FROM u),
+ g AS (SELECT *, min(checked_at) OVER x AS opened_at, max(CASE WHEN up THEN value END) OVER x AS peak,
+  CAST(sum(CASE WHEN up THEN 1 ELSE 0 END) OVER x AS BIGINT) AS n_checks FROM e
+  WINDOW x AS (PARTITION BY host, type, episode ORDER BY checked_at))
+SELECT host, type, CASE WHEN up THEN 'opened' ELSE 'closed' END AS event, checked_at, value, threshold, opened_at, peak, n_checks
+FROM g WHERE up <> was""")
 register("t6_running_stats", MON + """SELECT cluster_id, count(*) AS prediction_count,
  round(avg(prediction_time), 6) + 0.0 AS avg_prediction_time FROM ok GROUP BY cluster_id""")
 register("t7_dedup_within_watermark", FL + "SELECT flow_id, protocol FROM flows")

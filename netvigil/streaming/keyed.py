@@ -1,4 +1,4 @@
-"""Last-N state per key with ``transformWithState``.
+"""State per key with ``transformWithState``: the last N rows (T1, T2), open alerts (T5).
 
 ``rolling_stream`` gives every rolling feature W1-W14 of the last N flows of a key, and
 ``sequence_stream`` the zero-padded sequence that the sequence detector reads.  The state
@@ -9,6 +9,9 @@ run over what is available now leaves it unset).  A key's rows of one micro-batc
 one through a ring buffer with running counts; no data frame of a key is built.  Rows
 follow those of earlier batches in the order of arrival.
 
+``alert_stream`` chains two stateful operators: the window aggregate of the health checks, whose
+rows leave once the watermark has passed a window, and the open alert of each host and metric.
+
 RocksDB has to be the state store when a query starts; ``rocksdb`` sees to it and puts
 the session's own setting back.
 """
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..config import WINDOW_SIZE
+from ..config import ALERT_THRESHOLDS, HEALTH_CHECK_INTERVAL, WINDOW_SIZE
 from ..functions.scalar import day_of_week, high_port, hour_of_day
 from ..operators.features import ADVANCED, BASIC, CORR_COLUMNS, corr_names
 
@@ -268,3 +271,61 @@ def run_requests(raw: DataFrame, fs, trained, base: str, checkpoint: str, regist
     with rocksdb(raw.sparkSession):
         q = request_stream(raw, fs, idle_ms).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
+
+
+# --- T5 ------------------------------------------------------------------------
+
+#: Metrics that raise alerts.
+ALERT_METRICS = ("cpu_usage", "memory_usage")
+OPEN_ALERT = T.StructType([T.StructField("opened_at", T.LongType()), T.StructField("peak", T.DoubleType()), T.StructField("n_checks", T.LongType())])
+
+
+class AlertProcessor(StatefulProcessor):
+    """The alert of one (host, metric): opened by the first check above the threshold, closed by the first one that is not."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.open = handle.getValueState("open", OPEN_ALERT)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        alert = tuple(self.open.get()) if self.open.exists() else None
+        host, metric = key
+        # windows leave the aggregate in the order of the watermark, those of one micro-batch in any order
+        for at, value, threshold in sorted((r["checked_at"], r["value"], r["threshold"]) for r in rows):
+            event = None
+            if value > threshold:
+                event = "opened" if alert is None else None
+                since, peak, n = alert or (at, value, 0)
+                alert = (since, max(peak, value), n + 1)
+            elif alert is not None:
+                event = "closed"
+            if event:
+                yield Row(host=host, type=metric, event=event, checked_at=at, value=value, threshold=threshold,
+                          opened_at=alert[0], peak=alert[1], n_checks=alert[2])
+            if event == "closed":
+                alert = None
+        if alert is None:
+            self.open.clear()
+        else:
+            self.open.update(alert)
+
+    def close(self) -> None:
+        pass
+
+
+def alert_stream(samples: DataFrame, every: str = HEALTH_CHECK_INTERVAL, late: str = "1 minute",
+                 metrics=ALERT_METRICS, thresholds=ALERT_THRESHOLDS) -> DataFrame:
+    """T5: a row where an alert opens and one where it closes, by host and metric.
+
+    Each check interval gives a host's latest value of a metric (``stream.health_windows``); an alert is open while
+    that value lies strictly above the threshold.  An interval without a reading (none, NULL or NaN) leaves it as it
+    is.  Times are the interval's end in epoch seconds; ``peak`` and ``n_checks`` cover the checks above the threshold
+    so far.  State is one row for each open alert and the intervals that the watermark has not passed."""
+    from .stream import health_windows
+    checks = F.array(*[F.struct(F.lit(m).alias("type"), F.col(m).cast("double").alias("value"), F.lit(float(thresholds[m])).alias("threshold"))
+                       for m in metrics])
+    rows = (health_windows(samples, every, late, thresholds)
+            .select("host", F.unix_seconds("w.end").alias("checked_at"), F.inline(checks)).where("value is not null and not isnan(value)"))
+    out = T.StructType([rows.schema["host"], T.StructField("type", T.StringType()), T.StructField("event", T.StringType()),
+                        T.StructField("checked_at", T.LongType()), T.StructField("value", T.DoubleType()), T.StructField("threshold", T.DoubleType()),
+                        *OPEN_ALERT.fields])
+    return rows.groupBy("host", "type").transformWithState(AlertProcessor(), out, "append", "None")

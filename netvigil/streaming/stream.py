@@ -144,6 +144,18 @@ def tumbling_counts(decisions: DataFrame, every: str = SCRAPE_INTERVAL, late: st
             .agg(F.count(F.lit(1)).alias("n")))
 
 
+def conflict_counts(flows_votes: DataFrame, every: str = SCRAPE_INTERVAL, late: str = "1 minute") -> DataFrame:
+    """Conflicts per (window, conflict type) on a tumbling window; a flow adds its numbers of either type, flows
+    without conflicts add no row."""
+    n_class = F.size(F.filter("conflicts", lambda c: c["type"] == "class_conflict")).cast("long")
+    per = (ensemble.with_conflicts(flows_votes.withWatermark("ts", late))
+           .select("ts", n_class.alias("c"), F.col("conflicts_detected").cast("long").alias("both")))
+    kinds = F.array(F.struct(F.lit("class_conflict").alias("conflict_type"), F.col("c").alias("k")),
+                    F.struct(F.lit("attack_type_conflict").alias("conflict_type"), (F.col("both") - F.col("c")).alias("k")))
+    return (per.select("ts", F.inline_outer(kinds)).where("k > 0")
+            .groupBy(F.window("ts", every).alias("w"), "conflict_type").agg(F.sum("k").alias("n")))
+
+
 def sliding_counts(flows: DataFrame, length_s: int = WINDOW_SIZE, overlap: float = WINDOW_OVERLAP,
                    late: str = "1 minute") -> DataFrame:
     """T4: flows per (sliding window, protocol); slide = length * (1 - overlap)."""

@@ -921,6 +921,14 @@ def m3_train_all_detectors(spark, sf_dir):
                                        "status string, n_train long, n_test long, error string")
 
 
+@query("m2_early_stopping")
+def m2_early_stopping(spark, sf_dir):
+    """Validation loss of each sequence detector by iterations, and the round whose weights it keeps."""
+    seen = _trained(spark, sf_dir).result.history
+    rows = [(cid, done, float(loss), loss == min(x for _, x in h)) for cid, h in sorted(seen.items()) for done, loss in h]
+    return round_doubles(spark.createDataFrame(rows, "cluster_id string, iterations int, validation_loss double, lowest boolean"))
+
+
 @query("m4_score_flows")
 def m4_score_flows(spark, sf_dir):
     from ..operators.detectors import score_votes

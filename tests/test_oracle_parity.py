@@ -10,7 +10,7 @@ from netvigil.plans.catalog import QUERIES
 from netvigil.sources.tables import TABLES
 
 SF = "/root/testdata/sf0.001"
-TRAINED = {"m2_early_stopping", "m4_score_flows", "m5_retrain_detectors", "m6_evaluate_detectors", "p21_class_probabilities", "s6_score_records",
+TRAINED = {"m2_early_stopping", "m4_score_flows", "m5_retrain_detectors", "m6_evaluate_detectors", "p21_calibration", "p21_class_probabilities", "s6_score_records",
            "s9_detector_roundtrip", "t1_stream_detectors"}  # hang on fitted weights
 HEAVY = {"m3_train_all_detectors"} | TRAINED  # slow: model training
 

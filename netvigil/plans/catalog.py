@@ -848,6 +848,24 @@ def s8_scaler_roundtrip(spark, sf_dir):
     return round_doubles(load_scaler(spark, path).transform(f))
 
 
+@query("s8_feature_pipeline")
+def s8_feature_pipeline(spark, sf_dir):
+    """(flow_id, label_code, feature, value) from the feature pipeline fitted on the flows, saved and loaded
+    again; the windows run over automatically sized blocks."""
+    from pyspark.ml import PipelineModel
+
+    from ..operators import feature_pipeline as fp
+    from ..sources.files import scratch_dir
+    flows = _flows(spark, sf_dir)
+    path = scratch_dir(spark, "feature-pipeline")
+    fp.fit_pipeline(flows, [fp.EncodeValues(column="label"), *fp.flow_stages()]).write().overwrite().save(path)
+    model = PipelineModel.load(path)
+    kept = fp.scaling_of(model).get("columns")
+    wide = ", ".join(f"'{c}', {c}{fp.SUFFIX}" for c in kept)
+    out = model.transform(flows).selectExpr("flow_id", "label_code", f"stack({len(kept)}, {wide}) AS (feature, value)")
+    return out.withColumn("value", F.round("value", 4))
+
+
 @query("s10_history_append")
 def s10_history_append(spark, sf_dir):
     from ..sources.files import append_history, scratch_dir

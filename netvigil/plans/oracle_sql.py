@@ -589,6 +589,16 @@ register("x5_selected_features", "WITH RECURSIVE " + ",\n".join([FLOWS, TIMEF, _
   FROM walk w WHERE w.step < (SELECT count(*) FROM feats))"""]) + """
 SELECT f.feature, NOT list_contains((SELECT dropped FROM walk ORDER BY step DESC LIMIT 1), f.i) AS kept FROM feats f""")
 
+# The features that the walk keeps, each scaled to 0..1 over all flows, with the label's place among the sorted labels.
+_S8_EXACT = ",\n ".join(c.removeprefix("round(").replace(", 6) + 0.0 AS", " AS") for c in _J1_COLS[:20])  # scaled before any rounding
+register("s8_feature_pipeline", ORACLE["x5_selected_features"].replace(",\n ".join(_J1_COLS[:20]), _S8_EXACT).replace(
+    "SELECT f.feature, NOT list_contains(", """SELECT lg.flow_id, code.c AS label_code, f.feature,
+ round(CASE WHEN span.hi = span.lo THEN 0 ELSE (lg.x - span.lo) / (span.hi - span.lo) END, 4) AS value
+FROM feats f JOIN lg ON lg.i = f.i JOIN flows fl ON fl.flow_id = lg.flow_id
+JOIN (SELECT label, row_number() OVER (ORDER BY label) - 1 AS c FROM (SELECT DISTINCT label FROM flows)) code ON code.label = fl.label
+JOIN (SELECT i, min(x) AS lo, max(x) AS hi FROM lg GROUP BY i) span ON span.i = f.i
+WHERE NOT list_contains(""").replace(", f.i) AS kept FROM feats f", ", f.i)"))
+
 
 # M3: which detectors train and on how many rows follows from X3 + X4 alone
 # (statuses and sizes; the fitted weights themselves have no SQL twin).

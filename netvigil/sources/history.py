@@ -35,7 +35,7 @@ def _fs(spark: SparkSession, path: str):
     return where.getFileSystem(sc._jsc.hadoopConfiguration()), where
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     fs, where = _fs(spark, path)
     return fs.exists(where)
 
@@ -72,7 +72,7 @@ def _put_in_place(spark: SparkSession, path: str) -> None:
 
 def recover(spark: SparkSession, path: str) -> None:
     """Finishes or removes what an earlier run left."""
-    if _exists(spark, f"{path}/{REWRITE}/_SUCCESS"):
+    if exists(spark, f"{path}/{REWRITE}/_SUCCESS"):
         _put_in_place(spark, path)
     else:
         _delete(spark, f"{path}/{REWRITE}")

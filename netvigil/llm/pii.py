@@ -6,14 +6,18 @@ its nodes are the document's mentions (base spans, other long numbers, other tok
 with a commercial at), chain edges join neighbours, skip edges join repeated or
 similar mentions (equal once reduced to digits or to the local part, or one number
 the end of the other) to the first of their kind.  Loopy message passing over these
-edges makes labels consistent in a document: a number that is written "+49 30 1234567"
-once is the same phone where it stands without its prefix.  Base spans are observed,
-so they stay; a mention whose marginal for a kind passes ``ACCEPT`` is added.
-
-Unary weights are a softmax fitted on mention shapes counted over at most ``FIT_DOCS``
-documents, drawn by hash, with the patterns as labels (look-alikes of a base span are
-left out: the field decides about them); the skip weight is the log-odds that similar
-base spans of those documents are of one kind.
+edges, in every document with such a mention, makes labels consistent: a number that
+is written "+49 30 1234567" once is the same phone where it stands without its prefix.
+Base spans are observed, so they stay; a mention whose marginal for a kind passes
+``ACCEPT`` is added.
+
+Unary, chain and skip weights are fitted together, as the likelihood of each mention's
+label given its own shape, its left neighbour's label and the label of the mention that
+its skip edge leads to, over at most ``FIT_DOCS`` documents drawn by hash.  Labels come
+from the patterns; every base span also gives a masked copy (a phone without its plus,
+an address without its domain, a card with or without its separators) with the span's
+label and a skip edge to it.  Look-alikes of a base span are left out: the field decides
+about them.  A value of a shape's feature that the fit has not seen speaks for no kind.
 
 Defined results: a null text counts as empty; rows that repeat a doc_id are scanned
 each; matches that fail their check are dropped without a retry inside them; an empty
@@ -23,7 +27,6 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from dataclasses import dataclass
 
@@ -35,8 +38,10 @@ from netvigil.llm.common import prepare
 FIT_DOCS = 5_000
 ACCEPT = 0.5
 SWEEPS = 12
-#: Agreeing pairs assumed before any is seen (one that disagrees is assumed beside them).
-SKIP_PRIOR = 100.0
+#: Steps of the fit, and the pull of its weights towards zero, in mentions.
+FIT_STEPS, RIDGE = 1_500, 0.5
+#: Log odds against a kind of a feature value that the fit has not seen.
+UNSEEN = 3.0
 #: Code points between neighbours of the chain.
 CHAIN_GAP = 80
 #: Two numbers are similar if the shorter has this many digits and ends the longer.
@@ -105,7 +110,8 @@ def _key(s: str) -> str:
 
 def _shape(s: str) -> tuple:
     digits = "".join(c for c in s if c in "0123456789")
-    return ("@" in s, s.count(".") == 3 and "@" not in s, s.startswith("+"), min(20, len(digits)) // 2,
+    local, _, domain = s.partition("@")
+    return ("@" in s, "@" in s and bool(local), "." in domain.strip("."), s.count(".") == 3 and "@" not in s, s.startswith("+"), min(20, len(digits)) // 2,
             13 <= len(digits) <= 19 and _luhn(digits), any(c in " ()-" for c in s))
 
 
@@ -127,19 +133,37 @@ def mentions(text: str, base: list[tuple[str, int, int]]) -> list[Mention]:
     return sorted(out, key=lambda m: (m.start, m.end))
 
 
+_BASE, _PRIME = 1_000_003, (1 << 61) - 1
+
+
+def _endings(key: str) -> list[tuple[int, int]]:
+    """(length, hash) of each end of ``key`` from SUFFIX_DIGITS characters on; the last one is of the whole key."""
+    out, h, power = [], 0, 1
+    for n, c in enumerate(reversed(key), 1):
+        h = (h + ord(c) * power) % _PRIME
+        power = power * _BASE % _PRIME
+        if n >= SUFFIX_DIGITS:
+            out.append((n, h))
+    return out
+
+
 def skip_edges(nodes: list[Mention]) -> list[tuple[int, int]]:
     """Each mention to the first with its key, or else to the first with a key that ends in (or is the end of) its own."""
     first: dict[str, int] = {}
-    ends: dict[str, list[int]] = {}  # the first mention of each distinct key under its last digits
+    whole: dict[tuple, int] = {}  # the first mention of each distinct number, by its whole key
+    ending: dict[tuple, int] = {}  # and by each end of its key
     edges = []
     for i, m in enumerate(nodes):
         if not m.key:
             continue
         j = first.setdefault(m.key, i)
         if j == i and m.key.isdigit() and len(m.key) >= SUFFIX_DIGITS:
-            alike = ends.setdefault(m.key[-SUFFIX_DIGITS:], [])
-            j = next((a for a in alike if nodes[a].key.endswith(m.key) or m.key.endswith(nodes[a].key)), i)
-            alike.append(i)
+            ends = _endings(m.key)
+            near = [whole[e] for e in ends if e in whole] + ([ending[ends[-1]]] if ends[-1] in ending else [])
+            j = min((a for a in near if nodes[a].key.endswith(m.key) or m.key.endswith(nodes[a].key)), default=i)
+            whole.setdefault(ends[-1], i)
+            for e in ends:
+                ending.setdefault(e, i)
         if j != i:
             edges.append((j, i))
     return edges
@@ -156,11 +180,17 @@ class Model:
     def scores(self, shape: tuple) -> list[float]:
         total = list(self.unary.get("bias", [0.0] * len(LABELS)))
         for f in enumerate(shape):
+            if f not in self.unary:
+                total[-1] += UNSEEN
             for k, w in enumerate(self.unary.get(f, ())):
                 total[k] += w
         return total
 
 
+def _neighbours(left: Mention, right: Mention) -> bool:
+    return right.start - left.end <= CHAIN_GAP
+
+
 def marginals(nodes: list[Mention], model: Model, skips: list[tuple[int, int]]):
     """Loopy sum-product in log space over chain and skip edges; base spans are observed."""
     import numpy as np
@@ -171,7 +201,7 @@ def marginals(nodes: list[Mention], model: Model, skips: list[tuple[int, int]]):
         if m.label < len(KINDS):
             unary[i] = -30.0
             unary[i, m.label] = 0.0
-    chain = [(i, i + 1) for i in range(n - 1) if nodes[i + 1].start - nodes[i].end <= CHAIN_GAP]
+    chain = [(i - 1, i) for i in range(1, n) if _neighbours(nodes[i - 1], nodes[i])]
     edges = [(a, b, model.chain) for a, b in chain] + [(a, b, model.skip) for a, b in skips]
     if not edges:
         belief = unary
@@ -201,23 +231,54 @@ def marginals(nodes: list[Mention], model: Model, skips: list[tuple[int, int]]):
 
 
 def added_spans(text: str, base: list[tuple[str, int, int]], model: Model) -> list[tuple[str, int, int]]:
-    """Mentions that the field labels beyond the patterns; only where similar mentions join a base span to another."""
-    if not base:
-        return []
+    """Mentions that the field labels beyond the patterns."""
     nodes = mentions(text, base)
-    skips = skip_edges(nodes)
     free = len(KINDS)
-    if not any((nodes[a].label == free) != (nodes[b].label == free) for a, b in skips):
+    if all(m.label < free for m in nodes):
         return []
-    p = marginals(nodes, model, skips)
-    joined = {i for e in skips for i in e}
+    p = marginals(nodes, model, skip_edges(nodes))
     return [(LABELS[int(p[i].argmax())], m.start, m.end) for i, m in enumerate(nodes)
-            if m.label == free and i in joined and int(p[i].argmax()) < free and p[i].max() >= ACCEPT]
+            if m.label == free and int(p[i].argmax()) < free and p[i].max() >= ACCEPT]
+
+
+def masked(kind: str, s: str) -> str | None:
+    """A base span as it might stand elsewhere without what makes it match (None: no such form)."""
+    if kind == "phone":
+        return s[1:]
+    if kind == "email":
+        return s[:s.index("@") + 1]
+    if kind == "card":
+        digits = s.replace(" ", "").replace("-", "")
+        return digits if digits != s else " ".join(digits[i:i + 4] for i in range(0, len(digits), 4))
+    return None
+
+
+def evidence(text: str) -> list[tuple[tuple, int, int, int]]:
+    """(shape, label, left neighbour's label, label at the skip edge's other end) of the mentions to learn
+    from; -1 where there is no such edge or its end has no known label."""
+    base = base_spans(text)
+    nodes = mentions(text, base)
+    free, to = len(KINDS), {b: a for a, b in skip_edges(nodes)}
+    unknown = set()  # a look-alike of a base span is what the field decides later, not a label
+    for b, a in to.items():
+        if (nodes[a].label == free) != (nodes[b].label == free):
+            unknown.add(a if nodes[a].label == free else b)
+    out = []
+    for i, m in enumerate(nodes):
+        if i in unknown:
+            continue
+        left = nodes[i - 1].label if i and i - 1 not in unknown and _neighbours(nodes[i - 1], m) else -1
+        out.append((m.shape, m.label, left, nodes[to[i]].label if i in to and to[i] not in unknown else -1))
+        hidden = masked(KINDS[m.label], text[m.start:m.end]) if m.label < free else None
+        if hidden:
+            out.append((_shape(hidden), m.label, -1, m.label))
+    return out
 
 
 def fit(docs: DataFrame) -> Model:
-    """Train on the shapes and similar pairs of at most FIT_DOCS documents."""
-    import numpy as np
+    """Weights from the mentions of at most FIT_DOCS documents (in expectation, drawn by hash)."""
+    import ast
+
     import pyarrow as pa
 
     prepare(docs.sparkSession)
@@ -227,52 +288,46 @@ def fit(docs: DataFrame) -> Model:
 
     def count(batches):
         for b in batches:
-            shapes, pairs, links = [], [], []
-            for t in b.column(0).to_pylist():
-                nodes = mentions(t or "", base_spans(t or ""))
-                unknown = set()  # a look-alike of a base span is what the field decides later, not a label
-                for a, c in skip_edges(nodes):
-                    known = [i for i in (a, c) if nodes[i].label < len(KINDS)]
-                    if len(known) == 2:
-                        shapes.append("skip")
-                        pairs.append(int(nodes[a].label == nodes[c].label))
-                        links.append(1)
-                    elif known:
-                        unknown |= {a, c} - set(known)
-                for i, m in enumerate(nodes):
-                    if i not in unknown:
-                        shapes.append(repr(m.shape))
-                        pairs.append(m.label)
-                        links.append(0)
-            yield pa.RecordBatch.from_arrays([pa.array(shapes, pa.string()), pa.array(pairs, pa.int32()), pa.array(links, pa.int32())],
-                                             names=["shape", "label", "link"])
-
-    # shapes take a few hundred values, so this is a small table
-    rows = sample.mapInArrow(count, "shape string, label int, link int").groupBy("shape", "label", "link").agg(F.count(F.lit(1)).alias("n")).collect()
-    agree = {r.label: r.n for r in rows if r.link}
-    skip = math.log((agree.get(1, 0) + SKIP_PRIOR) / (agree.get(0, 0) + 1.0))
-    import ast
+            seen = [x for t in b.column(0).to_pylist() for x in evidence(t or "")]
+            yield pa.RecordBatch.from_arrays([pa.array([repr(x[0]) for x in seen], pa.string()), *[pa.array([x[k] for x in seen], pa.int32()) for k in (1, 2, 3)]],
+                                             names=["shape", "label", "left", "first"])
+
+    # shapes take a few hundred values and each label six, so this is a small table
+    rows = (sample.mapInArrow(count, "shape string, label int, left int, first int").groupBy("shape", "label", "left", "first")
+            .agg(F.count(F.lit(1)).alias("n")).orderBy("shape", "label", "left", "first").collect())
+    return learn([(ast.literal_eval(r.shape), r.label, r.left, r.first, r.n) for r in rows])
+
+
+def learn(rows: list[tuple[tuple, int, int, int, int]]) -> Model:
+    """Weights of the highest conditional likelihood of (shape, label, left, first, count), less RIDGE times their
+    squares.  The problem is concave; steps are accelerated gradient steps of a safe length."""
+    import numpy as np
 
-    data = [(ast.literal_eval(r.shape), r.label, r.n) for r in rows if not r.link]
-    names = ["bias"] + sorted({f for s, _, _ in data for f in enumerate(s)}, key=repr)
-    at = {f: i for i, f in enumerate(names)}
-    k = len(LABELS)
-    w = np.zeros((len(names), k))
-    if data:
-        x = np.zeros((len(data), len(names)))
-        y = np.zeros((len(data), k))
-        for i, (s, label, c) in enumerate(data):
-            x[i, 0] = 1
-            for f in enumerate(s):
-                x[i, at[f]] = 1
-            y[i, label] = math.sqrt(c)  # damped, so that rare shapes count
-        total = y.sum(axis=1, keepdims=True)
-        for _ in range(400):
-            z = x @ w
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            w += 0.5 * (x.T @ (y - total * p) / total.sum() - 0.002 * w)
-    return Model({f: [float(v) for v in w[i]] for f, i in at.items()}, max(1.0, skip), 0.2)
+    if not rows:
+        return Model({}, 0.0, 0.0)
+    names = ["bias"] + sorted({f for r in rows for f in enumerate(r[0])}, key=repr)
+    at, k = {f: i for i, f in enumerate(names)}, len(LABELS)
+    x, y, near, weight = np.zeros((len(rows), len(names))), np.zeros((len(rows), k)), np.zeros((2, len(rows), k)), np.zeros(len(rows))
+    for i, (shape, label, left, first, c) in enumerate(rows):
+        x[i, [0, *(at[f] for f in enumerate(shape))]] = 1
+        y[i, label], weight[i] = 1, c
+        for e, other in enumerate((left, first)):
+            if other >= 0:
+                near[e, i, other] = 1
+    weight, ridge = weight / weight.sum(), RIDGE / weight.sum()
+    step = 1 / (0.5 * (x.sum(axis=1).max() + 2) + ridge)
+    w, edge = np.zeros((len(names), k)), np.zeros(2)
+    last_w, last_edge = w, edge
+    for t in range(FIT_STEPS):
+        ahead = t / (t + 3)
+        vw, ve = w + ahead * (w - last_w), edge + ahead * (edge - last_edge)
+        z = x @ vw + ve[0] * near[0] + ve[1] * near[1]
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        miss = weight[:, None] * (y - p / p.sum(axis=1, keepdims=True))
+        last_w, last_edge = w, edge
+        w = vw + step * (x.T @ miss - ridge * vw)
+        edge = ve + step * ((near * miss).sum(axis=(1, 2)) - ridge * ve)
+    return Model({f: [float(v) for v in w[i]] for f, i in at.items()}, float(edge[1]), float(edge[0]))
 
 
 def _join(spans: list[tuple[str, int, int]]) -> str:

@@ -16,6 +16,7 @@ null); an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -83,13 +84,16 @@ def ball_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def _rooted(docs: DataFrame, size: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fp) of every row, and (fp, first, root): one fingerprint stands for each component."""
+    """(doc_id, text_key, fp) of every row, and (fp, first, root): one fingerprint stands for each component."""
     prepare(docs.sparkSession)
-    marked = cut(with_fingerprint(docs, ["doc_id"], size=size))
-    fps = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    marked = cut(with_fingerprint(hashed, ["doc_id", "text_key"], size=size))
+    # the row that stands for a fingerprint: smallest (doc_id, hash of the text), null ids last
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    fps = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(order).alias("row")))
     comp = components(ball_links(fps.select("fp"), max_bits))
     return marked, (fps.join(comp.withColumnRenamed("node", "fp"), "fp", "left")
-                    .select("fp", "first", F.coalesce("root", "fp").alias("root")))
+                    .select("fp", "first", "row", F.coalesce("root", "fp").alias("root")))
 
 
 def link_documents(docs: DataFrame, size: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
@@ -104,17 +108,16 @@ def link_documents(docs: DataFrame, size: int = SHINGLE_WORDS, max_bits: int = M
 def near_dedup(docs: DataFrame, size: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """One row of each component of near-duplicates, with all columns of ``docs``.
 
-    The row with the smallest (doc_id, fingerprint) stays, null ids last; of rows
-    that repeat both, one stays.
+    The row with the smallest (doc_id, hash of the text) stays, null ids last; of rows
+    that repeat both, one stays.  Columns of ``docs`` may have any names.
     """
     columns = docs.columns
-    # components are told apart by their root: a doc_id may stand on rows of several, or be null.  The smallest
-    # row of each fingerprint is the one with its smallest id, so fingerprints suffice
+    own = uuid.uuid4().hex  # names that no column of docs has
+    key, keep_id, keep_key = f"key_{own}", f"id_{own}", f"kept_{own}"
+    # components are told apart by their root: a doc_id may stand on rows of several, or be null
     _, rooted = _rooted(docs, size, max_bits)
-    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("no_id"), F.col("first").alias("doc_id"), "fp")).alias("m"))
-    keep = cut(best.select(F.col("m.doc_id").alias("_keep_id"), F.col("m.fp").alias("_keep_fp")).distinct())
-    if "_keep_fp" in columns or "_keep_id" in columns:
-        raise ValueError("columns _keep_id and _keep_fp are reserved")
-    marked = with_fingerprint(docs, columns, size=size, name="_keep_fp")
-    kept = marked.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep_id")) & (marked["_keep_fp"] == keep["_keep_fp"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_keep_fp"]).select(*columns)
+    best = rooted.groupBy("root").agg(F.min("row").alias("m"))
+    keep = cut(best.select(F.col("m.doc_id").alias(keep_id), F.col("m.text_key").alias(keep_key)).distinct())
+    marked = docs.withColumn(key, F.xxhash64("text"))  # rows are found by it again, without a second fingerprint
+    kept = marked.join(keep, F.col("doc_id").eqNullSafe(F.col(keep_id)) & (F.col(key) == F.col(keep_key)), "left_semi")
+    return kept.dropDuplicates(["doc_id", key]).select(*[F.col(f"`{c}`") for c in columns])

@@ -5,7 +5,9 @@ nothing is collected except where noted.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ALERT_THRESHOLDS, HISTOGRAM_BUCKETS, SEVERITIES
@@ -19,13 +21,32 @@ def successful(votes_long: DataFrame) -> DataFrame:
     return votes_long.filter(F.coalesce(F.col("is_trained"), F.lit(False)) & F.col("error").isNull())
 
 
+def newest_first(df: DataFrame, ts: str, row_id: str) -> Column:
+    """What orders rows like the struct (ts, row_id), NULLs lowest, as one number where the types allow it.
+
+    A hash aggregate can hold a number in its buffer; with a struct ``max_by`` sorts all rows of a task."""
+    kind, ids = df.schema[ts].dataType.typeName(), df.schema[row_id].dataType.typeName()
+    if kind not in ("timestamp", "timestamp_ntz") or ids not in ("byte", "short", "integer", "long"):
+        return F.struct(ts, row_id)
+    if kind == "timestamp":
+        micros = F.unix_micros(ts)
+    else:  # by its own calendar fields, whatever the session's zone
+        second = F.expr(f"extract(SECOND FROM `{ts}`)").cast("decimal(8,6)") * 1000000
+        micros = (F.datediff(F.col(ts).cast("date"), F.lit("1970-01-01").cast("date")).cast("long") * 86400000000
+                  + F.hour(ts).cast("long") * 3600000000 + F.minute(ts).cast("long") * 60000000 + second.cast("long"))
+    # the ids and the place of NULL below them take 2^64 + 1 numbers for every time; times reach +-2^59 here (year 18,000)
+    at = F.coalesce(micros, F.lit(-(2**59))).cast("decimal(18,0)")
+    number = F.coalesce(F.col(row_id).cast("decimal(20,0)"), F.lit(Decimal(-(2**63) - 1)).cast("decimal(20,0)"))
+    return at * F.lit(Decimal(2**64 + 1)).cast("decimal(20,0)") + number
+
+
 def detector_status(votes_long: DataFrame) -> DataFrame:
     """prediction_count, mean and last prediction time per detector."""
     ok = successful(votes_long)
     return ok.groupBy("cluster_id").agg(
         F.count(F.lit(1)).alias("prediction_count"),
         F.avg("prediction_time").alias("avg_prediction_time"),
-        F.max_by("prediction_time", F.struct("ts", "flow_id")).alias("last_prediction_time"))
+        F.max_by("prediction_time", newest_first(ok, "ts", "flow_id")).alias("last_prediction_time"))
 
 
 def prediction_counter(votes_long: DataFrame) -> DataFrame:
@@ -97,7 +118,7 @@ def severity_distribution(decisions: DataFrame) -> DataFrame:
 def latest_by_host(samples: DataFrame) -> DataFrame:
     """Latest value of each metric per host (max_by on (ts, id), partial agg)."""
     return samples.groupBy("host").pivot("metric", list(ALERT_THRESHOLDS)).agg(
-        F.max_by("value", F.struct("ts", "sample_id")))
+        F.max_by("value", newest_first(samples, "ts", "sample_id")))
 
 
 def health_check(samples: DataFrame, thresholds=ALERT_THRESHOLDS) -> DataFrame:

@@ -29,6 +29,39 @@ def test_correlation_of_complete_pairs(spark):
     assert prep.correlation_pairs(rows.where("a is null"), ["a", "b"]).first()["r"] is None
 
 
+def test_correlation_of_many_columns(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(300, 11)) + rng.normal(size=(300, 1))
+    gap = rng.random((300, 11)) < 0.1
+    v[:, 7], gap[:, 7] = 5.0, False  # constant: no correlation
+    names = [f"c{k}" for k in range(11)]
+    rows = spark.createDataFrame([tuple(None if g else float(x) for x, g in zip(*r)) for r in zip(v, gap)], ", ".join(f"{n} double" for n in names))
+    got = prep.correlation_pairs(rows, names).collect()
+    assert len(got) == len({(r["feature_a"], r["feature_b"]) for r in got}) == 55
+    for r in got:
+        i, j = names.index(r["feature_a"]), names.index(r["feature_b"])
+        ok = ~gap[:, i] & ~gap[:, j]
+        assert i < j and (r["r"] is None if 7 in (i, j) else r["r"] == pytest.approx(np.corrcoef(v[ok, i], v[ok, j])[0, 1]))
+    assert [r["r"] for r in prep.correlation_pairs(rows.limit(0), names).collect()] == [None] * 55
+    assert prep.correlation_pairs(rows, names[:1]).count() == 0
+
+
+def test_correlation_code_is_small_enough_to_be_compiled(spark):
+    """HotSpot never compiles a method of over 8,000 bytes; the query x5_selected_features has 20 columns."""
+    import re
+
+    names = [f"c{k}" for k in range(20)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        pairs = prep.correlation_pairs(spark.range(10).select(*[(F.col("id") * k).cast("double").alias(n) for k, n in enumerate(names)]), names)
+        text = spark._jvm.PythonSQLUtils.explainString(pairs._jdf.queryExecution(), "codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)) < 8000
+
+
 def test_contingency_scores_by_hand(spark):
     rows = [(float(k), "x" if k < 5 else "y") for k in range(10)] + [(None, "x")] * 4
     df = spark.createDataFrame(rows, "v double, label string").withColumn("same", F.lit(1.0))

@@ -2,8 +2,10 @@
 
 Every vector gets ``TREES`` hash strings of ``DEPTH`` bits (signs of random
 projections).  The index is cut into shards of bounded size by vec_id; a shard holds,
-per tree, its hash strings as a sorted array.  A block of queries meets every shard
-once: in all trees of the shard each query descends to its longest matching prefix,
+per tree, its hash strings as a sorted array.  A task reads one shard, in pieces of
+bounded size, and then the blocks of queries one by one: a shard is sent once for
+all of its task's blocks, and memory holds one shard and a few pieces, however many
+queries there are.  A block of queries meets every shard once: in all trees of the shard each query descends to its longest matching prefix,
 then all trees ascend together, one bit at a time, and take in every vector under the
 shorter prefix until ``SHARE`` of the shard, and as many as are asked for, has been seen.  The candidates are ranked by their exact inner
 product in double precision, and the best of all shards are merged by a window whose
@@ -33,6 +35,14 @@ SHARE = 0.5
 NEAREST = 20
 #: Vectors of a shard and queries of a block: what one task holds.
 SHARD_ROWS, BLOCK_ROWS = 8_192, 512
+#: Bytes of vectors in a row that is sent (several rows make an Arrow batch).
+PIECE_BYTES = 1 << 18
+#: Vectors hashed at a time.
+HASH_ROWS = 1_024
+#: Tasks a core that meet shards and blocks, as far as there are so many pairs of them.
+TASKS_PER_CORE = 4
+#: Kinds of pieces, in the order in which a task reads them.
+VECTORS, TREE, QUERIES = range(3)
 SEED = 7
 
 
@@ -46,8 +56,12 @@ def _codes(x, extra):
     """Hash strings as integers: one column per tree, the first bit the highest."""
     import numpy as np
 
-    bits = np.column_stack([x, extra]) @ _planes(x.shape[1]) > 0
-    return bits.reshape(len(x), TREES, DEPTH).astype(np.int64) @ (1 << np.arange(DEPTH - 1, -1, -1))
+    wide, planes, weights = np.column_stack([x, extra]), _planes(x.shape[1]), 1 << np.arange(DEPTH - 1, -1, -1)
+    out = np.empty((len(x), TREES), dtype=np.int64)
+    for at in range(0, len(x), HASH_ROWS):
+        bits = wide[at:at + HASH_ROWS] @ planes > 0
+        out[at:at + HASH_ROWS] = bits.reshape(-1, TREES, DEPTH).astype(np.int64) @ weights
+    return out
 
 
 def ranges(codes, queries):
@@ -105,54 +119,72 @@ def search(queries: DataFrame, rows: DataFrame, nearest: int = NEAREST, ids: str
     valid = valid.where(F.size("v") == dim)
     asked = _valid(queries, ids, vectors).where(F.size("v") == dim)
     shards = max(1, -(-n // SHARD_ROWS))
+    step = max(1, min(BLOCK_ROWS, PIECE_BYTES // (8 * dim)))  # vectors of a piece, queries of a block
+    piece = "kind int, seq int, ids binary, data binary"
 
-    def build(pdf):  # one shard: vectors and the sorted array of each tree, packed
+    def build(pdf):  # one shard: its vectors, and the sorted array of each tree, in pieces
         pdf = pdf.sort_values("vec_id")
-        x = np.array(pdf["v"].tolist())
+        ids_, x = pdf["vec_id"].to_numpy("<i8"), np.array(pdf["v"].tolist()).astype("<f8")
         codes = _codes(x, np.sqrt(np.maximum(0.0, largest - (x * x).sum(axis=1)))).T
         order = np.argsort(codes, axis=1, kind="stable")
-        packed = {"shard": [int(pdf["shard"].iloc[0])], "ids": [pdf["vec_id"].to_numpy("<i8").tobytes()], "x": [x.astype("<f8").tobytes()],
-                  "tree_order": [order.astype("<i4").tobytes()], "codes": [np.take_along_axis(codes, order, 1).astype("<i8").tobytes()]}
-        return __import__("pandas").DataFrame(packed)
+        rows_ = [(VECTORS, k, ids_[at:at + step].tobytes(), x[at:at + step].tobytes()) for k, at in enumerate(range(0, len(x), step))]
+        rows_ += [(TREE, t, order[t].astype("<i4").tobytes(), codes[t][order[t]].astype("<i8").tobytes()) for t in range(TREES)]
+        out = __import__("pandas").DataFrame(rows_, columns=["kind", "seq", "ids", "data"])
+        out.insert(0, "shard", int(pdf["shard"].iloc[0]))
+        return out
 
     index = (valid.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).groupBy("shard")
-             .applyInPandas(build, "shard int, ids binary, x binary, tree_order binary, codes binary"))
+             .applyInPandas(build, f"shard int, {piece}"))
 
     def block(pdf):
-        x = np.array(pdf["v"].tolist())
-        return __import__("pandas").DataFrame({"block": [int(pdf["block"].iloc[0])], "query_ids": [pdf["vec_id"].to_numpy("<i8").tobytes()], "q": [x.astype("<f8").tobytes()]})
+        x = np.array(pdf["v"].tolist()).astype("<f8")
+        return __import__("pandas").DataFrame({"kind": [QUERIES], "seq": [int(pdf["block"].iloc[0])], "ids": [pdf["vec_id"].to_numpy("<i8").tobytes()], "data": [x.tobytes()]})
 
-    n_blocks = max(1, -(-asked.count() // BLOCK_ROWS))
+    n_blocks = max(1, -(-asked.count() // step))
     blocks = (asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_blocks)).cast("int")).groupBy("block")
-              .applyInPandas(block, "block int, query_ids binary, q binary"))
-    # the stated query set against all rows, in blocks: each block goes to each shard once
-    sent = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("shard", F.col("shard").cast("int"))
-    met = index.join(sent, "shard").select("ids", "x", "tree_order", "codes", "query_ids", "q").repartition(max(shards * n_blocks, 1))
+              .applyInPandas(block, piece))
+    # the stated query set against all rows, in blocks: each block goes to each shard once, and the blocks of a
+    # shard are dealt to as many tasks as keep the cores busy; only those read the shard anew
+    parts = min(n_blocks, int(-(-TASKS_PER_CORE * valid.sparkSession.sparkContext.defaultParallelism // shards)))
+    to_all = lambda df, name, count: df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    names = ["shard", "part", "kind", "seq", "ids", "data"]
+    sent = to_all(blocks.withColumn("part", F.pmod("seq", F.lit(parts)).cast("int")), "shard", shards).select(*names)
+    met = (to_all(index, "part", parts).select(*names).unionByName(sent)
+           .repartitionById(shards * parts, F.col("shard") * parts + F.col("part")).sortWithinPartitions("shard", "part", "kind", "seq"))
 
     def run(batches):
+        key, held, shard = None, {}, None
         for b in batches:
-            for r in b.to_pylist():
-                ids_ = np.frombuffer(r["ids"], "<i8")
-                x = np.frombuffer(r["x"], "<f8").reshape(-1, dim)
-                order = np.frombuffer(r["tree_order"], "<i4").reshape(TREES, -1)
-                codes = np.frombuffer(r["codes"], "<i8").reshape(TREES, -1)
-                qid = np.frombuffer(r["query_ids"], "<i8")
-                q = np.frombuffer(r["q"], "<f8").reshape(-1, dim)
-                lo, hi = ranges(codes, _codes(q, np.zeros(len(q))))
-                out_q, out_v, out_s = [], [], []
-                for i in range(len(q)):
-                    near = candidates(order, lo[:, :, i], hi[:, :, i], max(int(np.ceil(SHARE * len(ids_))), nearest) + 1)
-                    near = near[ids_[near] != qid[i]]
-                    if len(near) > nearest:  # what may tie with the last stays, the merge decides
-                        rough = x[near] @ q[i]
-                        last = np.partition(rough, len(rough) - nearest)[len(rough) - nearest]
-                        near = near[rough >= last - 1e-9 * max(1.0, abs(last))]
-                    score = (x[near] * q[i]).sum(axis=1)  # summed alike for every row, so equal vectors tie
-                    out_q.append(np.full(len(near), qid[i]))
-                    out_v.append(ids_[near])
-                    out_s.append(score)
-                if out_q:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (out_q, out_v, out_s)], names=["query_id", "vec_id", "score"])
+            for own, kind, i, d in zip(zip(b["shard"].to_pylist(), b["part"].to_pylist()), b["kind"].to_pylist(), b["ids"], b["data"]):
+                if own != key:
+                    key, held, shard = own, {VECTORS: [], TREE: []}, None
+                if kind != QUERIES:
+                    held[kind].append((i.as_py(), d.as_py()))
+                    continue
+                if shard is None:
+                    if not held[VECTORS]:  # no vector fell into this shard
+                        continue
+                    shard = [np.concatenate([np.frombuffer(p[0], "<i8") for p in held[VECTORS]]),
+                             np.concatenate([np.frombuffer(p[1], "<f8") for p in held[VECTORS]]).reshape(-1, dim),
+                             np.stack([np.frombuffer(p[0], "<i4") for p in held[TREE]]), np.stack([np.frombuffer(p[1], "<i8") for p in held[TREE]])]
+                    held = {VECTORS: [], TREE: []}
+                yield answer(*shard, np.frombuffer(i.as_py(), "<i8"), np.frombuffer(d.as_py(), "<f8").reshape(-1, dim))
+
+    def answer(ids_, x, order, codes, qid, q):
+        lo, hi = ranges(codes, _codes(q, np.zeros(len(q))))
+        out_q, out_v, out_s = [], [], []
+        for i in range(len(q)):
+            near = candidates(order, lo[:, :, i], hi[:, :, i], max(int(np.ceil(SHARE * len(ids_))), nearest) + 1)
+            near = near[ids_[near] != qid[i]]
+            if len(near) > nearest:  # what may tie with the last stays, the merge decides
+                rough = x[near] @ q[i]
+                last = np.partition(rough, len(rough) - nearest)[len(rough) - nearest]
+                near = near[rough >= last - 1e-9 * max(1.0, abs(last))]
+            score = (x[near] * q[i]).sum(axis=1)  # summed alike for every row, so equal vectors tie
+            out_q.append(np.full(len(near), qid[i]))
+            out_v.append(ids_[near])
+            out_s.append(score)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (out_q, out_v, out_s)], names=["query_id", "vec_id", "score"])
 
     found = met.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
